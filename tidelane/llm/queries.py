@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelane.llm import bpe, compression_quality, decontamination, licenses, quality_rules, secrets, toxicity
+from tidelane.llm import bpe, compression_quality, decontamination, licenses, ngram_join, paragraphs, quality_rules, secrets, suffix_dedup, toxicity
 from tidelane.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -29,6 +29,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.paragraph_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
@@ -37,6 +45,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
@@ -51,8 +63,11 @@ QUERIES = {
         op1_toxicity,
         op2_quality_rules,
         op3_decontamination,
+        op4_ngram_join,
+        op5_paragraph_dedup,
         op6_secret_scan,
         op7_bpe,
+        op8_suffix_dedup,
         op9_license_scan,
         op10_compression_quality,
     )
