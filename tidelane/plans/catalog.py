@@ -2,6 +2,319 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelane import sinks
+from tidelane.functions import scalars
+from tidelane.operators import correlate, detect, flows, folds, rates
+from tidelane.sources import frames
+from tidelane.sources.events import packets
+
 FLAGSHIP = "flow_summary"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+HOUR, DAY = 3_600_000_000, 86_400_000_000
+
+#: The packet relation, in SQL.
+EV = """ev AS (SELECT event_id AS seq, epoch_us(ts) AS us, user_id AS src, event_type AS svc,
+CASE WHEN event_type IN ('click', 'view', 'signup') THEN 'initiator' ELSE 'responder' END AS side, CAST(round(value * 100) AS BIGINT) AS bytes,
+CASE event_type WHEN 'signup' THEN 2 WHEN 'view' THEN 16 WHEN 'click' THEN 24 WHEN 'purchase' THEN 17 ELSE 4 END AS flags, value FROM events)"""
+#: Packets with the number of their flow, for an idle time of a day, and the flows.
+TR = f"""{EV}, tr AS (SELECT *, sum(CASE WHEN g >= {DAY} THEN 1 ELSE 0 END) OVER (PARTITION BY src ORDER BY us, seq) AS flow_no FROM (SELECT *, us - lag(us) OVER (PARTITION BY src ORDER BY us, seq) AS g FROM ev))"""
+FL = f"""{TR}, fl AS (SELECT src, CAST(flow_no AS BIGINT) AS flow_no, min(us) AS start_us, max(us) AS end_us, count(*) FILTER (side = 'initiator') AS packets_initiator, count(*) FILTER (side = 'responder') AS packets_responder,
+CAST(coalesce(sum(bytes) FILTER (side = 'initiator'), 0) AS BIGINT) AS bytes_initiator, CAST(coalesce(sum(bytes) FILTER (side = 'responder'), 0) AS BIGINT) AS bytes_responder, CAST(bit_or(flags) AS INTEGER) AS flags FROM tr GROUP BY ALL)"""
+#: A key's values in order, as a list.
+XS = f"{EV}, xs AS (SELECT src, list(value ORDER BY us, seq) AS xs FROM ev GROUP BY src)"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.track(packets(spark, sf_dir), "src", DAY)
+
+
+def all_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.summaries(tracked(spark, sf_dir), "src")
+
+
+def r6(*names: str) -> list:
+    return [F.round(F.col(n), 6).alias(n) for n in names]
+
+
+@query(f"WITH {FL} SELECT * FROM fl")
+def flow_summary(spark, sf_dir):
+    return all_flows(spark, sf_dir)
+
+
+@query(f"""WITH {FL} SELECT src, flow_no, bytes_initiator + bytes_responder AS bytes_total, round((end_us - start_us) / 1e6, 6) AS duration_s, round((bytes_initiator + bytes_responder) / (packets_initiator + packets_responder), 6) AS mean_packet,
+round(CASE WHEN bytes_initiator + bytes_responder > 0 THEN (bytes_initiator - bytes_responder) / (bytes_initiator + bytes_responder) ELSE 0 END, 6) AS skew, round(CASE WHEN end_us > start_us THEN 8 * (bytes_initiator + bytes_responder) / ((end_us - start_us) / 1e6) ELSE 0 END, 6) AS bps FROM fl""")
+def flow_derived(spark, sf_dir):
+    return flows.derived(all_flows(spark, sf_dir)).select("src", "flow_no", "bytes_total", *r6("duration_s", "mean_packet", "skew", "bps"))
+
+
+@query(f"WITH {FL} SELECT src, flow_no FROM fl WHERE abs((bytes_initiator - bytes_responder) / (bytes_initiator + bytes_responder)) > 0.9")
+def direction_skew_anomaly(spark, sf_dir):
+    return flows.derived(all_flows(spark, sf_dir)).filter("abs(skew) > 0.9").select("src", "flow_no")
+
+
+@query(f"WITH {EV} SELECT src, CAST(sum(bytes) AS BIGINT) AS total FROM ev GROUP BY src ORDER BY total DESC, src LIMIT 10")
+def top_talkers(spark, sf_dir):
+    return rates.top_n(packets(spark, sf_dir), "src", F.sum("bytes"), 10)
+
+
+@query(f"WITH {EV}, g AS (SELECT src, us - lag(us) OVER (PARTITION BY src ORDER BY us, seq) AS gap FROM ev) SELECT src, count(*) AS n, round(avg(gap) / 1e6, 4) AS mean_s, round(stddev_pop(gap) / 1e6, 4) AS std_s, min(gap) AS least, max(gap) AS most FROM g WHERE gap IS NOT NULL GROUP BY src")
+def flow_iat(spark, sf_dir):
+    return flows.inter_arrival(packets(spark, sf_dir), "src").select("src", "n", F.round(F.col("mean") / 1e6, 4).alias("mean_s"), F.round(F.col("std") / 1e6, 4).alias("std_s"), "least", "most")
+
+
+@query(f"""WITH {EV}, g AS (SELECT *, us - lag(us) OVER (PARTITION BY src ORDER BY us, seq) AS gap FROM ev), r AS (SELECT *, sum(CASE WHEN gap > {12 * HOUR} THEN 1 ELSE 0 END) OVER (PARTITION BY src ORDER BY us, seq) AS run FROM g),
+e AS (SELECT src, run, max(us) - min(us) AS active, max(CASE WHEN gap > {12 * HOUR} THEN gap END) AS idle FROM r GROUP BY ALL), l AS (SELECT src, max(run) AS last FROM e GROUP BY src)
+SELECT src, count(*) FILTER (run < last) AS n_active, round(avg(active) FILTER (run < last), 3) AS mean_active, count(idle) AS n_idle, round(avg(idle), 3) AS mean_idle FROM e JOIN l USING (src) GROUP BY src""")
+def flow_active_idle(spark, sf_dir):
+    return flows.active_idle(packets(spark, sf_dir), "src", 12 * HOUR).select("src", "n_active", F.round("mean_active", 3).alias("mean_active"), "n_idle", F.round("mean_idle", 3).alias("mean_idle"))
+
+
+@query(f"""WITH {TR}, m AS (SELECT *, CASE WHEN (flags & 2) > 0 THEN 's' ELSE '' END || CASE WHEN (flags & 1) > 0 THEN 'f' ELSE '' END || CASE WHEN (flags & 4) > 0 THEN 'r' ELSE '' END || CASE WHEN (flags & 8) > 0 THEN 'd' ELSE '' END AS t FROM tr)
+SELECT src, CAST(flow_no AS BIGINT) AS flow_no, substring(string_agg(CASE WHEN side = 'initiator' THEN upper(t) ELSE t END, '' ORDER BY us, seq), 1, 16) AS history FROM m GROUP BY ALL""")
+def flow_history(spark, sf_dir):
+    return flows.history(tracked(spark, sf_dir), "src")
+
+
+@query(f"WITH {EV}, g AS (SELECT *, us - lag(us) OVER w AS d, seq - lag(seq) OVER w AS k FROM ev WINDOW w AS (PARTITION BY src, svc ORDER BY us, seq)) SELECT seq FROM g WHERE NOT coalesce(d <= {6 * HOUR} AND k <= 256, FALSE)")
+def drop_repeats(spark, sf_dir):
+    return flows.drop_repeats(packets(spark, sf_dir), ["src", "svc"], 6 * HOUR).select("seq")
+
+
+@query(f"""WITH {EV} SELECT a.seq, CAST(sum(b.bytes) AS BIGINT) AS live, CAST(sum(b.bytes) AS DOUBLE) / (7 * 86400) AS rate FROM ev a JOIN ev b ON a.src = b.src AND (b.us, b.seq) <= (a.us, a.seq) AND (b.us // {DAY}) * {DAY} >= a.us - 7 * {DAY} GROUP BY a.seq""")
+def rolling_rate(spark, sf_dir):
+    return rates.live_sum(packets(spark, sf_dir), "src", F.col("bytes"), DAY, 7, "live").select("seq", "live", (F.col("live") / (7 * 86400)).alias("rate"))
+
+
+@query(f"""WITH {EV} SELECT a.seq, CAST(coalesce(sum(b.bytes) FILTER (b.side = 'initiator'), 0) AS BIGINT) AS tx, CAST(coalesce(sum(b.bytes) FILTER (b.side = 'responder'), 0) AS BIGINT) AS rx FROM ev a JOIN ev b ON a.src = b.src AND (b.us, b.seq) <= (a.us, a.seq) AND (b.us // {DAY}) * {DAY} >= a.us - 3 * {DAY} GROUP BY a.seq""")
+def bandwidth_by_owner(spark, sf_dir):
+    tx = rates.live_sum(packets(spark, sf_dir), "src", F.when(F.col("side") == "initiator", F.col("bytes")).otherwise(0), DAY, 3, "tx")
+    return rates.live_sum(tx, "src", F.when(F.col("side") == "responder", F.col("bytes")).otherwise(0), DAY, 3, "rx").select("seq", "tx", "rx")
+
+
+@query(f"WITH {EV}, c AS (SELECT a.seq, a.src, count(*) AS live FROM ev a JOIN ev b ON a.src = b.src AND (b.us, b.seq) <= (a.us, a.seq) AND (b.us // {DAY}) * {DAY} >= a.us - 2 * {DAY} GROUP BY ALL) SELECT seq, src, live FROM c WHERE live >= 8")
+def windowed_count(spark, sf_dir):
+    return rates.live_sum(packets(spark, sf_dir), "src", F.lit(1), DAY, 2, "live").filter("live >= 8").select("seq", "src", F.col("live").cast("long").alias("live"))
+
+
+@query(f"WITH {EV}, b AS (SELECT DISTINCT src, us // {DAY} AS bucket, svc FROM ev) SELECT x.src, x.bucket, count(DISTINCT y.svc) AS n_distinct FROM (SELECT DISTINCT src, bucket FROM b) x JOIN b y ON x.src = y.src AND y.bucket BETWEEN x.bucket - 2 AND x.bucket GROUP BY ALL")
+def windowed_distinct(spark, sf_dir):
+    return rates.live_distinct(packets(spark, sf_dir), "src", "svc", DAY, 3)
+
+
+@query(f"WITH {EV}, g AS (SELECT *, us - lag(us) OVER (PARTITION BY src, svc ORDER BY us, seq) AS d FROM ev) SELECT seq, src, svc FROM g WHERE d IS NULL OR d > {3 * DAY}")
+def first_seen(spark, sf_dir):
+    return rates.first_seen(packets(spark, sf_dir), ["src", "svc"], 3 * DAY).select("seq", "src", "svc")
+
+
+@query(f"WITH {EV} SELECT CAST((value >= 1) AS INTEGER) + CAST((value >= 10) AS INTEGER) + CAST((value >= 50) AS INTEGER) + CAST((value >= 100) AS INTEGER) AS bucket, count(*) AS n FROM ev GROUP BY ALL")
+def value_histogram(spark, sf_dir):
+    return rates.histogram(packets(spark, sf_dir), "value", [1.0, 10.0, 50.0, 100.0])
+
+
+@query(f"""WITH {FL}, d AS (SELECT (end_us - start_us) / 1e6 AS s FROM fl) SELECT CAST((s >= 0.1) AS INTEGER) + CAST((s >= 1) AS INTEGER) + CAST((s >= 10) AS INTEGER) + CAST((s >= 60) AS INTEGER) + CAST((s >= 600) AS INTEGER) + CAST((s >= 3600) AS INTEGER) AS bucket, count(*) AS n FROM d GROUP BY ALL""")
+def flow_duration_histogram(spark, sf_dir):
+    return rates.histogram(flows.derived(all_flows(spark, sf_dir)), "duration_s", [0.1, 1.0, 10.0, 60.0, 600.0, 3600.0])
+
+
+@query(f"""WITH {EV}, b AS (SELECT svc, CASE WHEN value > 0 THEN ceil(ln(value) / ln(1.02 / 0.98)) END AS bin, count(*) AS n FROM ev GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY svc ORDER BY bin NULLS FIRST) AS upto, round(0.95 * (sum(n) OVER (PARTITION BY svc) - 1)) AS rank FROM b)
+SELECT svc, round(CASE WHEN bin IS NULL THEN 0 ELSE 2 * pow(1.02 / 0.98, bin) / (1.02 / 0.98 + 1) END, 6) AS quantile FROM c WHERE upto > rank AND upto - n <= rank""")
+def ddsketch_quantile(spark, sf_dir):
+    return rates.sketch_quantile(rates.sketch_bins(packets(spark, sf_dir), "svc", "value", 0.02), "svc", 0.95, 0.02).select("svc", *r6("quantile"))
+
+
+@query(f"WITH {EV} SELECT svc, count(value) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 6) AS var_pop, round(var_samp(value), 6) AS var_samp, min(value) AS least, max(value) AS most FROM ev GROUP BY svc")
+def welford(spark, sf_dir):
+    return rates.welford(packets(spark, sf_dir), "svc", "value").select("svc", "n", *r6("mean", "var_pop", "var_samp"), "least", "most")
+
+
+@query(f"WITH {EV} SELECT svc, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM ev GROUP BY svc")
+def percentiles(spark, sf_dir):
+    return packets(spark, sf_dir).groupBy("svc").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.99), 6).alias("p99"))
+
+
+@query(f"WITH {EV} SELECT svc, TRUE AS within FROM ev GROUP BY svc")
+def distinct_sketch(spark, sf_dir):
+    """Whether the distinct-count sketch is within 10 % of the exact count."""
+    exact = F.count_distinct("src")
+    return packets(spark, sf_dir).groupBy("svc").agg((F.abs(F.approx_count_distinct("src", 0.03) - exact) <= 0.1 * exact).alias("within"))
+
+
+@query(f"WITH {XS} SELECT src, CAST(len(xs) AS BIGINT) AS n, round(list_reduce(xs, lambda m, x: 0.3 * x + 0.7 * m), 6) AS ewma FROM xs")
+def ewma(spark, sf_dir):
+    return folds.ewma(packets(spark, sf_dir), "src", "value", 0.3).select("src", "n", *r6("ewma"))
+
+
+@query(f"""WITH {XS}, s AS (SELECT src, list_reduce(list_transform(xs, lambda x: {{'m': x, 'v': 0.0::DOUBLE}}), lambda s, x: {{'m': s.m + 0.1 * (x.m - s.m), 'v': 0.9 * (s.v + (x.m - s.m) * 0.1 * (x.m - s.m))}}) AS s FROM xs) SELECT src, round(s.m, 6) AS mean, round(s.v, 6) AS variance FROM s""")
+def ewma_variance(spark, sf_dir):
+    return folds.ewma_variance(packets(spark, sf_dir), "src", "value", 0.1).select("src", *r6("mean", "variance"))
+
+
+@query(f"""WITH {XS}, s AS (SELECT src, list_reduce(list_transform(list_prepend(0.0, xs), lambda x: {{'x': x, 'hi': 0.0::DOUBLE, 'lo': 0.0::DOUBLE, 'up': 0::BIGINT, 'down': 0::BIGINT}}), lambda s, e: {{'x': e.x,
+'hi': CASE WHEN greatest(0, s.hi + e.x - 50 - 5) > 200 THEN 0 ELSE greatest(0, s.hi + e.x - 50 - 5) END, 'lo': CASE WHEN greatest(0, s.hi + e.x - 50 - 5) <= 200 AND greatest(0, s.lo + 50 - e.x - 5) > 200 THEN 0 ELSE greatest(0, s.lo + 50 - e.x - 5) END,
+'up': s.up + CASE WHEN greatest(0, s.hi + e.x - 50 - 5) > 200 THEN 1 ELSE 0 END, 'down': s.down + CASE WHEN greatest(0, s.hi + e.x - 50 - 5) <= 200 AND greatest(0, s.lo + 50 - e.x - 5) > 200 THEN 1 ELSE 0 END}}) AS s FROM xs) SELECT src, s.up AS n_up, s.down AS n_down FROM s""")
+def cusum(spark, sf_dir):
+    return folds.cusum(packets(spark, sf_dir), "src", "value", 50.0, 5.0, 200.0)
+
+
+@query()
+def page_hinkley(spark, sf_dir):
+    return folds.page_hinkley(packets(spark, sf_dir), "src", "value", 1.0, 150.0)
+
+
+@query("""WITH q AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'assistant')
+SELECT q.conv_id, CAST(q.n AS INTEGER) AS n, q.turn AS request, a.turn AS response FROM q LEFT JOIN a ON q.conv_id = a.conv_id AND q.n = a.n""")
+def request_response(spark, sf_dir):
+    return correlate.pair_fifo(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn", F.col("role") == "user", F.col("role") == "assistant")
+
+
+@query(f"""WITH {EV}, l AS (SELECT * FROM ev WHERE svc = 'purchase'), r AS (SELECT * FROM ev WHERE svc = 'view'), j AS (SELECT l.seq, l.us, arg_max(r.bytes, (r.us, r.seq)) AS v, max(r.us) AS seen FROM l LEFT JOIN r ON l.src = r.src AND r.us <= l.us GROUP BY ALL) SELECT seq, CASE WHEN us - seen <= {2 * DAY} THEN CAST(v AS VARCHAR) END AS name FROM j""")
+def name_as_of(spark, sf_dir):
+    ev = packets(spark, sf_dir)
+    return correlate.as_of(ev.filter("svc = 'purchase'").select("src", "us", "seq"), ev.filter("svc = 'view'"), ["src"], "bytes", 2 * DAY).select("seq", "name")
+
+
+@query(f"WITH {EV}, b AS (SELECT seq, src, svc, lag(svc) OVER (PARTITION BY src ORDER BY us, seq) AS prior FROM ev) SELECT seq, prior, CASE WHEN prior IS NULL THEN 'new' WHEN prior = svc THEN 'refresh' ELSE 'changed' END AS change FROM b")
+def neighbor_bindings(spark, sf_dir):
+    return correlate.bindings(packets(spark, sf_dir), "src", "svc").select("seq", "prior", "change")
+
+
+@query(f"WITH {EV} SELECT e.seq, coalesce(bool_or(e.us - f.us < {DAY}), FALSE) AS is_set FROM (SELECT * FROM ev WHERE svc = 'purchase') e LEFT JOIN (SELECT * FROM ev WHERE svc = 'click') f ON e.src = f.src AND f.us <= e.us GROUP BY e.seq")
+def named_bits(spark, sf_dir):
+    ev = packets(spark, sf_dir)
+    return correlate.flag_is_set(ev.filter("svc = 'purchase'").select("src", "us", "seq"), ev.filter("svc = 'click'").select("src", "us", "seq"), "src", DAY).select("seq", "is_set")
+
+
+#: Hosts of the pages, and the indicators: registered domains of pages whose number is a multiple of 7.
+HOSTS = r"h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages), r AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS dom FROM h)"
+
+
+def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", scalars.host(F.col("url")).alias("host"))
+
+
+@query(f"WITH {HOSTS}, i AS (SELECT DISTINCT dom FROM r WHERE page_id % 7 = 0) SELECT page_id, host, dom AS indicator FROM r SEMI JOIN i USING (dom)")
+def indicator_match(spark, sf_dir):
+    hosts = page_hosts(spark, sf_dir)
+    bad = hosts.filter("page_id % 7 = 0").select(scalars.registered_domain(F.col("host")).alias("indicator"))
+    return correlate.indicator_match(hosts, "host", bad)
+
+
+@query(f"""WITH {EV}, c AS (SELECT src, svc, min((us, seq)) AS seen FROM ev GROUP BY ALL), k AS (SELECT src, svc, row_number() OVER (PARTITION BY src ORDER BY seen DESC) AS n, seen FROM c) SELECT e.src, min(us) AS first_us, max(us) AS last_us, arg_max(value, (us, seq)) AS value, (SELECT string_agg(svc, ',' ORDER BY seen) FROM k WHERE k.src = e.src AND n <= 3) AS names FROM ev e GROUP BY e.src""")
+def asset_inventory(spark, sf_dir):
+    return correlate.merge_assets(packets(spark, sf_dir), "src", ["value"], {"svc": 3}).select("src", "first_us", "last_us", "value", F.array_join("svc", ",").alias("names"))
+
+
+@query(f"WITH {HOSTS} SELECT page_id, host, dom AS registered, split_part(dom, '.', 1) AS second FROM r")
+def domain_parts(spark, sf_dir):
+    return page_hosts(spark, sf_dir).select("page_id", "host", scalars.registered_domain(F.col("host")).alias("registered"), scalars.second_level(F.col("host")).alias("second"))
+
+
+@query("""WITH u AS (SELECT page_id, url, string_split(url, '') AS c FROM pages), e AS (SELECT page_id, unnest(c) AS c, len(c) AS n FROM u), g AS (SELECT page_id, c, n, count(*) AS k FROM e GROUP BY ALL) SELECT page_id, round(-sum((k / n) * log2(k / n)), 6) AS entropy FROM g GROUP BY page_id""")
+def url_entropy(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.round(scalars.shannon_entropy(F.col("url")), 6).alias("entropy"))
+
+
+@query("""WITH e AS (SELECT unnest(list_transform(range(1, length(url) - 1), lambda i: substring(url, i, 3))) AS gram FROM pages) SELECT gram, count(*) AS n FROM e GROUP BY gram""")
+def ngram_distribution(spark, sf_dir):
+    grams = F.transform(F.sequence(F.lit(1), F.length("url") - 2), lambda i: F.substring(F.col("url"), i, 3))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").filter("length(url) >= 3").select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@query("""WITH t AS (SELECT event_id, printf('0A00%02X%02X', (user_id // 256) % 256, user_id % 256) || printf('%04X', 1024 + event_id % 60000) AS a, 'C0A80001' || '0050' AS b FROM events), o AS (SELECT event_id, least(a, b) AS lo, greatest(a, b) AS hi FROM t)
+SELECT event_id, '1:' || to_base64(unhex(sha1(unhex('0000' || substring(lo, 1, 8) || substring(hi, 1, 8) || '06' || '00' || substring(lo, 9, 4) || substring(hi, 9, 4))))) AS community_id FROM o""")
+def community_ids(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    src = F.concat_ws(".", F.lit("10"), F.lit("0"), (F.floor(F.col("user_id") / 256) % 256).cast("string"), (F.col("user_id") % 256).cast("string"))
+    return ev.select("event_id", scalars.community_id(F.lit(6), src, 1024 + F.col("event_id") % 60000, F.lit("192.168.0.1"), F.lit(80)).alias("community_id"))
+
+
+@query("SELECT event_id, 'udp' AS proto, '10.0.' || (user_id // 256) % 256 || '.' || user_id % 256 AS src_ip, '192.168.0.1' AS dst_ip, CAST(1024 + event_id % 60000 AS INTEGER) AS src_port, 53 AS dst_port, event_type AS payload FROM events")
+def decode_frames(spark, sf_dir):
+    """Frames are made of the events' columns, so the columns are what the decoder has to give back."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    h = lambda c, n: F.lpad(F.hex(c), n, "0")
+    size = F.length("event_type")
+    frame = F.unhex(F.concat(F.lit("000000000001000000000002" + "0800" + "4500"), h(28 + size, 4), F.lit("0000000040110000"), F.lit("0A00"), h(F.floor(F.col("user_id") / 256) % 256, 2), h(F.col("user_id") % 256, 2), F.lit("C0A80001"), h(1024 + F.col("event_id") % 60000, 4), F.lit("0035"), h(8 + size, 4), F.lit("0000"), F.hex(F.col("event_type").cast("binary"))))
+    return frames.decode_ipv4(ev.select("event_id", frame.alias("frame"))).select("event_id", "proto", "src_ip", "dst_ip", "src_port", "dst_port", F.col("payload").cast("string").alias("payload"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN text LIKE 'PRI * HTTP/2%' THEN 'http2' WHEN text LIKE 'SSH-%' THEN 'ssh' WHEN regexp_matches(text, '^(GET |POST |PUT |HEAD |DELETE |OPTIONS |PATCH |HTTP/1\\.)') THEN 'http' ELSE 'raw' END AS protocol FROM conversations""")
+def classify_first_bytes(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", scalars.first_bytes(F.col("text")).alias("protocol"))
+
+
+@query(f"""WITH {XS.replace('list(value ORDER', "list(svc IN ('signup', 'view', 'click') ORDER")}, s AS (SELECT src, list_reduce(list_transform(list_prepend(FALSE, xs), lambda x: {{'ok': x, 's': 0.0::DOUBLE, 'scan': 0::BIGINT, 'benign': 0::BIGINT}}), lambda a, x: {{'ok': x.ok,
+'s': CASE WHEN a.s + (CASE WHEN x.ok THEN ln(0.25) ELSE ln(4.0) END) >= ln(99) - 1e-9 OR a.s + (CASE WHEN x.ok THEN ln(0.25) ELSE ln(4.0) END) <= -ln(99) + 1e-9 THEN 0 ELSE a.s + (CASE WHEN x.ok THEN ln(0.25) ELSE ln(4.0) END) END,
+'scan': a.scan + CASE WHEN a.s + (CASE WHEN x.ok THEN ln(0.25) ELSE ln(4.0) END) >= ln(99) THEN 1 ELSE 0 END, 'benign': a.benign + CASE WHEN a.s + (CASE WHEN x.ok THEN ln(0.25) ELSE ln(4.0) END) <= -ln(99) THEN 1 ELSE 0 END}}) AS s FROM xs) SELECT src, s.scan AS n_scanner, s.benign AS n_benign FROM s""")
+def port_scan(spark, sf_dir):
+    return detect.port_scan(packets(spark, sf_dir).withColumn("ok", F.col("svc").isin("signup", "view", "click")), "src", "ok")
+
+
+@query(f"""WITH {EV}, l AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY us DESC, seq DESC) AS r FROM ev), k AS (SELECT *, (us - lag(us) OVER (PARTITION BY src ORDER BY us, seq)) / 1e6 AS gap FROM l WHERE r <= 20),
+s AS (SELECT src, count(*) AS n, avg(gap) AS mg, stddev_pop(gap) AS sd, avg(bytes) AS mb, stddev_pop(bytes) AS sb, (max(us) - min(us)) / 1e6 AS span FROM k GROUP BY src)
+SELECT src, n, round(mg, 6) AS mean_gap_s, round(0.5 * (1 - least(1, sd / mg)) + 0.3 * (1 - least(1, sb / mb)) + 0.2 * least(span / 1800, 1), 6) AS score FROM s WHERE n >= 10 AND mg BETWEEN 10 AND 86400""")
+def beacon_scores(spark, sf_dir):
+    return detect.beacon_scores(packets(spark, sf_dir), ["src"], 10, 86400).select("src", "n", *r6("mean_gap_s", "score"))
+
+
+@query()
+def connection_flood(spark, sf_dir):
+    return detect.connection_flood(packets(spark, sf_dir), "src", 8, DAY, 2, 5 * DAY)
+
+
+@query(f"""WITH {XS}, s AS (SELECT src, list_reduce(list_transform(list_prepend(0.0, xs), lambda x: {{'x': x, 'n': 0::BIGINT, 'm': 0.0::DOUBLE, 'v': 0.0::DOUBLE, 'a': 0::BIGINT}}), lambda s, e: {{'x': e.x, 'n': s.n + 1, 'm': CASE WHEN s.n = 0 THEN e.x ELSE s.m + 0.1 * (e.x - s.m) END, 'v': CASE WHEN s.n = 0 THEN 0 ELSE 0.9 * (s.v + (e.x - s.m) * 0.1 * (e.x - s.m)) END,
+'a': s.a + CASE WHEN s.n >= 10 AND e.x >= 100 AND sqrt(s.v) > 1e-9 AND e.x - s.m >= 2 * sqrt(s.v) THEN 1 ELSE 0 END}}) AS s FROM xs) SELECT src, s.a AS n_alarms FROM s""")
+def data_exfil(spark, sf_dir):
+    return detect.data_exfil(packets(spark, sf_dir), "src", "value", 0.1, 10, 100.0, 2.0)
+
+
+@query(f"""WITH {HOSTS}, w AS (SELECT DISTINCT split_part(dom, '.', 1) AS sld FROM r), t AS (SELECT n_name FROM nation), m AS (SELECT b, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(n_name)), lambda i: lower(substring(n_name, i, 2)))) AS b FROM t) GROUP BY b), f AS (SELECT substring(b, 1, 1) AS a, sum(n) AS t FROM m GROUP BY 1),
+e AS (SELECT sld, unnest(list_transform(range(1, length(sld)), lambda i: substring(sld, i, 2))) AS b FROM w WHERE length(sld) >= 2) SELECT sld, round(avg(ln((coalesce(n, 0) + 1) / (coalesce(t, 0) + 37))), 6) AS score FROM e LEFT JOIN m USING (b) LEFT JOIN f ON substring(e.b, 1, 1) = f.a GROUP BY sld""")
+def dga_scores(spark, sf_dir):
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    model = nations.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("n_name") - 1), lambda i: F.lower(F.substring(F.col("n_name"), i, 2)))).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
+    names = page_hosts(spark, sf_dir).select(scalars.second_level(F.col("host")).alias("sld"))
+    return detect.bigram_scores(names, "sld", model).select("sld", *r6("score"))
+
+
+@query(f"WITH {FL} SELECT src || ',' || flow_no || ',' || start_us || ',' || end_us || ',' || packets_initiator || ',' || bytes_initiator AS line FROM fl")
+def csv_lines(spark, sf_dir):
+    return sinks.delimited(all_flows(spark, sf_dir), ["src", "flow_no", "start_us", "end_us", "packets_initiator", "bytes_initiator"])
+
+
+@query(f"WITH {FL} SELECT concat_ws(chr(9), src, flow_no, start_us, CASE WHEN packets_responder > 0 THEN CAST(bytes_responder AS VARCHAR) ELSE '-' END) AS line FROM fl")
+def zeek_lines(spark, sf_dir):
+    flow = all_flows(spark, sf_dir).withColumn("answer", F.when(F.col("packets_responder") > 0, F.col("bytes_responder")))
+    return sinks.zeek(flow, ["src", "flow_no", "start_us", "answer"])
+
+
+@query(f"""WITH {FL} SELECT '{{"type":"ended","src":' || src || ',"flow_no":' || flow_no || ',"bytes_initiator":' || bytes_initiator || '}}' AS line FROM fl""")
+def ndjson_lines(spark, sf_dir):
+    return sinks.ndjson(all_flows(spark, sf_dir).select("src", "flow_no", "bytes_initiator"), "ended")
+
+
+@query(f"""WITH {FL} SELECT '{{"timestamp":"' || strftime(make_timestamp(end_us), '%Y-%m-%dT%H:%M:%S.%f') || 'Z","event_type":"flow","flow":{{"src":' || src || ',"bytes_initiator":' || bytes_initiator || '}}}}' AS line FROM fl""")
+def eve_lines(spark, sf_dir):
+    return sinks.eve(all_flows(spark, sf_dir).select("end_us", "src", "bytes_initiator"), "flow", "end_us")
+
+
+@query(f"WITH {EV} SELECT src, us // {DAY} AS day, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS total FROM ev GROUP BY ALL")
+def tumbling_totals(spark, sf_dir):
+    """The batch form of the streaming windows; tests hold the stream against it."""
+    return packets(spark, sf_dir).groupBy("src", F.floor(F.col("us") / DAY).alias("day")).agg(F.count("*").alias("n"), F.sum("bytes").alias("total"))
