@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +15,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's `spark.checkpoint.dir`; only where that is unset (tests) a folder of this machine."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")).rstrip("/")
+
+
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, so that a lost executor costs no recomputation.
+    """`df` written as a table to the shared folder, so that a lost executor costs no recomputation.
 
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests) is one made here.
+    Shuffle files of what led to it are of no more use: collecting garbage lets Spark delete them. The table goes with
+    `discard`, at the latest when the driver ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN[path] = spark
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables that `durable` wrote and nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_table", None)
+        if path and _WRITTEN.pop(path, None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+@atexit.register
+def _discard_all() -> None:
+    for path, spark in list(_WRITTEN.items()):
+        with contextlib.suppress(Exception):  # the driver may have stopped Spark already
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def text_key() -> Column:

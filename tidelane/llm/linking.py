@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import durable
+from tidelane.llm.common import discard, durable
 
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 MOST_IDS = 500_000
@@ -80,7 +80,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        now = durable(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        old, now = now, durable(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        discard(old)
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
@@ -153,12 +154,14 @@ def linked(entries: DataFrame, sets_of, num: int, den: int) -> DataFrame:
     stars = stars.filter(F.col("id") != F.col("hub.id")).filter(alike(F.col("n"), F.col("hub.n"))).select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b")).distinct()
     stars = durable(stars)
     ids = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
-    links = durable(verified(stars, durable(sets_of(few(ids))), num, den))
-    groups = components(links)
+    sets = durable(sets_of(few(ids)))
+    groups = components(verified(stars, sets, num, den))
+    discard(sets)
 
     told = held.select("token", "id", "n", "pos").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed_lists = told.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p < q").select("token")
     told = durable(told.join(mixed_lists, "token", "left_semi"))
+    discard(held)
     sets = durable(sets_of(few(told.select("id").distinct())))
     told = told.join(few(able(sets, num, den)), "id")
     a = told.select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "pos", "met", "component")])
@@ -170,6 +173,7 @@ def linked(entries: DataFrame, sets_of, num: int, den: int) -> DataFrame:
     rest = a.join(b, "token").filter(F.col("a_component") < F.col("b_component")).filter(alike(F.col("a_n"), F.col("b_n")) & enough)
     rest = rest.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = durable(verified(rest, sets, num, den))
+    discard(sets, told, stars)
     if more.isEmpty():
         return groups
     # Components met by the later links: their ids join like single ids.

@@ -12,11 +12,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import durable, pieces, text_key
-from tidelane.llm.linking import span_hashes
+from tidelane.llm.common import discard, durable, pieces, text_key
+from tidelane.llm.linking import mixed, span_hashes
 
 #: Bytes of a repeated string, of the k-grams, and k-grams in such a string.
 LENGTH, GRAM = 50, 16
@@ -50,12 +50,14 @@ def minimizers(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
         step *= 2
     m = np.minimum(m[: len(m) - (WIDTH - step)], m[WIDTH - step :])
     at = (m & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    text = np.searchsorted(ends, np.arange(len(m)), side="right")
-    inside = np.arange(len(m)) + LENGTH <= ends[text]
-    new = np.flatnonzero(inside & np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
-    # A run ends before the next one begins, or where its text has no window left.
-    last = np.minimum(np.concatenate([new[1:], [len(m)]]), ends[text[new]] - LENGTH + 1) - 1
-    return text[new], new, last, h[at[new]]
+    # Runs begin where the minimizer or the text changes, and end before the next run or the text's last window.
+    starts = np.concatenate([[0], ends[:-1]])
+    new = np.union1d(np.flatnonzero(at[1:] != at[:-1]) + 1, starts[starts < len(at)])
+    text = np.searchsorted(ends, new, side="right")
+    last = np.minimum(np.concatenate([new[1:], [len(at)]]), ends[text] - LENGTH + 1) - 1
+    keep = new <= last
+    new, text, last = new[keep], text[keep], last[keep]
+    return text, new, last, h[at[new]]
 
 
 TABLE8 = np.random.default_rng(8).integers(0, 1 << 63, 256, dtype=np.uint64).tobytes()
@@ -152,7 +154,12 @@ def ranked(docs: DataFrame) -> DataFrame:
 
 
 def prints(rows: DataFrame) -> DataFrame:
-    """print (minimizer), rank: once for each document."""
+    """print (minimizer), rank, sure, slot: once for each document.
+
+    sure: another document of the same block of rows has the print, too. Of the rows with such a print all but the first
+    get a slot of their own, the others have the print as slot: so no slot has more rows than there are blocks, however
+    many documents share a print.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -160,11 +167,20 @@ def prints(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for part, _, data, ends in blocks(batch):
                 text, _, _, h = minimizers(data, ends)
-                rank = part.column("rank").to_numpy()[text]
-                both = np.unique(np.stack([h.view(np.int64), rank]), axis=1) if len(h) else np.empty((2, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["print", "rank"])
-
-    return rows.select("rank", "text").mapInArrow(run, "print long, rank long")
+                h, rank = h.view(np.int64), part.column("rank").to_numpy()[text]
+                order = np.lexsort((rank, h))
+                h, rank = h[order], rank[order]
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (h[1:] != h[:-1]) | (rank[1:] != rank[:-1])
+                h, rank = h[new], rank[new]
+                again = np.zeros(len(h), dtype=bool)
+                again[1:] = h[1:] == h[:-1]
+                sure = again.copy()
+                sure[:-1] |= again[1:]
+                slot = np.where(again, mixed(h.view(np.uint64) ^ (rank.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64), h)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rank), pa.array(sure), pa.array(slot)], ["print", "rank", "sure", "slot"])
+
+    return rows.select("rank", "text").mapInArrow(run, "print long, rank long, sure boolean, slot long")
 
 
 def segments_of(rows: DataFrame) -> DataFrame:
@@ -244,26 +260,30 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     ids. Repeated rows give a row each. Columns of `docs` other than doc_id and text are ignored.
     """
     rows = ranked(docs)
-    met = prints(rows)
-    shared = durable(met.groupBy("print").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).filter("a < b").select("print"))
-    wanted = met.join(shared, "print").groupBy("rank").agg(F.collect_set("print").alias("shared"))
-    # Only rows with a shared minimizer go on.
-    near = durable(rows.join(wanted, "rank"))
-    found = durable(segments_of(near).withColumn("id", F.xxhash64("segment")))
-    kinds = found.groupBy("print", "id").agg(F.min("rank").alias("owner"), F.max("rank").alias("last"), F.first("segment").alias("segment"), F.min(F.octet_length("segment")).alias("size"))
-    kinds = durable(kinds)
+    slot = Window.partitionBy("slot")
+    met = prints(rows).withColumn("common", F.max("sure").over(slot) | (F.min("rank").over(slot) < F.max("rank").over(slot)))
+    wanted = durable(met.filter("sure or common").groupBy("rank").agg(F.collect_set("print").alias("shared")))
+    found = durable(segments_of(rows.join(wanted, "rank")).withColumn("id", F.xxhash64("segment")).withColumn("size", F.octet_length("segment")))
+    discard(wanted)
+    kinds = durable(found.groupBy("print", "id").agg(F.min("rank").alias("owner"), F.first("size").alias("size")))
     groups = kinds.groupBy("print").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    several = durable(kinds.join(groups, "print"))
+    heads = kinds.join(groups, "print").select("print", "id", "owner", "kinds")
+    several = durable(found.join(heads, ["print", "id"]).filter("rank = owner").dropDuplicates(["print", "id"]).select("print", "id", "owner", "kinds", "segment", "size"))
     total = several.agg(F.sum("size"), F.max("kinds")).head()
     runs = sorted_runs(several.filter(F.col("kinds") <= HOT), max(1, (total[0] or 0) // TASK))
     if (total[1] or 0) > HOT:
         runs = runs.unionByName(hashed_runs(several.filter(F.col("kinds") > HOT)))
+    runs = durable(runs)
+    discard(several)
     # A later holder of a segment loses all of it, the owner those windows that someone before it has.
-    later = found.join(kinds.select("print", "id", "owner", "size"), ["print", "id"])
+    later = found.select("rank", "key", "print", "id", "start", "size").join(kinds.select("print", "id", "owner"), ["print", "id"])
     whole = later.filter("rank > owner").select("rank", "key", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
     part = later.filter("rank = owner").join(runs, ["print", "id"]).select("rank", "key", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + LENGTH).alias("b"))
     spans = whole.unionByName(part).groupBy("rank", "key").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
-    cut = near.select("rank", "key", "text").distinct().join(spans, ["rank", "key"]).mapInArrow(remove, "rank long, key long, n_removed long, n_spans long, kept_sha256 string")
+    spans = durable(spans)
+    discard(found, kinds, runs)
+    cut = durable(rows.join(spans, ["rank", "key"]).mapInArrow(remove, "rank long, key long, n_removed long, n_spans long, kept_sha256 string").distinct())
+    discard(spans)
     cut = cut.select(F.col("rank").alias("r"), F.col("key").alias("k"), "n_removed", "n_spans", "kept_sha256")
     text = F.coalesce("text", F.lit(""))
     base = rows.select("rank", "key", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
