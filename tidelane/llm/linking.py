@@ -137,22 +137,23 @@ def able(sets: DataFrame, num: int, den: int) -> DataFrame:
     return count.join(sets.select("id", (F.octet_length("elements") / 8).alias("n")), "id").filter(den * F.col("met") >= num * F.col("n")).groupBy("id").agg(F.max("met").alias("met"))
 
 
-def linked(entries: DataFrame, sets_of, num: int, den: int) -> DataFrame:
+def linked(entries: DataFrame, sets_of, num: int, den: int, thin: bool = False, bound=lambda pairs: pairs) -> DataFrame:
     """(id, component) of ids linked by sets with Jaccard >= num / den, found by inverted lists.
 
     entries: token, id, n (size of the set), pos (place of the token in the set's order, from 0; 0 throughout if there is
     no order); any two sets that are similar enough share a token. Repeated entries count once. sets_of(ids): the sets
     of some ids. First every member of a list is compared with the list's smallest id and with its smallest set, which
     joins up groups of near copies by twice as many comparisons as they have members. What is left to compare are members of one list in different
-    components, without those that have too few elements in common with all the others; no link between components is
-    lost.
+    components; no link between components is lost. thin: leave out those members that have too few elements in common
+    with all the others, for entries without an order, whose lists also join sets that are far from similar. bound: takes
+    pairs (a, b) and leaves out some that can't be linked, before their sets are fetched.
     """
     lists = entries.groupBy("token").agg(F.max("id").alias("last"), F.min(F.struct("id", "n")).alias("first"), F.min(F.struct("n", "id")).alias("small")).filter("first.id < last").drop("last")
     held = durable(entries.join(lists, "token").distinct())
     alike = lambda m, n: den * F.least(m, n) >= num * F.greatest(m, n)
     stars = held.select("id", "n", F.explode(F.array(F.col("first"), F.struct("small.id", "small.n"))).alias("hub"))
     stars = stars.filter(F.col("id") != F.col("hub.id")).filter(alike(F.col("n"), F.col("hub.n"))).select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b")).distinct()
-    stars = durable(stars)
+    stars = durable(bound(stars))
     ids = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
     sets = durable(sets_of(few(ids)))
     groups = components(verified(stars, sets, num, den))
@@ -162,8 +163,8 @@ def linked(entries: DataFrame, sets_of, num: int, den: int) -> DataFrame:
     mixed_lists = told.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p < q").select("token")
     told = durable(told.join(mixed_lists, "token", "left_semi"))
     discard(held)
-    sets = durable(sets_of(few(told.select("id").distinct())))
-    told = told.join(few(able(sets, num, den)), "id")
+    sets = durable(sets_of(few(told.select("id").distinct()))) if thin else None
+    told = told.join(few(able(sets, num, den)), "id") if thin else told.withColumn("met", F.col("n"))
     a = told.select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "pos", "met", "component")])
     b = told.select("token", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "met", "component")])
     # The first token that two sets share, and what either shares with any other, must leave room for the overlap that
@@ -172,8 +173,11 @@ def linked(entries: DataFrame, sets_of, num: int, den: int) -> DataFrame:
     enough = (num + den) * room >= num * (F.col("a_n") + F.col("b_n"))
     rest = a.join(b, "token").filter(F.col("a_component") < F.col("b_component")).filter(alike(F.col("a_n"), F.col("b_n")) & enough)
     rest = rest.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    if not thin:
+        rest = durable(bound(rest))
+        sets = durable(sets_of(few(rest.select(F.col("a").alias("id")).unionByName(rest.select(F.col("b").alias("id"))).distinct())))
     more = durable(verified(rest, sets, num, den))
-    discard(sets, told, stars)
+    discard(sets, told, stars, rest)
     if more.isEmpty():
         return groups
     # Components met by the later links: their ids join like single ids.

@@ -20,6 +20,8 @@ from tidelane.llm.linking import few, linked, shingle_sets
 
 #: Cells of the table of list lengths. It has this size whatever the input.
 CELLS = 1 << 18
+#: Fewest bits of the parities of a set; there are as many as it has elements, rounded up to a power of two.
+SIGNS = 512
 #: Partial tables that one task adds up.
 FAN = 64
 
@@ -66,8 +68,14 @@ def ordered(elements: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return elements[np.argsort(rank[(elements >> np.uint64(46)).astype(np.int64)], kind="stable")]
 
 
+def lists(arrays: list[np.ndarray]):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), np.concatenate([*arrays, np.empty(0, np.int64)]))
+
+
 def digests(docs: DataFrame, size: int, num: int, den: int, rank) -> DataFrame:
-    """doc_id, key, n, h1, h2 (hash of the set), prefix (tokens of the short lists) for each row."""
+    """doc_id, n, h1, h2 (hash of the set), prefix (tokens of the short lists), signs (parities of it) for each row."""
 
     def run(batches):
         import pyarrow as pa
@@ -79,15 +87,48 @@ def digests(docs: DataFrame, size: int, num: int, den: int, rank) -> DataFrame:
                 halves = np.frombuffer(b"".join(whole), dtype=np.int64).reshape(-1, 2)
                 short = [ordered(s, rank.value)[: len(s) - -(-num * len(s) // den) + 1].astype(np.int64) if len(s) else s.astype(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.ListArray.from_arrays(np.cumsum([0, *map(len, short)]).astype(np.int32), np.concatenate([*short, np.empty(0, np.int64)]))],
-                    ["doc_id", "n", "h1", "h2", "prefix"],
+                    [lists([parities(s) for s in sets]), part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), lists(short)],
+                    ["signs", "doc_id", "n", "h1", "h2", "prefix"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, h1 long, h2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "signs array<long>, doc_id long, n int, h1 long, h2 long, prefix array<long>")
+
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """Bits that tell whether the number of elements hashed to a place is odd, packed; a 64th of the set's own size.
+
+    Two sets' bits differ in at most as many places as the sets differ in elements.
+    """
+    bits = max(SIGNS, 1 << (len(elements) - 1).bit_length() if len(elements) else 0)
+    counts = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
-def sets_of(docs: DataFrame, size: int):
-    """A function from ids to (id, elements): every text of these ids."""
+
+def parity_bound(told: DataFrame, num: int, den: int):
+    """A function that leaves out pairs whose parities differ in more places than linked sets have different elements.
+
+    The longer parities of a pair are folded in half, place by place, to the length of the shorter.
+    """
+    signs = told.select(F.col("doc_id").alias("id"), "n", "signs")
+
+    def halved(a, b):
+        half = F.size(a) / 2
+        return F.when(F.size(a) > F.size(b), F.zip_with(F.slice(a, 1, half.cast("int")), F.slice(a, half.cast("int") + 1, half.cast("int")), lambda x, y: x.bitwiseXOR(y))).otherwise(a)
+
+    def bound(pairs: DataFrame) -> DataFrame:
+        both = pairs
+        for side in "ab":
+            both = both.join(signs.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"), F.col("signs").alias(f"{side}_signs")), side)
+        a, b = F.col("a_signs"), F.col("b_signs")
+        apart = F.aggregate(F.zip_with(halved(a, b), halved(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        alike = den * F.least("a_n", "b_n") >= num * F.greatest("a_n", "b_n")
+        return both.filter(alike & ((num + den) * apart <= (den - num) * (F.col("a_n") + F.col("b_n")))).select("a", "b").distinct()
+
+    return bound
+
+
+def sets_of(docs: DataFrame, size: int, repeated: bool):
+    """A function from ids to (id, elements): every text of these ids, each once (repeated: an id has several rows)."""
 
     def run(batches):
         import pyarrow as pa
@@ -97,7 +138,11 @@ def sets_of(docs: DataFrame, size: int):
                 sets = shingle_sets([words_of(t) for t in part.column("text").to_pylist()], size)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "elements"])
 
-    return lambda ids: docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(run, "id long, elements binary").distinct()
+    def of(ids: DataFrame) -> DataFrame:
+        rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+        return (rows.distinct() if repeated else rows).mapInArrow(run, "id long, elements binary")
+
+    return of
 
 
 def ngram_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -116,7 +161,8 @@ def ngram_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) ->
     heads = classes.filter("id is not null").select("id", "h1", "h2")
     mine = told.withColumnRenamed("doc_id", "id").join(heads, ["id", "h1", "h2"], "left_semi")
     entries = mine.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    found = linked(entries, sets_of(docs, size), num, den)
+    repeated = not told.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    found = linked(entries, sets_of(docs, size, repeated), num, den, bound=parity_bound(told.filter("n > 0"), num, den))
 
     # Ids of one class, and texts of one id, belong together: a row's component is the smallest of its class's.
     several = told.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.countDistinct("h1", "h2").alias("texts")).filter("texts > 1").select("doc_id")

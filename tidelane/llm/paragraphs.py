@@ -131,7 +131,7 @@ def unit_sets(docs: DataFrame):
 def removals(docs: DataFrame, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """The unit table, and (doc_id, key, place, words, source) of the paragraphs that go; source holds the first copy."""
     units = durable(unit_table(docs))
-    groups = durable(linked(band_entries(docs), unit_sets(docs), num, den))
+    groups = durable(linked(band_entries(docs), unit_sets(docs), num, den, thin=True))
     each = units.select("doc_id", "key", F.explode(F.arrays_zip("ids", "places", "words")).alias("u")).select("doc_id", "key", F.col("u.ids").alias("id"), F.col("u.places").alias("place"), F.col("u.words").alias("words"))
     each = each.join(few(groups), "id", "left").withColumn("component", F.coalesce("component", "id")).drop("id")
     # A null doc_id comes after all others.
