@@ -53,7 +53,7 @@ RULES = {
 COMPILED = {k: re.compile(p) for k, p in SENTENCES.items()}
 #: Every known sentence has one of these words; fragments without one are unknown without a pattern being tried.
 CUES = re.compile(r"licen|permi|warrant|redistribut|copyright|public domain|\bcc0\b|merchantab|compliance with")
-END = re.compile(r"[.!?;:](?=\s|$)")
+END = re.compile(r"[.!?;](?=\s|$)|:$")
 WORDS = re.compile(r"[a-z0-9]+")
 
 
