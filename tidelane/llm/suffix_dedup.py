@@ -184,7 +184,7 @@ def prints(rows: DataFrame) -> DataFrame:
 
 
 def segments_of(rows: DataFrame) -> DataFrame:
-    """rank, key, print, start, segment for the minimizers in `shared` of each row."""
+    """rank, key, print, start, size, id (hash of the bytes) of the segments of the minimizers in `shared` of each row."""
 
     def run(batches):
         import pyarrow as pa
@@ -197,13 +197,30 @@ def segments_of(rows: DataFrame) -> DataFrame:
                 shared = part.column("shared").to_pylist()
                 keep = np.concatenate([np.isin(h[cut[i] : cut[i + 1]].view(np.int64), np.array(s, np.int64)) for i, s in enumerate(shared)]) if len(shared) else np.empty(0, bool)
                 text, first, last, h = text[keep], first[keep], last[keep], h[keep]
-                raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rank").take(pa.array(text)), part.column("key").take(pa.array(text)), pa.array(h.view(np.int64)), pa.array((first - begin[text]).astype(np.int64)), pa.array([raw[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())],
-                    ["rank", "key", "print", "start", "segment"],
+                    [part.column("rank").take(pa.array(text)), part.column("key").take(pa.array(text)), pa.array(h.view(np.int64)), pa.array((first - begin[text]).astype(np.int64)), pa.array((last + LENGTH - first).astype(np.int32)), pa.array(span_hashes(data, first, last + LENGTH).view(np.int64))],
+                    ["rank", "key", "print", "start", "size", "id"],
                 )
 
-    return rows.mapInArrow(run, "rank long, key long, print long, start long, segment binary")
+    return rows.mapInArrow(run, "rank long, key long, print long, start long, size int, id long")
+
+
+def cut_out(rows: DataFrame) -> DataFrame:
+    """print, id, owner, kinds, segment, size for the places (print, id, kinds, start, size) that each row names."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in pieces(batch, 1_500_000):
+                out = []
+                for rank, text, places in zip(*[part.column(c).to_pylist() for c in ("rank", "text", "places")], strict=True):
+                    data = (text or "").encode("utf-8", "replace")
+                    out += [(p["print"], p["id"], rank, p["kinds"], data[p["start"] : p["start"] + p["size"]], p["size"]) for p in places]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["print", "id", "owner", "kinds", "segment", "size"])
+
+    return rows.select("rank", "text", "places").mapInArrow(run, "print long, id long, owner long, kinds long, segment binary, size int")
 
 
 def sorted_runs(segments: DataFrame, tasks: int) -> DataFrame:
@@ -263,12 +280,14 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     slot = Window.partitionBy("slot")
     met = prints(rows).withColumn("common", F.max("sure").over(slot) | (F.min("rank").over(slot) < F.max("rank").over(slot)))
     wanted = durable(met.filter("sure or common").groupBy("rank").agg(F.collect_set("print").alias("shared")))
-    found = durable(segments_of(rows.join(wanted, "rank")).withColumn("id", F.xxhash64("segment")).withColumn("size", F.octet_length("segment")))
+    found = durable(segments_of(rows.join(wanted, "rank")))
     discard(wanted)
-    kinds = durable(found.groupBy("print", "id").agg(F.min("rank").alias("owner"), F.first("size").alias("size")))
+    kinds = durable(found.groupBy("print", "id").agg(F.min(F.struct("rank", "key", "start", "size")).alias("at")).select("print", "id", F.col("at.rank").alias("owner"), "at"))
     groups = kinds.groupBy("print").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    heads = kinds.join(groups, "print").select("print", "id", "owner", "kinds")
-    several = durable(found.join(heads, ["print", "id"]).filter("rank = owner").dropDuplicates(["print", "id"]).select("print", "id", "owner", "kinds", "segment", "size"))
+    places = kinds.join(groups, "print").groupBy("at.rank", "at.key").agg(F.collect_list(F.struct("print", "id", "kinds", "at.start", "at.size")).alias("places"))
+    places = durable(places)
+    several = durable(cut_out(rows.join(places, ["rank", "key"])))
+    discard(places)
     total = several.agg(F.sum("size"), F.max("kinds")).head()
     runs = sorted_runs(several.filter(F.col("kinds") <= HOT), max(1, (total[0] or 0) // TASK))
     if (total[1] or 0) > HOT:
@@ -276,7 +295,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     runs = durable(runs)
     discard(several)
     # A later holder of a segment loses all of it, the owner those windows that someone before it has.
-    later = found.select("rank", "key", "print", "id", "start", "size").join(kinds.select("print", "id", "owner"), ["print", "id"])
+    later = found.join(kinds.select("print", "id", "owner"), ["print", "id"])
     whole = later.filter("rank > owner").select("rank", "key", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
     part = later.filter("rank = owner").join(runs, ["print", "id"]).select("rank", "key", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + LENGTH).alias("b"))
     spans = whole.unionByName(part).groupBy("rank", "key").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
