@@ -282,7 +282,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     wanted = durable(met.filter("sure or common").groupBy("rank").agg(F.collect_set("print").alias("shared")))
     found = durable(segments_of(rows.join(wanted, "rank")))
     discard(wanted)
-    kinds = durable(found.groupBy("print", "id").agg(F.min(F.struct("rank", "key", "start", "size")).alias("at")).select("print", "id", F.col("at.rank").alias("owner"), "at"))
+    kinds = durable(found.groupBy("print", "id").agg(F.min(F.struct("rank", "key", "start", "size")).alias("at"), F.max("rank").alias("most")).select("print", "id", F.col("at.rank").alias("owner"), "at", "most"))
     groups = kinds.groupBy("print").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     places = kinds.join(groups, "print").groupBy("at.rank", "at.key").agg(F.collect_list(F.struct("print", "id", "kinds", "at.start", "at.size")).alias("places"))
     places = durable(places)
@@ -294,11 +294,13 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         runs = runs.unionByName(hashed_runs(several.filter(F.col("kinds") > HOT)))
     runs = durable(runs)
     discard(several)
-    # A later holder of a segment loses all of it, the owner those windows that someone before it has.
-    later = found.join(kinds.select("print", "id", "owner"), ["print", "id"])
-    whole = later.filter("rank > owner").select("rank", "key", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
-    part = later.filter("rank = owner").join(runs, ["print", "id"]).select("rank", "key", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + LENGTH).alias("b"))
-    spans = whole.unionByName(part).groupBy("rank", "key").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    # A later holder of a segment loses all of it, the owner those windows that someone before it has. One join does both.
+    windows = runs.groupBy("print", "id").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
+    told = kinds.join(windows, ["print", "id"], "left").filter("owner < most or windows is not null").select("print", "id", "owner", "windows")
+    span = lambda a, b: F.struct((F.col("start") + a).alias("a"), (F.col("start") + b).alias("b"))
+    lost = F.when(F.col("rank") > F.col("owner"), F.array(span(F.lit(0).cast("long"), F.col("size").cast("long")))).otherwise(F.transform("windows", lambda w: span(w["first"], w["last"] + LENGTH)))
+    each = found.join(told, ["print", "id"]).select("rank", "key", F.explode(lost).alias("span"))
+    spans = each.groupBy("rank", "key").agg(F.array_sort(F.collect_set("span")).alias("spans"))
     spans = durable(spans)
     discard(found, kinds, runs)
     cut = durable(rows.join(spans, ["rank", "key"]).mapInArrow(remove, "rank long, key long, n_removed long, n_spans long, kept_sha256 string").distinct())
