@@ -296,13 +296,15 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     discard(several)
     # A later holder of a segment loses all of it, the owner those windows that someone before it has. One join does both.
     windows = runs.groupBy("print", "id").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
-    told = kinds.join(windows, ["print", "id"], "left").filter("owner < most or windows is not null").select("print", "id", "owner", "windows")
+    # Written out, so that the join below has plain exchanges on both sides and Spark can split its large partitions.
+    told = durable(kinds.join(windows, ["print", "id"], "left").filter("owner < most or windows is not null").select("print", "id", "owner", "windows"))
+    discard(kinds, runs)
     span = lambda a, b: F.struct((F.col("start") + a).alias("a"), (F.col("start") + b).alias("b"))
     lost = F.when(F.col("rank") > F.col("owner"), F.array(span(F.lit(0).cast("long"), F.col("size").cast("long")))).otherwise(F.transform("windows", lambda w: span(w["first"], w["last"] + LENGTH)))
     each = found.join(told, ["print", "id"]).select("rank", "key", F.explode(lost).alias("span"))
     spans = each.groupBy("rank", "key").agg(F.array_sort(F.collect_set("span")).alias("spans"))
     spans = durable(spans)
-    discard(found, kinds, runs)
+    discard(found, told)
     cut = durable(rows.join(spans, ["rank", "key"]).mapInArrow(remove, "rank long, key long, n_removed long, n_spans long, kept_sha256 string").distinct())
     discard(spans)
     cut = cut.select(F.col("rank").alias("r"), F.col("key").alias("k"), "n_removed", "n_spans", "kept_sha256")
