@@ -41,20 +41,27 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mixed((sums[end] - sums[start]) * _POWERS[1][start] + (end - start).astype(np.uint64))
 
 
-def shingle_sets(words: list[list[bytes]], size: int) -> list[np.ndarray]:
-    """For each list of words its distinct hashed shingles, ascending; fewer words than `size` make one shingle."""
+def shingle_hashes(words: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed shingles of each list of words, one list after the other with repeats, and how many each list has.
+
+    Fewer words than `size` make one shingle; no words make none.
+    """
     lengths = np.array([len(w) for w in words], dtype=np.int64)
     data = np.frombuffer(b" ".join(x for w in words for x in w) + b" ", dtype=np.uint8)
     ends = np.flatnonzero(data == 32)
     starts = np.concatenate([[0], ends[:-1] + 1])
     first = np.concatenate([[0], np.cumsum(lengths)])
-    last = np.minimum(np.arange(len(ends)) + size, np.repeat(first[1:], lengths)) - 1 if lengths.sum() else np.empty(0, np.int64)
-    hashes = span_hashes(data, starts[: len(last)], ends[last])
-    out = []
-    for i, n in enumerate(lengths):
-        a = first[i]
-        out.append(np.unique(hashes[a : a + max(1, n - size + 1)]) if n else np.empty(0, dtype=np.uint64))
-    return out
+    counts = np.where(lengths > 0, np.maximum(1, lengths - size + 1), 0)
+    at = np.repeat(first[:-1] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    last = np.minimum(at + size, np.repeat(first[1:], counts)) - 1
+    return span_hashes(data, starts[at], ends[last]), counts
+
+
+def shingle_sets(words: list[list[bytes]], size: int) -> list[np.ndarray]:
+    """For each list of words its distinct hashed shingles, ascending."""
+    hashes, counts = shingle_hashes(words, size)
+    cuts = np.cumsum(counts)
+    return [np.unique(hashes[end - n : end]) for end, n in zip(cuts, counts, strict=True)]
 
 
 def few(df: DataFrame, most: int = MOST_IDS) -> DataFrame:

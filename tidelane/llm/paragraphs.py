@@ -10,11 +10,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.llm.common import durable, pieces, text_key
-from tidelane.llm.linking import few, linked, mixed, shingle_sets, span_hashes
+from tidelane.llm.linking import MOST_IDS, few, linked, mixed, shingle_hashes, shingle_sets
 
 #: Fewest words of a paragraph; shorter rests join the paragraph before them, or stand alone in a shorter line.
 LEAST = 8
@@ -50,66 +51,76 @@ def paragraphs(text: str) -> list[tuple[int, int, list[bytes]]]:
 
 def identities(parts: list[list[bytes]]) -> np.ndarray:
     """64-bit hash of each paragraph's words; equal paragraphs are one from here on."""
-    lengths = np.array([sum(map(len, w)) + len(w) for w in parts], dtype=np.int64)
-    data = np.frombuffer(b"".join(b" ".join(w) + b" " for w in parts), dtype=np.uint8)
-    ends = np.cumsum(lengths)
-    return span_hashes(data, ends - lengths, ends).astype(np.int64)
-
-
-def bands(sets: list[np.ndarray]) -> np.ndarray:
-    """BANDS tokens for each set, as one row."""
-    flat = np.concatenate(sets)
-    cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((len(sets), BANDS), dtype=np.uint64)
-    for k in range(BANDS):
-        key = np.full(len(sets), k + 1, dtype=np.uint64)
-        for r in range(ROWS):
-            key = mixed(key ^ np.minimum.reduceat(mixed(flat * SEEDS[k * ROWS + r]), cuts))
-        out[:, k] = key
+    return np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in parts], dtype=np.uint64).astype(np.int64)
+
+
+def distinct_counts(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Numbers of different values in each of the consecutive groups of `flat`, which have `counts` members each."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((flat, owner))
+    by, value = owner[order], flat[order]
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = (by[1:] != by[:-1]) | (value[1:] != value[:-1])
+    return np.bincount(by[new], minlength=len(counts)).astype(np.int32)
+
+
+def bands(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """BANDS rows with a token for each group of `flat`; no group is empty."""
+    cuts = np.cumsum(counts) - counts
+    out = np.empty((BANDS, len(counts)), dtype=np.uint64)
+    if len(counts):
+        for k in range(BANDS):
+            key = np.full(len(counts), k + 1, dtype=np.uint64)
+            for r in range(ROWS):
+                key = mixed(key ^ np.minimum.reduceat(mixed(flat * SEEDS[k * ROWS + r]), cuts))
+            out[k] = key
     return out.astype(np.int64)
 
 
-def long_ones(texts: list[str | None]) -> list[list[bytes]]:
-    return [w for t in texts for _, _, w in paragraphs(t or "") if len(w) >= LEAST]
+TOKENS = [f"band_{k}" for k in range(BANDS)]
+#: Of each paragraph of LEAST words or more: its id, place, number of words, size of its set, and tokens.
+UNIT = {"ids": "long", "places": "int", "words": "int", "sizes": "int"} | dict.fromkeys(TOKENS, "long")
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n_paragraphs, ids, words: of the paragraphs of LEAST words or more their places, ids and lengths."""
+    """doc_id, key, n_paragraphs, and for each column of UNIT an array with one value for each paragraph.
+
+    This is the one time that every text is read; all tokens and sizes come from here.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for part in pieces(batch, 1_000_000):
-                rows = [[(i, w) for i, (_, _, w) in enumerate(paragraphs(t or ""))] for t in part.column("text").to_pylist()]
-                kept = [[(i, w) for i, w in r if len(w) >= LEAST] for r in rows]
+                rows = [paragraphs(t or "") for t in part.column("text").to_pylist()]
+                kept = [[(i, w) for i, (_, _, w) in enumerate(r) if len(w) >= LEAST] for r in rows]
                 flat = [x for r in kept for x in r]
+                parts = [w for _, w in flat]
+                hashes, counts = shingle_hashes(parts, SHINGLE)
                 offsets = np.cumsum([0, *map(len, kept)]).astype(np.int32)
-                lists = [identities([w for _, w in flat]), np.array([i for i, _ in flat], np.int32), np.array([len(w) for _, w in flat], np.int32)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("key"), pa.array([len(r) for r in rows], pa.int64()), *[pa.ListArray.from_arrays(offsets, x) for x in lists]], ["doc_id", "key", "n_paragraphs", "ids", "places", "words"])
+                lists = [identities(parts), np.array([i for i, _ in flat], np.int32), np.array([len(w) for w in parts], np.int32), distinct_counts(hashes, counts), *bands(hashes, counts)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("key"), pa.array([len(r) for r in rows], pa.int64()), *[pa.ListArray.from_arrays(offsets, x) for x in lists]], ["doc_id", "key", "n_paragraphs", *UNIT])
 
-    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, n_paragraphs long, ids array<long>, places array<int>, words array<int>")
+    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, n_paragraphs long, " + ", ".join(f"{c} array<{t}>" for c, t in UNIT.items()))
 
 
-def band_entries(docs: DataFrame) -> DataFrame:
-    """token, id, n of every paragraph, each once for a block of documents."""
+def each_unit(units: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, key and some columns of UNIT with a row for each paragraph."""
+    return units.select("doc_id", "key", F.explode(F.arrays_zip(*columns)).alias("u")).select("doc_id", "key", *[F.col(f"u.{c}").alias(c) for c in columns])
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            for part in pieces(batch, 1_000_000):
-                parts = long_ones(part.column("text").to_pylist())
-                if parts:
-                    ids, first = np.unique(identities(parts), return_index=True)
-                    sets = shingle_sets([parts[i] for i in first], SHINGLE)
-                    yield pa.RecordBatch.from_arrays([pa.array(bands(sets).ravel()), pa.array(np.repeat(ids, BANDS)), pa.array(np.repeat([len(s) for s in sets], BANDS).astype(np.int32))], ["token", "id", "n"])
+def band_entries(units: DataFrame) -> DataFrame:
+    """token, id, n, pos of every paragraph; equal paragraphs count once."""
+    once = each_unit(units, "ids", "sizes", *TOKENS).drop("doc_id", "key").dropDuplicates(["ids"])
+    return once.select(F.explode(F.array(*TOKENS)).alias("token"), F.col("ids").alias("id"), F.col("sizes").alias("n"), F.lit(0).alias("pos"))
 
-    return docs.select("text").mapInArrow(run, "token long, id long, n int").withColumn("pos", F.lit(0))
 
+def unit_sets(docs: DataFrame, units: DataFrame):
+    """A function from ids to (id, elements) of these paragraphs, each once.
 
-def unit_sets(docs: DataFrame):
-    """A function from ids to (id, elements) of these paragraphs, each once."""
+    Each id is taken from one document, and only documents from which some id is taken are read again.
+    """
 
     def of(ids: DataFrame) -> DataFrame:
         def run(batches):
@@ -117,13 +128,21 @@ def unit_sets(docs: DataFrame):
 
             for batch in batches:
                 for part in pieces(batch, 1_000_000):
-                    parts = long_ones(part.column("text").to_pylist())
-                    if parts:
-                        found, first = np.unique(identities(parts), return_index=True)
-                        sets = shingle_sets([parts[i] for i in first], SHINGLE)
-                        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "elements"])
-
-        return docs.select("text").mapInArrow(run, "id long, elements binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
+                    found, parts = [], []
+                    for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
+                        here = paragraphs(text or "")
+                        found += [w["id"] for w in wanted]
+                        parts += [here[w["place"]][2] for w in wanted]
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(parts, SHINGLE)], pa.binary())], ["id", "elements"])
+
+        each = each_unit(units, "ids", "places").withColumnsRenamed({"ids": "id", "places": "place"}).join(ids, "id")
+        taken = durable(each.groupBy("id").agg(F.min(F.struct("key", "doc_id", "place")).alias("at")).select("id", "at.*"))
+        wanted = taken.groupBy(F.col("key").alias("k"), F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("id", "place")).alias("wanted"))
+        # An id and a place for each of the ids: their number bounds what a broadcast holds.
+        wanted = F.broadcast(wanted) if taken.limit(MOST_IDS + 1).count() <= MOST_IDS else wanted
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text")
+        texts = texts.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "wanted")
+        return texts.mapInArrow(run, "id long, elements binary").dropDuplicates(["id"])
 
     return of
 
@@ -131,8 +150,8 @@ def unit_sets(docs: DataFrame):
 def removals(docs: DataFrame, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """The unit table, and (doc_id, key, place, words, source) of the paragraphs that go; source holds the first copy."""
     units = durable(unit_table(docs))
-    groups = durable(linked(band_entries(docs), unit_sets(docs), num, den, thin=True))
-    each = units.select("doc_id", "key", F.explode(F.arrays_zip("ids", "places", "words")).alias("u")).select("doc_id", "key", F.col("u.ids").alias("id"), F.col("u.places").alias("place"), F.col("u.words").alias("words"))
+    groups = durable(linked(band_entries(units), unit_sets(docs, units), num, den, thin=True))
+    each = each_unit(units, "ids", "places", "words").withColumnsRenamed({"ids": "id", "places": "place"})
     each = each.join(few(groups), "id", "left").withColumn("component", F.coalesce("component", "id")).drop("id")
     # A null doc_id comes after all others.
     rank = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"))
