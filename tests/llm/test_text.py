@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from tidelane.llm import bpe, compression_quality, decontamination, licenses, ngram_join, paragraphs, quality_rules, secrets, suffix_dedup, toxicity
+from tidelane.llm import bpe, compression_quality, decontamination, licenses, linking, ngram_join, paragraphs, quality_rules, secrets, suffix_dedup, toxicity
 from tidelane.llm.queries import vocabulary
 
 random.seed(11)
@@ -208,3 +208,15 @@ def test_license_scan(docs, empty):
     assert {s[2] for s in licenses.recognise(licenses.sentences(text))} == {"MIT", "Apache-2.0"}
     assert licenses.recognise(licenses.sentences("SPDX-License-Identifier: BSD-3-Clause"))[0][2] == "bsd-3-clause"
     assert licenses.license_scan(docs).filter("n_sentences > 0").count() == 0 and licenses.license_scan(empty).count() == 0
+
+
+def test_paragraph_sets_are_those_of_brute_force():
+    words = [w.encode().split() for w in ("a b c d e f g h", "a a a a a a a a a", "one", "a b c d e a b c d e a b c")]
+    hashes, counts = linking.shingle_hashes(words, 5)
+    sets = linking.shingle_sets(words, 5)
+    want = [len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) for w in words]
+    assert counts.tolist() == [4, 5, 1, 9]
+    assert [len(s) for s in sets] == want == paragraphs.distinct_counts(hashes, counts).tolist()
+    assert linking.shingle_sets([[]], 5)[0].size == 0
+    none, no_counts = linking.shingle_hashes([], 5)
+    assert paragraphs.bands(none, no_counts).shape == (paragraphs.BANDS, 0)
