@@ -220,3 +220,47 @@ def test_paragraph_sets_are_those_of_brute_force():
     assert linking.shingle_sets([[]], 5)[0].size == 0
     none, no_counts = linking.shingle_hashes([], 5)
     assert paragraphs.bands(none, no_counts).shape == (paragraphs.BANDS, 0)
+
+
+def test_paragraphs_find_planted_passages(spark):
+    """Of all texts that share 50 words with one before them by brute force, nearly all lose some."""
+    draw = random.Random(5)
+    several = lambda n: ["".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(3, 8))) for _ in range(n)]
+    lines = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    said = lambda w, n: " ".join(" ".join(w[i : i + n]) + "." for i in range(0, len(w), n))
+    letters = lambda n: "".join(chr(draw.randint(0x4E00, 0x9000)) for _ in range(n))
+    texts = []
+    for _ in range(20):
+        p, h = several(60), letters(60)
+        texts.append((lines(several(72), 9) + "\n" + lines(p, 7), lines(several(33), 7) + "\n" + lines(p, 7) + "\n" + lines(several(20), 7)))
+        p = several(60)
+        texts.append((said(several(25), 5) + " " + said(p, 5), "One two. " + said(several(20), 5) + " " + said(p, 5)))
+        p = several(60)
+        texts.append((" ".join(several(40) + p + several(40)), " ".join(several(77) + p + several(9))))
+        texts.append((letters(60) + h + letters(60), letters(133) + h + letters(50)))
+    flat = [t for pair in texts for t in pair]
+    seen, repeats = set(), set()
+    for i, t in enumerate(flat):
+        w = paragraphs.WORD.findall(t)
+        windows = {tuple(w[k : k + 50]) for k in range(len(w) - 49)}
+        if windows & seen:
+            repeats.add(i)
+        seen |= windows
+    assert len(repeats) == len(texts)
+    out = paragraphs.paragraph_dedup(spark.createDataFrame(list(enumerate(flat)), "doc_id long, text string")).collect()
+    hit = {r.doc_id for r in out if r.n_removed}
+    assert hit <= repeats and len(hit) >= 0.95 * len(repeats)
+
+
+def test_paragraphs_cover_their_text():
+    text = "A b c d e f g h. I j k l m n o p q r\nx y\n\nÉ z İstanbul 漢字かな。漢 aa\n"
+    parts = paragraphs.paragraphs(text)
+    assert [w for _, _, p in parts for w in p] == [w.lower() for w in paragraphs.WORD.findall(text)]
+    assert [text[a:b] for a, b, _ in parts] == ["A b c d e f g h.", "I j k l m n o p q r", "x y", "É z İstanbul 漢字かな。漢 aa"]
+    words = [[x.encode() for x in p] for _, _, p in parts]
+    cut = paragraphs.Cut(["", text])
+    hashes, counts = cut.shingles(np.arange(len(parts)))
+    want, sizes = linking.shingle_hashes(words, paragraphs.SHINGLE)
+    assert hashes.tolist() == want.tolist() and counts.tolist() == sizes.tolist() and set(cut.owner.tolist()) == {1}
+    none = paragraphs.Cut(["", " \n"])
+    assert len(none.first) == 0 and len(none.identities(np.arange(0))) == 0 and len(none.shingles(np.arange(0))[0]) == 0

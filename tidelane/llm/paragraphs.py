@@ -1,8 +1,9 @@
 """Substring dedup by paragraphs: MinHash bands, exact Jaccard of what collides, removal by components.
 
-A paragraph is a run of whole sentences of one line with at least LEAST words. It ends with the first sentence that
-brings it to that length, so wherever a sentence of that length stands, the paragraphs after it are the same in every
-document that has the same text there: passages are found inside of longer lines, too.
+A line of LEAST words or more is cut by itself, and shorter lines that follow each other are cut as one text. Cuts are
+places whose rank is the least among all places less than LEAST words away: ends of sentences come before other ends of
+words, then a hash of the last words decides. So cuts depend on the words around them alone, not on a count from some
+start: passages fall into the same paragraphs wherever they stand, but for some words at their ends.
 """
 
 from __future__ import annotations
@@ -14,44 +15,91 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import durable, pieces, text_key
-from tidelane.llm.linking import MOST_IDS, few, linked, mixed, shingle_hashes, shingle_sets
+from tidelane.llm.common import discard, durable, pieces, text_key
+from tidelane.llm.linking import MOST_IDS, few, linked, mixed, span_hashes
 
-#: Fewest words of a paragraph; shorter rests join the paragraph before them, or stand alone in a shorter line.
+#: Fewest words of a paragraph; only where shorter lines have fewer in all between longer ones, they are one by themselves.
 LEAST = 8
+#: Words whose hash ranks the place after them.
+CONTEXT = 3
 #: Bands of ROWS MinHash values each. Two paragraphs of Jaccard s meet with probability 1 - (1 - s ** ROWS) ** BANDS,
 #: which is 0.983 at 0.8 and 0.999 at 0.9.
 BANDS, ROWS, SHINGLE = 4, 2, 5
-SENTENCE = re.compile(r"(?<=[.!?])[ \t]+")
+#: Each letter of scripts that put no blanks between words is a word.
+LETTER = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u312f\u3190-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+LETTERS = re.compile(f"([{LETTER}])")
+WORD = re.compile(f"[{LETTER}]|[^{LETTER}\t-\r ]+")
+BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 SEEDS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def paragraphs(text: str) -> list[tuple[int, int, list[bytes]]]:
-    """(start, end, words in lower case) of each paragraph; together they are the text's lines without their ends."""
-    out, offset = [], 0
-    for line in text.split("\n"):
-        marks = [m.end() for m in SENTENCE.finditer(line)] + [len(line)]
-        start, words, last = 0, [], 0
-        first = len(out)
-        for end in marks:
-            words += line[last:end].lower().encode("utf-8", "replace").split()
-            last = end
-            if len(words) >= LEAST:
-                out.append((offset + start, offset + end, words))
-                start, words = end, []
-        if words:
-            if len(out) > first:
-                a, _, before = out[-1]
-                out[-1] = (a, offset + len(line), before + words)
-            else:
-                out.append((offset + start, offset + len(line), words))
-        offset += len(line) + 1
-    return out
+class Cut:
+    """Paragraphs of some texts, which together are all their words, in arrays.
 
+    data: words in lower case with a blank after each; starts, ends: places of the words in it; first, words: each
+    paragraph's first word and number of words; owner, place: its text and its number in it.
+    """
 
-def identities(parts: list[list[bytes]]) -> np.ndarray:
-    """64-bit hash of each paragraph's words; equal paragraphs are one from here on."""
-    return np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in parts], dtype=np.uint64).astype(np.int64)
+    def __init__(self, texts: list[str]):
+        lower = [LETTERS.sub(r" \1 ", t.lower()) if not t.isascii() and LETTERS.search(t) else t.lower() for t in texts]
+        packed = [t.encode("utf-8", "replace") + b"\n" for t in lower]
+        raw = np.frombuffer(b"".join(packed), dtype=np.uint8)
+        blank = BLANK[raw]
+        before = np.concatenate([[True], blank[:-1]])
+        begins = np.flatnonzero(before & ~blank)
+        line = np.cumsum(raw == 10)[begins]
+        text = np.searchsorted(np.cumsum([0, *map(len, packed)]), begins, side="right") - 1
+        self.data = np.where(blank, np.uint8(32), raw)[~(before & blank)]
+        self.ends = np.flatnonzero(self.data == 32)
+        self.starts = np.concatenate([[0], self.ends + 1])[: len(self.ends)]
+        self.first = np.flatnonzero(self._begins(line, text))
+        self.words = np.diff(np.append(self.first, len(begins)))
+        self.owner = text[self.first]
+        self.place = np.arange(len(self.first)) - np.searchsorted(self.owner, self.owner)
+
+    def _begins(self, line: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Whether a paragraph begins with a word."""
+        n = len(line)
+        long = np.bincount(line, minlength=1)[line] >= LEAST
+        begins = np.ones(n, dtype=bool)
+        begins[1:] = (text[1:] != text[:-1]) | ((line[1:] != line[:-1]) & (long[1:] | long[:-1]))
+        starts = np.flatnonzero(begins)
+        sizes = np.diff(np.append(starts, n))
+        start, end, at = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes), np.arange(n)
+        fits = np.flatnonzero((at + 1 - start >= LEAST) & (end - at - 1 >= LEAST))
+        rank = np.full(n, ~np.uint64(0))
+        hashes = span_hashes(self.data, self.starts[np.maximum(fits - CONTEXT + 1, start[fits])], self.ends[fits]) >> np.uint64(1)
+        rank[fits] = np.where(self._sentence_ends(fits), hashes, hashes | np.uint64(1 << 63))
+        least = np.ones(len(fits), dtype=bool)
+        for k in range(1, LEAST):  # all these places are in the same line or lines
+            least &= (rank[fits] < rank[fits - k]) & (rank[fits] <= rank[fits + k])
+        begins[fits[least] + 1] = True
+        return begins
+
+    def _sentence_ends(self, words: np.ndarray) -> np.ndarray:
+        last = [self.data[np.maximum(self.ends[words] - k, 0)].astype(np.int64) for k in (1, 2, 3)]
+        wide = last[0] | last[1] << 8 | last[2] << 16
+        return np.isin(last[0], list(b".!?")) | np.isin(wide, [int.from_bytes(c.encode()) for c in "\u3002\uff01\uff1f"])
+
+    def identities(self, of: np.ndarray) -> np.ndarray:
+        """64-bit hash of the words of some paragraphs; equal paragraphs are one from here on."""
+        raw = self.data.tobytes()
+        spans = zip(self.starts[self.first[of]].tolist(), self.ends[self.first[of] + self.words[of] - 1].tolist(), strict=True)
+        return np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in spans], dtype=np.uint64).astype(np.int64)
+
+    def shingles(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What shingle_hashes gives for the words of some paragraphs."""
+        first, after = self.first[of], self.first[of] + self.words[of]
+        counts = np.maximum(1, self.words[of] - SHINGLE + 1)
+        at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        last = np.minimum(at + SHINGLE, np.repeat(after, counts)) - 1
+        return span_hashes(self.data, self.starts[at], self.ends[last]), counts
+
+
+def paragraphs(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of each paragraph of one text, in code points from its first word to the end of its last."""
+    cut, words = Cut([text]), [m.span() for m in WORD.finditer(text)]
+    return [(words[a][0], words[a + n - 1][1], [text[x:y].lower() for x, y in words[a : a + n]]) for a, n in zip(cut.first.tolist(), cut.words.tolist(), strict=True)]
 
 
 def distinct_counts(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -93,14 +141,13 @@ def unit_table(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part in pieces(batch, 1_000_000):
-                rows = [paragraphs(t or "") for t in part.column("text").to_pylist()]
-                kept = [[(i, w) for i, (_, _, w) in enumerate(r) if len(w) >= LEAST] for r in rows]
-                flat = [x for r in kept for x in r]
-                parts = [w for _, w in flat]
-                hashes, counts = shingle_hashes(parts, SHINGLE)
-                offsets = np.cumsum([0, *map(len, kept)]).astype(np.int32)
-                lists = [identities(parts), np.array([i for i, _ in flat], np.int32), np.array([len(w) for w in parts], np.int32), distinct_counts(hashes, counts), *bands(hashes, counts)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("key"), pa.array([len(r) for r in rows], pa.int64()), *[pa.ListArray.from_arrays(offsets, x) for x in lists]], ["doc_id", "key", "n_paragraphs", *UNIT])
+                cut = Cut([t or "" for t in part.column("text").to_pylist()])
+                kept = np.flatnonzero(cut.words >= LEAST)
+                hashes, counts = cut.shingles(kept)
+                offsets = np.searchsorted(cut.owner[kept], np.arange(part.num_rows + 1)).astype(np.int32)
+                totals = np.bincount(cut.owner, minlength=part.num_rows)
+                lists = [cut.identities(kept), cut.place[kept].astype(np.int32), cut.words[kept].astype(np.int32), distinct_counts(hashes, counts), *bands(hashes, counts)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("key"), pa.array(totals, pa.int64()), *[pa.ListArray.from_arrays(offsets, x) for x in lists]], ["doc_id", "key", "n_paragraphs", *UNIT])
 
     return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, n_paragraphs long, " + ", ".join(f"{c} array<{t}>" for c, t in UNIT.items()))
 
@@ -111,9 +158,16 @@ def each_unit(units: DataFrame, *columns: str) -> DataFrame:
 
 
 def band_entries(units: DataFrame) -> DataFrame:
-    """token, id, n, pos of every paragraph; equal paragraphs count once."""
+    """token, id, n, pos of every paragraph that shares the token with another; equal paragraphs count once.
+
+    A paragraph's tokens are different, so a token that occurs twice has two paragraphs.
+    """
     once = each_unit(units, "ids", "sizes", *TOKENS).drop("doc_id", "key").dropDuplicates(["ids"])
-    return once.select(F.explode(F.array(*TOKENS)).alias("token"), F.col("ids").alias("id"), F.col("sizes").alias("n"), F.lit(0).alias("pos"))
+    each = once.select(F.explode(F.array(*TOKENS)).alias("token"), F.col("ids").alias("id"), F.col("sizes").alias("n"))
+    shared = durable(each.groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1").select("token"))
+    out = durable(each.join(few(shared), "token", "left_semi").withColumn("pos", F.lit(0)))
+    discard(shared)
+    return out
 
 
 def unit_sets(docs: DataFrame, units: DataFrame):
@@ -128,12 +182,13 @@ def unit_sets(docs: DataFrame, units: DataFrame):
 
             for batch in batches:
                 for part in pieces(batch, 1_000_000):
-                    found, parts = [], []
-                    for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
-                        here = paragraphs(text or "")
-                        found += [w["id"] for w in wanted]
-                        parts += [here[w["place"]][2] for w in wanted]
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(parts, SHINGLE)], pa.binary())], ["id", "elements"])
+                    cut = Cut([t or "" for t in part.column("text").to_pylist()])
+                    firsts = np.searchsorted(cut.owner, np.arange(part.num_rows))
+                    wanted = [(w["id"], first + w["place"]) for first, ws in zip(firsts.tolist(), part.column("wanted").to_pylist(), strict=True) for w in ws]
+                    hashes, counts = cut.shingles(np.array([u for _, u in wanted], dtype=np.int64))
+                    until = np.cumsum(counts)
+                    sets = [np.unique(hashes[end - n : end]).tobytes() for end, n in zip(until, counts, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in wanted], pa.int64()), pa.array(sets, pa.binary())], ["id", "elements"])
 
         each = each_unit(units, "ids", "places").withColumnsRenamed({"ids": "id", "places": "place"}).join(ids, "id")
         taken = durable(each.groupBy("id").agg(F.min(F.struct("key", "doc_id", "place")).alias("at")).select("id", "at.*"))
@@ -150,7 +205,9 @@ def unit_sets(docs: DataFrame, units: DataFrame):
 def removals(docs: DataFrame, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """The unit table, and (doc_id, key, place, words, source) of the paragraphs that go; source holds the first copy."""
     units = durable(unit_table(docs))
-    groups = durable(linked(band_entries(units), unit_sets(docs, units), num, den, thin=True))
+    entries = band_entries(units)
+    groups = durable(linked(entries, unit_sets(docs, units), num, den, thin=True))
+    discard(entries)
     each = each_unit(units, "ids", "places", "words").withColumnsRenamed({"ids": "id", "places": "place"})
     each = each.join(few(groups), "id", "left").withColumn("component", F.coalesce("component", "id")).drop("id")
     # A null doc_id comes after all others.
@@ -166,7 +223,8 @@ def paragraph_dedup(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
 
     A paragraph goes if a document with a smaller id has one of its component: equal, or linked by Jaccard >= num / den
     of 5-word shingles. Repeats inside the first document stay. Null and empty texts have no paragraphs; shorter ones
-    than LEAST words are never removed. Repeated rows give a row each and keep what their id keeps; a null id comes
+    than LEAST words are never removed. Of a repeated passage the words up to its first cut and after its last one stay;
+    where a copy's lines of LEAST words or more end elsewhere, so do paragraphs next to such an end. Repeated rows give a row each and keep what their id keeps; a null id comes
     after all ids. Columns of `docs` other than doc_id and text are ignored.
     """
     units, gone = removals(docs, num, den)
