@@ -264,3 +264,35 @@ def test_paragraphs_cover_their_text():
     assert hashes.tolist() == want.tolist() and counts.tolist() == sizes.tolist() and set(cut.owner.tolist()) == {1}
     none = paragraphs.Cut(["", " \n"])
     assert len(none.first) == 0 and len(none.identities(np.arange(0))) == 0 and len(none.shingles(np.arange(0))[0]) == 0
+
+
+def wrapped(name, width=5):
+    words = re.sub(r"\(\?P<gpl>\[23\]\)", "3", licenses.SENTENCES[name]).split()
+    return "\n".join("# " + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+def test_wrapped_licenses_under_a_line_without_full_stop():
+    found = lambda t: [c for _, _, c in licenses.recognise(licenses.sentences(t))]
+    for name, license_ in {"isc-permit": "ISC", "bsd-head": "unnamed-bsd"}.items():
+        for before in ("", "Copyright (c) 2020 Foo\n", "a line\n" * 39, "a line\n" * 1000):
+            for after in (".", "\nmore words", "\n" + "a line\n" * 50):
+                text = before + wrapped(name) + after
+                assert found(text) == [license_]
+                (a, b, _), = licenses.sentences(text)
+                assert text[a:b] == wrapped(name)
+    whole = "MIT License\n\nCopyright (c) 2020 Foo\n\n" + ".\n".join(wrapped(n) for n in ("permit-all", "permit-notice", "permit-asis"))
+    assert found(whole) == ["MIT"] and len(licenses.sentences(whole)) == 4
+    gpl = "Foo, a program\n" + wrapped("gpl-free").replace("(", "").replace(")?", " ")
+    assert found(gpl) == ["GPL-3.0"]
+    assert found("Header\nSPDX-License-Identifier: MIT\nmore words") == ["mit"]
+
+
+def test_first_words_of_licenses():
+    for pattern in licenses.SENTENCES.values():
+        rest, firsts = pattern, set()
+        while m := re.match(r"\(([^()|]*)\)\?", rest):  # optional beginnings
+            firsts.add(m[1].split()[0])
+            rest = rest[m.end() :]
+        m = re.match(r"\(([^()]*)\)", rest)
+        firsts |= set(m[1].split("|")) if m else {rest.split()[0]}
+        assert firsts <= licenses.FIRST

@@ -51,6 +51,9 @@ RULES = {
     "unnamed-bsd": [("bsd-head",)],
 }
 COMPILED = {k: re.compile(p) for k, p in SENTENCES.items()}
+#: Words that known sentences begin with, and the most words that one has (`.{1,80}` is up to 40 words).
+FIRST = frozenset("this licensed you unless released distributed available the mit permission redistribution redistributions 1 2 3 neither dedicated under spdx".split())
+MOST = max(len(p.split()) for p in SENTENCES.values()) + 40
 #: Every known sentence has one of these words; fragments without one are unknown without a pattern being tried.
 CUES = re.compile(r"licen|permi|warrant|redistribut|copyright|public domain|\bcc0\b|merchantab|compliance with")
 END = re.compile(r"[.!?;](?=\s|$)|:$")
@@ -84,27 +87,48 @@ def fragments(text: str):
         start += len(line) + 1
 
 
+def known_parts(run: list[tuple[int, int]], text: str) -> list[tuple[int, int, str]]:
+    """(start, end, identifier) of the known sentences in a run of fragments, each one or more whole fragments.
+
+    From the left, the longest known sentence that begins with a fragment is taken; an SPDX line ends with its fragment.
+    """
+    if not CUES.search(normal(text[run[0][0] : run[-1][1]])):
+        return []
+    words = [WORDS.findall(text[a:b].lower()) for a, b in run]
+    found, i = [], 0
+    while i < len(run):
+        last = None
+        if words[i] and words[i][0] in FIRST:
+            so_far = []
+            for j in range(i, len(run)):
+                so_far += words[j]
+                if len(so_far) > MOST:
+                    break
+                if words[j] and (name := identify(" ".join(so_far))):
+                    last = j, name
+                    if name.startswith("spdx="):
+                        break
+        if last:
+            found.append((run[i][0], run[last[0]][1], last[1]))
+            i = last[0]
+        i += 1
+    return found
+
+
 def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, identifier) of the known sentences: runs of fragments up to a sentence's end, else single ones."""
+    """(start, end, identifier) of the known sentences; they don't go on after a sentence's end or an empty comment line."""
     if not CUES.search(text.lower()):
         return []
     found, run = [], []
-
-    def close():
-        if run and (name := identify(normal(text[run[0][0] : run[-1][1]]))):
-            found.append((run[0][0], run[-1][1], name))
-        else:
-            found.extend((a, b, name) for a, b in run if (name := identify(normal(text[a:b]))))
-        run.clear()
-
     for a, b, ends in fragments(text):
-        if run and len(run) > 40 or not text[a:b].strip(" \t#*/|"):
-            close()
+        if run and not text[a:b].strip(" \t#*/|"):
+            found += known_parts(run, text)
+            run = []
         run.append((a, b))
-        if ends or identify(normal(text[a:b])):
-            close()
-    close()
-    return found
+        if ends:
+            found += known_parts(run, text)
+            run = []
+    return found + known_parts(run, text) if run else found
 
 
 def recognise(known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
