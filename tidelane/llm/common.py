@@ -16,8 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`; only where that is unset (tests) a folder of this machine."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")).rstrip("/")
+    """The session's `spark.checkpoint.dir`; only where that is unset and Spark runs on this machine alone, a folder of it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="shared-"))
+    return folder.rstrip("/")
+
+
+_LOCAL: dict[str, str] = {}
 
 
 _WRITTEN: dict[str, SparkSession] = {}
@@ -26,8 +34,9 @@ _WRITTEN: dict[str, SparkSession] = {}
 def durable(df: DataFrame) -> DataFrame:
     """`df` written as a table to the shared folder, so that a lost executor costs no recomputation.
 
-    Shuffle files of what led to it are of no more use: collecting garbage lets Spark delete them. The table goes with
-    `discard`, at the latest when the driver ends.
+    Shuffle files of what led to it are of no more use, but Spark deletes them only once the driver has collected its
+    garbage, hence that call. The table goes with `discard`; what a returned frame still reads stays until the driver
+    ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
@@ -110,11 +119,11 @@ def rows_to_arrow(docs: DataFrame, fn, schema: str, *more: str) -> DataFrame:
     return docs.select("doc_id", *more, "text").mapInArrow(run, spark_schema)
 
 
-def pieces(batch, most: int = 4_000_000):
-    """Slices of an Arrow batch with about `most` bytes of text each (a longer text stands alone)."""
+def pieces(batch, most: int = 256_000, column: str = "text"):
+    """Slices of an Arrow batch with about `most` bytes in `column` each (a longer value stands alone)."""
     import pyarrow.compute as pc
 
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
         if held and held + n > most:
@@ -123,3 +132,11 @@ def pieces(batch, most: int = 4_000_000):
         held += n
     if start < len(sizes):
         yield batch.slice(start)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` has it (Spark compares names without regard to case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,10 +1,11 @@
 """Exact substring dedup by suffix arrays that are built by two-stage sorting.
 
-Any LENGTH bytes hold a smallest k-gram hash (a minimizer), the same one wherever these bytes stand. So equal strings
-meet by their minimizers, and texts are compared only around minimizers that two documents share: a segment is the run
-of bytes whose windows of LENGTH have one minimizer. Equal segments are counted once. The different segments of a
-minimizer are sorted as suffixes: those smaller than their successors directly, the others by scanning buckets; adjacent
-common prefixes of LENGTH bytes tell which windows are equal, and which document has them first.
+A window is LENGTH bytes, and its anchor is one of its grams, picked by the bytes of the window alone. So equal windows
+meet by their anchors, and texts are compared only around anchors that two documents share: a segment is the run of
+bytes whose windows have one anchor. Equal segments are counted once. The different segments of an anchor are sorted as
+suffixes: those smaller than their successors directly, the others by scanning buckets; adjacent common prefixes of
+LENGTH bytes tell which windows are equal, and which document has them first. Anchors with very many segments are dealt
+to several suffix arrays, whose windows are combined.
 """
 
 from __future__ import annotations
@@ -16,51 +17,87 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.llm.common import discard, durable, pieces, text_key
-from tidelane.llm.linking import mixed, span_hashes
+from tidelane.llm.linking import MOST_IDS, few, mixed
 
-#: Bytes of a repeated string, of the k-grams, and k-grams in such a string.
-LENGTH, GRAM = 50, 16
+#: Bytes of a repeated string, of the grams, and grams in such a string.
+LENGTH, GRAM = 50, 28
 WIDTH = LENGTH - GRAM + 1
-#: Different segments of a minimizer that one suffix array takes; beyond, windows are counted by their hashes.
-HOT = 20_000
+#: Bytes of the short grams whose least one places the anchor. LENGTH - SHORT is a multiple of WIDTH less one, so that anchors move forward only.
+SHORT = 5
+#: Different segments of an anchor that one suffix array takes.
+PART = 4_000
 #: Bytes of segments that are sorted together, and of those that one task gets on average.
-SORTED, TASK = 1_000_000, 8_000_000
+SORTED, TASK = 1_000_000, 4_000_000
+#: Windows that are looked at together, and anchors that a task remembers.
+STRIDE, REMEMBERED = 1 << 19, 1 << 19
+LATE = (1 << 63) - 1
+
+
+def wide(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place, as one number; `data` must go on for eight bytes."""
+    return np.lib.stride_tricks.sliding_window_view(data, 8)[at].view(np.uint64).ravel()
+
+
+def anchors(data: np.ndarray) -> np.ndarray:
+    """The place of the anchor of each window of `data`.
+
+    Of the short grams of a window the least in a fixed order of their bytes, the first on ties, is p bytes from its
+    start; the anchor starts p % WIDTH bytes from there. What surrounds a window makes no difference.
+    """
+    n, out = len(data) - LENGTH + 1, []
+    for start in range(0, n, STRIDE):
+        count = min(STRIDE, n - start)
+        part = data[start : start + count + LENGTH - 1].astype(np.uint64)
+        grams = part[: len(part) - SHORT + 1]
+        for k in range(1, SHORT):
+            grams = grams << np.uint64(8) | part[k : len(part) - SHORT + 1 + k]
+        # A permutation of five-byte numbers, above the place, which is below 2 ** 24.
+        grams = grams * np.uint64(0x9E3779B97F4A7C15)
+        grams = (grams ^ (grams & np.uint64((1 << 40) - 1)) >> np.uint64(19)) * np.uint64(0xD6E8FEB86659FD93)
+        least = grams << np.uint64(24) | np.arange(len(grams), dtype=np.uint64)
+        step, among = 1, LENGTH - SHORT + 1
+        while 2 * step <= among:
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        least = np.minimum(least[:count], least[among - step : among - step + count])
+        at = np.arange(count)
+        out.append(start + at + ((least & np.uint64((1 << 24) - 1)).astype(np.int64) - at) % WIDTH)
+    return np.concatenate([*out, np.empty(0, np.int64)])
 
 
 def minimizers(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, last window, k-gram hash) of each run of windows with one minimizer.
+    """(text, first window, last window, hash of the anchor's gram) of each run of windows with one anchor.
 
     data: the bytes of all texts, `ends` where each one ends. Windows that cross an end are left out.
     """
-    n = len(data)
-    if n < LENGTH:
+    if len(data) < LENGTH:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-    h = np.frombuffer(TABLE8, dtype=np.uint64)[data]
-    step, factor = 1, 0x9E3779B97F4A7C15
-    while step < GRAM:
-        h = h[step:] + h[:-step] * np.uint64(factor)
-        factor = factor * factor & (1 << 64) - 1
-        step *= 2
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    bits = np.uint64(int(len(h)).bit_length())
-    m = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-    step = 1
-    while 2 * step <= WIDTH:
-        m = np.minimum(m[:-step], m[step:])
-        step *= 2
-    m = np.minimum(m[: len(m) - (WIDTH - step)], m[WIDTH - step :])
-    at = (m & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    # Runs begin where the minimizer or the text changes, and end before the next run or the text's last window.
+    at = anchors(data)
+    # Runs begin where the anchor or the text changes, and end before the next run or the text's last window.
     starts = np.concatenate([[0], ends[:-1]])
     new = np.union1d(np.flatnonzero(at[1:] != at[:-1]) + 1, starts[starts < len(at)])
     text = np.searchsorted(ends, new, side="right")
     last = np.minimum(np.concatenate([new[1:], [len(at)]]), ends[text] - LENGTH + 1) - 1
     keep = new <= last
     new, text, last = new[keep], text[keep], last[keep]
-    return text, new, last, h[at[new]]
+    place, h = at[new], np.zeros(len(new), dtype=np.uint64)
+    for k in (*range(0, GRAM - 7, 8), GRAM - 8):
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + wide(data, place + k))
+    return text, new, last, h
+
 
+REST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
-TABLE8 = np.random.default_rng(8).integers(0, 1 << 63, 256, dtype=np.uint64).tobytes()
+
+def identities(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hash of each segment's bytes; the anchor's hash beside it makes 128 bits."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    h = size.astype(np.uint64)
+    for k in range(0, int(size.max(initial=0)), 8):
+        more = size > k
+        word = wide(padded, start[more] + k) & REST[np.minimum(size[more] - k, 8)]
+        h[more] = mixed(h[more] * np.uint64(0xD6E8FEB86659FD93) + word)
+    return h
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -69,22 +106,19 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     The order is that of two-stage sorting. data must end with a byte that is smaller than all others.
     """
     n = len(data)
-    wide = data.astype(np.int16)
+    byte = data.astype(np.int16)
     # A suffix is of the first kind if it is smaller than its successor: of the next different byte, the larger follows.
-    change = np.flatnonzero(np.diff(wide) != 0)
+    change = np.flatnonzero(np.diff(byte) != 0)
     if not len(change):
         return np.arange(n)[::-1].copy()
     upto = np.searchsorted(change, np.arange(n - 1), side="left")
     smaller = np.zeros(n, dtype=bool)
     ok = upto < len(change)
     place = change[np.minimum(upto, len(change) - 1)]
-    smaller[:-1] = ok & (wide[place + 1] > wide[place])
+    smaller[:-1] = ok & (byte[place + 1] > byte[place])
     smaller[-1] = True  # the end, before everything
-    direct = np.flatnonzero(smaller)
-    padded = np.concatenate([data, np.zeros(64, np.uint8)])
-    keys = [np.lib.stride_tricks.sliding_window_view(padded, 8)[direct + 8 * i].copy().view(">u8").ravel() for i in range(-(-LENGTH // 8))]
-    direct = direct[np.lexsort([k.astype(np.uint64) for k in reversed(keys)])]
-    starts = np.searchsorted(wide[direct], np.arange(257))
+    direct = in_order(data, np.flatnonzero(smaller))
+    starts = np.searchsorted(byte[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     done = []
     for c in range(256):
@@ -92,99 +126,125 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         own = np.concatenate(found) if found else np.empty(0, np.int64)
         while len(own):  # runs of c that end in what has just been placed
             before = own[own > 0] - 1
-            own = before[(wide[before] == c) & ~smaller[before]]
+            own = before[(byte[before] == c) & ~smaller[before]]
             found.append(own)
         bucket = np.concatenate([*found, direct[starts[c] : starts[c + 1]]]) if found else direct[starts[c] : starts[c + 1]]
         if len(bucket):
             done.append(bucket)
             before = bucket[bucket > 0] - 1
             before = before[~smaller[before]]
-            byte = wide[before]
-            for d in np.unique(byte[byte > c]):
-                waiting[d].append(before[byte == d])
+            value = byte[before]
+            for d in np.unique(value[value > c]):
+                waiting[d].append(before[value == d])
     return np.concatenate(done)
 
 
+def in_order(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """`places` by the LENGTH bytes from each, eight at a time; only what is still tied is looked at again."""
+    padded = np.concatenate([data, np.zeros(LENGTH + 8, np.uint8)])
+    key = wide(padded, places).byteswap()
+    places = places[np.argsort(key, kind="stable")]
+    key = np.sort(key)
+    new = np.ones(len(places), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    for k in range(8, LENGTH, 8):
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        group = np.cumsum(new)[at]
+        key = wide(padded, places[at] + k).byteswap()
+        order = np.lexsort((key, group))
+        places[at], group, key = places[at][order], group[order], key[order]
+        differs = np.ones(len(at), dtype=bool)
+        differs[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        new[at] = differs
+    return places
+
+
 def equal_windows(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Group number of each place in `order`: places next to each other share it if LENGTH bytes agree."""
     padded = np.concatenate([data, np.zeros(LENGTH + 8, np.uint8)])
     same = np.ones(len(order), dtype=bool)
     same[:1] = False
     for k in (*range(0, LENGTH - 7, 8), LENGTH - 8):  # common prefixes, eight bytes at a time
-        words = np.lib.stride_tricks.sliding_window_view(padded, 8)[order + k].copy().view(np.uint64).ravel()
+        words = wide(padded, order + k)
         same[1:] &= words[1:] == words[:-1]
-    return np.cumsum(~same)
+    return np.cumsum(~same) - 1
 
 
-def first_holders(segments: list[bytes], owners: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each segment the runs (first, last) of its windows that a segment of a smaller owner has, too."""
-    lengths = np.array([len(s) for s in segments])
+def first_holders(bytes_: np.ndarray, lengths: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, window, least owner of the window) of all windows of segments, which follow each other in `bytes_`."""
+    n = len(lengths)
     ends = np.cumsum(lengths + 1)
     # Bytes go up by one where room is needed for the end mark: UTF-8 has no byte 255.
-    data = np.frombuffer(b"\0".join(s.translate(UP) for s in segments) + b"\0", dtype=np.uint8)
+    data = np.zeros(len(bytes_) + n, dtype=np.uint8)
+    data[np.arange(len(bytes_)) + np.repeat(np.arange(n), lengths)] = bytes_ + np.uint8(1)
     order = suffix_array(data)
     which = np.searchsorted(ends, order, side="right")
     whole = order + LENGTH < ends[which]
     order, which = order[whole], which[whole]
     group = equal_windows(data, order)
-    least = np.full(group[-1] + 1 if len(group) else 1, np.iinfo(np.int64).max)
+    least = np.full(int(group[-1]) + 1 if len(group) else 1, LATE)
     np.minimum.at(least, group, owners[which])
-    hit = np.zeros(len(data), dtype=bool)
-    hit[order[least[group] < owners[which]]] = True
-    out = []
-    for a, n in zip(ends - lengths - 1, lengths, strict=True):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[a : a + n].view(np.int8), [0]])))
-        out.append(list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True)))
-    return out
-
-
-UP = bytes(min(b + 1, 255) for b in range(256))
+    return which, order - (ends - lengths - 1)[which], least[group]
 
 
 def blocks(batch):
     """(slice of the batch, bytes of each text, all bytes, end of each text) for moderate amounts of text."""
-    for part in pieces(batch, 1_500_000):
+    for part in pieces(batch, 1_000_000):
         texts = [(t or "").encode("utf-8", "replace") for t in part.column("text").to_pylist()]
         yield part, texts, np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([len(t) for t in texts])
 
 
 def ranked(docs: DataFrame) -> DataFrame:
     """rank (the doc_id; the largest number for null, which comes last), key, text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank"), text_key().alias("key"), "text")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LATE)).alias("rank"), text_key().alias("key"), "text")
 
 
 def prints(rows: DataFrame) -> DataFrame:
-    """print (minimizer), rank, sure, slot: once for each document.
+    """print (hash of an anchor), rank, sure, slot: once for each document, or nearly so.
 
-    sure: another document of the same block of rows has the print, too. Of the rows with such a print all but the first
-    get a slot of their own, the others have the print as slot: so no slot has more rows than there are blocks, however
-    many documents share a print.
+    sure: the task has met another document with the print. Of the rows with a print the first two of a task have it as
+    slot, the others get a slot of their own: so a slot has about twice as many rows as there are tasks, however many
+    documents share a print.
     """
 
     def run(batches):
         import pyarrow as pa
 
+        seen, holder, times = np.zeros(REMEMBERED, np.uint64), np.zeros(REMEMBERED, np.int64), np.zeros(REMEMBERED, np.int8)
         for batch in batches:
             for part, _, data, ends in blocks(batch):
                 text, _, _, h = minimizers(data, ends)
-                h, rank = h.view(np.int64), part.column("rank").to_numpy()[text]
+                rank = part.column("rank").to_numpy()[text]
                 order = np.lexsort((rank, h))
                 h, rank = h[order], rank[order]
                 new = np.ones(len(h), dtype=bool)
                 new[1:] = (h[1:] != h[:-1]) | (rank[1:] != rank[:-1])
                 h, rank = h[new], rank[new]
-                again = np.zeros(len(h), dtype=bool)
-                again[1:] = h[1:] == h[:-1]
-                sure = again.copy()
-                sure[:-1] |= again[1:]
-                slot = np.where(again, mixed(h.view(np.uint64) ^ (rank.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64), h)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rank), pa.array(sure), pa.array(slot)], ["print", "rank", "sure", "slot"])
+                cell = (h >> np.uint64(40)).astype(np.int64) % REMEMBERED
+                known = np.where(seen[cell] == h, times[cell], 0)
+                new = (known != 1) | (holder[cell] != rank)  # else this row has been given already
+                h, rank, cell, known = h[new], rank[new], cell[new], known[new]
+                first = np.ones(len(h), dtype=bool)
+                first[1:] = h[1:] != h[:-1]
+                begin = np.flatnonzero(first)
+                size = np.diff(np.append(begin, len(h)))
+                nth = known + np.arange(len(h)) - np.repeat(begin, size)
+                sure = (known > 0) | (np.repeat(size, size) > 1)
+                slot = np.where(nth > 1, mixed(h ^ (rank.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), h)
+                here = cell[begin]
+                holder[here] = np.where(known[begin] > 0, holder[here], rank[begin])
+                seen[here], times[here] = h[begin], np.minimum(known[begin] + size, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rank), pa.array(sure), pa.array(slot.view(np.int64))], ["print", "rank", "sure", "slot"])
 
     return rows.select("rank", "text").mapInArrow(run, "print long, rank long, sure boolean, slot long")
 
 
 def segments_of(rows: DataFrame) -> DataFrame:
-    """rank, key, print, start, size, id (hash of the bytes) of the segments of the minimizers in `shared` of each row."""
+    """rank, key, print, start, size, id (hash of the bytes) of the segments of the anchors in `shared` of each row."""
 
     def run(batches):
         import pyarrow as pa
@@ -194,11 +254,14 @@ def segments_of(rows: DataFrame) -> DataFrame:
                 text, first, last, h = minimizers(data, ends)
                 begin = np.concatenate([[0], ends[:-1]])
                 cut = np.searchsorted(text, np.arange(len(ends) + 1))
-                shared = part.column("shared").to_pylist()
-                keep = np.concatenate([np.isin(h[cut[i] : cut[i + 1]].view(np.int64), np.array(s, np.int64)) for i, s in enumerate(shared)]) if len(shared) else np.empty(0, bool)
+                shared = part.column("shared")
+                at = shared.offsets.to_numpy()
+                flat = shared.values.to_numpy()
+                keep = np.concatenate([np.isin(h[cut[i] : cut[i + 1]].view(np.int64), flat[at[i] : at[i + 1]]) for i in range(len(ends))]) if len(ends) else np.empty(0, bool)
                 text, first, last, h = text[keep], first[keep], last[keep], h[keep]
+                size = last + LENGTH - first
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rank").take(pa.array(text)), part.column("key").take(pa.array(text)), pa.array(h.view(np.int64)), pa.array((first - begin[text]).astype(np.int64)), pa.array((last + LENGTH - first).astype(np.int32)), pa.array(span_hashes(data, first, last + LENGTH).view(np.int64))],
+                    [part.column("rank").take(pa.array(text)), part.column("key").take(pa.array(text)), pa.array(h.view(np.int64)), pa.array((first - begin[text]).astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(identities(data, first, size).view(np.int64))],
                     ["rank", "key", "print", "start", "size", "id"],
                 )
 
@@ -206,67 +269,91 @@ def segments_of(rows: DataFrame) -> DataFrame:
 
 
 def cut_out(rows: DataFrame) -> DataFrame:
-    """print, id, owner, kinds, segment, size for the places (print, id, kinds, start, size) that each row names."""
+    """print, id, owner, parts, segment for the places (print, id, parts, start, size) that each row names."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part in pieces(batch, 1_500_000):
+            for part in pieces(batch, 1_000_000):
                 out = []
                 for rank, text, places in zip(*[part.column(c).to_pylist() for c in ("rank", "text", "places")], strict=True):
                     data = (text or "").encode("utf-8", "replace")
-                    out += [(p["print"], p["id"], rank, p["kinds"], data[p["start"] : p["start"] + p["size"]], p["size"]) for p in places]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["print", "id", "owner", "kinds", "segment", "size"])
+                    out += [(p["print"], p["id"], rank, p["parts"], data[p["start"] : p["start"] + p["size"]]) for p in places]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["print", "id", "owner", "parts", "segment"])
 
-    return rows.select("rank", "text", "places").mapInArrow(run, "print long, id long, owner long, kinds long, segment binary, size int")
+    return rows.select("rank", "text", "places").mapInArrow(run, "print long, id long, owner long, parts long, segment binary")
 
 
-def sorted_runs(segments: DataFrame, tasks: int) -> DataFrame:
-    """(print, id, first, last): runs of windows of each segment that a smaller owner's segment of the print has.
+RUNS = "print long, id long, first long, last long, owner long, least long, window binary"
 
-    Segments of a print come to one task, which sorts about SORTED bytes at a time.
-    """
 
-    def run(batches):
-        import pyarrow as pa
-
-        held, size = [], 0
-
-        def flush(rows):
-            runs = first_holders([r[2] for r in rows], np.array([r[3] for r in rows]))
-            flat = [(r[0], r[1], a, b) for r, found in zip(rows, runs, strict=True) for a, b in found]
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], pa.int64()) for i in range(4)], ["print", "id", "first", "last"])
+def sorted_runs(segments: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """(print, id, first, last): runs of windows of each segment that a smaller owner's segment has, and what they are read from.
 
-        for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("print", "id", "segment", "owner")], strict=True):
-                if size > SORTED and row[0] != held[-1][0]:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[2])
-        if held:
-            yield flush(held)
-
-    return segments.repartition(tasks, "print").sortWithinPartitions("print").select("print", "id", "segment", "owner").mapInArrow(run, "print long, id long, first long, last long")
+    About SORTED bytes of segments go into one suffix array. Equal windows have one anchor, so only those of an anchor
+    in several parts can meet elsewhere: they come one by one instead, with their bytes, the segment's owner and the
+    least owner in this part.
+    """
 
+    def sort(table):
+        import pyarrow as pa
 
-def hashed_runs(segments: DataFrame) -> DataFrame:
-    """As sorted_runs, for prints with very many segments: windows are told by two hashes and their owners combined."""
+        segment = table.column("segment").combine_chunks()
+        offsets = segment.buffers()[1]
+        offsets = np.frombuffer(offsets, dtype=np.int32)[segment.offset : segment.offset + len(segment) + 1]
+        bytes_ = np.frombuffer(segment.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+        print_, id_, owner, parts = (table.column(c).to_numpy() for c in ("print", "id", "owner", "parts"))
+        which, window, least = first_holders(bytes_, np.diff(offsets), owner)
+        split = parts[which] > 1
+        hit = ~split & (least < owner[which])
+        order = np.lexsort((window[hit], which[hit]))
+        at, w = which[hit][order], window[hit][order]
+        edge = np.ones(len(at) + 1, dtype=bool)
+        edge[1:-1] = (at[1:] != at[:-1]) | (w[1:] != w[:-1] + 1)
+        begin, end = np.flatnonzero(edge[:-1]), np.flatnonzero(edge[1:])
+        none = np.full(len(begin), -1)
+        runs = [print_[at[begin]], id_[at[begin]], w[begin], w[end], none, none]
+        several, place = which[split], window[split]
+        each = [print_[several], id_[several], place, place, owner[several], least[split]]
+        start = (offsets[:-1] - offsets[0])[several] + place
+        raw = bytes_.tobytes()
+        bytes_of = [None] * len(begin) + [raw[a : a + LENGTH] for a in start.tolist()]
+        names = [c.split()[0] for c in RUNS.split(", ")]
+        return pa.RecordBatch.from_arrays([*[pa.array(np.concatenate([a, b]).astype(np.int64)) for a, b in zip(runs, each, strict=True)], pa.array(bytes_of, pa.binary())], names)
 
-    def windows(batches):
+    def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
+        bytes_in = lambda batches: sum(pc.sum(pc.binary_length(b.column("segment"))).as_py() or 0 for b in batches)
+        held, size = [], 0
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("print", "id", "segment", "owner")], strict=True):
-                data = np.frombuffer(row[2], dtype=np.uint8)
-                at = np.arange(len(data) - LENGTH + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), v)) for v in (row[0], row[1], row[3])] + [pa.array(at), pa.array(span_hashes(data, at, at + LENGTH).view(np.int64)), pa.array(span_hashes(data[::-1], len(data) - at - LENGTH, len(data) - at).view(np.int64))], ["print", "id", "owner", "first", "h1", "h2"])
+            for piece in pieces(batch, SORTED // 4, "segment"):
+                held.append(piece)
+                size += bytes_in([piece])
+                if size > SORTED:  # all but the last group, which may go on
+                    table = pa.Table.from_batches(held)
+                    last = np.logical_and.reduce([table.column(c).to_numpy() == piece.column(c)[-1].as_py() for c in ("print", "part")])
+                    whole = table.num_rows - int(last.sum())
+                    if whole:
+                        yield sort(table.slice(0, whole))
+                        held = table.slice(whole).combine_chunks().to_batches()
+                        size = bytes_in(held)
+        if held:
+            yield sort(pa.Table.from_batches(held))
 
-    each = segments.select("print", "id", "segment", "owner").mapInArrow(windows, "print long, id long, owner long, first long, h1 long, h2 long")
-    least = each.groupBy("h1", "h2").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).filter("least < most").drop("most")
-    return each.join(least, ["h1", "h2"]).filter("least < owner").select("print", "id", "first", F.col("first").alias("last"))
+    parted = segments.withColumn("part", F.pmod(F.col("id"), F.col("parts")))
+    parted = parted.repartition(tasks, "print", "part").sortWithinPartitions("print", "part")
+    found = durable(parted.select("print", "id", "segment", "owner", "parts", "part").mapInArrow(run, RUNS))
+    runs = found.filter("window is null").select("print", "id", "first", "last")
+    each = found.filter("window is not null")
+    # Windows of anchors in several parts: one row for each part and window goes into the minimum, which is combined
+    # before it is shuffled, and comes back to all.
+    least = each.groupBy("window").agg(F.min("least").alias("l")).select(F.col("window").alias("w"), "l")
+    lost = each.filter("least >= owner").join(least, F.col("window") == F.col("w")).filter("l < owner").unionByName(each.filter("least < owner"), allowMissingColumns=True)
+    return runs.unionByName(lost.select("print", "id", "first", "last")), found
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -274,31 +361,36 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
     A byte goes if a string of LENGTH bytes over it also starts in a document with a smaller id. Null and empty texts
     have no bytes. Rows of one doc_id are one document: they take nothing from each other. A null id comes after all
-    ids. Repeated rows give a row each. Columns of `docs` other than doc_id and text are ignored.
+    ids. Repeated rows give a row each; a text of any length is cut in strides. An empty table gives an empty result.
+    doc_id must be a whole number. Columns of `docs` other than doc_id and text are ignored.
     """
-    rows = ranked(docs)
+    all_rows = ranked(docs)
+    text = F.coalesce("text", F.lit(""))
+    base = durable(all_rows.select("rank", "key", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("sha")))
+    # A copy of the whole text of a smaller id loses everything, and takes nothing that the first copy doesn't take.
+    firsts = base.filter(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min("rank").alias("first"), F.max("rank").alias("most")).filter("first < most").drop("most")
+    firsts = few(durable(firsts), MOST_IDS // 4)
+    copies = durable(base.select("rank", "key", "sha").join(firsts, "sha").filter("rank > first").select("rank", "key").distinct())
+    rows = all_rows.join(few(copies), ["rank", "key"], "left_anti")
+
     slot = Window.partitionBy("slot")
     met = prints(rows).withColumn("common", F.max("sure").over(slot) | (F.min("rank").over(slot) < F.max("rank").over(slot)))
     wanted = durable(met.filter("sure or common").groupBy("rank").agg(F.collect_set("print").alias("shared")))
     found = durable(segments_of(rows.join(wanted, "rank")))
     discard(wanted)
     kinds = durable(found.groupBy("print", "id").agg(F.min(F.struct("rank", "key", "start", "size")).alias("at"), F.max("rank").alias("most")).select("print", "id", F.col("at.rank").alias("owner"), "at", "most"))
-    groups = kinds.groupBy("print").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    places = kinds.join(groups, "print").groupBy("at.rank", "at.key").agg(F.collect_list(F.struct("print", "id", "kinds", "at.start", "at.size")).alias("places"))
+    groups = durable(kinds.groupBy("print").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("print", F.ceil(F.col("kinds") / PART).alias("parts")))
+    places = kinds.join(groups, "print").groupBy("at.rank", "at.key").agg(F.collect_list(F.struct("print", "id", "parts", "at.start", "at.size")).alias("places"))
     places = durable(places)
     several = durable(cut_out(rows.join(places, ["rank", "key"])))
-    discard(places)
-    total = several.agg(F.sum("size"), F.max("kinds")).head()
-    runs = sorted_runs(several.filter(F.col("kinds") <= HOT), max(1, (total[0] or 0) // TASK))
-    if (total[1] or 0) > HOT:
-        runs = runs.unionByName(hashed_runs(several.filter(F.col("kinds") > HOT)))
-    runs = durable(runs)
-    discard(several)
+    discard(places, groups)
+    total = several.agg(F.sum(F.octet_length("segment"))).head()[0] or 0
+    runs, sorted_ = sorted_runs(several, max(1, total // TASK))
     # A later holder of a segment loses all of it, the owner those windows that someone before it has. One join does both.
     windows = runs.groupBy("print", "id").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
     # Written out, so that the join below has plain exchanges on both sides and Spark can split its large partitions.
     told = durable(kinds.join(windows, ["print", "id"], "left").filter("owner < most or windows is not null").select("print", "id", "owner", "windows"))
-    discard(kinds, runs)
+    discard(kinds, several, sorted_)
     span = lambda a, b: F.struct((F.col("start") + a).alias("a"), (F.col("start") + b).alias("b"))
     lost = F.when(F.col("rank") > F.col("owner"), F.array(span(F.lit(0).cast("long"), F.col("size").cast("long")))).otherwise(F.transform("windows", lambda w: span(w["first"], w["last"] + LENGTH)))
     each = found.join(told, ["print", "id"]).select("rank", "key", F.explode(lost).alias("span"))
@@ -307,12 +399,16 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     discard(found, told)
     cut = durable(rows.join(spans, ["rank", "key"]).mapInArrow(remove, "rank long, key long, n_removed long, n_spans long, kept_sha256 string").distinct())
     discard(spans)
-    cut = cut.select(F.col("rank").alias("r"), F.col("key").alias("k"), "n_removed", "n_spans", "kept_sha256")
-    text = F.coalesce("text", F.lit(""))
-    base = rows.select("rank", "key", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
-    out = base.join(cut, (F.col("rank") == F.col("r")) & (F.col("key") == F.col("k")), "left")
-    none = F.lit(0).cast("long")
-    return out.select(F.when(F.col("rank") < (1 << 63) - 1, F.col("rank")).alias("doc_id"), "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    whole = copies.withColumn("copy", F.lit(True))
+    out = base.join(cut, ["rank", "key"], "left").join(few(whole), ["rank", "key"], "left")
+    none, one, copy = F.lit(0).cast("long"), F.lit(1).cast("long"), F.coalesce("copy", F.lit(False))
+    return out.select(
+        F.when(F.col("rank") < LATE, F.col("rank")).alias("doc_id"),
+        "n_bytes",
+        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", none)).alias("n_removed"),
+        F.when(copy, one).otherwise(F.coalesce("n_spans", none)).alias("n_spans"),
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
+    )
 
 
 def remove(batches):
