@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ipv4_hex(address: Column) -> Column:
     """Eight hexadecimal digits of a dotted address."""
     parts = F.split(address, r"\.")
@@ -63,9 +68,14 @@ def hassh(kex: Column, encryption: Column, mac: Column, compression: Column) ->
     return F.md5(F.concat_ws(";", *[F.array_join(c, ",") for c in (kex, encryption, mac, compression)]))
 
 
+def grease(x: Column) -> Column:
+    """Whether a 16-bit number is one of the sixteen values that are reserved to be ignored: 0x0A0A, 0x1A1A, ... 0xFAFA."""
+    return (F.floor(x / 256) == x % 256) & (x % 16 == 10)
+
+
 def ja3(version: Column, ciphers: Column, extensions: Column, groups: Column) -> Column:
     """MD5 of version and lists without GREASE values; point formats count as empty."""
-    plain = lambda c: F.array_join(F.transform(F.filter(c, lambda x: (x % 4096 != 2570) | (F.floor(x / 256) != x % 256)), lambda x: x.cast("string")), "-")
+    plain = lambda c: F.array_join(F.transform(F.filter(c, lambda x: ~grease(x)), lambda x: x.cast("string")), "-")
     return F.md5(F.concat_ws(",", version.cast("string"), plain(ciphers), plain(extensions), plain(groups), F.lit("")))
 
 
@@ -94,3 +104,13 @@ def number(frame: Column, start: int, size: int) -> Column:
 
 def dotted(frame: Column, start: int) -> Column:
     return F.concat_ws(".", *[number(frame, start + i, 1).cast("string") for i in range(4)])
+
+
+#: First bytes of kinds of files, in hexadecimal.
+MAGIC = {"pdf": "255044462D", "png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "gif": "47494638", "zip": "504B0304", "gzip": "1F8B", "elf": "7F454C46", "pe": "4D5A", "rar": "526172211A07", "7z": "377ABCAF271C", "bzip2": "425A68", "class": "CAFEBABE", "wasm": "0061736D", "rtf": "7B5C727466", "ole": "D0CF11E0A1B11AE1"}
+
+
+def file_kind(data: Column) -> Column:
+    """Kind of a file by its first bytes; unknown without one."""
+    head = F.hex(F.substring(data, 1, 8))
+    return F.coalesce(*[F.when(head.startswith(m), name) for name, m in MAGIC.items()], F.lit("unknown"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane.operators.folds import ordered_fold
+
 
 def in_order(*keys: str) -> Window:
     return Window.partitionBy(*keys).orderBy("us", "seq")
@@ -67,11 +69,123 @@ def active_idle(packets: DataFrame, key: str, threshold_us: int) -> DataFrame:
 
 
 def history(tracked: DataFrame, key: str, most: int = 16) -> DataFrame:
-    """Letters of SYN, FIN, RST and data of each flow in order, upper case for the initiator, `most` at most."""
+    """Letters of SYN, FIN, RST and data of each flow in order, upper case for the initiator, `most` at most.
+
+    Only the first `most` packets that have a letter are gathered.
+    """
     letters = F.concat(*[F.when(F.col("flags").bitwiseAND(F.lit(bit)) > 0, letter).otherwise("") for letter, bit in (("s", 2), ("f", 1), ("r", 4), ("d", 8))])
     mark = F.when(F.col("side") == "initiator", F.upper(letters)).otherwise(letters)
-    ordered = F.array_sort(F.collect_list(F.struct("us", "seq", mark.alias("m"))))
-    return tracked.groupBy(key, "flow_no").agg(F.substring(F.array_join(F.transform(ordered, lambda x: x["m"]), ""), 1, most).alias("history"))
+    marked = tracked.withColumn("__m", mark).withColumn("__has", (F.length("__m") > 0).cast("int"))
+    nth = F.sum("__has").over(in_order(key, "flow_no").rowsBetween(Window.unboundedPreceding, 0))
+    first = F.when((F.col("__has") == 1) & (F.col("__nth") <= most), F.struct("us", "seq", F.col("__m").alias("m")))
+    ordered = F.array_sort(F.collect_list(first))
+    return marked.withColumn("__nth", nth).groupBy(key, "flow_no").agg(F.substring(F.array_join(F.transform(ordered, lambda x: x["m"]), ""), 1, most).alias("history"))
+
+
+#: Seconds without a packet after which a flow ends, by transport.
+IDLE_S = {"tcp": 300, "udp": 60, "other": 30}
+FIN, SYN, RST, ACK = 1, 2, 4, 16
+
+
+def next_state(state: str, flags: int, initiator: bool, other_fin: bool) -> str:
+    """The TCP state of a flow after a segment with these flags from one side."""
+    if flags & RST:
+        return "reset"
+    if state == "active" and initiator and flags & SYN:
+        return "syn_sent"
+    if state == "syn_sent" and not initiator and flags & SYN and flags & ACK:
+        return "syn_received"
+    if state == "syn_received" and initiator and flags & ACK:
+        return "established"
+    if state == "established" and flags & FIN:
+        return "fin_wait"
+    if state == "fin_wait" and flags & FIN and other_fin:
+        return "closing"
+    if state == "closing" and flags & ACK:
+        return "closed"
+    return state
+
+
+def lifecycle(packets: DataFrame, key: str, idle_s: dict[str, int] | None = None, infer_initiator: bool = False, timeout: str | None = None) -> DataFrame:
+    """us, seq, flow_no, side, state, established, reason of each packet (l4, forward, flags) of a key.
+
+    A flow ends at its RST, or when both sides have sent a FIN and an ACK follows (reason rst or fin on that packet), or
+    when the next packet is as late as the transport's idle time or later. The first packet's sender is the initiator;
+    with infer_initiator the other side is, if that packet is a SYN with an ACK. timeout: a column with an idle time of
+    its own, in seconds (null for that of the transport). established: whether this packet completed the handshake.
+    """
+    limits = IDLE_S | (idle_s or {})
+
+    def step(s, us, seq, l4, forward, flags, *own):
+        number, last, first_forward, state, fins, ended = s
+        limit = own[0] if own and own[0] is not None else limits.get(l4, limits["other"])
+        if number < 0 or ended or us - last >= limit * 1_000_000:
+            flipped = infer_initiator and l4 == "tcp" and flags & SYN and flags & ACK
+            number, first_forward, state, fins, ended = number + 1, forward != bool(flipped), "active", 0, False
+        initiator, reason, before = forward == first_forward, None, state
+        if l4 == "tcp":
+            mine, others = (1, 2) if initiator else (2, 1)
+            state = next_state(state, flags, initiator, bool(fins & others))
+            fins |= mine if flags & FIN else 0
+            reason = {"reset": "rst", "closed": "fin"}.get(state)
+        s[:] = [number, us, first_forward, state, fins, reason is not None]
+        return [(us, seq, number, "initiator" if initiator else "responder", state, before != "established" and state == "established", reason)]
+
+    schema = "us long, seq long, flow_no long, side string, state string, established boolean, reason string"
+    columns = ["l4", "forward", "flags", *([timeout] if timeout else [])]
+    return ordered_fold(packets, key, columns, lambda: [-1, 0, True, "active", 0, False], step, schema)
+
+
+def with_lifecycle(packets: DataFrame, key: str, **options) -> DataFrame:
+    """`packets` with the columns of `lifecycle`."""
+    told = lifecycle(packets, key, **options)
+    return packets.drop("side", "flow_no").join(told.drop("us", key), "seq")
+
+
+def flow_ends(tracked: DataFrame, key: str) -> DataFrame:
+    """One row for each flow of packets with their lifecycle: statistics, the reason of its end (idle without one), last state."""
+    return summaries(tracked, key).join(tracked.groupBy(key, "flow_no").agg(F.coalesce(F.max("reason"), F.lit("idle_timeout")).alias("reason"), F.max_by("state", F.struct("us", "seq")).alias("state"), F.bool_or("established").alias("established")), [key, "flow_no"])
+
+
+def ticks(tracked: DataFrame, key: str, interval_us: int) -> DataFrame:
+    """key, flow_no, tick, packets, bytes: a flow's totals so far at its first packet and at the first after each interval.
+
+    A tick is due `interval_us` or more after the one before, counted in whole intervals from the flow's start.
+    """
+    w = Window.partitionBy(key, "flow_no")
+    upto = in_order(key, "flow_no").rowsBetween(Window.unboundedPreceding, 0)
+    each = tracked.withColumn("tick", F.floor((F.col("us") - F.min("us").over(w)) / interval_us))
+    each = each.withColumn("packets", F.count("*").over(upto)).withColumn("__b", F.sum("bytes").over(upto)).withColumn("__p", F.lag("tick").over(in_order(key, "flow_no")))
+    return each.filter(F.col("__p").isNull() | (F.col("__p") < F.col("tick"))).select(key, "flow_no", "tick", "us", "packets", F.col("__b").alias("bytes"))
+
+
+def side_gaps(tracked: DataFrame, key: str) -> DataFrame:
+    """key, flow_no, and mean, std, min, max of the gaps between packets of the flow and of either side, in microseconds."""
+    flow = F.col("us") - F.lag("us").over(in_order(key, "flow_no"))
+    own = F.col("us") - F.lag("us").over(in_order(key, "flow_no", "side"))
+    gaps = tracked.withColumn("flow", flow).withColumn("own", own)
+    gaps = gaps.withColumn("fwd", F.when(F.col("side") == "initiator", F.col("own"))).withColumn("bwd", F.when(F.col("side") == "responder", F.col("own")))
+    stats = [f(c).alias(f"{c}_{n}") for c in ("flow", "fwd", "bwd") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
+    return gaps.groupBy(key, "flow_no").agg(*stats)
+
+
+def capture_legs(packets: DataFrame, key: str, source: str) -> DataFrame:
+    """key, forward_leg, backward_leg, inconsistent: the first non-zero source of either direction, and whether others follow."""
+    first = lambda way: F.min_by(F.when(way & (F.col(source) != 0), F.col(source)), F.when(way & (F.col(source) != 0), F.struct("us", "seq")))
+    ahead = F.col("forward")
+    out = packets.groupBy(key).agg(first(ahead).alias("forward_leg"), first(~ahead).alias("backward_leg"), F.min(F.when(ahead & (F.col(source) != 0), F.col(source))).alias("a"), F.max(F.when(ahead, F.col(source))).alias("b"), F.min(F.when(~ahead & (F.col(source) != 0), F.col(source))).alias("c"), F.max(F.when(~ahead, F.col(source))).alias("d"))
+    return out.select(key, "forward_leg", "backward_leg", (F.coalesce(F.col("a") < F.col("b"), F.lit(False)) | F.coalesce(F.col("c") < F.col("d"), F.lit(False))).alias("inconsistent"))
+
+
+def retransmits(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """`segments` (tcp_seq, size, us, seq) with retransmit: whether all of its bytes came before on the same side."""
+    end = F.max(F.col("tcp_seq") + F.col("size")).over(Window.partitionBy(*keys).orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, -1))
+    return segments.withColumn("retransmit", (F.col("size") > 0) & F.coalesce(F.col("tcp_seq") + F.col("size") <= end, F.lit(False)))
+
+
+def timeline(events: DataFrame, key: str, value) -> DataFrame:
+    """All events of one key in order."""
+    return events.filter(F.col(key) == value).orderBy("us", "seq")
 
 
 def drop_repeats(packets: DataFrame, same: list[str], within_us: int, ring: int = 256) -> DataFrame:

@@ -1,64 +1,162 @@
-"""Ordered folds of a key's values: smoothing, change points, bursts. They run inside the JVM, without Python.
+"""Ordered folds of a key's values: smoothing, change points, bursts, cooldowns.
 
-A key's values are put in order and folded, so one key's values must fit in memory; shard by the key only.
+Rows are put in order within partitions of the key and streamed through Arrow batches; only the fold's state of the
+current key is held, so a key may have any number of rows. Null values are passed over. Shard by the key only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ordered(value: str) -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct("us", "seq", F.col(value).cast("double").alias("x")))), lambda s: s["x"])
+def ordered_fold(rows: DataFrame, key: str | list[str], columns: list[str], start: Callable[[], list], step: Callable[..., Iterable[tuple]], schema: str, finish: Callable[[list], Iterable[tuple]] = lambda _: (), order: tuple[str, ...] = ("us", "seq")) -> DataFrame:
+    """key columns and `schema`: what step(state, order and column values) and, after a key's last row, finish(state) give.
+
+    The state is a list that step changes in place. Rows with a null key are one key.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    keys = [key] if isinstance(key, str) else list(key)
+    needed = list(dict.fromkeys([*keys, *order, *columns]))
+    out = StructType([rows.schema[k] for k in keys] + _parse_datatype_string(schema).fields)
+
+    def run(batches):
+        import pyarrow as pa
 
+        form, nothing = to_arrow_schema(out), object()
+        now, state = nothing, []
+        for batch in batches:
+            made = []
+            values = {c: batch.column(c).to_pylist() for c in needed}
+            for k, row in zip(zip(*[values[c] for c in keys], strict=True), zip(*[values[c] for c in (*order, *columns)], strict=True), strict=True):
+                if k != now:
+                    if now is not nothing:
+                        made += [(*now, *r) for r in finish(state)]
+                    now, state = k, start()
+                made += [(*k, *r) for r in step(state, *row)]
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], f.type) for i, f in enumerate(form)], schema=form)
+        if now is not nothing:
+            made = [(*now, *r) for r in finish(state)]
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], f.type) for i, f in enumerate(form)], schema=form)
 
-def tail(values: Column) -> Column:
-    return F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))
+    return rows.select(*needed).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
 
 
 def ewma(packets: DataFrame, key: str, value: str, alpha: float) -> DataFrame:
     """key, n, ewma: the first value seeds; then alpha * x + (1 - alpha) * mean."""
-    lists = packets.groupBy(key).agg(ordered(value).alias("xs"))
-    return lists.select(key, F.size("xs").cast("long").alias("n"), F.aggregate(tail(F.col("xs")), F.col("xs")[0], lambda m, x: alpha * x + (1 - alpha) * m).alias("ewma"))
+
+    def step(s, us, seq, x):
+        s[:] = [s[0] + 1, x if not s[0] else alpha * x + (1 - alpha) * s[1]]
+        return ()
+
+    return ordered_fold(packets.filter(F.col(value).isNotNull()), key, [value], lambda: [0, 0.0], step, "n long, ewma double", lambda s: [tuple(s)])
 
 
 def ewma_variance(packets: DataFrame, key: str, value: str, alpha: float) -> DataFrame:
     """key, mean, variance of an exponentially weighted mean and variance."""
-    lists = packets.groupBy(key).agg(ordered(value).alias("xs"))
-    start = F.struct(F.col("xs")[0].alias("m"), F.lit(0.0).alias("v"))
 
-    def step(s: Column, x: Column) -> Column:
-        d = x - s["m"]
-        return F.struct((s["m"] + alpha * d).alias("m"), ((1 - alpha) * (s["v"] + d * alpha * d)).alias("v"))
+    def step(s, us, seq, x):
+        d = x - s[1] if s[0] else 0.0
+        s[:] = [1, s[1] + alpha * d, (1 - alpha) * (s[2] + d * alpha * d)] if s[0] else [1, x, 0.0]
+        return ()
+
+    return ordered_fold(packets.filter(F.col(value).isNotNull()), key, [value], lambda: [0, 0.0, 0.0], step, "mean double, variance double", lambda s: [(s[1], s[2])])
 
-    return lists.select(key, F.aggregate(tail(F.col("xs")), start, step).alias("s")).select(key, F.col("s.m").alias("mean"), F.col("s.v").alias("variance"))
+
+def z_scores(packets: DataFrame, key: str, value: str, alpha: float) -> DataFrame:
+    """key, us, seq, z: each value's distance from the smoothed mean before it, in deviations; 0 without a deviation."""
+
+    def step(s, us, seq, x):
+        sd = math.sqrt(s[2])
+        z = (x - s[1]) / sd if s[0] and sd > 1e-9 else 0.0
+        d = x - s[1] if s[0] else 0.0
+        s[:] = [1, s[1] + alpha * d, (1 - alpha) * (s[2] + d * alpha * d)] if s[0] else [1, x, 0.0]
+        return [(us, seq, z)]
+
+    return ordered_fold(packets.filter(F.col(value).isNotNull()), key, [value], lambda: [0, 0.0, 0.0], step, "us long, seq long, z double")
 
 
 def cusum(packets: DataFrame, key: str, value: str, target: float, slack: float, limit: float) -> DataFrame:
     """key, n_up, n_down: alarms of a two-sided cumulative sum. Only the side that fires starts anew; up comes first."""
-    lists = packets.groupBy(key).agg(ordered(value).alias("xs"))
-    start = F.struct(F.lit(0.0).alias("hi"), F.lit(0.0).alias("lo"), F.lit(0).cast("long").alias("up"), F.lit(0).cast("long").alias("down"))
 
-    def step(s: Column, x: Column) -> Column:
-        hi, lo = F.greatest(F.lit(0.0), s["hi"] + x - target - slack), F.greatest(F.lit(0.0), s["lo"] + target - x - slack)
-        up, down = hi > limit, (hi <= limit) & (lo > limit)
-        return F.struct(F.when(up, 0.0).otherwise(hi).alias("hi"), F.when(down, 0.0).otherwise(lo).alias("lo"), (s["up"] + up.cast("long")).alias("up"), (s["down"] + down.cast("long")).alias("down"))
+    def step(s, us, seq, x):
+        hi, lo = max(0.0, s[0] + x - target - slack), max(0.0, s[1] + target - x - slack)
+        up, down = hi > limit, hi <= limit and lo > limit
+        s[:] = [0.0 if up else hi, 0.0 if down else lo, s[2] + up, s[3] + down]
+        return ()
 
-    return lists.select(key, F.aggregate("xs", start, step).alias("s")).select(key, F.col("s.up").alias("n_up"), F.col("s.down").alias("n_down"))
+    return ordered_fold(packets.filter(F.col(value).isNotNull()), key, [value], lambda: [0.0, 0.0, 0, 0], step, "n_up long, n_down long", lambda s: [(s[2], s[3])])
 
 
 def page_hinkley(packets: DataFrame, key: str, value: str, delta: float, limit: float) -> DataFrame:
     """key, n_alarms: rises of the mean. The running mean goes on after an alarm, the accumulators start anew."""
-    lists = packets.groupBy(key).agg(ordered(value).alias("xs"))
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("least"), F.lit(0).cast("long").alias("alarms"))
-
-    def step(s: Column, x: Column) -> Column:
-        n = s["n"] + 1
-        mean = s["mean"] + (x - s["mean"]) / n
-        total = s["sum"] + x - mean - delta
-        least = F.least(s["least"], total)
+
+    def step(s, us, seq, x):
+        n = s[0] + 1
+        mean = s[1] + (x - s[1]) / n
+        total = s[2] + x - mean - delta
+        least = min(s[3], total)
         fired = total - least > limit
-        return F.struct(n.alias("n"), mean.alias("mean"), F.when(fired, 0.0).otherwise(total).alias("sum"), F.when(fired, 0.0).otherwise(least).alias("least"), (s["alarms"] + fired.cast("long")).alias("alarms"))
+        s[:] = [n, mean, 0.0 if fired else total, 0.0 if fired else least, s[4] + fired]
+        return ()
+
+    return ordered_fold(packets.filter(F.col(value).isNotNull()), key, [value], lambda: [0, 0.0, 0.0, 0.0, 0], step, "n_alarms long", lambda s: [(s[4],)])
+
+
+def cooled(hits: DataFrame, key: str | list[str], cooldown_us: int, at_equality: bool = False) -> DataFrame:
+    """Hits (us, seq) of a key that come more than the cooldown after the last one that counted (or exactly at it)."""
+
+    def step(s, us, seq):
+        if s and (us - s[0] < cooldown_us if at_equality else us - s[0] <= cooldown_us):
+            return ()
+        s[:] = [us]
+        return [(us, seq)]
+
+    return ordered_fold(hits, key, [], list, step, "us long, seq long")
+
+
+def bursts(events: DataFrame, key: str, kind: str, burst: str, threshold: int, window_us: int, trigger: str | None = None) -> DataFrame:
+    """key, us, seq, n: moments at which `threshold` burst events lie in the window.
+
+    Without a trigger the event that reaches the threshold fires; with one, a trigger event does while enough are live.
+    Firing clears the key's events, so at most `threshold` times are held without a trigger.
+    """
+
+    def step(s, us, seq, name):
+        s[:] = [t for t in s if us - t <= window_us]
+        if name == burst:
+            s.append(us)
+            if len(s) > threshold:
+                del s[0]  # older ones make no difference to whether enough are live
+        fired = len(s) >= threshold and (name == burst if trigger is None else name == trigger)
+        if not fired:
+            return ()
+        n = len(s)
+        s.clear()
+        return [(us, seq, n)]
+
+    return ordered_fold(events, key, [kind], list, step, "us long, seq long, n int")
+
+
+def sequences(events: DataFrame, key: str, kind: str, pattern: list[str], within_us: int) -> DataFrame:
+    """key, us, seq: ends of `pattern` as a subsequence of a key's events, all within `within_us` of its first one.
+
+    The state is the start of the latest attempt at each length of the pattern; a match starts everything anew.
+    """
+
+    def step(s, us, seq, name):
+        for i in reversed(range(len(pattern))):
+            begun = us if i == 0 else s[i - 1]
+            if name == pattern[i] and begun is not None and us - begun <= within_us:
+                s[i] = begun
+        if s[-1] is None:
+            return ()
+        s[:] = [None] * len(pattern)
+        return [(us, seq)]
 
-    return lists.select(key, F.aggregate("xs", start, step).alias("s")).select(key, F.col("s.alarms").alias("n_alarms"))
+    return ordered_fold(events, key, [kind], lambda: [None] * len(pattern), step, "us long, seq long")

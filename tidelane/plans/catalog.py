@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from tidelane import sinks
 from tidelane.functions import scalars
-from tidelane.operators import correlate, detect, flows, folds, rates
+from tidelane.operators import correlate, detect, flows, folds, rates, sketches
 from tidelane.sources import frames
+from tidelane.plans.registry import ORACLES, QUERIES, query
 from tidelane.sources.events import packets
 
 FLAGSHIP = "flow_summary"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 
@@ -29,16 +28,6 @@ CAST(coalesce(sum(bytes) FILTER (side = 'initiator'), 0) AS BIGINT) AS bytes_ini
 XS = f"{EV}, xs AS (SELECT src, list(value ORDER BY us, seq) AS xs FROM ev GROUP BY src)"
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.track(packets(spark, sf_dir), "src", DAY)
 
@@ -143,16 +132,31 @@ def welford(spark, sf_dir):
     return rates.welford(packets(spark, sf_dir), "svc", "value").select("svc", "n", *r6("mean", "var_pop", "var_samp"), "least", "most")
 
 
-@query(f"WITH {EV} SELECT svc, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM ev GROUP BY svc")
+@query(f"""WITH {EV}, k AS (SELECT *, floor(50 * (asin(2 * (row_number() OVER w - 0.5) / count(*) OVER (PARTITION BY svc) - 1) / pi() + 0.5)) AS c FROM ev WINDOW w AS (PARTITION BY svc ORDER BY value)),
+d AS (SELECT svc, c, avg(value) AS mean, count(*) AS n FROM k GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY svc ORDER BY c) - n / 2 AS mid, 0.99 * sum(n) OVER (PARTITION BY svc) AS rank FROM d),
+x AS (SELECT *, lead(mid) OVER v AS nm, lead(mean) OVER v AS ne, lag(mid) OVER v IS NULL AS f FROM m WINDOW v AS (PARTITION BY svc ORDER BY c))
+SELECT svc, round(CASE WHEN rank < mid OR nm IS NULL THEN mean ELSE mean + (rank - mid) / (nm - mid) * (ne - mean) END, 6) AS p99 FROM x WHERE (mid <= rank AND (rank < nm OR nm IS NULL)) OR (f AND rank < mid)""")
 def percentiles(spark, sf_dir):
-    return packets(spark, sf_dir).groupBy("svc").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.99), 6).alias("p99"))
+    """The 99th percentile by a t-digest."""
+    return sketches.digest_quantile(sketches.centroids(packets(spark, sf_dir), "svc", "value"), "svc", 0.99).select("svc", F.round("quantile", 6).alias("p99"))
+
+
+@query(f"WITH {EV} SELECT svc, round(quantile_disc(value, 0.99), 2) AS p99, TRUE AS close FROM ev GROUP BY svc")
+def percentile_error(spark, sf_dir):
+    """Whether the t-digest's 99th percentile lies between the exact 98.5th and 99.5th."""
+    ev = packets(spark, sf_dir)
+    exact = ev.groupBy("svc").agg(F.percentile_approx("value", F.array(F.lit(0.985), F.lit(0.99), F.lit(0.995)), 1_000_000).alias("q"))
+    got = sketches.digest_quantile(sketches.centroids(ev, "svc", "value"), "svc", 0.99)
+    return got.join(exact, "svc").select("svc", F.round(F.col("q")[1], 2).alias("p99"), F.col("quantile").between(F.col("q")[0], F.col("q")[2]).alias("close"))
 
 
-@query(f"WITH {EV} SELECT svc, TRUE AS within FROM ev GROUP BY svc")
+@query(f"WITH {EV} SELECT svc, count(DISTINCT src) AS n_exact, TRUE AS close FROM ev GROUP BY svc")
 def distinct_sketch(spark, sf_dir):
-    """Whether the distinct-count sketch is within 10 % of the exact count."""
-    exact = F.count_distinct("src")
-    return packets(spark, sf_dir).groupBy("svc").agg((F.abs(F.approx_count_distinct("src", 0.03) - exact) <= 0.1 * exact).alias("within"))
+    """The registers' estimate of distinct users beside their exact number, and whether it is within 15 % of it."""
+    ev = packets(spark, sf_dir)
+    got = sketches.hll_counts(sketches.hll_registers(ev, "svc", "src"), "svc")
+    exact = ev.select("svc", "src").distinct().groupBy("svc").agg(F.count("*").alias("n_exact"))
+    return got.join(exact, "svc").select("svc", "n_exact", (F.abs(F.col("estimate") - F.col("n_exact")) <= 0.15 * F.col("n_exact")).alias("close"))
 
 
 @query(f"WITH {XS} SELECT src, CAST(len(xs) AS BIGINT) AS n, round(list_reduce(xs, lambda m, x: 0.3 * x + 0.7 * m), 6) AS ewma FROM xs")
@@ -172,7 +176,10 @@ def cusum(spark, sf_dir):
     return folds.cusum(packets(spark, sf_dir), "src", "value", 50.0, 5.0, 200.0)
 
 
-@query()
+@query(f"""WITH {XS}, s AS (SELECT src, list_reduce(list_transform(list_prepend(NULL, xs), lambda x: {{'x': x, 'n': 0::BIGINT, 'm': 0.0::DOUBLE, 't': 0.0::DOUBLE, 'l': 0.0::DOUBLE, 'a': 0::BIGINT}}), lambda s, e: {{'x': e.x, 'n': s.n + 1, 'm': s.m + (e.x - s.m) / (s.n + 1),
+'t': CASE WHEN s.t + e.x - (s.m + (e.x - s.m) / (s.n + 1)) - 1 - least(s.l, s.t + e.x - (s.m + (e.x - s.m) / (s.n + 1)) - 1) > 150 THEN 0 ELSE s.t + e.x - (s.m + (e.x - s.m) / (s.n + 1)) - 1 END,
+'l': CASE WHEN s.t + e.x - (s.m + (e.x - s.m) / (s.n + 1)) - 1 - least(s.l, s.t + e.x - (s.m + (e.x - s.m) / (s.n + 1)) - 1) > 150 THEN 0 ELSE least(s.l, s.t + e.x - (s.m + (e.x - s.m) / (s.n + 1)) - 1) END,
+'a': s.a + CASE WHEN s.t + e.x - (s.m + (e.x - s.m) / (s.n + 1)) - 1 - least(s.l, s.t + e.x - (s.m + (e.x - s.m) / (s.n + 1)) - 1) > 150 THEN 1 ELSE 0 END}}) AS s FROM xs) SELECT src, s.a AS n_alarms FROM s""")
 def page_hinkley(spark, sf_dir):
     return folds.page_hinkley(packets(spark, sf_dir), "src", "value", 1.0, 150.0)
 
@@ -254,11 +261,6 @@ def decode_frames(spark, sf_dir):
     return frames.decode_ipv4(ev.select("event_id", frame.alias("frame"))).select("event_id", "proto", "src_ip", "dst_ip", "src_port", "dst_port", F.col("payload").cast("string").alias("payload"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN text LIKE 'PRI * HTTP/2%' THEN 'http2' WHEN text LIKE 'SSH-%' THEN 'ssh' WHEN regexp_matches(text, '^(GET |POST |PUT |HEAD |DELETE |OPTIONS |PATCH |HTTP/1\\.)') THEN 'http' ELSE 'raw' END AS protocol FROM conversations""")
-def classify_first_bytes(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", scalars.first_bytes(F.col("text")).alias("protocol"))
-
-
 @query(f"""WITH {XS.replace('list(value ORDER', "list(svc IN ('signup', 'view', 'click') ORDER")}, s AS (SELECT src, list_reduce(list_transform(list_prepend(FALSE, xs), lambda x: {{'ok': x, 's': 0.0::DOUBLE, 'scan': 0::BIGINT, 'benign': 0::BIGINT}}), lambda a, x: {{'ok': x.ok,
 's': CASE WHEN a.s + (CASE WHEN x.ok THEN ln(0.25) ELSE ln(4.0) END) >= ln(99) - 1e-9 OR a.s + (CASE WHEN x.ok THEN ln(0.25) ELSE ln(4.0) END) <= -ln(99) + 1e-9 THEN 0 ELSE a.s + (CASE WHEN x.ok THEN ln(0.25) ELSE ln(4.0) END) END,
 'scan': a.scan + CASE WHEN a.s + (CASE WHEN x.ok THEN ln(0.25) ELSE ln(4.0) END) >= ln(99) THEN 1 ELSE 0 END, 'benign': a.benign + CASE WHEN a.s + (CASE WHEN x.ok THEN ln(0.25) ELSE ln(4.0) END) <= -ln(99) THEN 1 ELSE 0 END}}) AS s FROM xs) SELECT src, s.scan AS n_scanner, s.benign AS n_benign FROM s""")
@@ -273,7 +275,11 @@ def beacon_scores(spark, sf_dir):
     return detect.beacon_scores(packets(spark, sf_dir), ["src"], 10, 86400).select("src", "n", *r6("mean_gap_s", "score"))
 
 
-@query()
+#: Of `hits` those that come more than a cooldown after the last one that counted.
+COOL = """l AS (SELECT src, list({{'us': us, 'seq': seq}} ORDER BY us, seq) AS h FROM hits GROUP BY src), k AS (SELECT src, list_reduce(list_prepend([]::STRUCT(us BIGINT, seq BIGINT)[], list_transform(h, lambda x: [x])), lambda out, x: CASE WHEN len(out) = 0 OR x[1].us - out[-1].us > {cool} THEN list_concat(out, x) ELSE out END) AS k FROM l), e AS (SELECT src, unnest(k) AS h FROM k)"""
+
+
+@query(f"WITH {EV}, c AS (SELECT a.src, a.us, a.seq, count(*) AS live FROM ev a JOIN ev b ON a.src = b.src AND (b.us, b.seq) <= (a.us, a.seq) AND (b.us // {DAY}) * {DAY} >= a.us - 2 * {DAY} GROUP BY ALL), hits AS (SELECT * FROM c WHERE live >= 8), {COOL.format(cool=5 * DAY)} SELECT src, h.us AS us, h.seq AS seq FROM e")
 def connection_flood(spark, sf_dir):
     return detect.connection_flood(packets(spark, sf_dir), "src", 8, DAY, 2, 5 * DAY)
 
@@ -284,13 +290,22 @@ def data_exfil(spark, sf_dir):
     return detect.data_exfil(packets(spark, sf_dir), "src", "value", 0.1, 10, 100.0, 2.0)
 
 
-@query(f"""WITH {HOSTS}, w AS (SELECT DISTINCT split_part(dom, '.', 1) AS sld FROM r), t AS (SELECT n_name FROM nation), m AS (SELECT b, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(n_name)), lambda i: lower(substring(n_name, i, 2)))) AS b FROM t) GROUP BY b), f AS (SELECT substring(b, 1, 1) AS a, sum(n) AS t FROM m GROUP BY 1),
-e AS (SELECT sld, unnest(list_transform(range(1, length(sld)), lambda i: substring(sld, i, 2))) AS b FROM w WHERE length(sld) >= 2) SELECT sld, round(avg(ln((coalesce(n, 0) + 1) / (coalesce(t, 0) + 37))), 6) AS score FROM e LEFT JOIN m USING (b) LEFT JOIN f ON substring(e.b, 1, 1) = f.a GROUP BY sld""")
+#: Labels of hosts, and words of conversations, from which a model of pairs of letters is made.
+DGA = r"""w AS (SELECT DISTINCT regexp_extract(host, '([a-z0-9-]+)\.example\.', 1) AS sld FROM h), t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM conversations), m AS (SELECT b, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(word)), lambda i: substring(word, i, 2))) AS b FROM t) GROUP BY b),
+f AS (SELECT substring(b, 1, 1) AS a, sum(n) AS t FROM m GROUP BY 1), e AS (SELECT sld, unnest(list_transform(range(1, length(sld)), lambda i: substring(sld, i, 2))) AS b FROM w WHERE length(sld) >= 2), g AS (SELECT sld, round(avg(ln((coalesce(n, 0) + 1) / (coalesce(t, 0) + 37))), 6) AS score FROM e LEFT JOIN m USING (b) LEFT JOIN f ON substring(e.b, 1, 1) = f.a GROUP BY sld)"""
+
+
+def name_scores(spark, sf_dir):
+    words = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), 0)).alias("word")).groupBy("word").agg(F.count("*").alias("k"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, 2))
+    model = words.select("k", F.explode(pairs).alias("bigram")).groupBy("bigram").agg(F.sum("k").alias("n"))
+    names = page_hosts(spark, sf_dir).select(F.regexp_extract("host", r"([a-z0-9-]+)\.example\.", 1).alias("sld"))
+    return detect.bigram_scores(names, "sld", model)
+
+
+@query(f"WITH {HOSTS}, {DGA} SELECT * FROM g")
 def dga_scores(spark, sf_dir):
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    model = nations.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("n_name") - 1), lambda i: F.lower(F.substring(F.col("n_name"), i, 2)))).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
-    names = page_hosts(spark, sf_dir).select(scalars.second_level(F.col("host")).alias("sld"))
-    return detect.bigram_scores(names, "sld", model).select("sld", *r6("score"))
+    return name_scores(spark, sf_dir).select("sld", *r6("score"))
 
 
 @query(f"WITH {FL} SELECT src || ',' || flow_no || ',' || start_us || ',' || end_us || ',' || packets_initiator || ',' || bytes_initiator AS line FROM fl")

@@ -1,33 +1,271 @@
-"""Ethernet frames to columns: addresses, ports and payload of IPv4 with TCP or UDP, by byte arithmetic alone."""
+"""Frames to header fields: link layers, tags, addresses, transports and tunnels, by byte arithmetic alone.
+
+`decode` adds columns to a relation with a binary column `frame`; what a query doesn't select is pruned. Frames whose
+headers end early have nulls there and `truncated`.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.functions.scalars import dotted, number
+from tidelane.functions import wire
+from tidelane.functions.wire import bit, bits, cut, ipv4, ipv6, mac, rest, uint
 
+#: EtherTypes, IP protocols, link types of capture files, UDP ports of tunnels.
+VLAN, MPLS, IPV4, IPV6, ARP, BRIDGED = (0x8100, 0x88A8, 0x9100), (0x8847, 0x8848), 0x0800, 0x86DD, 0x0806, 0x6558
+ICMP, TCP, UDP, GRE, ICMPV6 = 1, 6, 17, 47, 58
+ETHERNET, SLL, SLL2, RAW, LINK_V4, LINK_V6, NULL, LOOP = 1, 113, 276, (12, 14, 101), 228, 229, 0, 108
+VXLAN_PORT, GTPU_PORT = 4789, 2152
+#: IPv6 headers that name a next one after a length in units of 8 bytes, the fragment header, and the authentication header.
+LONG_HEADERS, FRAGMENT, AUTHENTICATION = (0, 43, 60), 44, 51
+BLANK_ETHERNET = "00" * 12
 
-def decode_ipv4(frames: DataFrame, column: str = "frame") -> DataFrame:
-    """`frames` with proto, src_ip, dst_ip, src_port, dst_port, tcp_seq, tcp_flags, payload; others than IPv4 go.
 
-    Frames that end before their transport header count as unmatched and go, too.
+def normalise(frames: DataFrame, link: str = "link_type", column: str = "frame") -> DataFrame:
+    """`frames` as Ethernet frames, with `direction` (inbound, outbound or null) and `supported`.
+
+    Cooked captures, raw IP and loopback get an Ethernet header with zero addresses. Frames of other link types stay as
+    they are and are not supported.
+    """
+    f, kind = F.col(column), F.col(link)
+    by_version = F.when(bits(uint(f, 0, 1), 4, 4) == 6, "86DD").otherwise("0800")
+    family = F.when(kind == LOOP, uint(f, 0, 4)).otherwise(uint(f, 0, 4, little=True))
+
+    def ethernet(type_: Column, at: int) -> Column:
+        return F.concat(F.unhex(F.concat(F.lit(BLANK_ETHERNET), type_)), rest(f, at))
+
+    out = (
+        F.when(kind == SLL, ethernet(F.hex(cut(f, 14, 2)), 16))
+        .when(kind == SLL2, ethernet(F.hex(cut(f, 0, 2)), 20))
+        .when(kind.isin(*RAW), ethernet(by_version, 0))
+        .when(kind == LINK_V4, ethernet(F.lit("0800"), 0))
+        .when(kind == LINK_V6, ethernet(F.lit("86DD"), 0))
+        .when(kind.isin(NULL, LOOP), ethernet(F.when(family == 2, "0800").otherwise("86DD"), 4))
+        .otherwise(f)
+    )
+    sent = F.when(kind == SLL, uint(f, 0, 2)).when(kind == SLL2, uint(f, 10, 1))
+    direction = F.when(sent == 4, "outbound").when(sent.isNotNull(), "inbound")
+    supported = kind.isin(ETHERNET, SLL, SLL2, *RAW, LINK_V4, LINK_V6, NULL, LOOP)
+    return frames.select(*[c for c in frames.columns if c != column], out.alias(column), direction.alias("direction"), supported.alias("supported"))
+
+
+def tags(f: Column) -> Column:
+    """struct<at, type, vlans, mpls>: where the network header begins, its EtherType, and what stands before it."""
+    start = F.struct(F.lit(14).alias("at"), uint(f, 12, 2).alias("type"), F.array().cast("array<struct<vid:bigint,pcp:bigint,dei:boolean>>").alias("vlans"), F.array().cast("array<struct<label:bigint,tc:bigint,bottom:boolean,ttl:bigint>>").alias("mpls"))
+
+    def step(s: Column, _: Column) -> Column:
+        at = s["at"]
+        tci = uint(f, at, 2)
+        tag = F.struct(bits(tci, 0, 12).alias("vid"), bits(tci, 13, 3).alias("pcp"), bit(tci, 0x1000).alias("dei"))
+        vlan = F.struct((at + 4).alias("at"), uint(f, at + 2, 2).alias("type"), F.concat(s["vlans"], F.array(tag)).alias("vlans"), s["mpls"].alias("mpls"))
+        word = uint(f, at, 4)
+        label = F.struct(bits(word, 12, 20).alias("label"), bits(word, 9, 3).alias("tc"), bit(word, 0x100).alias("bottom"), bits(word, 0, 8).alias("ttl"))
+        below = F.when(~bit(word, 0x100), s["type"]).when(bits(uint(f, at + 4, 1), 4, 4) == 6, IPV6).otherwise(IPV4)
+        mpls = F.struct((at + 4).alias("at"), below.cast("bigint").alias("type"), s["vlans"].alias("vlans"), F.concat(s["mpls"], F.array(label)).alias("mpls"))
+        there = F.length(f) >= at + 4
+        return F.when(there & s["type"].isin(*VLAN), vlan).when(there & s["type"].isin(*MPLS), mpls).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step)
+
+
+def network(f: Column, t: Column) -> Column:
+    """struct<version, src, dst, src_bytes, dst_bytes, proto, ttl, dscp, ecn, id, df, mf, fragment, label, at, end>.
+
+    at: where the transport header begins; end: where the packet ends by its own length; fragment: offset in bytes.
+    """
+    at = t["at"]
+    flags = uint(f, at + 6, 2)
+    total = uint(f, at + 2, 2)
+    v4 = F.struct(
+        F.lit(4).alias("version"), ipv4(f, at + 12).alias("src"), ipv4(f, at + 16).alias("dst"), cut(f, at + 12, 4).alias("src_bytes"), cut(f, at + 16, 4).alias("dst_bytes"),
+        uint(f, at + 9, 1).alias("proto"), uint(f, at + 8, 1).alias("ttl"), bits(uint(f, at + 1, 1), 2, 6).alias("dscp"), bits(uint(f, at + 1, 1), 0, 2).alias("ecn"), uint(f, at + 4, 2).alias("id"),
+        bit(flags, 0x4000).alias("df"), bit(flags, 0x2000).alias("mf"), (bits(flags, 0, 13) * 8).alias("fragment"), F.lit(None).cast("bigint").alias("label"),
+        (at + bits(uint(f, at, 1), 0, 4) * 4).cast("int").alias("at"), F.least(at + F.when(total > 0, total).otherwise(F.length(f) - at), F.length(f)).cast("int").alias("end"),
+    )
+    start = F.struct((at + 40).cast("int").alias("at"), uint(f, at + 6, 1).alias("next"), F.lit(0).cast("bigint").alias("fragment"), F.lit(False).alias("mf"), F.lit(None).cast("bigint").alias("id"))
+
+    def step(s: Column, _: Column) -> Column:
+        a, n = s["at"], s["next"]
+        size = F.when(n == FRAGMENT, 8).when(n == AUTHENTICATION, (uint(f, a + 1, 1) + 2) * 4).otherwise((uint(f, a + 1, 1) + 1) * 8)
+        here = n == FRAGMENT
+        offset = F.when(here, bits(uint(f, a + 2, 2), 3, 13) * 8).otherwise(s["fragment"])
+        more = F.struct((a + size).cast("int").alias("at"), uint(f, a, 1).alias("next"), offset.alias("fragment"), F.when(here, bit(uint(f, a + 2, 2), 1)).otherwise(s["mf"]).alias("mf"), F.when(here, uint(f, a + 4, 4)).otherwise(s["id"]).alias("id"))
+        return F.when(n.isin(*LONG_HEADERS, FRAGMENT, AUTHENTICATION) & (s["fragment"] == 0) & (F.length(f) >= a + 8), more).otherwise(s)
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step)
+    word = uint(f, at, 4)
+    v6 = wire.let(walked, lambda w: F.struct(
+        F.lit(6).alias("version"), ipv6(f, at + 8).alias("src"), ipv6(f, at + 24).alias("dst"), cut(f, at + 8, 16).alias("src_bytes"), cut(f, at + 24, 16).alias("dst_bytes"),
+        w["next"].alias("proto"), uint(f, at + 7, 1).alias("ttl"), bits(word, 22, 6).alias("dscp"), bits(word, 20, 2).alias("ecn"), w["id"].alias("id"),
+        F.lit(None).cast("boolean").alias("df"), w["mf"].alias("mf"), w["fragment"].alias("fragment"), bits(word, 0, 20).alias("label"),
+        w["at"].alias("at"), F.least(at + 40 + uint(f, at + 4, 2), F.length(f)).cast("int").alias("end"),
+    ))
+    return F.when((t["type"] == IPV4) & (F.length(f) >= at + 20), v4).when((t["type"] == IPV6) & (F.length(f) >= at + 40), v6)
+
+
+def tcp_options(f: Column, start: Column, end: Column) -> Column:
+    """array<struct<kind, at, size>>: options up to the end mark; those of one byte have size 0."""
+    state = F.struct(start.cast("int").alias("at"), F.array().cast("array<struct<kind:bigint,at:int,size:int>>").alias("found"))
+
+    def step(s: Column, _: Column) -> Column:
+        at = s["at"]
+        kind, size = uint(f, at, 1), F.when(uint(f, at, 1) == 1, 0).otherwise(uint(f, at + 1, 1) - 2).cast("int")
+        head = F.when(kind == 1, 1).otherwise(2)
+        one = F.struct(kind.alias("kind"), (at + head).cast("int").alias("at"), size.alias("size"))
+        ok = (at >= 0) & (at < end) & (kind != 0) & (size >= 0) & (at + head + size <= end)
+        return F.when(F.coalesce(ok, F.lit(False)), F.struct((at + head + size).cast("int").alias("at"), F.concat(s["found"], F.array(one)).alias("found"))).otherwise(F.struct(F.lit(-1).alias("at"), s["found"].alias("found")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), state, step, lambda s: s["found"])
+
+
+def decode(frames: DataFrame, column: str = "frame") -> DataFrame:
+    """`frames` with eth, vlans, mpls, ip, proto, src_ip, dst_ip, src_port, dst_port, tcp, icmp, arp, payload, truncated.
+
+    Ports belong to TCP and UDP; later fragments have none. A payload ends where its packet does, not with the padding.
     """
     f = F.col(column)
-    found = frames.filter((F.hex(F.substring(f, 13, 2)) == "0800") & (F.length(f) >= 42))
-    found = found.withColumn("__l4", (14 + number(f, 14, 1) % 16 * 4).cast("int")).withColumn("__total", number(f, 16, 2).cast("int"))
-    proto = number(f, 23, 1)
-    at = lambda start, size: F.conv(F.hex(F.expr(f"substring({column}, __l4 + {start + 1}, {size})")), 16, 10).cast("long")
-    head = F.when(proto == 6, F.floor(at(12, 1) / 16) * 4).when(proto == 17, F.lit(8)).otherwise(0)
-    found = found.withColumn("__head", head.cast("int"))
-    return found.select(
+    out = frames.withColumn("__t", tags(f))
+    t = F.col("__t")
+    out = out.withColumn("ip", network(f, t))
+    ip = F.col("ip")
+    l4, first = ip["at"], F.coalesce(ip["fragment"] == 0, F.lit(False))
+    is_tcp, is_udp = first & (ip["proto"] == TCP), first & (ip["proto"] == UDP)
+    is_icmp = first & ip["proto"].isin(ICMP, ICMPV6)
+    head = F.when(is_tcp, bits(uint(f, l4 + 12, 1), 4, 4) * 4).when(is_udp, 8).when(is_icmp, 8).otherwise(0)
+    out = out.withColumn("__end", (l4 + head).cast("int"))
+    tcp = F.struct(
+        uint(f, l4 + 4, 4).alias("seq"), uint(f, l4 + 8, 4).alias("ack"), uint(f, l4 + 13, 1).cast("int").alias("flags"), uint(f, l4 + 14, 2).cast("int").alias("window"),
+        tcp_options(f, l4 + 20, F.col("__end")).alias("options"),
+    )
+    arp_at = t["at"]
+    arp = F.struct(
+        uint(f, arp_at + 6, 2).cast("int").alias("oper"), mac(f, arp_at + 8).alias("sender_mac"), ipv4(f, arp_at + 14).alias("sender_ip"), mac(f, arp_at + 18).alias("target_mac"), ipv4(f, arp_at + 24).alias("target_ip"),
+    )
+    has_arp = (t["type"] == ARP) & (F.length(f) >= arp_at + 28) & (uint(f, arp_at, 4) == 0x00010800)
+    ported = is_tcp | is_udp
+    names = F.when(ip["proto"] == TCP, "tcp").when(ip["proto"] == UDP, "udp").when(ip["proto"] == ICMP, "icmp").when(ip["proto"] == ICMPV6, "icmp6").when(ip.isNotNull(), "other")
+    return out.select(
         *frames.columns,
-        F.when(proto == 6, "tcp").when(proto == 17, "udp").otherwise("other").alias("proto"),
-        dotted(f, 26).alias("src_ip"),
-        dotted(f, 30).alias("dst_ip"),
-        at(0, 2).cast("int").alias("src_port"),
-        at(2, 2).cast("int").alias("dst_port"),
-        F.when(proto == 6, at(4, 4)).alias("tcp_seq"),
-        F.when(proto == 6, at(13, 1)).cast("int").alias("tcp_flags"),
-        F.expr(f"substring({column}, __l4 + __head + 1, 14 + __total - __l4 - __head)").alias("payload"),
+        F.struct(mac(f, 0).alias("dst"), mac(f, 6).alias("src"), uint(f, 12, 2).cast("int").alias("type")).alias("eth"),
+        t["vlans"].alias("vlans"),
+        t["mpls"].alias("mpls"),
+        "ip",
+        names.alias("proto"),
+        ip["src"].alias("src_ip"),
+        ip["dst"].alias("dst_ip"),
+        F.when(ported, uint(f, l4, 2)).cast("int").alias("src_port"),
+        F.when(ported, uint(f, l4 + 2, 2)).cast("int").alias("dst_port"),
+        F.when(is_tcp & (F.length(f) >= l4 + 20), tcp).alias("tcp"),
+        F.when(is_icmp & (F.length(f) >= l4 + 4), F.struct(uint(f, l4, 1).cast("int").alias("type"), uint(f, l4 + 1, 1).cast("int").alias("code"), rest(f, l4).alias("message"))).alias("icmp"),
+        F.when(has_arp, arp).alias("arp"),
+        F.when(ip.isNotNull(), cut(f, F.col("__end"), F.greatest(ip["end"] - F.col("__end"), F.lit(0)))).alias("payload"),
+        F.coalesce(F.length(f) < F.coalesce(F.col("__end"), F.lit(14)), F.lit(False)).alias("truncated"),
     )
+
+
+def option_value(f: Column, options: Column, kind: int, size: int) -> Column:
+    """Number in a TCP option; null without it."""
+    return wire.let(wire.found(options, kind), lambda o: F.when(o.isNotNull(), uint(f, o["at"], size)))
+
+
+def strip_tags(frames: DataFrame, column: str = "frame") -> DataFrame:
+    """`frames` without VLAN tags and MPLS labels."""
+    f, t = F.col(column), F.col("__t")
+    out = F.concat(cut(f, 0, 12), F.unhex(wire.hexed(t["type"], 2)), rest(f, t["at"]))
+    return frames.withColumn("__t", tags(f)).withColumn(column, F.when(t["at"] > 14, out).otherwise(f)).drop("__t")
+
+
+def with_ethernet(packet: Column) -> Column:
+    """An IP packet behind an Ethernet header with zero addresses."""
+    type_ = F.when(bits(uint(packet, 0, 1), 4, 4) == 6, "86DD").otherwise("0800")
+    return F.concat(F.unhex(F.concat(F.lit(BLANK_ETHERNET), type_)), packet)
+
+
+def inner_frame(f: Column, ip: Column, dst_port: Column, payload: Column) -> dict[str, Column]:
+    """kind of tunnel -> (its number, frame inside), null where there is none; arguments are columns of `decode`."""
+    vxlan = (dst_port == VXLAN_PORT) & (F.length(payload) > 8) & bit(uint(payload, 0, 1), 8)
+    flags = uint(payload, 0, 1)
+    gtp = (dst_port == GTPU_PORT) & (bits(flags, 4, 4) == 3) & (uint(payload, 1, 1) == 255)
+    gtp_head = F.when(flags.bitwiseAND(F.lit(7)) > 0, 12).otherwise(8)
+    g = uint(f, ip["at"], 2)
+    more = lambda mask: F.when(bit(g, mask), 4).otherwise(0)
+    gre_head = 4 + more(0x8000) + more(0x2000) + more(0x1000)
+    gre_type = uint(f, ip["at"] + 2, 2)
+    gre_rest = rest(f, ip["at"] + gre_head)
+    gre = (ip["proto"] == GRE) & (ip["fragment"] == 0)
+    inside = F.when(gre_type == BRIDGED, gre_rest).when(gre_type.isin(IPV4, IPV6), with_ethernet(gre_rest))
+    one = lambda number, frame: F.struct(number.alias("number"), frame.alias("frame"))
+    return {
+        "vxlan": F.when(vxlan, one(uint(payload, 4, 3), rest(payload, 8))),
+        "gtpu": F.when(gtp, one(uint(payload, 4, 4), with_ethernet(rest(payload, gtp_head)))),
+        "gre": F.when(gre & inside.isNotNull(), one(F.when(bit(g, 0x2000), uint(f, ip["at"] + 4 + more(0x8000), 4)), inside)),
+    }
+
+
+def decapsulate(frames: DataFrame, kinds: tuple[str, ...] = ("vxlan", "gtpu", "gre"), column: str = "frame") -> DataFrame:
+    """`frames` with the frame inside of a tunnel of these kinds in place of the outer one, tunnel and tunnel_number.
+
+    The first kind that fits is taken; frames without a tunnel stay. Apply it again for tunnels in tunnels.
+    """
+    told = decode(frames.select(*frames.columns), column)
+    inside = inner_frame(F.col(column), F.col("ip"), F.col("dst_port"), F.col("payload"))
+    told = told.select(*frames.columns, *[inside[k].alias(f"__{k}") for k in kinds])
+    kind = F.coalesce(*[F.when(F.col(f"__{k}").isNotNull(), k) for k in kinds])
+    at = F.coalesce(*[F.col(f"__{k}") for k in kinds])
+    return told.select(*[c for c in frames.columns if c != column], F.coalesce(at["frame"], F.col(column)).alias(column), kind.alias("tunnel"), at["number"].alias("tunnel_number"))
+
+
+def layer_names(decoded: DataFrame) -> Column:
+    """The layers of a decoded frame from the outside in."""
+    each = [(F.lit(True), "ethernet"), (F.size("vlans") > 0, "vlan"), (F.size("mpls") > 0, "mpls"), (F.col("arp").isNotNull(), "arp"), (F.col("ip.version") == 4, "ipv4"), (F.col("ip.version") == 6, "ipv6"), (F.col("ip.fragment") > 0, "fragment"), (F.col("proto") == "tcp", "tcp"), (F.col("proto") == "udp", "udp"), (F.col("proto") == "icmp", "icmp"), (F.col("proto") == "icmp6", "icmp6"), (F.col("ip.proto") == GRE, "gre")]
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for c, n in each]))
+
+
+def decode_ipv4(frames: DataFrame, column: str = "frame") -> DataFrame:
+    """`frames` with proto, src_ip, dst_ip, src_port, dst_port, tcp_seq, tcp_flags, payload; others than IPv4 go.
+
+    Frames that end before their transport header count as unmatched and go, too.
+    """
+    found = decode(frames, column).filter((F.col("ip.version") == 4) & ~F.col("truncated"))
+    return found.select(*frames.columns, "proto", "src_ip", "dst_ip", "src_port", "dst_port", F.col("tcp.seq").alias("tcp_seq"), F.col("tcp.flags").alias("tcp_flags"), "payload")
+
+
+#: Bytes of each header in a row of nprint.
+NPRINT = {"eth": 14, "ipv4": 20, "tcp": 20, "udp": 8}
+
+
+def nprint(decoded: DataFrame, column: str = "frame") -> DataFrame:
+    """`decoded` with nprint: 496 numbers for the bits of Ethernet, IPv4, TCP and UDP headers; -1 where there is none."""
+    f, ip = F.col(column), F.col("ip")
+    v4 = F.coalesce(ip["version"] == 4, F.lit(False))
+    at = {"eth": (F.length(f) >= 14, F.lit(0)), "ipv4": (v4, ip["at"] - 20), "tcp": (F.col("tcp").isNotNull() & v4, ip["at"]), "udp": ((F.col("proto") == "udp") & v4, ip["at"])}
+
+    def row(name: str) -> Column:
+        there, start = at[name]
+        bytes_ = F.transform(F.sequence(F.lit(0), F.lit(NPRINT[name] - 1)), lambda i: F.lpad(F.bin(F.coalesce(uint(f, start + i, 1), F.lit(0))), 8, "0"))
+        ones = F.transform(F.filter(F.split(F.array_join(bytes_, ""), ""), lambda c: c != ""), lambda c: c.cast("tinyint"))
+        return F.when(F.coalesce(there, F.lit(False)), ones).otherwise(F.array_repeat(F.lit(-1).cast("tinyint"), 8 * NPRINT[name]))
+
+    return decoded.withColumn("nprint", F.concat(*[row(n) for n in NPRINT]))
+
+
+#: Names of TCP options in signatures.
+OPTION_NAMES = {0: "eol", 1: "nop", 2: "mss", 3: "ws", 4: "sok", 5: "sack", 8: "ts"}
+
+
+def first_ttl(ttl: Column) -> Column:
+    """The least usual first value that isn't below a TTL."""
+    return F.when(ttl <= 32, 32).when(ttl <= 64, 64).when(ttl <= 128, 128).otherwise(255)
+
+
+def syn_signature(f: Column, ip: Column, tcp: Column) -> Column:
+    """version:first ttl:length of IP options:mss:window,scale:options:quirks:payload class of a SYN."""
+    options = tcp["options"]
+    names = F.create_map(*[F.lit(x) for p in OPTION_NAMES.items() for x in p])
+    layout = F.array_join(F.transform(options, lambda o: F.coalesce(F.try_element_at(names, o["kind"].cast("int")), F.concat(F.lit("?"), o["kind"].cast("string")))), ",")
+    quirks = F.array_join(F.array_compact(F.array(F.when(ip["df"], "df"), F.when(ip["df"] & (ip["id"] > 0), "id+"), F.when(~ip["df"] & (ip["id"] == 0), "id-"), F.when(ip["ecn"] > 0, "ecn"), F.when(tcp["seq"] == 0, "seq-"))), ",")
+    olen = F.when(ip["version"] == 4, ip["at"] - 34).otherwise(0)
+    scale = F.coalesce(option_value(f, options, 3, 1), F.lit(0))
+    mss = F.coalesce(option_value(f, options, 2, 2).cast("string"), F.lit("*"))
+    return F.concat_ws(":", ip["version"].cast("string"), first_ttl(ip["ttl"]).cast("string"), olen.cast("string"), mss, F.concat_ws(",", tcp["window"].cast("string"), scale.cast("string")), layout, quirks, F.lit("0"))
