@@ -197,8 +197,8 @@ def test_suffix_dedup(docs, empty, monkeypatch):
                 cut[k + 1 : k + 51] = 1
         kept = bytes(b for b, c in zip(data, cut[1:-1], strict=True) if not c)
         want.append((i, len(data), int(cut.sum()), int((np.diff(cut) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    for hot in (suffix_dedup.HOT, 1):  # with 1, all windows are counted by their hashes
-        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    for part in (suffix_dedup.PART, 1):  # with 1, every anchor is in several parts
+        monkeypatch.setattr(suffix_dedup, "PART", part)
         assert per_row(suffix_dedup.suffix_dedup(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=str)
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
@@ -211,13 +211,13 @@ def test_license_scan(docs, empty):
 
 
 def test_paragraph_sets_are_those_of_brute_force():
-    words = [w.encode().split() for w in ("a b c d e f g h", "a a a a a a a a a", "one", "a b c d e a b c d e a b c")]
-    hashes, counts = linking.shingle_hashes(words, 5)
-    sets = linking.shingle_sets(words, 5)
-    want = [len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) for w in words]
+    texts = [b"a b c d e f g h", b"a a a a a a a a a", b" one\n", b"a b c d e a b c d e\ta b  c"]
+    hashes, counts = linking.shingle_hashes(texts, 5)
+    sets = linking.shingle_sets(texts, 5)
+    want = [len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) for w in map(bytes.split, texts)]
     assert counts.tolist() == [4, 5, 1, 9]
     assert [len(s) for s in sets] == want == paragraphs.distinct_counts(hashes, counts).tolist()
-    assert linking.shingle_sets([[]], 5)[0].size == 0
+    assert linking.shingle_sets([b""], 5)[0].size == 0
     none, no_counts = linking.shingle_hashes([], 5)
     assert paragraphs.bands(none, no_counts).shape == (paragraphs.BANDS, 0)
 
@@ -257,7 +257,7 @@ def test_paragraphs_cover_their_text():
     parts = paragraphs.paragraphs(text)
     assert [w for _, _, p in parts for w in p] == [w.lower() for w in paragraphs.WORD.findall(text)]
     assert [text[a:b] for a, b, _ in parts] == ["A b c d e f g h.", "I j k l m n o p q r", "x y", "É z İstanbul 漢字かな。漢 aa"]
-    words = [[x.encode() for x in p] for _, _, p in parts]
+    words = [" ".join(p).encode() for _, _, p in parts]
     cut = paragraphs.Cut(["", text])
     hashes, counts = cut.shingles(np.arange(len(parts)))
     want, sizes = linking.shingle_hashes(words, paragraphs.SHINGLE)

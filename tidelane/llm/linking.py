@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import heapq
+from itertools import groupby
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import discard, durable
+from tidelane.llm.common import discard, durable, pieces
 
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 MOST_IDS = 500_000
+#: Members of a list beyond which it is divided before its members are paired, and members in a block of postings.
+HOT = 128
 
 TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Factors of the words of a shingle, which has at most so many.
+PLACE = np.random.default_rng(21).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -22,7 +29,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-_POWERS = [powers(BASE, 1 << 12), powers(INVERSE, 1 << 12)]
+#: Powers of BASE by the lower 12 bits of the exponent; word_hashes makes those by its higher bits where a word is that long.
+LOW = powers(BASE, 1 << 12)
+#: Bytes that are hashed together.
+STRIDE = 1 << 18
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -31,35 +41,58 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for many spans at once: a function of each span's bytes alone."""
-    n = len(data) + 1
-    if len(_POWERS[0]) < n:
-        _POWERS[:] = [powers(BASE, 2 * n), powers(INVERSE, 2 * n)]
-    sums = np.zeros(n, dtype=np.uint64)
-    np.cumsum(TABLE[data] * _POWERS[0][: n - 1], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * _POWERS[1][start] + (end - start).astype(np.uint64))
-
-
-def shingle_hashes(words: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed shingles of each list of words, one list after the other with repeats, and how many each list has.
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[start:end], which follow each other: functions of a word's bytes alone."""
+    out, i = np.empty(len(starts), dtype=np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + STRIDE, side="right")))
+        part = data[starts[i] : ends[j - 1]]
+        begin, size = starts[i:j] - starts[i], ends[i:j] - starts[i:j]
+        room = np.diff(np.append(begin, len(part)))
+        at = np.arange(len(part)) - np.repeat(begin, room)
+        values = TABLE[part] * LOW[at & 4095]
+        if size.max() > 4096:
+            values *= powers(pow(BASE, 4096, 1 << 64), int(size.max()) // 4096 + 1)[np.minimum(at, size.max()) >> 12]
+        values[at >= np.repeat(size, room)] = 0  # what stands between words
+        out[i:j] = mixed(np.add.reduceat(values, begin) + size.astype(np.uint64))
+        i = j
+    return out
+
+
+def text_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words between blanks, one text after the other, and how many each text has."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    blank = BLANK[data]
+    before = np.concatenate([[True], blank[:-1]])
+    starts, ends = np.flatnonzero(before & ~blank), np.flatnonzero(~before & blank)
+    upto = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return word_hashes(data, starts, ends), np.diff(np.searchsorted(starts, upto))
+
+
+def gram_hashes(words: np.ndarray, at: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of hashed words from `at` to `last`."""
+    h = (last - at + 1).astype(np.uint64)
+    for k in range(int((last - at).max(initial=-1)) + 1):
+        inside = at + k <= last
+        h += np.where(inside, words[np.minimum(at + k, last)] * PLACE[k], np.uint64(0))
+    return mixed(h)
+
+
+def shingle_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed shingles of each text, one text after the other with repeats, and how many each text has.
 
     Fewer words than `size` make one shingle; no words make none.
     """
-    lengths = np.array([len(w) for w in words], dtype=np.int64)
-    data = np.frombuffer(b" ".join(x for w in words for x in w) + b" ", dtype=np.uint8)
-    ends = np.flatnonzero(data == 32)
-    starts = np.concatenate([[0], ends[:-1] + 1])
+    words, lengths = text_words(texts)
     first = np.concatenate([[0], np.cumsum(lengths)])
     counts = np.where(lengths > 0, np.maximum(1, lengths - size + 1), 0)
     at = np.repeat(first[:-1] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    last = np.minimum(at + size, np.repeat(first[1:], counts)) - 1
-    return span_hashes(data, starts[at], ends[last]), counts
+    return gram_hashes(words, at, np.minimum(at + size, np.repeat(first[1:], counts)) - 1), counts
 
 
-def shingle_sets(words: list[list[bytes]], size: int) -> list[np.ndarray]:
-    """For each list of words its distinct hashed shingles, ascending."""
-    hashes, counts = shingle_hashes(words, size)
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """For each text its distinct hashed shingles, ascending."""
+    hashes, counts = shingle_hashes(texts, size)
     cuts = np.cumsum(counts)
     return [np.unique(hashes[end - n : end]) for end, n in zip(cuts, counts, strict=True)]
 
@@ -92,15 +125,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Common elements of two ascending sets: the elements of the shorter are looked up in the longer by bisection."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
+def probe(query: np.ndarray, document: np.ndarray) -> int:
+    """In how many of the query's lists the document is.
+
+    Both are ascending arrays of tokens. Of the lists, the part that belongs to one document is its array, so each token
+    is looked for there by bisection.
+    """
+    if not len(query) or not len(document):
         return 0
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
+    at = np.searchsorted(document, query)
+    at[at == len(document)] = 0
+    return int((document[at] == query).sum())
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -110,28 +145,32 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                common = overlap(u, v)
-                keep.append(den * common >= num * (len(u) + len(v) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in pieces(batch, 1_000_000, "x"):
+                keep = []
+                for x, y in zip(part.column("x"), part.column("y"), strict=True):
+                    u, v = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                    common = probe(u, v) if len(u) < len(v) else probe(v, u)
+                    keep.append(den * common >= num * (len(u) + len(v) - common))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def exploded(sets: DataFrame) -> DataFrame:
-    """(id, element) of every set."""
+def exploded(sets: DataFrame, least: tuple[int, int] | None = None) -> DataFrame:
+    """(id, element) of every set; least (num, den): only the smallest elements, as many as leave less than num / den."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            packed = [np.frombuffer(x, dtype=np.int64) for x in batch.column("elements").to_pylist()]
-            ids = batch.column("id").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in packed])), pa.array(np.concatenate([*packed, np.empty(0, np.int64)]))], ["id", "element"])
+            for part in pieces(batch, 2_000_000, "elements"):
+                packed = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in part.column("elements")]
+                if least:
+                    packed = [x[: len(x) - -(-least[0] * len(x) // least[1]) + 1] for x in packed]
+                ids = part.column("id").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in packed])), pa.array(np.concatenate([*packed, np.empty(0, np.int64)]))], ["id", "element"])
 
     return sets.mapInArrow(run, "id long, element long")
 
@@ -144,19 +183,70 @@ def able(sets: DataFrame, num: int, den: int) -> DataFrame:
     return count.join(sets.select("id", (F.octet_length("elements") / 8).alias("n")), "id").filter(den * F.col("met") >= num * F.col("n")).groupBy("id").agg(F.max("met").alias("met"))
 
 
-def linked(entries: DataFrame, sets_of, num: int, den: int, thin: bool = False, bound=lambda pairs: pairs) -> DataFrame:
+def merged(lists: DataFrame) -> DataFrame:
+    """(a, b) of the documents that occur often enough in the short lists of another. lists: id, least, weight, found.
+
+    `found` is an ascending block of ids out of one list of document `id`. The lists of a document come together and are
+    merged by a heap; an id counts with the weight of each list that it is in, and stays if it reaches `least`.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, least, held = None, 0, []
+
+        def often():
+            streams = [[(b, w) for b in found] for w, found in held]
+            return [(now, b) for b, same in groupby(heapq.merge(*streams), key=lambda x: x[0]) if sum(w for _, w in same) >= least]
+
+        def pack(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            out = []
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                for id_, need, weight, found in zip(*[part.column(c).to_pylist() for c in ("id", "least", "weight", "found")], strict=True):
+                    if id_ != now:
+                        out += often() if held else []
+                        now, least, held = id_, need, []
+                    held.append((weight, found))
+            yield pack(out)
+        if held:
+            yield pack(often())
+
+    rows = lists.select("id", "least", "weight", "found").repartition("id").sortWithinPartitions("id").mapInArrow(run, "a long, b long")
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def of_several(lists: DataFrame) -> DataFrame:
+    """Rows of the lists that have members of different components."""
+    mixed_ = durable(lists.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p < q").select("token"))
+    return lists.join(mixed_, "token", "left_semi")
+
+
+def linked(entries: DataFrame, sets_of, num: int, den: int, occurrences: int = 1, thin: bool = False, bound=lambda pairs: pairs) -> DataFrame:
     """(id, component) of ids linked by sets with Jaccard >= num / den, found by inverted lists.
 
     entries: token, id, n (size of the set), pos (place of the token in the set's order, from 0; 0 throughout if there is
-    no order); any two sets that are similar enough share a token. Repeated entries count once. sets_of(ids): the sets
-    of some ids. First every member of a list is compared with the list's smallest id and with its smallest set, which
-    joins up groups of near copies by twice as many comparisons as they have members. What is left to compare are members of one list in different
-    components; no link between components is lost. thin: leave out those members that have too few elements in common
-    with all the others, for entries without an order, whose lists also join sets that are far from similar. bound: takes
-    pairs (a, b) and leaves out some that can't be linked, before their sets are fetched.
+    no order); any two sets that are similar enough share `occurrences` tokens of them. Repeated entries count once.
+    sets_of(ids): the sets of some ids. First every member of a list is compared with the list's smallest id and with its
+    smallest set, which joins up groups of near copies by twice as many comparisons as they have members. What is left to
+    compare are members of one list in different components; no link between components is lost.
+
+    There each document looks for smaller ones (ids decide on ties), so only members whose tokens before this one leave
+    room for a link with a larger set stand in a list's blocks. Lists of over HOT members are divided first: of two
+    linked sets either a token of a shorter list is shared, which then suffices, or two tokens of such lists, which make
+    a list of their own (without an order: the token and one of the smallest elements, of which linked sets share one).
+
+    thin: leave out members that have too few elements in common with all the others, for entries without an order, whose
+    lists also join sets that are far from similar. bound: takes pairs (a, b) and leaves out some that can't be linked,
+    before their sets are fetched.
     """
     lists = entries.groupBy("token").agg(F.max("id").alias("last"), F.min(F.struct("id", "n")).alias("first"), F.min(F.struct("n", "id")).alias("small")).filter("first.id < last").drop("last")
+    lists = durable(lists)  # so that the join has plain exchanges on both sides and Spark can split large partitions
     held = durable(entries.join(lists, "token").distinct())
+    discard(lists)
     alike = lambda m, n: den * F.least(m, n) >= num * F.greatest(m, n)
     stars = held.select("id", "n", F.explode(F.array(F.col("first"), F.struct("small.id", "small.n"))).alias("hub"))
     stars = stars.filter(F.col("id") != F.col("hub.id")).filter(alike(F.col("n"), F.col("hub.n"))).select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b")).distinct()
@@ -167,24 +257,54 @@ def linked(entries: DataFrame, sets_of, num: int, den: int, thin: bool = False,
     discard(sets)
 
     told = held.select("token", "id", "n", "pos").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_lists = told.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p < q").select("token")
-    told = durable(told.join(mixed_lists, "token", "left_semi"))
+    told = durable(of_several(told))
     discard(held)
     sets = durable(sets_of(few(told.select("id").distinct()))) if thin else None
-    told = told.join(few(able(sets, num, den)), "id") if thin else told.withColumn("met", F.col("n"))
-    a = told.select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "pos", "met", "component")])
-    b = told.select("token", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "met", "component")])
-    # The first token that two sets share, and what either shares with any other, must leave room for the overlap that
-    # their sizes ask for.
-    room = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"), F.col("a_met"), F.col("b_met"))
-    enough = (num + den) * room >= num * (F.col("a_n") + F.col("b_n"))
-    rest = a.join(b, "token").filter(F.col("a_component") < F.col("b_component")).filter(alike(F.col("a_n"), F.col("b_n")) & enough)
-    rest = rest.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    if thin:
+        met = durable(able(sets, num, den))
+        told = told.join(few(met), "id")
+    else:
+        told = told.withColumn("met", F.col("n"))
+    told = told.withColumn("weight", F.lit(1)).withColumn("least", F.lit(occurrences))
+    hot = durable(told.groupBy("token").agg(F.count("*").alias("members")).filter(F.col("members") > HOT))
+    if not hot.isEmpty():
+        warm = durable(told.join(few(hot.select("token")), "token"))
+        cool = told.join(few(hot.select("token")), "token", "left_anti")
+        if thin:
+            again = exploded(sets.join(few(warm.select("id").distinct()), "id", "left_semi"), (num, den)).select("id", F.col("element").alias("other"), F.lit(0).alias("place"))
+            pairs_of = warm.join(again, "id")
+        else:
+            again = warm.select("id", F.col("token").alias("other"), F.col("pos").alias("place"))
+            pairs_of = warm.join(again, "id").filter("place > pos")
+        divided = pairs_of.select(F.xxhash64("token", "other").alias("token"), "id", "n", F.col("place").alias("pos"), "component", "met", F.lit(occurrences).alias("weight"), F.lit(1).alias("least")).distinct()
+        # A document with tokens of such lists may share one of them with what it meets only once elsewhere.
+        cool = cool.join(few(warm.select("id", F.lit(True).alias("some")).distinct()), "id", "left").withColumn("least", F.when(F.col("some"), 1).otherwise(F.col("least"))).drop("some")
+        divided = durable(of_several(divided))
+        told = durable(cool.unionByName(divided))
+        discard(warm, divided)
+        hot = durable(told.groupBy("token").agg(F.count("*").alias("members")).filter(F.col("members") > HOT))
+    spare = occurrences - 1  # of the shared tokens, those before the last one that is looked at
+    parts = told.join(few(hot), "token", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("members", F.lit(1)) / HOT)))
+    member = F.struct("id", "n", "pos", "met", "component")
+    postings = parts.filter((num + den) * (F.least(F.col("n") - F.col("pos"), F.col("met")) + spare) >= 2 * num * F.col("n"))
+    postings = postings.groupBy("token", "part").agg(F.array_sort(F.collect_list(member)).alias("block")).drop("part")
+
+    def partner(x: Column) -> Column:
+        room = F.least(x["n"] - x["pos"], F.col("n") - F.col("pos"), x["met"], F.col("met")) + spare
+        smaller = (x["n"] < F.col("n")) | ((x["n"] == F.col("n")) & (x["id"] < F.col("id")))
+        return smaller & (x["component"] != F.col("component")) & (den * x["n"] >= num * F.col("n")) & ((num + den) * room >= num * (x["n"] + F.col("n")))
+
+    met_there = told.join(postings, "token").withColumn("found", F.transform(F.filter("block", partner), lambda x: x["id"])).filter(F.size("found") > 0)
+    if occurrences > 1:
+        rest = merged(met_there)
+    else:
+        rest = met_there.select("id", F.explode("found").alias("o")).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"))
+    rest = rest.distinct().join(stars, ["a", "b"], "left_anti")
     if not thin:
         rest = durable(bound(rest))
         sets = durable(sets_of(few(rest.select(F.col("a").alias("id")).unionByName(rest.select(F.col("b").alias("id"))).distinct())))
     more = durable(verified(rest, sets, num, den))
-    discard(sets, told, stars, rest)
+    discard(sets, told, stars, rest, hot)
     if more.isEmpty():
         return groups
     # Components met by the later links: their ids join like single ids.

@@ -1,9 +1,11 @@
 """N-gram Jaccard join as a T-occurrence search in the manner of DivideSkip.
 
-Documents are sets of word shingles, and each shingle has an inverted list of documents. Of a document's lists the long
-ones (common shingles) are left out: two sets that share T shingles must meet in one of the short lists of either, of
-which |set| - T + 1 are enough. The short lists are merged by token, and the documents that meet there are looked up in
-the long ones by bisection, which counts the overlap exactly.
+Documents are sets of word shingles, and each shingle has an inverted list of documents. A document of n shingles links
+only with documents that occur in T = ceil(num / den * n) of its lists at least. Its L = T - OCCURRENCES longest lists
+are set aside; of the others, the short ones, blocks are merged by a heap, and what occurs in OCCURRENCES of them is a
+candidate. Candidates are then looked up in the long lists by bisection. The long lists are never built by token, since
+one may hold a third of all documents: they are kept by document, as the ascending array of its shingles, so a probe
+bisects there.
 """
 
 from __future__ import annotations
@@ -12,11 +14,11 @@ import hashlib
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import durable, pieces, text_key
-from tidelane.llm.linking import few, linked, shingle_sets
+from tidelane.llm.common import durable, pieces, text_key, unused
+from tidelane.llm.linking import components, few, linked, shingle_sets
 
 #: Cells of the table of list lengths. It has this size whatever the input.
 CELLS = 1 << 18
@@ -24,11 +26,13 @@ CELLS = 1 << 18
 SIGNS = 512
 #: Partial tables that one task adds up.
 FAN = 64
+#: Short lists that a candidate must be in.
+OCCURRENCES = 2
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII blanks, with A-Z in lower case."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+def lowered(texts: list[str | None]) -> list[bytes]:
+    """Texts in UTF-8 with A-Z in lower case."""
+    return [(t or "").encode("utf-8", "replace").lower() for t in texts]
 
 
 def list_lengths(docs: DataFrame, size: int) -> np.ndarray:
@@ -43,8 +47,8 @@ def list_lengths(docs: DataFrame, size: int) -> np.ndarray:
 
         total = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
-            for part in pieces(batch, 2_000_000):
-                sets = shingle_sets([words_of(t) for t in part.column("text").to_pylist()], size)
+            for part in pieces(batch):
+                sets = shingle_sets(lowered(part.column("text").to_pylist()), size)
                 total += np.bincount((np.concatenate([*sets, np.empty(0, np.uint64)]) >> np.uint64(46)).astype(np.int64), minlength=CELLS)
         packed = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "cells": pa.array([packed], pa.binary())})
@@ -81,11 +85,11 @@ def digests(docs: DataFrame, size: int, num: int, den: int, rank) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part in pieces(batch, 2_000_000):
-                sets = shingle_sets([words_of(t) for t in part.column("text").to_pylist()], size)
+            for part in pieces(batch):
+                sets = shingle_sets(lowered(part.column("text").to_pylist()), size)
                 whole = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 halves = np.frombuffer(b"".join(whole), dtype=np.int64).reshape(-1, 2)
-                short = [ordered(s, rank.value)[: len(s) - -(-num * len(s) // den) + 1].astype(np.int64) if len(s) else s.astype(np.int64) for s in sets]
+                short = [ordered(s, rank.value)[: len(s) - -(-num * len(s) // den) + OCCURRENCES].astype(np.int64) if len(s) else s.astype(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [lists([parities(s) for s in sets]), part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), lists(short)],
                     ["signs", "doc_id", "n", "h1", "h2", "prefix"],
@@ -134,8 +138,8 @@ def sets_of(docs: DataFrame, size: int, repeated: bool):
         import pyarrow as pa
 
         for batch in batches:
-            for part in pieces(batch, 2_000_000):
-                sets = shingle_sets([words_of(t) for t in part.column("text").to_pylist()], size)
+            for part in pieces(batch):
+                sets = shingle_sets(lowered(part.column("text").to_pylist()), size)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "elements"])
 
     def of(ids: DataFrame) -> DataFrame:
@@ -162,7 +166,7 @@ def ngram_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) ->
     mine = told.withColumnRenamed("doc_id", "id").join(heads, ["id", "h1", "h2"], "left_semi")
     entries = mine.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     repeated = not told.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    found = linked(entries, sets_of(docs, size, repeated), num, den, bound=parity_bound(told.filter("n > 0"), num, den))
+    found = linked(entries, sets_of(docs, size, repeated), num, den, OCCURRENCES, bound=parity_bound(told.filter("n > 0"), num, den))
 
     # Ids of one class, and texts of one id, belong together: a row's component is the smallest of its class's.
     several = told.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.countDistinct("h1", "h2").alias("texts")).filter("texts > 1").select("doc_id")
@@ -176,21 +180,43 @@ def ngram_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) ->
 
 
 def components_with(found: DataFrame, more: DataFrame) -> DataFrame:
-    from tidelane.llm.linking import components
-
     return components(found.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """`docs` with one row of each component: that of the smallest id, and of its rows the one of the smallest text key.
 
-    Rows without an id are kept unless a document with an id has an equal set.
+    Of rows that are equal in id and text one stays, whatever their other columns hold. Rows without an id stay unless a
+    document with an id has an equal set; rows with empty or null texts stay, but one for each id. All columns are kept,
+    whatever their names; an empty table gives an empty result.
     """
-    found = ngram_join(docs, size, num, den).filter("component_id <> doc_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__doc")).distinct()
-    keyed = docs.withColumn("__key", text_key())
-    first = keyed.groupBy(F.col("doc_id").alias("__id")).agg(F.min("__key").alias("__least"), F.count("*").alias("__rows")).filter("__rows > 1 and __id is not null")
-    kept = keyed.join(found, F.col("doc_id") == F.col("__doc"), "left_anti")
-    if first.isEmpty():
-        return kept.drop("__key")
-    kept = kept.join(few(first), F.col("doc_id") == F.col("__id"), "left").filter("__least is null or __key = __least")
-    return kept.drop("__key", "__id", "__least", "__rows").dropDuplicates(docs.columns)
+    joined = ngram_join(docs, size, num, den)
+    gone = durable(joined.filter("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct())
+    key, number, id_ = unused(docs, "key_of_text"), unused(docs, "number_of_row"), unused(docs, "id_gone")
+    kept = docs.join(few(gone.withColumnRenamed("id", id_)), F.col("doc_id") == F.col(id_), "left_anti")
+    lone = docs.filter("doc_id is null").select(text_key().alias(key))
+    if not lone.isEmpty():
+        kept = kept.join(few(unnamed_copies(docs, key, size)), F.col("doc_id").isNull() & (text_key() == F.col(key)), "left_anti")
+    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(id_))
+    if again.isEmpty():
+        return kept
+    again = few(durable(again))
+    first = Window.partitionBy("doc_id").orderBy(text_key())
+    once = kept.join(again, F.col("doc_id") == F.col(id_), "left_semi").withColumn(number, F.row_number().over(first)).filter(F.col(number) == 1).drop(number)
+    return kept.join(again, F.col("doc_id") == F.col(id_), "left_anti").unionByName(once)
+
+
+def unnamed_copies(docs: DataFrame, key: str, size: int) -> DataFrame:
+    """Text keys of the rows without an id whose set equals that of a document with an id."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in pieces(batch):
+                whole = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in shingle_sets(lowered(part.column("text").to_pylist()), size)]
+                yield pa.RecordBatch.from_arrays([part.column("named"), part.column("key"), pa.array(whole, pa.binary())], ["named", "key", "set"])
+
+    sets = docs.select(F.col("doc_id").isNotNull().alias("named"), text_key().alias("key"), "text").mapInArrow(run, "named boolean, key long, set binary")
+    both = sets.filter("set is not null").groupBy("set").agg(F.bool_or("named").alias("named"), F.collect_set(F.when(~F.col("named"), F.col("key"))).alias("keys"))
+    return durable(both.filter("named and size(keys) > 0").select(F.explode("keys").alias(key)).distinct())

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.llm.common import discard, durable, pieces, text_key
-from tidelane.llm.linking import MOST_IDS, few, linked, mixed, span_hashes
+from tidelane.llm.linking import BLANK, MOST_IDS, few, gram_hashes, linked, mixed, word_hashes
 
 #: Fewest words of a paragraph; only where shorter lines have fewer in all between longer ones, they are one by themselves.
 LEAST = 8
@@ -29,14 +29,13 @@ BANDS, ROWS, SHINGLE = 4, 2, 5
 LETTER = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u312f\u3190-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
 LETTERS = re.compile(f"([{LETTER}])")
 WORD = re.compile(f"[{LETTER}]|[^{LETTER}\t-\r ]+")
-BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 SEEDS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Cut:
     """Paragraphs of some texts, which together are all their words, in arrays.
 
-    data: words in lower case with a blank after each; starts, ends: places of the words in it; first, words: each
+    data: words in lower case with a blank after each; starts, ends, hashes: of the words in it; first, words: each
     paragraph's first word and number of words; owner, place: its text and its number in it.
     """
 
@@ -52,6 +51,7 @@ class Cut:
         self.data = np.where(blank, np.uint8(32), raw)[~(before & blank)]
         self.ends = np.flatnonzero(self.data == 32)
         self.starts = np.concatenate([[0], self.ends + 1])[: len(self.ends)]
+        self.hashes = word_hashes(self.data, self.starts, self.ends)
         self.first = np.flatnonzero(self._begins(line, text))
         self.words = np.diff(np.append(self.first, len(begins)))
         self.owner = text[self.first]
@@ -68,7 +68,7 @@ class Cut:
         start, end, at = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes), np.arange(n)
         fits = np.flatnonzero((at + 1 - start >= LEAST) & (end - at - 1 >= LEAST))
         rank = np.full(n, ~np.uint64(0))
-        hashes = span_hashes(self.data, self.starts[np.maximum(fits - CONTEXT + 1, start[fits])], self.ends[fits]) >> np.uint64(1)
+        hashes = gram_hashes(self.hashes, np.maximum(fits - CONTEXT + 1, start[fits]), fits) >> np.uint64(1)
         rank[fits] = np.where(self._sentence_ends(fits), hashes, hashes | np.uint64(1 << 63))
         least = np.ones(len(fits), dtype=bool)
         for k in range(1, LEAST):  # all these places are in the same line or lines
@@ -93,7 +93,7 @@ class Cut:
         counts = np.maximum(1, self.words[of] - SHINGLE + 1)
         at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         last = np.minimum(at + SHINGLE, np.repeat(after, counts)) - 1
-        return span_hashes(self.data, self.starts[at], self.ends[last]), counts
+        return gram_hashes(self.hashes, at, last), counts
 
 
 def paragraphs(text: str) -> list[tuple[int, int, list[str]]]:
@@ -140,7 +140,7 @@ def unit_table(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part in pieces(batch, 1_000_000):
+            for part in pieces(batch):
                 cut = Cut([t or "" for t in part.column("text").to_pylist()])
                 kept = np.flatnonzero(cut.words >= LEAST)
                 hashes, counts = cut.shingles(kept)
@@ -181,7 +181,7 @@ def unit_sets(docs: DataFrame, units: DataFrame):
             import pyarrow as pa
 
             for batch in batches:
-                for part in pieces(batch, 1_000_000):
+                for part in pieces(batch):
                     cut = Cut([t or "" for t in part.column("text").to_pylist()])
                     firsts = np.searchsorted(cut.owner, np.arange(part.num_rows))
                     wanted = [(w["id"], first + w["place"]) for first, ws in zip(firsts.tolist(), part.column("wanted").to_pylist(), strict=True) for w in ws]
