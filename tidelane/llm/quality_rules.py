@@ -20,12 +20,14 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repe
 
 #: A document's stratum is the number of these word counts that it reaches.
 STRATA = (100, 400)
-#: What is compared with a cutoff, and the cutoffs in the order of testing, from lenient to strict.
+#: What is compared with a cutoff, and the cutoffs of the rules, from lenient to strict: rule i rejects what is over any
+#: feature's i-th cutoff.
 FEATURES = {
-    "symbol_rate": ("n_symbols", "word_chars", (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02)),
-    "dup_line_rate": ("n_dup_lines", "n_lines", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1)),
-    "repeat_rate": ("n_repeat_words", "n_words", (0.28, 0.26, 0.24, 0.22, 0.2, 0.18, 0.16, 0.14, 0.12, 0.1, 0.08, 0.06)),
+    "symbol_rate": ("n_symbols", "word_chars", (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04)),
+    "dup_line_rate": ("n_dup_lines", "n_lines", (0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15)),
+    "repeat_rate": ("n_repeat_words", "n_words", (0.29, 0.28, 0.27, 0.26, 0.25, 0.24, 0.22, 0.2, 0.18, 0.16, 0.14, 0.12)),
 }
+RULES = len(FEATURES["symbol_rate"][2])
 
 
 def repeated(words: list[bytes], size: int = 8) -> int:
@@ -90,44 +92,51 @@ def below(k: int, n: int, risk: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
-def select_cutoffs(counts: dict[tuple[int, str], tuple[int, list[int]]], risk: float, error: float) -> dict[tuple[int, str], float]:
-    """The strictest certified cutoff of each (stratum, feature); none where not even the first is certified.
+def select_rules(counts: dict[int, tuple[int, list[int]]], risk: float, error: float) -> dict[int, int]:
+    """The strictest certified rule of each stratum; none where not even the first is certified.
 
-    counts: good documents, and how many of them each cutoff loses. The features share `risk`, so a stratum loses at
-    most that share in all. Within a pair the cutoffs are tested in their fixed order until one fails, which needs no
-    correction; over the pairs the level `error` is divided (Bonferroni), so all cutoffs hold together.
+    counts: of each stratum the good documents, and how many of them each rule rejects. A stratum's rules are tested in
+    their fixed order until one fails, which needs no correction; over the strata the level `error` is divided
+    (Bonferroni), so all choices hold together.
     """
-    level, share = error / ((len(STRATA) + 1) * len(FEATURES)), risk / len(FEATURES)
-    chosen = {}
-    for (layer, name), (n, lost) in counts.items():
-        for cutoff, k in zip(FEATURES[name][2], lost, strict=True):
-            if below(k, n, share) > level:
+    level, chosen = error / (len(STRATA) + 1), {}
+    for layer, (n, lost) in counts.items():
+        for i, k in enumerate(lost):
+            if below(k, n, risk) > level:
                 break
-            chosen[layer, name] = cutoff
+            chosen[layer] = i
     return chosen
 
 
-def good_counts(stats: DataFrame, labels: DataFrame) -> dict[tuple[int, str], tuple[int, list[int]]]:
+def rejected(rule: int) -> Column:
+    """Whether a rate of a document is over the rule's cutoff."""
+    out = F.lit(False)
+    for a, b, cutoffs in FEATURES.values():
+        out = out | (F.col(a) > cutoffs[rule] * F.col(b))
+    return out
+
+
+def good_counts(stats: DataFrame, labels: DataFrame) -> dict[int, tuple[int, list[int]]]:
     """Counts over all documents labelled good that pass the base rules: a row for each stratum comes back."""
     good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id")
     told = stats.filter(~base_failed()).join(good, "doc_id", "left_semi")
-    lost = [F.sum((F.col(a) > c * F.col(b)).cast("long")).alias(f"{name}_{i}") for name, (a, b, cutoffs) in FEATURES.items() for i, c in enumerate(cutoffs)]
-    rows = told.groupBy(stratum().alias("layer")).agg(F.count("*").alias("n"), *lost).collect()
-    return {(r.layer, name): (r.n, [r[f"{name}_{i}"] for i in range(len(f[2]))]) for r in rows for name, f in FEATURES.items()}
+    rows = told.groupBy(stratum().alias("layer")).agg(F.count("*").alias("n"), *[F.sum(rejected(i).cast("long")).alias(f"rule_{i}") for i in range(RULES)]).collect()
+    return {r.layer: (r.n, [r[f"rule_{i}"] for i in range(RULES)]) for r in rows}
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> DataFrame:
-    """doc_id, the statistics, base_failed, stratum, kept for each row of `docs`.
-
-    With probability 1 - `error` at least, each stratum's rules reject at most `risk` of its good documents. A document
-    fails if a rate is over its stratum's cutoff. Every row, repeated or not, is judged by its whole text; null and
-    empty texts have no words and fail the base rules. Labels of one doc_id count once (the largest); null ids match no
-    label. Columns of `docs` other than doc_id and text are ignored; an empty table gives an empty result.
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines, stratum for each row of `docs`.
+
+    With probability 1 - `error` at least, each stratum's rule rejects at most `risk` of its good documents: a stratum
+    needs about log(3 / error) / risk good labels (205 here) before any rule can be certified, and keeps all that the
+    base rules keep until then. Every row, repeated or not, is judged by its whole text; null and empty texts have no
+    words and fail the base rules. A rate equal to the cutoff is kept. Labels of one doc_id count once (the largest);
+    null ids match no label. doc_id must be a whole number. Columns of `docs` other than doc_id and text are ignored; an
+    empty table gives an empty result.
     """
     stats = durable(document_stats(docs))  # a few numbers for each document, read twice
-    cutoffs = select_cutoffs(good_counts(stats, labels), risk, error)
     over = F.lit(False)
-    for (layer, name), cutoff in sorted(cutoffs.items()):
-        a, b, _ = FEATURES[name]
-        over = over | ((stratum() == layer) & (F.col(a) > cutoff * F.col(b)))
-    return stats.select("doc_id", *STATS, base_failed().alias("base_failed"), stratum().alias("stratum"), (~base_failed() & ~over).alias("kept"))
+    for layer, rule in sorted(select_rules(good_counts(stats, labels), risk, error).items()):
+        over = over | ((stratum() == layer) & rejected(rule))
+    wanted = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return stats.select("doc_id", *wanted, base_failed().alias("base_failed"), (~base_failed() & ~over).alias("kept"), "n_lines", stratum().alias("stratum"))
