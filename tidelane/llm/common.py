@@ -100,6 +100,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return got
 
 
+def label_counts(labels: DataFrame, label: str, folds: int, fold: int) -> tuple[int, int]:
+    """How many doc_ids outside the held-out fold have label 0, and how many 1."""
+    ids = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).filter(~held_out(folds, fold))
+    row = ids.groupBy("doc_id").agg(F.max(label).alias("y")).agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).head()
+    return row[0], row[1]
+
+
 def rows_to_arrow(docs: DataFrame, fn, schema: str, *more: str) -> DataFrame:
     """`fn(list of texts) -> dict of columns` over every document; doc_id and the columns `more` go along."""
     import pyarrow as pa

@@ -7,7 +7,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import held_out, labelled_sample, rows_to_arrow
+from tidelane.llm.common import held_out, label_counts, labelled_sample, rows_to_arrow
 
 #: Bytes of a dictionary, of a block that is compressed by itself, and zstandard's level.
 DICTIONARY, BLOCK, LEVEL = 262_144, 512, 3
@@ -48,34 +48,38 @@ class Sizes:
         return (bad - good) / max(1, sum(map(len, parts)))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and intercept of Platt's scaling, by Newton's method with his smoothed targets."""
+def calibrate(x: np.ndarray, y: np.ndarray, weights: tuple[float, float] = (1.0, 1.0), steps: int = 50) -> tuple[float, float]:
+    """Slope and intercept of Platt's scaling, by Newton's method with his smoothed targets; rows of a label weigh alike."""
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     if not n1 or not n0:
         return 0.0, 40.0 if n1 else -40.0
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     z, w = np.stack([x, np.ones(len(x))], axis=1), np.zeros(2)
+    weight = np.where(y == 1, weights[1], weights[0])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2)
-        change = np.linalg.solve(hessian, z.T @ (t - p) - 1e-6 * w)
+        hessian = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2)
+        change = np.linalg.solve(hessian, z.T @ (weight * (t - p)) - 1e-6 * w)
         w = w + change * min(1.0, 50 / (np.abs(change).max() + 1e-12))
         if np.abs(change).max() < 1e-8:
             break
     return float(w[0]), float(w[1])
 
 
-def fit(sample: list[tuple[str, int]], share: np.ndarray | None = None) -> dict:
+def fit(sample: list[tuple[str, int]], counts: tuple[int, int] | None = None) -> dict:
     """Dictionaries from the even places of the sample, calibrated on the odd ones.
 
-    Both classes have about as many rows in the sample, so the score of a text in the middle is one half.
+    counts: documents of either label. In calibration each label weighs as much as it has documents, however many of
+    them are in the sample, so the score is the same share of good documents at every size.
     """
     by = [[t for t, label in sample if label == k] for k in (0, 1)]
     bad, good = (dictionary(x[::2]) for x in by)
     sizes = Sizes(bad, good)
     rest = [(sizes(t), k) for k in (0, 1) for t in (by[k][1::2] or by[k])]
     x, y = np.array([a for a, _ in rest]), np.array([b for _, b in rest])
-    slope, intercept = calibrate(x, y)
+    have = [max(1, int((y == k).sum())) for k in (0, 1)]
+    share = [n / max(1, sum(counts)) * len(y) for n in counts] if counts else have
+    slope, intercept = calibrate(x, y, (share[0] / have[0], share[1] / have[1]))
     return {"bad": bad, "good": good, "slope": slope, "intercept": intercept}
 
 
@@ -99,7 +103,7 @@ def compression_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, fold
     texts get the score of a difference of 0. A null doc_id is kept, not held out. Columns of `docs` other than doc_id
     and text are ignored; an empty table gives an empty result, and without labels of both kinds all scores are alike.
     """
-    model = fit(labelled_sample(docs, labels, "quality", folds, fold, max_rows, max_bytes))
+    model = fit(labelled_sample(docs, labels, "quality", folds, fold, max_rows, max_bytes), label_counts(labels, "quality", folds, fold))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of 256 KiB at most
     scored = rows_to_arrow(docs, lambda texts: {"score": scores(shared.value, texts)}, "doc_id long, score double")
     return scored.select("doc_id", held_out(folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
