@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import text_key
+from tidelane.llm.common import text_key, unused
 
 #: Words of a window, and of the k-grams that are hashed; a window holds WINDOW - GRAM + 1 of those.
 WINDOW, GRAM = 10, 5
@@ -101,18 +101,12 @@ def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     than doc_id, item_id and text are ignored. Without items nothing is hit.
     """
     rows = docs.select("doc_id", text_key().alias("key"), words_of(F.col("text")).alias("words"))
-    items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).distinct()
-    lengths = [r.n for r in items.select(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).filter("n > 0").distinct().collect()]  # ten at most
-    found = None
-    for n in sorted(lengths):
-        these = items.filter(F.size("words") >= n if n == WINDOW else F.size("words") == n)
-        part = hits(rows, these, GRAM, WINDOW - GRAM + 1) if n == WINDOW else hits(rows, these, n, 1)
-        found = part if found is None else found.unionByName(part)
+    found = found_windows(docs, benchmark)
     base = rows.select("doc_id", "key", F.size("words").cast("long").alias("n_words"))
     none = F.sha2(F.lit(""), 256)
     if found is None:
         return base.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
-    # Overlapping ranges meet as words: a set for each document, which never holds more than the document.
+    # Overlapping ranges meet as words. A document has as many ranges as items that share a window with it there.
     per = found.groupBy("doc_id", "key").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last"))))).cast("long").alias("n_hit"),
         F.array_sort(F.collect_set("item_id")).alias("items"),
@@ -130,18 +124,27 @@ def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the rows in which a window of the benchmark occurs; all columns stay as they are."""
-    bad = decontamination_keys(docs, benchmark)
-    return docs.withColumn("__key", text_key()).join(bad, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__bad")), "left_anti").drop("__key")
+    """`docs` without the rows in which a window of the benchmark occurs; all columns stay, whatever their names.
+
+    Null and empty texts are never contaminated; repeated rows share one fate, null ids are told apart by their texts.
+    Empty tables on either side are fine.
+    """
+    bad = found_windows(docs, benchmark)
+    if bad is None:
+        return docs
+    doc, key = unused(docs, "contaminated_doc"), unused(docs, "contaminated_key")
+    bad = bad.select(F.col("doc_id").alias(doc), F.col("key").alias(key)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(doc)) & (text_key() == F.col(key)), "left_anti")
 
 
-def decontamination_keys(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Ids and text keys of the contaminated rows, each once."""
+def found_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """What `hits` finds for windows of all lengths; None for a benchmark without words."""
     rows = docs.select("doc_id", text_key().alias("key"), words_of(F.col("text")).alias("words"))
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).distinct()
-    lengths = [r.n for r in items.select(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).filter("n > 0").distinct().collect()]
-    found = docs.select("doc_id", F.lit(0).cast("long").alias("key")).limit(0)
+    lengths = [r.n for r in items.select(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).filter("n > 0").distinct().collect()]  # ten at most
+    found = None
     for n in sorted(lengths):
         these = items.filter(F.size("words") >= n if n == WINDOW else F.size("words") == n)
-        found = found.unionByName((hits(rows, these, GRAM, WINDOW - GRAM + 1) if n == WINDOW else hits(rows, these, n, 1)).select("doc_id", "key"))
-    return found.distinct().select(F.col("doc_id").alias("__doc"), F.col("key").alias("__bad"))
+        part = hits(rows, these, GRAM, WINDOW - GRAM + 1) if n == WINDOW else hits(rows, these, n, 1)
+        found = part if found is None else found.unionByName(part)
+    return found
