@@ -11,6 +11,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(value: Column) -> Column:
+    """The same value, in a form that the optimizer doesn't merge into what reads it, so it is computed once for a row."""
+    return let(value, lambda x: x)
+
+
 def ipv4_hex(address: Column) -> Column:
     """Eight hexadecimal digits of a dotted address."""
     parts = F.split(address, r"\.")

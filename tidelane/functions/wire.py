@@ -6,6 +6,7 @@ Places count from 0 and may be columns themselves.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,7 +94,7 @@ def found(walk: Column, kind: int) -> Column:
 
 
 def content(data: Column, record: Column) -> Column:
-    return F.when(record.isNotNull(), cut(data, record["at"], record["size"]))
+    return let(record, lambda r: F.when(r.isNotNull(), cut(data, r["at"], r["size"])))
 
 
 def value_of(data: Column, walk: Column, kind: int) -> Column:
@@ -121,31 +122,51 @@ def text_hex(value: Column | str) -> Column:
     return F.hex((F.lit(value) if isinstance(value, str) else value).cast("binary"))
 
 
-def ber(data: Column, at: At) -> Column:
-    """struct<tag, at, size>: the element of ASN.1's basic encoding at a place; lengths of up to three bytes."""
-    first = uint(data, place(at) + 1, 1)
-    size = F.when(first < 128, first).when(first == 0x81, uint(data, place(at) + 2, 1)).when(first == 0x82, uint(data, place(at) + 2, 2)).when(first == 0x83, uint(data, place(at) + 2, 3))
-    head = F.when(first < 128, 2).otherwise(first - 126)
-    return F.struct(uint(data, at, 1).alias("tag"), (place(at) + head).cast("int").alias("at"), size.cast("int").alias("size"))
+def ber_elements(data: bytes | None, most: int = 256) -> list[dict]:
+    """Elements of ASN.1's basic encoding with the tags on the way to each, in hexadecimal with slashes, in order."""
+    out: list[dict] = []
+
+    def walk(start: int, end: int, way: str) -> None:
+        at = start
+        while at + 2 <= end and len(out) < most:
+            tag, size, at = data[at], data[at + 1], at + 2
+            if size >= 128:
+                n = size & 127
+                size, at = int.from_bytes(data[at : at + n]), at + n
+            if at + size > end:
+                return
+            path = f"{way}/{tag:02x}" if way else f"{tag:02x}"
+            out.append({"path": path, "value": data[at : at + size]})
+            if tag & 0x20:
+                walk(at, at + size, path)
+            at += size
+
+    if data:
+        walk(0, len(data), "")
+    return out
 
 
-def ber_children(data: Column, parent: Column, most: int = 32) -> Column:
-    """array<struct<tag, at, size>>: the elements inside of another one."""
-    end = parent["at"] + parent["size"]
-    none = F.array().cast("array<struct<tag:bigint,at:int,size:int>>")
+def ber_tree(data: Column) -> Column:
+    """array<struct<path, value>> of `ber_elements`, in Arrow batches."""
 
-    def step(s: Column, _: Column) -> Column:
-        def put(e: Column) -> Column:
-            ok = (s["at"] >= 0) & (s["at"] < end) & (e["at"] + e["size"] <= end)
-            return F.when(F.coalesce(ok, F.lit(False)), F.struct((e["at"] + e["size"]).cast("int").alias("at"), F.concat(s["found"], F.array(e)).alias("found"))).otherwise(F.struct(F.lit(-1).alias("at"), s["found"].alias("found")))
+    @F.pandas_udf("array<struct<path:string,value:binary>>")
+    def tree(values: pd.Series) -> pd.Series:
+        return values.map(ber_elements)
+
+    return tree(data)
+
+
+def at_path(tree: Column, *paths: str) -> Column:
+    """array<binary>: values of the elements on these paths, in order."""
+    return F.transform(F.filter(tree, lambda e: e["path"].isin(*paths)), lambda e: e["value"])
 
-        return let(ber(data, F.greatest(s["at"], F.lit(0))), put)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.struct(parent["at"].alias("at"), none.alias("found")), step, lambda s: s["found"])
+def first_at(tree: Column, *paths: str) -> Column:
+    return F.get(at_path(tree, *paths), F.lit(0))
 
 
-def ber_number(data: Column, element: Column) -> Column:
-    return F.conv(F.hex(content(data, element)), 16, 10).cast("long")
+def ber_number(value: Column) -> Column:
+    return F.conv(F.hex(value), 16, 10).cast("long")
 
 
 def lines(data: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.functions.scalars import let
+from tidelane.functions.scalars import let, once
 from tidelane.functions.wire import hexed
 
 
@@ -23,15 +23,15 @@ def five_tuple(decoded: DataFrame, bidirectional: bool = True) -> DataFrame:
     src = endpoint(F.col("ip.src_bytes"), F.col("src_ip"), F.coalesce("src_port", F.lit(0)))
     dst = endpoint(F.col("ip.dst_bytes"), F.col("dst_ip"), F.coalesce("dst_port", F.lit(0)))
     forward = (src <= dst) if bidirectional else F.lit(True)
-    out = decoded.filter(F.col("ip").isNotNull()).withColumn("forward", forward).withColumn("__a", F.when(F.col("forward"), src).otherwise(dst)).withColumn("__b", F.when(F.col("forward"), dst).otherwise(src))
+    out = decoded.filter(F.col("ip").isNotNull()).withColumn("forward", once(forward)).withColumn("__a", once(F.when(F.col("forward"), src).otherwise(dst))).withColumn("__b", once(F.when(F.col("forward"), dst).otherwise(src)))
     key = F.struct("proto", F.col("__a.ip").alias("a_ip"), F.col("__a.port").alias("a_port"), F.col("__b.ip").alias("b_ip"), F.col("__b.port").alias("b_port"))
-    return out.withColumn("key", key).drop("__a", "__b")
+    return out.withColumn("key", once(key)).drop("__a", "__b")
 
 
 def ip_pair(decoded: DataFrame) -> DataFrame:
     """Decoded frames with key (a, b): both addresses, the smaller first."""
     src, dst = (F.struct(F.length(f"ip.{s}_bytes").alias("size"), F.col(f"ip.{s}_bytes").alias("bytes"), F.col(f"{s}_ip").alias("ip")) for s in ("src", "dst"))
-    return decoded.filter(F.col("ip").isNotNull()).withColumn("key", F.struct(F.least(src, dst)["ip"].alias("a"), F.greatest(src, dst)["ip"].alias("b")))
+    return decoded.filter(F.col("ip").isNotNull()).withColumn("key", once(F.struct(F.least(src, dst)["ip"].alias("a"), F.greatest(src, dst)["ip"].alias("b"))))
 
 
 def mac_pair(decoded: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidelane.functions import wire
-from tidelane.functions.wire import ber, ber_children, ber_number, bit, content, cut, found, ipv4, named, records, rest, text, uint, value_of
+from tidelane.functions.wire import at_path, ber_number, bit, cut, first_at, found, ipv4, named, records, rest, text, uint, value_of
 
 
 def utf16(data: Column) -> Column:
@@ -75,35 +75,31 @@ LDAP_OPERATIONS = {0x60: "bind_request", 0x61: "bind_response", 0x42: "unbind",
 SCOPES = {0: "base", 1: "one", 2: "subtree"}
 
 
-def ldap(payload: Column) -> Column:
-    """struct<message_id, operation, version, name, simple_bind, base, scope, attributes, spn_query, result, success>."""
+def ldap(tree: Column) -> Column:
+    """struct<message_id, operation, version, name, simple_bind, base, scope, attributes, spn_query, result, success> of a message's elements.
 
-    def message(parts: Column) -> Column:
-        op = F.get(parts, F.lit(1))
-
-        def of(x: Column) -> Column:
-            kid = lambda i: F.get(x, F.lit(i))
-            tag = op["tag"]
-            search, bind, answer = tag == 0x63, tag == 0x60, tag.isin(0x61, 0x65, 0x67, 0x69, 0x6B, 0x78)
-            result = F.when(answer, ber_number(payload, kid(0)))
-            asked = F.transform(ber_children(payload, kid(7)), lambda e: text(content(payload, e)))
-            return F.struct(
-                ber_number(payload, F.get(parts, F.lit(0))).alias("message_id"),
-                named(tag, LDAP_OPERATIONS).alias("operation"),
-                F.when(bind, ber_number(payload, kid(0))).alias("version"),
-                F.when(bind, text(content(payload, kid(1)))).alias("name"),
-                F.when(bind, kid(2)["tag"] == 0x80).alias("simple_bind"),
-                F.when(search, text(content(payload, kid(0)))).alias("base"),
-                F.when(search, named(ber_number(payload, kid(1)), SCOPES)).alias("scope"),
-                F.when(search, asked).alias("attributes"),
-                F.coalesce(search & F.lower(text(content(payload, op))).contains("serviceprincipalname"), F.lit(False)).alias("spn_query"),
-                result.alias("result"),
-                F.when(answer, result == 0).alias("success"),
-            )
-
-        return wire.let(ber_children(payload, op), of)
-
-    return F.when(uint(payload, 0, 1) == 0x30, wire.let(ber_children(payload, ber(payload, 0)), message))
+    tree: a column made by `ber_tree`.
+    """
+    tag = F.conv(F.split_part(F.get(F.filter(F.transform(tree, lambda e: e["path"]), lambda p: p.rlike("^30/(4[2-9a]|6|7)")), F.lit(0)), F.lit("/"), F.lit(2)), 16, 10).cast("int")
+    result = ber_number(first_at(tree, *[f"30/{t}/0a" for t in ("61", "65", "67", "69", "6b", "78")]))
+    search = tag == 0x63
+    inside = F.exists(tree, lambda e: e["path"].startswith("30/63/") & F.lower(text(e["value"])).contains("serviceprincipalname"))
+    return F.when(
+        tag.isNotNull(),
+        F.struct(
+            ber_number(first_at(tree, "30/02")).alias("message_id"),
+            named(tag, LDAP_OPERATIONS).alias("operation"),
+            ber_number(first_at(tree, "30/60/02")).alias("version"),
+            text(first_at(tree, "30/60/04")).alias("name"),
+            F.when(tag == 0x60, first_at(tree, "30/60/80").isNotNull()).alias("simple_bind"),
+            text(first_at(tree, "30/63/04")).alias("base"),
+            F.when(search, named(ber_number(first_at(tree, "30/63/0a")), SCOPES)).alias("scope"),
+            F.when(search, F.transform(at_path(tree, "30/63/30/04"), text)).alias("attributes"),
+            F.coalesce(search & inside, F.lit(False)).alias("spn_query"),
+            result.alias("result"),
+            (result == 0).alias("success"),
+        ),
+    )
 
 
 #: Kerberos messages, encryption types, and errors of wrong passwords.
@@ -112,51 +108,35 @@ AES, RC4, DES = (17, 18), (23, 24), (1, 2, 3)
 GUESSING = (18, 24)
 
 
-def tagged_child(children: Column, number: int) -> Column:
-    """The child with a context tag."""
-    return F.get(F.filter(children, lambda e: e["tag"] == 0xA0 + number), F.lit(0))
+def kerberos(tree: Column) -> Column:
+    """struct<kind, realm, client, service, etypes, preauth, weak, kerberoast, error, guessing> of a message's elements.
 
-
-def kerberos(payload: Column) -> Column:
-    """struct<kind, realm, client, service, etypes, preauth, weak, kerberoast, error, guessing>.
-
-    kerberoast: a ticket for a service is asked for with RC4 or DES first. guessing: an error of a wrong password.
+    tree: a column made by `ber_tree`. kerberoast: a ticket for a service is asked for with RC4 or DES first. guessing:
+    an error of a wrong password.
     """
-    outer = ber(payload, 0)
-    inside = lambda e: F.get(ber_children(payload, e, 1), F.lit(0))
-    strings = lambda e: F.array_join(F.transform(ber_children(payload, F.get(ber_children(payload, inside(e)), F.lit(1))), lambda s: s), "/")
-
-    def name_of(e: Column) -> Column:
-        listed = inside(F.get(ber_children(payload, inside(e)), F.lit(1)))
-        return F.array_join(F.transform(ber_children(payload, listed), lambda s: text(content(payload, s))), "/")
-
-    def message(o: Column) -> Column:
-        kind = o["tag"]
-
-        def of(x: Column) -> Column:
-            request = kind.isin(0x6A, 0x6C)
-            body = F.when(request, inside(tagged_child(x, 4)))
-
-            def fields(b: Column) -> Column:
-                pick = lambda ask, error, reply: F.when(request, tagged_child(b, ask)).when(kind == 0x7E, tagged_child(x, error)).otherwise(tagged_child(x, reply))
-                etypes = F.when(request, F.transform(ber_children(payload, inside(tagged_child(b, 8))), lambda e: ber_number(payload, e)))
-                pre = F.when(request, F.transform(ber_children(payload, inside(tagged_child(x, 3))), lambda e: ber_number(payload, inside(tagged_child(ber_children(payload, e), 1)))))
-                realm = text(content(payload, inside(pick(2, 9, 3))))
-                service = F.when(request, name_of(tagged_child(b, 3))).when(kind == 0x7E, name_of(tagged_child(x, 10)))
-                error = F.when(kind == 0x7E, ber_number(payload, inside(tagged_child(x, 6))))
-                weak = F.exists(etypes, lambda e: e.isin(*RC4, *DES))
-                return F.struct(
-                    named(kind, KERBEROS_KINDS).alias("kind"), realm.alias("realm"), name_of(pick(1, 8, 4)).alias("client"), service.alias("service"), etypes.alias("etypes"), pre.alias("preauth"),
-                    F.coalesce(weak, F.lit(False)).alias("weak"),
-                    F.coalesce((kind == 0x6C) & F.get(etypes, F.lit(0)).isin(*RC4, *DES) & ~service.startswith("krbtgt"), F.lit(False)).alias("kerberoast"),
-                    error.alias("error"), F.coalesce(error.isin(*GUESSING), F.lit(False)).alias("guessing"),
-                )
-
-            return wire.let(ber_children(payload, body), fields)
-
-        return wire.let(ber_children(payload, inside(o)), of)
-
-    return F.when(uint(payload, 0, 1).isin(*KERBEROS_KINDS), wire.let(outer, message))
+    kind = F.conv(F.get(F.transform(tree, lambda e: e["path"]), F.lit(0)), 16, 10).cast("int")
+    ask, answer, error = ("6a/30", "6c/30"), ("6b/30", "6d/30"), "7e/30"
+    name = lambda paths: F.nullif(F.array_join(F.transform(at_path(tree, *[f"{p}/30/a1/30/1b" for p in paths]), text), "/"), F.lit(""))
+    of = lambda asked, failed, replied: [*(f"{p}/a4/30/{asked}" for p in ask), f"{error}/{failed}", *(f"{p}/{replied}" for p in answer)]
+    etypes = F.transform(at_path(tree, *[f"{p}/a4/30/a8/30/02" for p in ask]), ber_number)
+    service = name(of("a3", "aa", "-"))
+    code = ber_number(first_at(tree, f"{error}/a6/02"))
+    first = F.get(etypes, F.lit(0))
+    return F.when(
+        kind.isin(*KERBEROS_KINDS),
+        F.struct(
+            named(kind, KERBEROS_KINDS).alias("kind"),
+            text(first_at(tree, *[f"{p}/1b" for p in of("a2", "a9", "a3")])).alias("realm"),
+            name(of("a1", "a8", "a4")).alias("client"),
+            service.alias("service"),
+            etypes.alias("etypes"),
+            F.transform(at_path(tree, *[f"{p}/a3/30/30/a1/02" for p in ask]), ber_number).alias("preauth"),
+            F.exists(etypes, lambda e: e.isin(*RC4, *DES)).alias("weak"),
+            F.coalesce((kind == 0x6C) & first.isin(*RC4, *DES) & ~service.startswith("krbtgt"), F.lit(False)).alias("kerberoast"),
+            code.alias("error"),
+            F.coalesce(code.isin(*GUESSING), F.lit(False)).alias("guessing"),
+        ),
+    )
 
 
 def kerberos_stream(stream: Column) -> Column:
@@ -197,25 +177,20 @@ def oid(data: Column) -> Column:
     return F.array_join(F.concat(F.array(F.floor(first / 40), first % 40), arcs), ".")
 
 
-def snmp(payload: Column) -> Column:
-    """struct<version, community, pdu, request_id, oids> of versions 1 and 2c."""
-
-    def message(parts: Column) -> Column:
-        pdu = F.get(parts, F.lit(2))
-
-        def of(x: Column) -> Column:
-            bindings = ber_children(payload, F.get(x, F.lit(3)))
-            return F.struct(
-                named(ber_number(payload, F.get(parts, F.lit(0))), {0: "v1", 1: "v2c"}).alias("version"),
-                text(content(payload, F.get(parts, F.lit(1)))).alias("community"),
-                named(pdu["tag"], SNMP_PDUS).alias("pdu"),
-                ber_number(payload, F.get(x, F.lit(0))).alias("request_id"),
-                F.transform(bindings, lambda b: oid(content(payload, F.get(ber_children(payload, b, 1), F.lit(0))))).alias("oids"),
-            )
-
-        return wire.let(ber_children(payload, pdu), of)
-
-    return F.when(uint(payload, 0, 1) == 0x30, wire.let(ber_children(payload, ber(payload, 0)), message))
+def snmp(tree: Column) -> Column:
+    """struct<version, community, pdu, request_id, oids> of versions 1 and 2c, out of a message's elements by `ber_tree`."""
+    pdu = F.conv(F.split_part(F.get(F.filter(F.transform(tree, lambda e: e["path"]), lambda p: p.startswith("30/a")), F.lit(0)), F.lit("/"), F.lit(2)), 16, 10).cast("int")
+    kinds = [f"30/{t:02x}" for t in SNMP_PDUS]
+    return F.when(
+        pdu.isNotNull(),
+        F.struct(
+            named(ber_number(first_at(tree, "30/02")), {0: "v1", 1: "v2c"}).alias("version"),
+            text(first_at(tree, "30/04")).alias("community"),
+            named(pdu, SNMP_PDUS).alias("pdu"),
+            ber_number(first_at(tree, *[f"{k}/02" for k in kinds])).alias("request_id"),
+            F.transform(at_path(tree, *[f"{k}/30/30/06" for k in kinds]), oid).alias("oids"),
+        ),
+    )
 
 
 RDP_PROTOCOLS = {1: "ssl", 2: "hybrid", 4: "rdstls", 8: "hybrid_ex"}

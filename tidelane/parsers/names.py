@@ -159,7 +159,8 @@ def name_claims(responses: DataFrame, default_ttl_s: int = 300, grace_s: int = 6
     """
     m = F.col("message")
     alias = F.array_min(F.transform(F.filter(m["records"], lambda r: r["type"] == "CNAME"), lambda r: r["ttl"]))
-    records = responses.filter(m["is_response"] & (F.size(m["questions"]) > 0)).select("us", "seq", "client", F.get(m["questions"], F.lit(0))["name"].alias("name"), alias.alias("alias_ttl"), F.explode(m["records"]).alias("r"))
+    answers = F.when(m["is_response"] & (F.size(m["questions"]) > 0), m["records"])  # null, and so no rows, for the others
+    records = responses.select("us", "seq", "client", F.get(m["questions"], F.lit(0))["name"].alias("name"), alias.alias("alias_ttl"), F.explode(answers).alias("r"))
     claims = records.filter(F.col("r.type").isin("A", "AAAA") & (F.col("r.section") == 0)).select("us", "seq", "client", F.col("r.value").alias("ip"), "name", (F.col("us") + (F.coalesce(F.least(F.col("r.ttl"), F.coalesce("alias_ttl", F.col("r.ttl"))), F.lit(default_ttl_s)) + grace_s) * 1_000_000).alias("expires_us"))
     until = F.lag("expires_us").over(Window.partitionBy("client", "ip", "name").orderBy("us", "seq"))
     claims = claims.withColumn("new", F.coalesce(until < F.col("us"), F.lit(True)))

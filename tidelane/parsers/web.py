@@ -142,52 +142,50 @@ def alerts(stream: Column) -> Column:
 
 
 def extensions_of(data: Column, at: Column) -> Column:
-    end = F.when(F.length(data) >= at + 2, at + 2 + uint(data, at, 2)).otherwise(at)
-    return records(data, at + 2, end, 4, lambda i: uint(data, i + 2, 2), kind=lambda i: uint(data, i, 2))
+    end = lambda a: F.when(F.length(data) >= a + 2, a + 2 + uint(data, a, 2)).otherwise(a)
+    return wire.let(at, lambda a: wire.let(end(a), lambda e: records(data, a + 2, e, 4, lambda i: uint(data, i + 2, 2), kind=lambda i: uint(data, i, 2))))
 
 
-def client_hello(data: Column) -> Column:
+def client_hello(message: Column) -> Column:
     """struct<version, ciphers, extensions, groups, supported, sni, alpn, ech, key_shares> of a ClientHello message; else null."""
-    sid = 39 + uint(data, 38, 1)
-    ciphers_size = uint(data, sid, 2)
-    compression = sid + 2 + ciphers_size
-    at = (compression + 1 + uint(data, compression, 1)).cast("int")
-
-    def hello(x: Column) -> Column:
-        value = lambda kind: value_of(data, x, kind)
-        groups, supported, alpn, shares = value(GROUPS), value(SUPPORTED), value(ALPN), value(KEY_SHARE)
-        name = wire.let(value(SNI), lambda v: text(cut(v, 5, uint(v, 3, 2))))
-        shared = records(shares, 2, F.length(shares), 4, lambda i: uint(shares, i + 2, 2), kind=lambda i: uint(shares, i, 2))
-        none = F.array().cast("array<bigint>")
+    none = F.array().cast("array<bigint>")
+
+    def hello(data: Column, sid: Column, x: Column) -> Column:
+        value = lambda kind, body: wire.let(value_of(data, x, kind), body)
+        shared = lambda v: F.transform(records(v, 2, F.length(v), 4, lambda i: uint(v, i + 2, 2), kind=lambda i: uint(v, i, 2)), lambda e: e["kind"])
+        named_ = lambda v: F.transform(records(v, 2, F.length(v), 1, lambda i: uint(v, i, 1)), lambda e: text(cut(v, e["at"], e["size"])))
         return F.struct(
             uint(data, 4, 2).alias("version"),
-            numbers(data, sid + 2, ciphers_size / 2).alias("ciphers"),
+            numbers(data, sid + 2, uint(data, sid, 2) / 2).alias("ciphers"),
             F.transform(x, lambda e: e["kind"]).alias("extensions"),
-            F.coalesce(numbers(groups, 2, uint(groups, 0, 2) / 2), none).alias("groups"),
-            F.coalesce(numbers(supported, 1, uint(supported, 0, 1) / 2), none).alias("supported"),
-            F.lower(name).alias("sni"),
-            F.coalesce(F.transform(records(alpn, 2, F.length(alpn), 1, lambda i: uint(alpn, i, 1)), lambda e: text(cut(alpn, e["at"], e["size"]))), F.array().cast("array<string>")).alias("alpn"),
+            F.coalesce(value(GROUPS, lambda v: numbers(v, 2, uint(v, 0, 2) / 2)), none).alias("groups"),
+            F.coalesce(value(SUPPORTED, lambda v: numbers(v, 1, uint(v, 0, 1) / 2)), none).alias("supported"),
+            F.lower(value(SNI, lambda v: text(cut(v, 5, uint(v, 3, 2))))).alias("sni"),
+            F.coalesce(value(ALPN, named_), F.array().cast("array<string>")).alias("alpn"),
             found(x, ECH).isNotNull().alias("ech"),
-            F.coalesce(F.transform(shared, lambda e: e["kind"]), none).alias("key_shares"),
+            F.coalesce(value(KEY_SHARE, shared), none).alias("key_shares"),
         )
 
-    return F.when((uint(data, 0, 1) == 1) & (F.length(data) >= 42), wire.let(extensions_of(data, at), hello))
+    def whole(data: Column) -> Column:
+        after = lambda sid: wire.let(sid + 2 + uint(data, sid, 2), lambda c: extensions_of(data, (c + 1 + uint(data, c, 1)).cast("int")))
+        body = wire.let(39 + uint(data, 38, 1), lambda sid: wire.let(after(sid), lambda x: hello(data, sid, x)))
+        return F.when((uint(data, 0, 1) == 1) & (F.length(data) >= 42), body)
+
+    return wire.let(message, whole)
 
 
-def server_hello(data: Column) -> Column:
+def server_hello(message: Column) -> Column:
     """struct<version, cipher, extensions, alpn> of a ServerHello message; else null. version is the one agreed on."""
-    sid = 39 + uint(data, 38, 1)
 
-    def hello(x: Column) -> Column:
-        alpn = value_of(data, x, ALPN)
-        return F.struct(
-            F.coalesce(uint(value_of(data, x, SUPPORTED), 0, 2), uint(data, 4, 2)).alias("version"),
-            uint(data, sid, 2).alias("cipher"),
-            F.transform(x, lambda e: e["kind"]).alias("extensions"),
-            text(cut(alpn, 3, uint(alpn, 2, 1))).alias("alpn"),
-        )
+    def whole(data: Column) -> Column:
+        def hello(sid: Column, x: Column) -> Column:
+            alpn = wire.let(value_of(data, x, ALPN), lambda v: text(cut(v, 3, uint(v, 2, 1))))
+            return F.struct(F.coalesce(uint(value_of(data, x, SUPPORTED), 0, 2), uint(data, 4, 2)).alias("version"), uint(data, sid, 2).alias("cipher"), F.transform(x, lambda e: e["kind"]).alias("extensions"), alpn.alias("alpn"))
+
+        body = wire.let(39 + uint(data, 38, 1), lambda sid: wire.let(extensions_of(data, (sid + 3).cast("int")), lambda x: hello(sid, x)))
+        return F.when((uint(data, 0, 1) == 2) & (F.length(data) >= 42), body)
 
-    return F.when((uint(data, 0, 1) == 2) & (F.length(data) >= 42), wire.let(extensions_of(data, (sid + 3).cast("int")), hello))
+    return wire.let(message, whole)
 
 
 def plain(values: Column) -> Column:

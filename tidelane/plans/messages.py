@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.functions import scalars
-from tidelane.functions.wire import frame_of, hexed, text_hex
+from tidelane.functions.wire import ber_tree, frame_of, hexed, text_hex
 from tidelane.parsers import enterprise, link, names, web
 from tidelane.plans.packets import SRC, events, low_address
 from tidelane.plans.registry import query
@@ -28,6 +28,11 @@ def made(spark, sf_dir, *parts: Column | str) -> DataFrame:
     return events(spark, sf_dir).withColumn("payload", frame_of(*parts))
 
 
+def trees(frame: DataFrame) -> DataFrame:
+    """The elements of each payload beside it."""
+    return frame.withColumn("tree", ber_tree(F.col("payload")))
+
+
 def fields(frame: DataFrame, message: Column, **columns: str) -> DataFrame:
     """event_id and fields of a message under names of their own."""
     out = frame.select("event_id", message.alias("m"))
@@ -399,38 +404,60 @@ def smb_messages(spark, sf_dir):
     return fields(p, enterprise.smb(F.col("payload")), command="m.command", message_id="m.message_id", tree="m.tree", admin_share="m.admin_share")
 
 
-def element(tag: str, *body: Column | str) -> Column:
-    b = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in body])
-    size = n(b)
-    return F.concat(F.lit(tag), F.when(size < 128, hexed(size, 1)).otherwise(F.concat(F.lit("81"), hexed(size, 1))), b)
+Part = tuple[Column, int]
+
+
+def fixed(value: Column | str, size: int | None = None) -> Part:
+    """Hexadecimal text with the number of its bytes."""
+    return (F.lit(value), len(value) // 2) if isinstance(value, str) else (value, size)
+
+
+def element(tag: str, *body: Part | str) -> Part:
+    """An element of ASN.1's basic encoding around parts of known size."""
+    parts = [fixed(x) if isinstance(x, str) else x for x in body]
+    size = sum(k for _, k in parts)
+    head = f"{tag}{size:02X}" if size < 128 else f"{tag}81{size:02X}"
+    return F.concat(F.lit(head), *[c for c, _ in parts]), size + len(head) // 2
+
+
+def ascii_part(value: str) -> Part:
+    return fixed(value.encode().hex().upper())
+
+
+def kind8() -> Part:
+    """The event's kind, filled up to eight letters."""
+    return text_hex(F.rpad("event_type", 8, "_")), 8
+
+
+KIND8 = "rpad(event_type, 8, '_')"
 
 
-@query("SELECT event_id, CAST(event_id % 127 AS BIGINT) AS message_id, 'search_request' AS operation, 'dc=' || event_type AS base, 'subtree' AS scope, user_id % 2 = 0 AS spn_query, 'cn,' || event_type AS attributes FROM events")
+@query(f"SELECT event_id, CAST(event_id % 127 AS BIGINT) AS message_id, 'search_request' AS operation, 'dc=' || {KIND8} AS base, 'subtree' AS scope, user_id % 2 = 0 AS spn_query, 'cn,' || {KIND8} AS attributes FROM events")
 def ldap_messages(spark, sf_dir):
-    asked = F.when(F.col("user_id") % 2 == 0, "servicePrincipalName").otherwise("objectClass")
-    request = element("63", element("04", text_hex("dc="), said()), "0A0102" + "0A0100" + "020100" + "020100" + "010100", element("87", text_hex(asked)), element("30", element("04", text_hex("cn")), element("04", said())))
-    p = made(spark, sf_dir, element("30", "0201", h(F.col("event_id") % 127, 1), request))
-    return fields(p, enterprise.ldap(F.col("payload")), message_id="m.message_id", operation="m.operation", base="m.base", scope="m.scope", spn_query="m.spn_query", attributes="array_join(m.attributes, ',')")
+    asked = F.when(F.col("user_id") % 2 == 0, "servicePrincipalName").otherwise("objectClassObjectCla")
+    request = element("63", element("04", ascii_part("dc="), kind8()), "0A0102" + "0A0100" + "020100" + "020100" + "010100", element("87", (text_hex(asked), 20)), element("30", element("04", ascii_part("cn")), element("04", kind8())))
+    p = trees(made(spark, sf_dir, element("30", "0201", (h(F.col("event_id") % 127, 1), 1), request)[0]))
+    return fields(p, enterprise.ldap(F.col("tree")), message_id="m.message_id", operation="m.operation", base="m.base", scope="m.scope", spn_query="m.spn_query", attributes="array_join(m.attributes, ',')")
 
 
-def ticket_request() -> Column:
+def ticket_request() -> Part:
     """A request for a ticket of a service; every third event asks for RC4."""
-    service = element("30", "A003020102", element("A1", element("30", element("1B", text_hex("http")), element("1B", said()))))
-    etypes = element("30", F.when(F.col("event_id") % 3 == 0, "020117").otherwise("020112"), "020111")
-    body = element("30", "A00703050040810000", element("A2", element("1B", text_hex("EXAMPLE"))), element("A3", service), element("A8", etypes))
+    service = element("30", "A003020102", element("A1", element("30", element("1B", ascii_part("http")), element("1B", kind8()))))
+    etypes = element("30", (F.when(F.col("event_id") % 3 == 0, "020117").otherwise("020112"), 3), "020111")
+    body = element("30", "A00703050040810000", element("A2", element("1B", ascii_part("EXAMPLE"))), element("A3", service), element("A8", etypes))
     return element("6C", element("30", "A103020105" + "A20302010C", element("A4", body)))
 
 
-@query("SELECT event_id, 'tgs_req' AS kind, 'EXAMPLE' AS realm, 'http/' || event_type AS service, CASE WHEN event_id % 3 = 0 THEN '23,17' ELSE '18,17' END AS etypes, event_id % 3 = 0 AS kerberoast FROM events")
+@query(f"SELECT event_id, 'tgs_req' AS kind, 'EXAMPLE' AS realm, 'http/' || {KIND8} AS service, CASE WHEN event_id % 3 = 0 THEN '23,17' ELSE '18,17' END AS etypes, event_id % 3 = 0 AS kerberoast FROM events")
 def kerberos_messages(spark, sf_dir):
-    return fields(made(spark, sf_dir, ticket_request()), enterprise.kerberos(F.col("payload")), kind="m.kind", realm="m.realm", service="m.service", etypes="array_join(transform(m.etypes, x -> string(x)), ',')", kerberoast="m.kerberoast")
+    return fields(trees(made(spark, sf_dir, ticket_request()[0])), enterprise.kerberos(F.col("tree")), kind="m.kind", realm="m.realm", service="m.service", etypes="array_join(transform(m.etypes, x -> string(x)), ',')", kerberoast="m.kerberoast")
 
 
-@query("SELECT event_id, 'tgs_req' AS kind, 'http/' || event_type AS service, i FROM events, (VALUES (0), (1)) v(i)")
+@query(f"SELECT event_id, 'tgs_req' AS kind, 'http/' || {KIND8} AS service, i FROM events, (VALUES (0), (1)) v(i)")
 def kerberos_tcp_messages(spark, sf_dir):
-    t = ticket_request()
-    p = made(spark, sf_dir, h(n(t), 4), t, h(n(t), 4), t).select("event_id", F.posexplode(enterprise.kerberos_stream(F.col("payload"))).alias("i", "payload"))
-    return p.select("event_id", "i", enterprise.kerberos(F.col("payload")).alias("m")).select("event_id", "m.kind", "m.service", "i")
+    t, size = ticket_request()
+    p = made(spark, sf_dir, f"{size:08X}", t, f"{size:08X}", t).select("event_id", F.posexplode(enterprise.kerberos_stream(F.col("payload"))).alias("i", "payload"))
+    return trees(p).select("event_id", "i", enterprise.kerberos(F.col("tree")).alias("m")).select("event_id", "m.kind", "m.service", "i")
 
 
 @query(f"SELECT event_id, 'access_request' AS code, CAST(event_id % 256 AS BIGINT) AS identifier, {HOST} AS user_name, {SRC} AS nas_ip, TRUE AS has_password FROM events")
@@ -441,13 +468,13 @@ def radius_messages(spark, sf_dir):
     return fields(p, enterprise.radius(F.col("payload")), code="m.code", identifier="m.identifier", user_name="m.user", nas_ip="m.nas_ip", has_password="m.has_password")
 
 
-@query("SELECT event_id, 'v2c' AS version, event_type AS community, 'get' AS pdu, CAST(event_id % 32768 AS BIGINT) AS request_id, '1.3.6.1.2.1.1.' || (128 + user_id % 1000) AS oid FROM events")
+@query(f"SELECT event_id, 'v2c' AS version, {KIND8} AS community, 'get' AS pdu, CAST(event_id % 32768 AS BIGINT) AS request_id, '1.3.6.1.2.1.1.' || (128 + user_id % 1000) AS oid FROM events")
 def snmp_messages(spark, sf_dir):
     arc = 128 + F.col("user_id") % 1000
     oid = F.concat(F.lit("2B0601020101"), h(128 + F.floor(arc / 128), 1), h(arc % 128, 1))
-    pdu = element("A0", element("02", h(F.col("event_id") % 32768, 2)), "020100" + "020100", element("30", element("30", element("06", oid), "0500")))
-    p = made(spark, sf_dir, element("30", "020101", element("04", said()), pdu))
-    return fields(p, enterprise.snmp(F.col("payload")), version="m.version", community="m.community", pdu="m.pdu", request_id="m.request_id", oid="m.oids[0]")
+    pdu = element("A0", element("02", (h(F.col("event_id") % 32768, 2), 2)), "020100" + "020100", element("30", element("30", element("06", (oid, 8)), "0500")))
+    p = trees(made(spark, sf_dir, element("30", "020101", element("04", kind8()), pdu)[0]))
+    return fields(p, enterprise.snmp(F.col("tree")), version="m.version", community="m.community", pdu="m.pdu", request_id="m.request_id", oid="m.oids[0]")
 
 
 @query("SELECT event_id, 'request' AS kind, event_type AS cookie, 'ssl,hybrid' AS protocols FROM events")

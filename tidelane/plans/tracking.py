@@ -458,14 +458,14 @@ def client_fingerprint_catalog(spark, sf_dir):
     return m.groupBy("ja4").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_clients"))
 
 
-@query("SELECT event_id, 'http/' || event_type AS service FROM events WHERE event_id % 3 = 0")
+@query("SELECT event_id, 'http/' || rpad(event_type, 8, '_') AS service FROM events WHERE event_id % 3 = 0")
 def kerberoast_hunter(spark, sf_dir):
     from tidelane.plans.messages import kerberos_messages
 
     return kerberos_messages(spark, sf_dir).filter("kerberoast").select("event_id", "service")
 
 
-@query("SELECT event_id, 'dc=' || event_type AS base FROM events WHERE user_id % 2 = 0")
+@query("SELECT event_id, 'dc=' || rpad(event_type, 8, '_') AS base FROM events WHERE user_id % 2 = 0")
 def ldap_recon_hunter(spark, sf_dir):
     from tidelane.plans.messages import ldap_messages
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.functions import wire
+from tidelane.functions.scalars import let, once
 from tidelane.functions.wire import bit, bits, cut, ipv4, ipv6, mac, rest, uint
 
 #: EtherTypes, IP protocols, link types of capture files, UDP ports of tunnels.
@@ -125,9 +126,10 @@ def decode(frames: DataFrame, column: str = "frame") -> DataFrame:
     Ports belong to TCP and UDP; later fragments have none. A payload ends where its packet does, not with the padding.
     """
     f = F.col(column)
-    out = frames.withColumn("__t", tags(f))
+    out = frames.withColumn("__t", once(tags(f)))
     t = F.col("__t")
-    out = out.withColumn("ip", network(f, t))
+    # Named inside, so that a filter on it that is pushed down doesn't repeat the walk over tags.
+    out = out.withColumn("ip", let(tags(f), lambda t: network(f, t)))
     ip = F.col("ip")
     l4, first = ip["at"], F.coalesce(ip["fragment"] == 0, F.lit(False))
     is_tcp, is_udp = first & (ip["proto"] == TCP), first & (ip["proto"] == UDP)
@@ -210,7 +212,7 @@ def decapsulate(frames: DataFrame, kinds: tuple[str, ...] = ("vxlan", "gtpu", "g
     """
     told = decode(frames.select(*frames.columns), column)
     inside = inner_frame(F.col(column), F.col("ip"), F.col("dst_port"), F.col("payload"))
-    told = told.select(*frames.columns, *[inside[k].alias(f"__{k}") for k in kinds])
+    told = told.select(*frames.columns, *[once(inside[k]).alias(f"__{k}") for k in kinds])
     kind = F.coalesce(*[F.when(F.col(f"__{k}").isNotNull(), k) for k in kinds])
     at = F.coalesce(*[F.col(f"__{k}") for k in kinds])
     return told.select(*[c for c in frames.columns if c != column], F.coalesce(at["frame"], F.col(column)).alias(column), kind.alias("tunnel"), at["number"].alias("tunnel_number"))
