@@ -35,7 +35,7 @@ def lived(spark, sf_dir) -> DataFrame:
 LIFE = f"""{EV}, pk AS (SELECT src, list({{'us': us, 'seq': seq, 'tcp': src % 5 <> 0, 'fw': side = 'initiator', 'fl': flags}} ORDER BY us, seq) AS ps FROM ev GROUP BY src),
 st AS (SELECT src, list_transform(ps, lambda p: {{'p': p, 'no': -1::BIGINT, 'ff': TRUE, 'st': 'active', 'fi': FALSE, 'fr': FALSE, 'en': FALSE, 'es': FALSE, 'out': []::STRUCT(seq BIGINT, no BIGINT, side VARCHAR, st VARCHAR, es BOOLEAN, reason VARCHAR)[]}}) AS ps FROM pk),
 ns AS (SELECT src, list_prepend({{'p': NULL, 'no': -1::BIGINT, 'ff': TRUE, 'st': 'active', 'fi': FALSE, 'fr': FALSE, 'en': TRUE, 'es': FALSE, 'out': []::STRUCT(seq BIGINT, no BIGINT, side VARCHAR, st VARCHAR, es BOOLEAN, reason VARCHAR)[]}}, ps) AS ps FROM st),
-ws AS (SELECT src, list_reduce(ps, lambda s, e: list_transform([{{'new': s.en OR s.p IS NULL OR e.p.us - s.p.us >= (CASE WHEN e.p.tcp THEN {IDLE['tcp']} ELSE {IDLE['udp']} END) * 1000000}}], lambda a: list_transform([{{'no': s.no + CAST(a.new AS BIGINT), 'ff': CASE WHEN a.new THEN e.p.fw ELSE s.ff END, 'st': CASE WHEN a.new THEN 'active' ELSE s.st END, 'fi': NOT a.new AND s.fi, 'fr': NOT a.new AND s.fr}}],
+ws AS (SELECT src, list_reduce(ps, lambda s, e: list_transform([{{'new': s.en OR s.p IS NULL OR e.p.us - s.p.us >= (CASE WHEN e.p.tcp THEN {IDLE['tcp']} ELSE {IDLE['udp']} END) * 1000000::BIGINT}}], lambda a: list_transform([{{'no': s.no + CAST(a.new AS BIGINT), 'ff': CASE WHEN a.new THEN e.p.fw ELSE s.ff END, 'st': CASE WHEN a.new THEN 'active' ELSE s.st END, 'fi': NOT a.new AND s.fi, 'fr': NOT a.new AND s.fr}}],
 lambda b: list_transform([{{'i': e.p.fw = b.ff}}], lambda c: list_transform([{{'st': CASE WHEN NOT e.p.tcp THEN b.st WHEN e.p.fl & 4 > 0 THEN 'reset' WHEN b.st = 'active' AND c.i AND e.p.fl & 2 > 0 THEN 'syn_sent' WHEN b.st = 'syn_sent' AND NOT c.i AND e.p.fl & 18 = 18 THEN 'syn_received' WHEN b.st = 'syn_received' AND c.i AND e.p.fl & 16 > 0 THEN 'established'
 WHEN b.st = 'established' AND e.p.fl & 1 > 0 THEN 'fin_wait' WHEN b.st = 'fin_wait' AND e.p.fl & 1 > 0 AND (CASE WHEN c.i THEN b.fr ELSE b.fi END) THEN 'closing' WHEN b.st = 'closing' AND e.p.fl & 16 > 0 THEN 'closed' ELSE b.st END}}],
 lambda d: {{'p': e.p, 'no': b.no, 'ff': b.ff, 'st': d.st, 'fi': b.fi OR (e.p.tcp AND c.i AND e.p.fl & 1 > 0), 'fr': b.fr OR (e.p.tcp AND NOT c.i AND e.p.fl & 1 > 0), 'en': d.st IN ('reset', 'closed'), 'es': FALSE,
@@ -168,7 +168,7 @@ def ip_fragment_reassembly(spark, sf_dir):
     ev = packets(spark, sf_dir).filter("seq < 65536")
     first, second = F.lit("HELLO wo"), F.col("svc")
     whole = F.concat(F.lit("HELLO "), F.col("svc"))
-    parts = F.array(F.struct(F.lit(1).alias("o"), F.when(F.col("seq") % 3 == 0, 0).otherwise(8).alias("at"), F.lit(False).alias("mf"), F.substring(whole, F.lit(9), F.length(whole)).alias("p")), F.struct(F.lit(2).alias("o"), F.lit(0).alias("at"), F.lit(True).alias("mf"), F.substring(whole, F.lit(1), F.lit(8)).alias("p")))
+    parts = F.array(F.struct(F.lit(1).alias("o"), F.when(F.col("seq") % 3 == 0, 4).otherwise(8).alias("at"), F.lit(False).alias("mf"), F.substring(whole, F.lit(9), F.length(whole)).alias("p")), F.struct(F.lit(2).alias("o"), F.lit(0).alias("at"), F.lit(True).alias("mf"), F.substring(whole, F.lit(1), F.lit(8)).alias("p")))
     each = ev.select("src", F.col("seq").alias("n"), F.explode(parts).alias("x"))
     f = each.select(F.col("x.o").cast("long").alias("us"), F.col("x.o").cast("long").alias("seq"), F.lit("10.0.0.1").alias("src_ip"), F.lit("10.0.0.2").alias("dst_ip"), F.lit(17).alias("proto"), F.col("n").alias("id"), F.col("x.at").alias("fragment"), F.col("x.mf").alias("mf"), F.col("x.p").cast("binary").alias("payload"))
     return streams.defragment(f).select("id", F.col("payload").cast("string").alias("payload"))
@@ -295,7 +295,7 @@ def flow_risks(spark, sf_dir):
 
 
 @query(f"""WITH {EV}, f AS (SELECT printf('02:00:00:00:%02x:%02x', (src // 256) % 256, src % 256) AS mac, us, seq, svc, CASE WHEN svc = 'view' THEN '10.0.' || src % 256 || '.' || seq % 256 END AS ip, CASE svc WHEN 'click' THEN 'n' || seq % 4 END AS name, CASE svc WHEN 'signup' THEN 'v' || seq % 3 END AS vendor, CASE svc WHEN 'purchase' THEN CASE seq % 3 WHEN 0 THEN 1 WHEN 1 THEN 64 ELSE 16 END END AS caps FROM ev),
-n AS (SELECT mac, name, min((us, seq)) AS at FROM f WHERE name IS NOT NULL GROUP BY ALL), x AS (SELECT mac, string_agg(name, ',' ORDER BY at) AS names FROM n GROUP BY mac), g AS (SELECT mac, min(us) AS first_us, max(us) AS last_us, arg_max(vendor, (us, seq)) FILTER (vendor IS NOT NULL) AS vendor, coalesce(bit_or(caps), 0) AS c FROM f GROUP BY mac)
+n AS (SELECT mac, name, min((us, seq)) AS seen FROM f WHERE name IS NOT NULL GROUP BY ALL), x AS (SELECT mac, string_agg(name, ',' ORDER BY seen) AS names FROM n GROUP BY mac), g AS (SELECT mac, min(us) AS first_us, max(us) AS last_us, arg_max(vendor, (us, seq)) FILTER (vendor IS NOT NULL) AS vendor, coalesce(bit_or(caps), 0) AS c FROM f GROUP BY mac)
 SELECT g.mac, first_us, last_us, vendor, names, CASE WHEN c & 1 > 0 THEN 'router' WHEN c & 16 > 0 THEN 'phone' WHEN c & 64 > 0 THEN 'host' ELSE 'unknown' END AS role FROM g LEFT JOIN x USING (mac)""")
 def asset_merge(spark, sf_dir):
     """Partial assets out of four kinds of message, put together for each hardware address."""
@@ -307,7 +307,7 @@ def asset_merge(spark, sf_dir):
     return enrich.merged_assets(each).select("mac", "first_us", "last_us", "vendor", F.array_join("names", ",").alias("names"), "role")
 
 
-@query(f"""WITH {EV}, t AS (SELECT src, arg_max('t' || seq, (us, seq)) FILTER (svc = 'view') AS tls, arg_min('h' || seq, (us, seq)) FILTER (svc = 'click') AS web FROM ev GROUP BY src), n AS (SELECT src, 'd' || seq % 20 AS name, min((us, seq)) AS at FROM ev WHERE svc = 'error' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY at, name) AS k FROM n), l AS (SELECT src, string_agg(name, ',' ORDER BY at) AS names FROM r WHERE k <= 16 GROUP BY src) SELECT t.src, coalesce(tls, web) AS server_name, names FROM t LEFT JOIN l USING (src)""")
+@query(f"""WITH {EV}, t AS (SELECT src, arg_max('t' || seq, (us, seq)) FILTER (svc = 'view') AS tls, arg_min('h' || seq, (us, seq)) FILTER (svc = 'click') AS web FROM ev GROUP BY src), n AS (SELECT src, 'd' || seq % 20 AS name, min((us, seq)) AS seen FROM ev WHERE svc = 'error' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY seen, name) AS k FROM n), l AS (SELECT src, string_agg(name, ',' ORDER BY seen) AS names FROM r WHERE k <= 16 GROUP BY src) SELECT t.src, coalesce(tls, web) AS server_name, names FROM t LEFT JOIN l USING (src)""")
 def l7_summaries(spark, sf_dir):
     ev = packets(spark, sf_dir)
     kind = F.when(F.col("svc") == "view", "tls").when(F.col("svc") == "click", "http").when(F.col("svc") == "error", "dns").otherwise("other")
@@ -389,13 +389,13 @@ def dns_tunnels(spark, sf_dir):
     return detect.dns_tunnel(q, "all", "dom", "host", 14, 3, HOUR, 6, 12 * HOUR).select("dom", "us", "seq")
 
 
-@query(f"WITH {HOSTS}, {DGA}, b AS ({catalog.ORACLES['beacon_scores']}), s AS (SELECT page_id % 50 AS src, min(score) AS worst FROM h JOIN g ON g.sld = regexp_extract(host, '([a-z0-9-]+)\\.example\\.', 1) AND length(sld) >= 4 GROUP BY 1), w AS (SELECT user_id AS src FROM events GROUP BY 1 HAVING bool_or(event_type = 'signup')), a AS (SELECT src, 'beacon' AS k FROM b WHERE score >= 0.5 UNION SELECT src, 'dga' FROM s WHERE worst < -3.0 UNION SELECT src, 'tls' FROM w) SELECT src, string_agg(k, ',' ORDER BY k) AS kinds FROM a GROUP BY src HAVING count(*) >= 2")
+@query(f"WITH {HOSTS}, {DGA}, b AS ({catalog.ORACLES['beacon_scores']}), s AS (SELECT page_id % 50 AS src, min(score) AS worst FROM h JOIN g ON g.sld = regexp_extract(host, '([a-z0-9-]+)\\.example\\.', 1) AND length(sld) >= 4 GROUP BY 1), tl AS (SELECT user_id AS src FROM events GROUP BY 1 HAVING bool_or(event_type = 'signup')), a AS (SELECT src, 'beacon' AS k FROM b WHERE score >= 0.3 UNION SELECT src, 'dga' FROM s WHERE worst < -2.3 UNION SELECT src, 'tls' FROM tl) SELECT src, string_agg(k, ',' ORDER BY k) AS kinds FROM a GROUP BY src HAVING count(*) >= 2")
 def composite_c2(spark, sf_dir):
     """Sources with two of: beacons, generated names, weak TLS."""
-    beacons = catalog.beacon_scores(spark, sf_dir).filter("score >= 0.5").select("src", F.lit("beacon").alias("k"))
+    beacons = catalog.beacon_scores(spark, sf_dir).filter("score >= 0.3").select("src", F.lit("beacon").alias("k"))
     scores = catalog.name_scores(spark, sf_dir).filter("length(sld) >= 4").withColumn("score", F.round("score", 6))
     hosts = page_hosts(spark, sf_dir).select((F.col("page_id") % 50).alias("src"), F.regexp_extract("host", r"([a-z0-9-]+)\.example\.", 1).alias("sld"))
-    generated = hosts.join(scores, "sld").filter("score < -3.0").select("src", F.lit("dga").alias("k"))
+    generated = hosts.join(scores, "sld").filter("score < -2.3").select("src", F.lit("dga").alias("k"))
     weak = packets(spark, sf_dir).filter("svc = 'signup'").select("src", F.lit("tls").alias("k"))
     each = beacons.unionByName(generated).unionByName(weak).distinct()
     return each.groupBy("src").agg(F.array_join(F.array_sort(F.collect_set("k")), ",").alias("kinds"), F.count("*").alias("n")).filter("n >= 2").drop("n")
