@@ -122,7 +122,7 @@ class Coder:
         """Whether pre-tokens meet at a place in any text; marked: special tokens, which may span places, occur."""
         if 33 <= data[at - 1] <= 126 and data[at] == 32:
             return True
-        if marked:
+        if marked or data[at] & 0xC0 == 0x80:  # the latter is inside of a letter
             return False
         before, after = data[max(0, at - 4) : at].decode("utf-8", "ignore")[-1:], data[at : at + 4].decode("utf-8", "ignore")[:1]
         return bool(SURE.fullmatch(before + after))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import re._constants as sre
@@ -113,14 +114,23 @@ def code(tri: str) -> int:
     return a << 16 | b << 8 | c
 
 
+WANTED = sorted({code(t) for q in QUERIES.values() for t in mandatory(q)})
+
+
+@functools.cache
+def listed() -> np.ndarray:
+    """1 at the codes of the trigrams that some query names."""
+    place = np.zeros(1 << 24, dtype=np.uint8)
+    place[WANTED] = 1
+    return place
+
+
 class Index:
     """Postings of the trigrams that some query names, over one block of texts; letters count in lower case."""
 
     def __init__(self, texts: list[str]):
         self.n = len(texts)
-        wanted = sorted({code(t) for q in QUERIES.values() for t in mandatory(q)})
-        place = np.zeros(1 << 24, dtype=np.uint8)
-        place[wanted] = 1
+        wanted, place = WANTED, listed()
         data = [t.encode("utf-8", "replace").lower() for t in texts]
         ends = np.cumsum([len(d) + 3 for d in data])
         b = np.frombuffer(b"\0\0\0".join(data) + b"\0\0\0", dtype=np.uint8).astype(np.uint32)
@@ -198,7 +208,10 @@ def mask(text: str, spans: list[tuple[int, int, str]], by: str = "[secret]") ->
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """`docs` with the secrets in `text` masked; n_chars follows the text where there is such a column and a secret."""
+    """`docs` with the secrets in `text` masked; n_chars follows the text where there is such a column and a secret.
+
+    Null and empty texts and all other columns stay as they are; repeated rows are masked alike; an empty table stays empty.
+    """
 
     def run(batches):
         import pyarrow as pa

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import held_out, labelled_sample, rows_to_arrow
+from tidelane.llm.common import held_out, labelled_sample, pieces, rows_to_arrow
 
 #: Length of the n-grams in characters, and the bits of the table that they are hashed to.
 ORDERS, BITS = (4, 5), 20
@@ -74,22 +74,27 @@ def scores(model: dict, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, threshold: float = 0.5, max_rows: int = 16_384, max_bytes: int = 24_000_000) -> DataFrame:
-    """doc_id, text, held_out, score, predicted for each row of `docs`.
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, threshold: float = 0.5, max_rows: int = 16_384, max_bytes: int = 24_000_000, keep: int = 1024) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of `docs`; doc_id must be a whole number.
 
-    The classifier is fitted on a sample of labelled rows bounded by `max_rows` and `max_bytes`; rows whose
+    The classifier is fitted on a sample of labelled rows bounded by `max_rows` and `max_bytes`, and has weights for the
+    `keep` n-grams that tell the labels apart best; rows whose
     crc32(doc_id as text) mod `folds` is `fold` are held out of it. Every row, repeated or not, gets a score from its
     whole text alone. Null or empty texts get the score of a text without n-grams; a null doc_id is kept, not held out.
     Columns of `docs` other than doc_id and text are ignored; an empty table gives an empty result.
     """
-    model = fit(labelled_sample(docs, labels, "toxic", folds, fold, max_rows, max_bytes))
+    model = fit(labelled_sample(docs, labels, "toxic", folds, fold, max_rows, max_bytes), keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^20 slots and 1,024 weights, whatever the input
     scored = rows_to_arrow(docs, lambda texts: {"score": scores(shared.value, texts)}, "doc_id long, score double")
     return scored.select("doc_id", held_out(folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """`docs` without the rows that the classifier rejects; all columns stay as they are."""
+    """`docs` without the rows that the classifier rejects; all columns stay as they are, whatever their names.
+
+    Null and empty texts get the score of a text without n-grams, repeated rows the same score; an empty table stays
+    empty, and without labels of both kinds all rows share one fate. A score equal to the threshold rejects.
+    """
     model = fit(labelled_sample(docs, labels, "toxic", options.get("folds", 5), options.get("fold", 0), options.get("max_rows", 16_384), options.get("max_bytes", 24_000_000)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -97,6 +102,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **opt
         import pyarrow as pa
 
         for batch in batches:
-            yield batch.filter(pa.array(scores(shared.value, batch.column("text").to_pylist()) < threshold))
+            for part in pieces(batch):
+                yield part.filter(pa.array(scores(shared.value, part.column("text").to_pylist()) < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
