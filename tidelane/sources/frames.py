@@ -229,8 +229,11 @@ def decode_ipv4(frames: DataFrame, column: str = "frame") -> DataFrame:
 
     Frames that end before their transport header count as unmatched and go, too.
     """
-    found = decode(frames, column).filter((F.col("ip.version") == 4) & ~F.col("truncated"))
-    return found.select(*frames.columns, "proto", "src_ip", "dst_ip", "src_port", "dst_port", F.col("tcp.seq").alias("tcp_seq"), F.col("tcp.flags").alias("tcp_flags"), "payload")
+    found = decode(frames, column)
+    wanted = F.struct("proto", "src_ip", "dst_ip", "src_port", "dst_port", F.col("tcp.seq").alias("tcp_seq"), F.col("tcp.flags").alias("tcp_flags"), "payload")
+    # Not a filter, since one on decoded fields is pushed below them and decodes everything again for each field it names.
+    fits = (F.col("ip.version") == 4) & ~F.col("truncated")
+    return found.select(*frames.columns, F.inline(F.when(fits, F.array(wanted))))
 
 
 #: Bytes of each header in a row of nprint.
