@@ -23,9 +23,10 @@ def five_tuple(decoded: DataFrame, bidirectional: bool = True) -> DataFrame:
     src = endpoint(F.col("ip.src_bytes"), F.col("src_ip"), F.coalesce("src_port", F.lit(0)))
     dst = endpoint(F.col("ip.dst_bytes"), F.col("dst_ip"), F.coalesce("dst_port", F.lit(0)))
     forward = (src <= dst) if bidirectional else F.lit(True)
-    out = decoded.filter(F.col("ip").isNotNull()).withColumn("forward", once(forward)).withColumn("__a", once(F.when(F.col("forward"), src).otherwise(dst))).withColumn("__b", once(F.when(F.col("forward"), dst).otherwise(src)))
+    out = decoded.withColumn("__f", once(forward)).withColumn("__a", once(F.when(F.col("__f"), src).otherwise(dst))).withColumn("__b", once(F.when(F.col("__f"), dst).otherwise(src)))
     key = F.struct("proto", F.col("__a.ip").alias("a_ip"), F.col("__a.port").alias("a_port"), F.col("__b.ip").alias("b_ip"), F.col("__b.port").alias("b_port"))
-    return out.withColumn("key", once(key)).drop("__a", "__b")
+    # Not a filter: see decode_ipv4.
+    return out.select(*decoded.columns, F.inline(F.when(F.col("ip").isNotNull(), F.array(F.struct(key.alias("key"), F.col("__f").alias("forward"))))))
 
 
 def ip_pair(decoded: DataFrame) -> DataFrame:
