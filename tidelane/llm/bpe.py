@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from itertools import accumulate
 
 import numpy as np
@@ -14,8 +15,10 @@ from tidelane.llm.common import rows_to_arrow
 
 #: Fixed value: how this kind of tokenizer divides a text before merging, as its public description gives it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes that the rolling hash sees, the bits that must be 0 at a boundary, and the bytes of chunks that a worker keeps.
-WINDOW, MASK, KEPT = 16, (1 << 10) - 1, 48_000_000
+#: Bytes that the rolling hash sees, the bits that must be 0 at a boundary, and the bytes that a worker keeps chunks in.
+WINDOW, MASK, KEPT = 16, (1 << 10) - 1, 32_000_000
+#: Bytes that are hashed together.
+STRIDE = 1 << 18
 #: Two characters between which pre-tokens meet in any text: a change from a visible one to a blank, or between letters,
 #: numbers and punctuation; after an apostrophe a letter may belong to it.
 SURE = regex.compile(r"[\p{L}\p{N}\p{P}][ \t\r\n]|\p{L}[\p{N}\p{P}]|\p{N}[\p{L}\p{P}]|(?!')\p{P}[\p{L}\p{N}]")
@@ -49,6 +52,11 @@ def engine(path: str):
 
 def boundaries(data: bytes) -> np.ndarray:
     """Ends of content-defined chunks: where the hash of the last WINDOW bytes has its masked bits at 0."""
+    starts = [max(0, at - WINDOW + 1) for at in range(0, len(data), STRIDE)]  # each part sees the windows that end in it
+    return np.concatenate([np.empty(0, np.int64), *(part_boundaries(data[a : a + STRIDE + WINDOW - 1 if a else STRIDE]) + a for a in starts)])
+
+
+def part_boundaries(data: bytes) -> np.ndarray:
     if len(data) < WINDOW:
         return np.empty(0, dtype=np.int64)
     h, step = np.frombuffer(data, dtype=np.uint8).astype(np.uint32) + np.uint32(1), 1
@@ -62,15 +70,15 @@ def boundaries(data: bytes) -> np.ndarray:
 
 
 class Piece:
-    """Bytes with their ids: ends of the tokens in bytes, and the ids as text, each with a comma after it."""
+    """Bytes with their ids: ends of the tokens in bytes, and the ids as text, each with a comma after it; 4 bytes a number."""
 
     __slots__ = ("data", "ids", "ends", "text", "marks")
 
     def __init__(self, data: bytes, ids: list[int], lengths: list[int], names: list[str]):
-        self.data, self.ids = data, ids
-        self.ends = list(accumulate(map(lengths.__getitem__, ids)))
+        self.data, self.ids = data, array("i", ids)
+        self.ends = array("i", accumulate(map(lengths.__getitem__, ids)))
         numbers = list(map(names.__getitem__, ids))
-        self.text, self.marks = "".join(numbers), list(accumulate(map(len, numbers), initial=0))
+        self.text, self.marks = "".join(numbers), array("i", accumulate(map(len, numbers), initial=0))
 
 
 class Coder:
@@ -112,7 +120,7 @@ class Coder:
         made = self.young.get(data)
         if made is None:
             made = self.old.get(data) or self.piece(data)
-            self.size += 3 * len(data) + 40 * len(made.ids) + 400
+            self.size += len(data) + len(made.text) + 12 * len(made.ids) + 700
             if self.size > KEPT // 2:
                 self.young, self.old, self.size = {}, self.young, 0
             self.young[data] = made

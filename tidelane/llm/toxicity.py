@@ -10,11 +10,22 @@ from tidelane.llm.common import held_out, labelled_sample, pieces, rows_to_arrow
 
 #: Length of the n-grams in characters, and the bits of the table that they are hashed to.
 ORDERS, BITS = (4, 5), 20
+#: Characters that are hashed together.
+STRIDE = 1 << 16
 
 
 def grams(text: str) -> np.ndarray:
-    """Hashed n-grams of every order at every place of the lower-cased text; white space counts as one blank."""
-    points = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    """The distinct hashed n-grams of every order of the lower-cased text; white space counts as one blank."""
+    text = " " + " ".join(text.lower().split()) + " "
+    out = np.empty(0, dtype=np.uint32)
+    for at in range(0, len(text), STRIDE):  # a part goes on for the n-grams that begin in it
+        part = np.unique(part_grams(text[at : at + STRIDE + max(ORDERS) - 1]))
+        out = np.union1d(out, part) if len(out) else part
+    return out
+
+
+def part_grams(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     found = []
     for n in ORDERS:
         size = len(points) - n + 1
@@ -38,10 +49,9 @@ def fit(sample: list[tuple[str, int]], keep: int = 1024, prior: float = 1.0, rid
     y = np.array([label for _, label in sample], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return {"slot": np.zeros(1 << BITS, np.int32), "weight": np.zeros(1), "bias": 40.0 if len(y) and y[0] else -40.0}
-    seen = [np.unique(grams(text)) for text, _ in sample]
     counts = np.zeros((2, 1 << BITS))
-    for ids, label in zip(seen, y.astype(int), strict=True):
-        counts[label, ids] += 1
+    for text, label in sample:
+        counts[label, grams(text)] += 1
     n = np.array([(y == 0).sum(), (y == 1).sum()], dtype=np.float64)
     ratio = np.log((counts[1] + prior) / (n[1] + 2 * prior)) - np.log((counts[0] + prior) / (n[0] + 2 * prior))
     strength = np.abs(ratio) / np.sqrt(1 / (counts[0] + prior) + 1 / (counts[1] + prior))
@@ -49,13 +59,13 @@ def fit(sample: list[tuple[str, int]], keep: int = 1024, prior: float = 1.0, rid
     slot = np.zeros(1 << BITS, np.int32)
     slot[best] = np.arange(1, len(best) + 1)
     x = np.zeros((len(y), len(best)), dtype=np.float32)
-    for i, ids in enumerate(seen):
-        hit = slot[ids]
+    for i, (text, _) in enumerate(sample):  # hashed again, since the n-grams of all texts take more room than the texts
+        hit = slot[grams(text)]
         x[i, hit[hit > 0] - 1] = 1
     x *= ratio[best].astype(np.float32)
     w, b = np.zeros(len(best), np.float32), 0.0
     share = np.where(y == 1, 0.5 / n[1], 0.5 / n[0]).astype(np.float32)
-    step = 4.0 / float((share[:, None] * x * x).sum() + 1)
+    step = 4.0 / (float(share @ np.einsum("ij,ij->i", x, x)) + 1)
     old_w, old_b = w, b
     for k in range(steps):  # accelerated gradient steps
         at_w, at_b = w + (k / (k + 3)) * (w - old_w), b + (k / (k + 3)) * (b - old_b)
