@@ -27,6 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 _LOCAL: dict[str, str] = {}
 
+#: Rows of an Arrow batch where the session doesn't say: texts and sets are large, and Spark's 10,000 of them take 100 MB or more a task.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches to BATCH_ROWS rows, unless the user has set a bound."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
 
 _WRITTEN: dict[str, SparkSession] = {}
 
@@ -113,6 +122,7 @@ def rows_to_arrow(docs: DataFrame, fn, schema: str, *more: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    small_batches(docs.sparkSession)
     spark_schema = _parse_datatype_string(schema)
 
     def run(batches):

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import durable, pieces, text_key, unused
+from tidelane.llm.common import durable, pieces, small_batches, text_key, unused
 from tidelane.llm.linking import components, few, linked, shingle_sets
 
 #: Cells of the table of list lengths. It has this size whatever the input.
@@ -157,6 +157,7 @@ def ngram_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) ->
     one document, linked if any of their texts is. A row with a null doc_id gets the component of the documents with an
     equal set, or null. Columns of `docs` other than doc_id and text are ignored.
     """
+    small_batches(docs.sparkSession)
     lengths = list_lengths(docs, size)
     usual = max(1.0, lengths.mean())
     rank = docs.sparkSession.sparkContext.broadcast(np.maximum(0, np.floor(np.log2(np.maximum(lengths, 1) / usual))).astype(np.int8))

@@ -11,7 +11,7 @@ import re._parser as sre_parse
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tidelane.llm.common import pieces, rows_to_arrow
+from tidelane.llm.common import pieces, rows_to_arrow, small_batches
 
 #: kind -> (pattern, flags, shortest match or shortest group 2). The first three, in this order, are the base kinds.
 RULES = {
@@ -228,4 +228,5 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
                 cols["text"] = pa.array(new, part.schema.field("text").type)
                 yield pa.RecordBatch.from_arrays(list(cols.values()), schema=part.schema)
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import held_out, labelled_sample, pieces, rows_to_arrow
+from tidelane.llm.common import held_out, labelled_sample, pieces, rows_to_arrow, small_batches
 
 #: Length of the n-grams in characters, and the bits of the table that they are hashed to.
 ORDERS, BITS = (4, 5), 20
@@ -107,6 +107,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **opt
     """
     model = fit(labelled_sample(docs, labels, "toxic", options.get("folds", 5), options.get("fold", 0), options.get("max_rows", 16_384), options.get("max_bytes", 24_000_000)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
 
     def keep(batches):
         import pyarrow as pa
