@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelane.llm import bpe, compression_quality, decontamination, licenses, ngram_join, paragraphs, quality_rules, secrets, suffix_dedup, toxicity
+from tidelane.llm import alignment, bpe, compression_quality, decontamination, licenses, neighbours, ngram_join, paragraphs, quality_rules, secrets, suffix_dedup, toxicity, whitening
 from tidelane.llm.common import table
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def vocabulary() -> str:
-    """Place of the vocabulary file, which the public_tokenizers package has on every machine."""
+def vocabulary(name: str = VOCABULARY) -> str:
+    """Place of a vocabulary file, which the public_tokenizers package has on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.compression_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), vocabulary(), vocabulary(PIECES))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +82,9 @@ QUERIES = {
         op8_suffix_dedup,
         op9_license_scan,
         op10_compression_quality,
+        op11_token_alignment,
+        op12_neighbours,
+        op13_whitening,
     )
 }
 
