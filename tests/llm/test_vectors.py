@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from collections import Counter
 from pathlib import Path
 
@@ -66,12 +67,13 @@ def test_alignment_equals_loops(spark):
 
 def test_alignment_of_long_and_repeated_texts(spark, monkeypatch):
     """A text in parts has the ids that the whole text has; copies count each time."""
-    side = alignment.Pieces(vocabulary(PIECES))
-    text = " ".join(f"word{i}  été, {'x' * (i % 50)}" for i in range(3000)) + " "
-    whole = side.model.encode(text)
-    monkeypatch.setattr(alignment, "PART", 1000)
-    assert side(text) == whole and side("y" * 5000) == side.model.encode("y" * 5000)
-    monkeypatch.undo()
+    monkeypatch.setattr(alignment, "PART", 3)
+    side, rng = alignment.Pieces(vocabulary(PIECES)), random.Random(3)
+    for text in (" ".join(f"word{i}  été, {'x' * (i % 60)}" for i in range(3000)) + " ", "y" * 5000, " ", "   ", "a", " a ", "\n \n  b\t"):
+        assert side(text) == side.model.encode(text)
+    for _ in range(2000):
+        text = "".join(rng.choice(["  ", " ", "a", "the", "é", "漢", "\n", ".", "0", "ing"]) for _ in range(rng.randint(1, 30)))
+        assert side(text) == side.model.encode(text)
     rows = [(1, "some words"), (1, "some words"), (None, "some words"), (2, None)]
     got = alignment.alignment(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary(), vocabulary(PIECES)).collect()
     assert sorted((r.doc_id or 0, r.n_links, r.count_sum) for r in got) == [(0, 2, 6), (1, 2, 6), (1, 2, 6), (2, 0, 0)]

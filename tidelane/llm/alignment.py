@@ -28,6 +28,9 @@ class Side:
     def __call__(self, text: str) -> list[int]:
         raise NotImplementedError
 
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
 
 class ByteLevel(Side):
     """A byte-level BPE file of the tokenizers library; the strings of special tokens are plain text."""
@@ -45,6 +48,9 @@ class ByteLevel(Side):
     def __call__(self, text: str) -> list[int]:
         return self.encoding.encode_ordinary(" " + text)
 
+    def joined(self, ids: list[int]) -> bytes:
+        return self.encoding.decode_bytes(ids)
+
 
 class Pieces(Side):
     """A sentencepiece model, which puts a space before a text itself.
@@ -105,11 +111,12 @@ class Aligner:
             return nothing
         data = b" " + text.encode()
         a, b = self.first(text), self.second(text)
-        if b"".join(map(self.first.bytes_of.__getitem__, a)) != data or b"".join(map(self.second.bytes_of.__getitem__, b)) != data:
+        if self.first.joined(a) != data or self.second.joined(b) != data:
             return nothing
         a, b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
         ends_a, ends_b = np.cumsum(self.first.lengths[a]), np.cumsum(self.second.lengths[b])
-        cuts = np.intersect1d(ends_a, ends_b)
+        rising = bool(self.first.lengths[a].all() and self.second.lengths[b].all())
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=rising)
         return len(a), len(b), len(cuts), self.group_hash(a, b, ends_a, ends_b, cuts), self.links(a, b, ends_a, ends_b, cuts)
 
     def group_hash(self, a, b, ends_a, ends_b, cuts) -> str:
