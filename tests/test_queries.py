@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidelane.plans import catalog, messages, packets, tracking  # noqa: F401 - each registers its queries
+from tidelane.plans import catalog, connections, messages, packets, tracking  # noqa: F401 - each registers its queries
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 
