@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from tidelane.parsers import http2
+from pyspark.sql import functions as F
+
+from tidelane.parsers import http2, quic
 
 
 def hexed(text: str) -> bytes:
@@ -119,3 +121,67 @@ def test_settings_gaps_promises_and_missing_prefaces(spark):
     assert events_of(spark, [("initiator", frame(1, 5, 1, b"\x82"), 0)], strict=False)[0][1] == "head"
     lost = events_of(spark, [("initiator", OPEN, 0), ("initiator", frame(1, 5, 1, b"\x82"), 3), ("responder", frame(1, 5, 1, b"\x88"), 0)])
     assert [(e[1], e[-1]) for e in lost] == [("error", "gap")]
+
+
+HELLO = hexed("060040f1010000ed0303ebf8fa56f12939b9584a3896472ec40bb863cfd3e86804fe3a47f06a2b69484c00000413011302010000c000000010000e00000b6578616d706c652e636f6dff01000100000a00080006001d0017001800100007000504616c706e000500050100000000003300260024001d00209370b2c9caa47fbabaf4559fedba753de171fa71f50f1ce15d43e994ec74d748002b0003020304000d0010000e0403050306030203080408050806002d00020101001c00024001003900320408ffffffffffffffff05048000ffff07048000ffff0801100104800075300901100f088394c8f03e51570806048000ffff")
+DCID = hexed("8394c8f03e515708")
+
+
+def test_keys_of_the_public_example():
+    """RFC 9001, A.1, and RFC 9369, A.1."""
+    assert {k: v.hex() for k, v in quic.client_keys(DCID, 1).items()} == {"key": "1f369613dd76d5467730efcbe3b1a22d", "iv": "fa044b2f42a3fd3b46fb255c", "hp": "9f50449e04a0e810283a1e9933adedd2"}
+    assert quic.client_keys(DCID, 0x6B3343CF)["key"].hex() == "8b1a0bc121284290a29e0971b5cd045d"
+
+
+def initial(spark, plain: bytes, pn: bytes = b"\0\0\0\x02", dcid: bytes = DCID, token: bytes = b"") -> bytes:
+    """A protected packet, by Spark's encryption and XOR by hand."""
+    keys = quic.client_keys(dcid, 1)
+    head = bytes([0xC0 | len(pn) - 1]) + b"\0\0\0\x01" + bytes([len(dcid)]) + dcid + b"\0" + bytes([len(token)]) + token + (0x4000 | len(plain) + 16 + len(pn)).to_bytes(2) + pn
+    nonce = (int.from_bytes(keys["iv"]) ^ int.from_bytes(pn)).to_bytes(12)
+    one = spark.createDataFrame([(plain, keys["key"], keys["hp"], nonce, head)], "p binary, k binary, hp binary, n binary, a binary")
+    sealed = bytes(one.select(F.aes_encrypt("p", "k", F.lit("GCM"), F.lit("DEFAULT"), F.col("n"), F.col("a"))).head()[0])[12:]
+    mask = bytes(spark.createDataFrame([(sealed[4 - len(pn) : 20 - len(pn)], keys["hp"])], "s binary, hp binary").select(quic.mask_of(F.col("s"), F.col("hp"))).head()[0])
+    first = bytes([head[0] ^ mask[0] & 15])
+    return first + head[1 : -len(pn)] + bytes(a ^ b for a, b in zip(pn, mask[1:], strict=False)) + sealed
+
+
+def hellos(spark, packets, **options):
+    rows = [("f", us, i, p) for i, (us, p) in enumerate(packets)]
+    return quic.quic_hellos(spark.createDataFrame(rows, "f string, us long, seq long, payload binary"), ["f"], **options).orderBy("us").collect()
+
+
+def test_packet_of_the_public_example(spark):
+    """RFC 9001, A.2: the protected header and the start of what follows are the published ones, and the name comes out."""
+    packet = initial(spark, HELLO + bytes(1162 - len(HELLO)))
+    assert len(packet) == 1200 and packet[:36].hex() == "c000000001088394c8f03e5157080000449e7b9aec34d1b1c98dd7689fb8ec11d242b123"
+    (row,) = hellos(spark, [(5, packet + b"another packet")])
+    assert (row.sni, row.alpn, row.version, bytes(row.dcid), row.packets, row.us) == ("example.com", ["alpn"], "v1", DCID, 1, 5) and row.ja4.startswith("q13d0211")
+
+
+def test_hellos_across_packets(spark):
+    """Fragments in any order, overlapping, repeated, with tokens and short numbers; packets that can't be opened don't count."""
+    body = HELLO[4:]
+    crypto = lambda a, b: b"\x06" + (0x4000 | a).to_bytes(2) + (0x4000 | b - a).to_bytes(2) + body[a:b]
+    packets = [initial(spark, b"\x01" + crypto(200, len(body)) + bytes(30), b"\x07"), initial(spark, crypto(0, 120) + bytes(9), b"\0\x08", token=b"tok"), initial(spark, crypto(100, 210) + bytes(9), b"\0\0\x09")]
+    (row,) = hellos(spark, [(i, p) for i, p in enumerate([*packets, packets[0]])])
+    assert row.sni == "example.com" and row.packets == 3 and row.us == 2 and bytes(row.hello) == body
+    broken = bytearray(packets[0])
+    broken[-1] ^= 1
+    other = [bytes(broken), packets[0][:60], b"\x40abc", b"", None, b"\xc0" + bytes(30)]
+    assert hellos(spark, [(i, p) for i, p in enumerate(other)]) == []
+    (left,) = hellos(spark, [(1, packets[0]), (2, packets[1])])
+    assert left.sni is None and left.hello is None and left.packets == 2
+    late = hellos(spark, [(1, packets[0]), (6_000_002, packets[1]), (6_000_003, packets[2])])
+    assert [(r.packets, r.hello) for r in late] == [(1, None), (2, None)]
+    (full,) = hellos(spark, [(1, packets[0]), (2, packets[1]), (3, packets[2])], frames=2)
+    assert full.dropped == 1 and full.hello is None
+
+
+def test_frames_of_opened_packets():
+    assert quic.crypto_of(hexed("0001 0205030100 01 0300000000010203 06000161 1c")) == [{"at": 0, "data": b"a"}]
+    assert quic.crypto_of(hexed("060005 61")) is None and quic.crypto_of(b"\x40") is None and quic.crypto_of(None) is None
+    rng = random.Random(5)
+    for _ in range(3000):
+        data = bytes(rng.randrange(256) for _ in range(rng.randrange(40)))
+        quic.crypto_of(data)
+        quic.header_of(b"\xc3\0\0\0\x01" + data)
