@@ -178,7 +178,7 @@ def test_hellos_across_packets(spark):
 
 
 def test_frames_of_opened_packets():
-    assert quic.crypto_of(hexed("0001 0205030100 01 0300000000010203 06000161 1c")) == [{"at": 0, "data": b"a"}]
+    assert quic.crypto_of(hexed("0001 02050301000102 0300000000010203 06000161 1c")) == [{"at": 0, "data": b"a"}]
     assert quic.crypto_of(hexed("060005 61")) is None and quic.crypto_of(b"\x40") is None and quic.crypto_of(None) is None
     rng = random.Random(5)
     for _ in range(3000):
