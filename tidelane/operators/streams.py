@@ -5,88 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane.operators import reassembly
 from tidelane.operators.folds import ordered_fold
 
 #: Bytes that may wait behind a hole, and microseconds after which a hole is given up.
 WAITING, PATIENCE_US = 256 * 1024, 1_000_000
-POLICIES = ("first", "last", "lower_seq", "higher_seq")
-
-
-def wins(policy: str, new_start: int, old_start: int) -> bool:
-    """Whether the new segment's bytes replace waiting bytes of the old one where they overlap and differ."""
-    return policy == "last" or (policy == "lower_seq" and new_start < old_start) or (policy == "higher_seq" and new_start > old_start)
-
-
-def insert(waiting: dict[int, tuple[int, int]], offset: int, data: bytes, policy: str) -> int:
-    """Puts bytes into `waiting` (offset -> byte and start of its segment); how many overlapped with another value."""
-    different = 0
-    for i, byte in enumerate(data, offset):
-        old = waiting.get(i)
-        if old is None:
-            waiting[i] = (byte, offset)
-        elif old[0] != byte:
-            different += 1
-            if wins(policy, offset, old[1]):
-                waiting[i] = (byte, offset)
-    return different
 
 
 def reassemble(segments: DataFrame, keys: list[str], policy: str = "first", waiting: int = WAITING, patience_us: int = PATIENCE_US) -> DataFrame:
-    """keys, offset, chunk, gap, inconsistent: what each side of a flow has sent, in order.
-
-    segments: us, seq, tcp_seq, payload (a SYN has none; its number is that of the byte before the first). Rows come as
-    bytes become contiguous; `gap` counts bytes given up before a chunk, once `waiting` bytes or `patience_us` have
-    passed behind a hole, or at the end. `policy` decides between different bytes at one place that still waits;
-    delivered bytes stay. `inconsistent` counts such differences. State is bounded by `waiting`.
-    """
-    if policy not in POLICIES:
-        raise ValueError(policy)
-
-    def deliver(s, skip: bool):
-        out = []
-        while s[1]:
-            start = min(s[1])
-            gap = start - s[0]
-            if gap and not skip:
-                break
-            data = bytearray()
-            at = start
-            while at in s[1]:
-                data.append(s[1].pop(at)[0])
-                at += 1
-            out.append((start, bytes(data), gap, s[3]))
-            s[0], s[3], skip = at, 0, False
-        return out
-
-    def step(s, us, seq, number, payload, syn):
-        if s[4] is None:
-            s[4], s[0] = number + bool(syn), 0
-        if not payload:
-            return []
-        offset = (number + bool(syn) - s[4] + (1 << 31)) % (1 << 32) - (1 << 31)
-        whole = s[0] + (offset - s[0] + (1 << 31)) % (1 << 32) - (1 << 31)
-        if not s[1] and whole == s[0]:  # in order
-            s[0] += len(payload)
-            return [(whole, payload, 0, 0)]
-        fresh = payload[max(0, s[0] - whole) :]
-        if fresh:
-            held = len(s[1])
-            s[3] += insert(s[1], max(whole, s[0]), fresh, policy)
-            s[2] = us if not held else s[2]
-        late = bool(s[1]) and (len(s[1]) > waiting or us - s[2] > patience_us)
-        out = deliver(s, late)
-        if out:
-            s[2] = us
-        return out
-
-    def finish(s):
-        out = []
-        while s[1]:
-            out += deliver(s, True)
-        return out
-
-    # delivered up to, waiting bytes, since when, differences, number of the first byte
-    return ordered_fold(segments, keys, ["tcp_seq", "payload", "syn"], lambda: [0, {}, 0, 0, None], step, "offset long, chunk binary, gap long, inconsistent long", finish)
+    """keys, offset, chunk, gap, inconsistent of `reassembly.chunks`, whose rules have more to choose from."""
+    got = reassembly.chunks(segments, keys, reassembly.Rules(policy=policy, waiting=waiting, patience_us=patience_us))
+    return got.select(*keys, "offset", "chunk", "gap", "inconsistent")
 
 
 def overflow(chunks: DataFrame, keys: list[str], cap: int, policy: str = "sliding_window") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelane import sinks
 from tidelane.functions import scalars
 from tidelane.functions.wire import frame_of, hexed
-from tidelane.operators import correlate, detect, enrich, flows, folds, keys, rates, sketches, streams
+from tidelane.operators import correlate, detect, enrich, flows, folds, keys, rates, reassembly, sketches, streams
 from tidelane.parsers import web
 from tidelane.plans import catalog
 from tidelane.plans.catalog import COOL, DAY, DGA, EV, HOSTS, HOUR, TR, page_hosts, r6
@@ -104,10 +104,20 @@ def conversation_timeline(spark, sf_dir):
     return p.join(F.broadcast(busiest), "src").orderBy("us", "seq").select("us", "seq", "svc")
 
 
+#: Three texts of an event that differ at each place: digits, and two kinds of letters for them.
+DIGITS, SMALL, LARGE = "0123456789", "abcdefghij", "ABCDEFGHIJ"
+
+
+def event_text(kind: str = DIGITS) -> Column:
+    return F.translate(F.lpad(F.col("flow").cast("string"), 11, "0"), DIGITS, kind)
+
+
 def stream_segments(spark, sf_dir) -> DataFrame:
-    """Three segments for each event: of each user's stream, out of order, with bytes that overlap and differ."""
-    ev = packets(spark, sf_dir).filter("seq % 10 = 0").select("src", F.col("seq").alias("flow"))
-    parts = F.array(*[F.struct(F.lit(i).cast("long").alias("us"), F.lit(s).cast("long").alias("off"), F.lit(t).alias("text")) for i, (s, t) in enumerate([(0, "abc"), (5, "FGHI"), (7, "hijk"), (3, "deXY")])])
+    """Four segments for each event: of its stream, out of order, with bytes that overlap and differ."""
+    ev = packets(spark, sf_dir).select("src", F.col("seq").alias("flow"))
+    cut = lambda kind, a, b: F.substring(event_text(kind), a + 1, b - a)
+    texts = [(0, cut(DIGITS, 0, 3)), (5, cut(SMALL, 5, 9)), (7, cut(DIGITS, 7, 11)), (3, F.concat(cut(DIGITS, 3, 5), cut(LARGE, 5, 7)))]
+    parts = F.array(*[F.struct(F.lit(i).cast("long").alias("us"), F.lit(s).cast("long").alias("off"), t.alias("text")) for i, (s, t) in enumerate(texts)])
     each = ev.select("src", "flow", F.explode(parts).alias("p"))
     start = (1 << 32) - 4
     return each.select("flow", F.lit("initiator").alias("side"), "p.us", F.col("p.us").alias("seq"), ((F.col("p.off") + start + F.col("flow")) % (1 << 32)).alias("tcp_seq"), F.col("p.text").cast("binary").alias("payload"), F.lit(False).alias("syn"))
@@ -118,60 +128,122 @@ def reassembled(spark, sf_dir, policy: str) -> DataFrame:
     return got.groupBy("flow").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", F.col("chunk").cast("string").alias("c")))), lambda x: x["c"]), "").alias("stream"), F.sum("gap").alias("gaps"), F.sum("inconsistent").alias("inconsistent"))
 
 
-def overlap_sql(stream: str) -> str:
-    return f"SELECT event_id AS flow, '{stream}' AS stream, CAST(0 AS BIGINT) AS gaps, CAST(4 AS BIGINT) AS inconsistent FROM events WHERE event_id % 10 = 0"
+def stream_sql(*parts: tuple[str, int, int]) -> str:
+    """Places `a` to before `b` of an event's texts, one after the other."""
+    text = "lpad(CAST(event_id AS VARCHAR), 11, '0')"
+    return " || ".join(f"substring(translate({text}, '{DIGITS}', '{kind}'), {a + 1}, {b - a})" for kind, a, b in parts)
+
+
+def overlap_sql(*parts: tuple[str, int, int]) -> str:
+    return f"SELECT event_id AS flow, {stream_sql(*parts)} AS stream, CAST(0 AS BIGINT) AS gaps, CAST(4 AS BIGINT) AS inconsistent FROM events"
 
 
-# Waiting: F G H I at 5 to 8, then h i j k at 7 to 10, then d e X Y at 3 to 6, which fills the hole.
-@query(overlap_sql("abcdeFGHIjk"))
+# Waiting: small letters at 5 to 8, then digits at 7 to 10; then digits at 3 and 4, large letters at 5 and 6, which fill the hole.
+@query(overlap_sql((DIGITS, 0, 5), (SMALL, 5, 9), (DIGITS, 9, 11)))
 def overlap_first(spark, sf_dir):
     return reassembled(spark, sf_dir, "first")
 
 
-@query(overlap_sql("abcdeXYhijk"))
+@query(overlap_sql((DIGITS, 0, 5), (LARGE, 5, 7), (DIGITS, 7, 11)))
 def overlap_last(spark, sf_dir):
     return reassembled(spark, sf_dir, "last")
 
 
-@query(overlap_sql("abcdeXYHIjk"))
+@query(overlap_sql((DIGITS, 0, 5), (LARGE, 5, 7), (SMALL, 7, 9), (DIGITS, 9, 11)))
 def overlap_lower_seq(spark, sf_dir):
     return reassembled(spark, sf_dir, "lower_seq")
 
 
-@query(overlap_sql("abcdeFGhijk"))
+@query(overlap_sql((DIGITS, 0, 5), (SMALL, 5, 7), (DIGITS, 7, 11)))
 def overlap_higher_seq(spark, sf_dir):
     return reassembled(spark, sf_dir, "higher_seq")
 
 
-@query("SELECT event_id AS flow, unnest(['abc', 'FGHI']) AS chunk, unnest([CAST(0 AS BIGINT), 2]) AS gap FROM events WHERE event_id % 10 = 0")
+@query(f"SELECT event_id AS flow, unnest([{stream_sql((DIGITS, 0, 3))}, {stream_sql((SMALL, 5, 9))}]) AS chunk, unnest([CAST(0 AS BIGINT), 2]) AS gap FROM events")
 def stream_gaps(spark, sf_dir):
     """A hole that nothing fills is given up at the end."""
     s = stream_segments(spark, sf_dir).filter("us < 2")
     return streams.reassemble(s, ["flow", "side"]).select("flow", F.col("chunk").cast("string").alias("chunk"), "gap")
 
 
-@query("SELECT event_id AS flow, 'GHI' AS kept, 'abc' AS parsed, event_id % 20 = 0 AS dropped FROM events WHERE event_id % 10 = 0")
+@query(f"SELECT event_id AS flow, {stream_sql((SMALL, 6, 9))} AS kept, {stream_sql((DIGITS, 0, 3))} AS parsed, event_id % 2 = 0 AS dropped FROM events")
 def stream_limits(spark, sf_dir):
     """The last three bytes under a cap; what a parser sees before the first gap; flows dropped over a cap of six bytes."""
-    s = stream_segments(spark, sf_dir).filter("us < 2 and (us = 0 or true)")
+    s = stream_segments(spark, sf_dir).filter("us < 2")
     chunks = streams.reassemble(s, ["flow", "side"])
     kept = streams.overflow(chunks, ["flow", "side"], 3).select("flow", F.col("chunk").cast("string").alias("kept"))
     parsed = streams.until_gap(chunks, ["flow", "side"]).select("flow", F.col("chunk").cast("string").alias("parsed"))
-    short = chunks.filter("flow % 20 <> 0 and offset = 0").unionByName(chunks.filter("flow % 20 = 0"))
+    short = chunks.filter("flow % 2 = 0 or offset = 0")
     left = streams.overflow(short, ["flow", "side"], 6, "drop_flow").select("flow").distinct().withColumn("there", F.lit(True))
     return kept.join(parsed, "flow").join(left, "flow", "left").select("flow", "kept", "parsed", F.col("there").isNull().alias("dropped"))
 
 
+def told(us: int, at: int | None = None, size: int = 0, kind: str = DIGITS, ack: int | None = None, missing: int = 0) -> Column:
+    """A segment of an event's text, or what the other side acknowledges."""
+    data = F.substring(event_text(kind), at + 1, size).cast("binary") if at is not None else F.lit(None).cast("binary")
+    number = lambda n: F.lit(None if n is None else (1 << 32) - 4 + n).cast("long") % (1 << 32)
+    return F.struct(F.lit(us).cast("long").alias("us"), number(at).alias("tcp_seq"), data.alias("payload"), number(ack).alias("ack"), F.lit(missing).cast("long").alias("missing"))
+
+
+def cause_segments(spark, sf_dir) -> DataFrame:
+    """By event_id modulo 7: a hole that an acknowledgement vouches for; one before two segments and one before a lone one that wait
+    too long; one at the end; bytes cut by the capture; too many pieces; and a segment sent again in other letters."""
+    cases = [
+        [told(10, 0, 3), told(20, 5, 2), told(30, ack=8), told(10_050, ack=8)],
+        [told(10, 0, 3), told(20, 5, 2), told(900_000, 7, 1), told(1_000_030, 8, 1)],
+        [told(10, 0, 3), told(20, 5, 2), told(900_000, ack=1), told(4_000_030, ack=1)],
+        [told(10, 0, 3), told(20, 5, 2)],
+        [told(10, 0, 3, missing=2), told(20, 5, 2)],
+        [told(10, 0, 3), told(20, 5, 2), told(21, 9, 2)],
+        [told(10, 0, 3), told(20, 5, 2), told(30, 4, 2, SMALL), told(40, 0, 3), told(50, 3, 1)],
+    ]
+    chosen = F.array(*cases[0])
+    for i, case in enumerate(cases[1:], 1):
+        chosen = F.when(F.col("flow") % 7 == i, F.array(*case)).otherwise(chosen)
+    each = packets(spark, sf_dir).select("src", F.col("seq").alias("flow")).select("src", "flow", F.posexplode(chosen).alias("seq", "p"))
+    return each.select("src", "flow", F.lit("initiator").alias("side"), F.col("seq").cast("long").alias("seq"), "p.*")
+
+
+#: Of the cases: when the hole is given up, and why. The last one is filled.
+GIVEN_UP = "CASE event_id % 7 WHEN 0 THEN 10050 WHEN 1 THEN 1000030 WHEN 2 THEN 4000030 WHEN 3 THEN 20 WHEN 4 THEN 10 ELSE 21 END"
+RULES = reassembly.Rules(waiting=130)
+
+
+@query(f"SELECT event_id AS flow, CAST({GIVEN_UP} AS BIGINT) AS us, ['acknowledged', 'deadline', 'deadline', 'end', 'cut', 'full'][event_id % 7 + 1] AS cause, CAST(2 AS BIGINT) AS gap, CASE event_id % 7 WHEN 1 THEN {stream_sql((DIGITS, 5, 9))} WHEN 4 THEN '' ELSE {stream_sql((DIGITS, 5, 7))} END AS chunk FROM events WHERE event_id % 7 < 6")
+def holes_given_up(spark, sf_dir):
+    """When each hole before byte 5 is given up, and why; the last event of seven fills its hole."""
+    got = reassembly.chunks(cause_segments(spark, sf_dir), ["flow", "side"], RULES)
+    return got.filter("gap > 0 and offset <= 5").select("flow", "us", "cause", "gap", F.col("chunk").cast("string").alias("chunk"))
+
+
+KINDS = """SELECT event_id AS flow, CAST(40 AS BIGINT) AS us, 'retransmitted' AS kind, CAST(1 AS BIGINT) AS n FROM events WHERE event_id % 7 = 6
+UNION ALL SELECT event_id, 30, kind, 1 FROM events, (SELECT unnest(['retransmitted', 'inconsistent_retransmit']) AS kind) WHERE event_id % 7 = 6"""
+
+
+@query(f"SELECT event_id AS flow, CAST({GIVEN_UP} AS BIGINT) AS us, 'stream_gap' AS kind, CAST(1 AS BIGINT) AS n FROM events WHERE event_id % 7 < 6 UNION ALL SELECT event_id, 21, 'stream_gap', 1 FROM events WHERE event_id % 7 = 5 UNION ALL {KINDS}")
+def stream_anomalies(spark, sf_dir):
+    """Gaps, segments sent again, and those whose bytes differ, as the counters of each side grow."""
+    got = reassembly.anomalies(cause_segments(spark, sf_dir), ["flow", "side"], RULES)
+    return got.select("flow", "us", "kind", F.col("count").alias("n"))
+
+
+@query("SELECT CAST(user_id AS BIGINT) AS src, count(*) AS flows, count(*) AS segments, min(event_id) AS first_flow FROM events WHERE event_id % 7 = 6 GROUP BY user_id")
+def tcp_evasion_detector(spark, sf_dir):
+    """Sources whose segments overlap waiting ones with other bytes: how many flows, how many segments, and the first flow."""
+    got = reassembly.anomalies(cause_segments(spark, sf_dir), ["src", "flow", "side"], RULES)
+    return got.filter("kind = 'inconsistent_retransmit'").groupBy("src").agg(F.countDistinct("flow").alias("flows"), F.sum("count").alias("segments"), F.min("flow").alias("first_flow"))
+
+
 @query("SELECT event_id AS id, 'HELLO ' || event_type AS payload FROM events WHERE event_id % 3 > 0")
 def ip_fragment_reassembly(spark, sf_dir):
     """Datagrams of two fragments that come last first; every third has an overlap and is dropped."""
-    ev = packets(spark, sf_dir).filter("seq < 65536")
+    ev = packets(spark, sf_dir)  # an identification has 16 bits: later events have another source
     first, second = F.lit("HELLO wo"), F.col("svc")
     whole = F.concat(F.lit("HELLO "), F.col("svc"))
     parts = F.array(F.struct(F.lit(1).alias("o"), F.when(F.col("seq") % 3 == 0, 4).otherwise(8).alias("at"), F.lit(False).alias("mf"), F.substring(whole, F.lit(9), F.length(whole)).alias("p")), F.struct(F.lit(2).alias("o"), F.lit(0).alias("at"), F.lit(True).alias("mf"), F.substring(whole, F.lit(1), F.lit(8)).alias("p")))
     each = ev.select("src", F.col("seq").alias("n"), F.explode(parts).alias("x"))
-    f = each.select(F.col("x.o").cast("long").alias("us"), F.col("x.o").cast("long").alias("seq"), F.lit("10.0.0.1").alias("src_ip"), F.lit("10.0.0.2").alias("dst_ip"), F.lit(17).alias("proto"), F.col("n").alias("id"), F.col("x.at").alias("fragment"), F.col("x.mf").alias("mf"), F.col("x.p").cast("binary").alias("payload"))
-    return streams.defragment(f).select("id", F.col("payload").cast("string").alias("payload"))
+    f = each.select(F.col("x.o").cast("long").alias("us"), F.col("x.o").cast("long").alias("seq"), F.concat(F.lit("10.0.0."), F.floor(F.col("n") / 65536)).alias("src_ip"), F.lit("10.0.0.2").alias("dst_ip"), F.lit(17).alias("proto"), (F.col("n") % 65536).alias("id"), F.col("x.at").alias("fragment"), F.col("x.mf").alias("mf"), F.col("x.p").cast("binary").alias("payload"))
+    return streams.defragment(f).select((F.split_part("src_ip", F.lit("."), F.lit(4)).cast("long") * 65536 + F.col("id")).alias("id"), F.col("payload").cast("string").alias("payload"))
 
 
 @query(f"WITH {EV} SELECT svc, src, count(*) AS n, TRUE AS enough, TRUE AS member, count(*) FILTER (seq % 2 = 0) > count(*) FILTER (seq % 2 = 1) OR FALSE AS kept FROM ev WHERE src % 50 = 0 GROUP BY ALL")
