@@ -1,7 +1,7 @@
-"""Frames to header fields: link layers, tags, addresses, transports and tunnels, by byte arithmetic alone.
+"""Frames to header fields: link layers, tags, addresses, transports and tunnels.
 
-`decode` adds columns to a relation with a binary column `frame`; what a query doesn't select is pruned. Frames whose
-headers end early have nulls there and `truncated`.
+`decode` adds columns to a relation with a binary column `frame`. Frames whose headers end early have nulls there and
+`truncated`.
 """
 
 from __future__ import annotations
@@ -10,16 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.functions import wire
-from tidelane.functions.scalars import let, once
-from tidelane.functions.wire import bit, bits, cut, ipv4, ipv6, mac, rest, uint
+from tidelane.functions.scalars import once
+from tidelane.functions.wire import bit, bits, cut, ipv4, mac, rest, uint
+from tidelane.sources.headers import ICMP, ICMPV6, IPV4, IPV6, TCP, UDP, header_fields
 
 #: EtherTypes, IP protocols, link types of capture files, UDP ports of tunnels.
-VLAN, MPLS, IPV4, IPV6, ARP, BRIDGED = (0x8100, 0x88A8, 0x9100), (0x8847, 0x8848), 0x0800, 0x86DD, 0x0806, 0x6558
-ICMP, TCP, UDP, GRE, ICMPV6 = 1, 6, 17, 47, 58
+ARP, BRIDGED, GRE = 0x0806, 0x6558, 47
 ETHERNET, SLL, SLL2, RAW, LINK_V4, LINK_V6, NULL, LOOP = 1, 113, 276, (12, 14, 101), 228, 229, 0, 108
 VXLAN_PORT, GTPU_PORT = 4789, 2152
-#: IPv6 headers that name a next one after a length in units of 8 bytes, the fragment header, and the authentication header.
-LONG_HEADERS, FRAGMENT, AUTHENTICATION = (0, 43, 60), 44, 51
 BLANK_ETHERNET = "00" * 12
 
 
@@ -51,118 +49,46 @@ def normalise(frames: DataFrame, link: str = "link_type", column: str = "frame")
     return frames.select(*[c for c in frames.columns if c != column], out.alias(column), direction.alias("direction"), supported.alias("supported"))
 
 
-def tags(f: Column) -> Column:
-    """struct<at, type, vlans, mpls>: where the network header begins, its EtherType, and what stands before it."""
-    start = F.struct(F.lit(14).alias("at"), uint(f, 12, 2).alias("type"), F.array().cast("array<struct<vid:bigint,pcp:bigint,dei:boolean>>").alias("vlans"), F.array().cast("array<struct<label:bigint,tc:bigint,bottom:boolean,ttl:bigint>>").alias("mpls"))
-
-    def step(s: Column, _: Column) -> Column:
-        at = s["at"]
-        tci = uint(f, at, 2)
-        tag = F.struct(bits(tci, 0, 12).alias("vid"), bits(tci, 13, 3).alias("pcp"), bit(tci, 0x1000).alias("dei"))
-        vlan = F.struct((at + 4).alias("at"), uint(f, at + 2, 2).alias("type"), F.concat(s["vlans"], F.array(tag)).alias("vlans"), s["mpls"].alias("mpls"))
-        word = uint(f, at, 4)
-        label = F.struct(bits(word, 12, 20).alias("label"), bits(word, 9, 3).alias("tc"), bit(word, 0x100).alias("bottom"), bits(word, 0, 8).alias("ttl"))
-        below = F.when(~bit(word, 0x100), s["type"]).when(bits(uint(f, at + 4, 1), 4, 4) == 6, IPV6).otherwise(IPV4)
-        mpls = F.struct((at + 4).alias("at"), below.cast("bigint").alias("type"), s["vlans"].alias("vlans"), F.concat(s["mpls"], F.array(label)).alias("mpls"))
-        there = F.length(f) >= at + 4
-        return F.when(there & s["type"].isin(*VLAN), vlan).when(there & s["type"].isin(*MPLS), mpls).otherwise(s)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step)
-
-
-def network(f: Column, t: Column) -> Column:
-    """struct<version, src, dst, src_bytes, dst_bytes, proto, ttl, dscp, ecn, id, df, mf, fragment, label, at, end>.
-
-    at: where the transport header begins; end: where the packet ends by its own length; fragment: offset in bytes.
-    """
-    at = t["at"]
-    flags = uint(f, at + 6, 2)
-    total = uint(f, at + 2, 2)
-    v4 = F.struct(
-        F.lit(4).alias("version"), ipv4(f, at + 12).alias("src"), ipv4(f, at + 16).alias("dst"), cut(f, at + 12, 4).alias("src_bytes"), cut(f, at + 16, 4).alias("dst_bytes"),
-        uint(f, at + 9, 1).alias("proto"), uint(f, at + 8, 1).alias("ttl"), bits(uint(f, at + 1, 1), 2, 6).alias("dscp"), bits(uint(f, at + 1, 1), 0, 2).alias("ecn"), uint(f, at + 4, 2).alias("id"),
-        bit(flags, 0x4000).alias("df"), bit(flags, 0x2000).alias("mf"), (bits(flags, 0, 13) * 8).alias("fragment"), F.lit(None).cast("bigint").alias("label"),
-        (at + bits(uint(f, at, 1), 0, 4) * 4).cast("int").alias("at"), F.least(at + F.when(total > 0, total).otherwise(F.length(f) - at), F.length(f)).cast("int").alias("end"),
-    )
-    start = F.struct((at + 40).cast("int").alias("at"), uint(f, at + 6, 1).alias("next"), F.lit(0).cast("bigint").alias("fragment"), F.lit(False).alias("mf"), F.lit(None).cast("bigint").alias("id"))
-
-    def step(s: Column, _: Column) -> Column:
-        a, n = s["at"], s["next"]
-        size = F.when(n == FRAGMENT, 8).when(n == AUTHENTICATION, (uint(f, a + 1, 1) + 2) * 4).otherwise((uint(f, a + 1, 1) + 1) * 8)
-        here = n == FRAGMENT
-        offset = F.when(here, bits(uint(f, a + 2, 2), 3, 13) * 8).otherwise(s["fragment"])
-        more = F.struct((a + size).cast("int").alias("at"), uint(f, a, 1).alias("next"), offset.alias("fragment"), F.when(here, bit(uint(f, a + 2, 2), 1)).otherwise(s["mf"]).alias("mf"), F.when(here, uint(f, a + 4, 4)).otherwise(s["id"]).alias("id"))
-        return F.when(n.isin(*LONG_HEADERS, FRAGMENT, AUTHENTICATION) & (s["fragment"] == 0) & (F.length(f) >= a + 8), more).otherwise(s)
-
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step)
-    word = uint(f, at, 4)
-    v6 = wire.let(walked, lambda w: F.struct(
-        F.lit(6).alias("version"), ipv6(f, at + 8).alias("src"), ipv6(f, at + 24).alias("dst"), cut(f, at + 8, 16).alias("src_bytes"), cut(f, at + 24, 16).alias("dst_bytes"),
-        w["next"].alias("proto"), uint(f, at + 7, 1).alias("ttl"), bits(word, 22, 6).alias("dscp"), bits(word, 20, 2).alias("ecn"), w["id"].alias("id"),
-        F.lit(None).cast("boolean").alias("df"), w["mf"].alias("mf"), w["fragment"].alias("fragment"), bits(word, 0, 20).alias("label"),
-        w["at"].alias("at"), F.least(at + 40 + uint(f, at + 4, 2), F.length(f)).cast("int").alias("end"),
-    ))
-    return F.when((t["type"] == IPV4) & (F.length(f) >= at + 20), v4).when((t["type"] == IPV6) & (F.length(f) >= at + 40), v6)
-
-
-def tcp_options(f: Column, start: Column, end: Column) -> Column:
-    """array<struct<kind, at, size>>: options up to the end mark; those of one byte have size 0."""
-    state = F.struct(start.cast("int").alias("at"), F.array().cast("array<struct<kind:bigint,at:int,size:int>>").alias("found"))
-
-    def step(s: Column, _: Column) -> Column:
-        at = s["at"]
-        kind, size = uint(f, at, 1), F.when(uint(f, at, 1) == 1, 0).otherwise(uint(f, at + 1, 1) - 2).cast("int")
-        head = F.when(kind == 1, 1).otherwise(2)
-        one = F.struct(kind.alias("kind"), (at + head).cast("int").alias("at"), size.alias("size"))
-        ok = (at >= 0) & (at < end) & (kind != 0) & (size >= 0) & (at + head + size <= end)
-        return F.when(F.coalesce(ok, F.lit(False)), F.struct((at + head + size).cast("int").alias("at"), F.concat(s["found"], F.array(one)).alias("found"))).otherwise(F.struct(F.lit(-1).alias("at"), s["found"].alias("found")))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), state, step, lambda s: s["found"])
-
-
 def decode(frames: DataFrame, column: str = "frame") -> DataFrame:
     """`frames` with eth, vlans, mpls, ip, proto, src_ip, dst_ip, src_port, dst_port, tcp, icmp, arp, payload, truncated.
 
-    Ports belong to TCP and UDP; later fragments have none. A payload ends where its packet does, not with the padding.
+    Numbers and addresses are read in Arrow batches (`headers`); hardware addresses, payloads and other bytes are cut out by
+    Spark where a query asks for them. Ports belong to TCP and UDP; later fragments have none. A payload ends where its packet
+    does, not with the padding.
     """
-    f = F.col(column)
-    out = frames.withColumn("__t", once(tags(f)))
-    t = F.col("__t")
-    # Named inside, so that a filter on it that is pushed down doesn't repeat the walk over tags.
-    out = out.withColumn("ip", let(tags(f), lambda t: network(f, t)))
-    ip = F.col("ip")
-    l4, first = ip["at"], F.coalesce(ip["fragment"] == 0, F.lit(False))
-    is_tcp, is_udp = first & (ip["proto"] == TCP), first & (ip["proto"] == UDP)
-    is_icmp = first & ip["proto"].isin(ICMP, ICMPV6)
-    head = F.when(is_tcp, bits(uint(f, l4 + 12, 1), 4, 4) * 4).when(is_udp, 8).when(is_icmp, 8).otherwise(0)
-    out = out.withColumn("__end", (l4 + head).cast("int"))
-    tcp = F.struct(
-        uint(f, l4 + 4, 4).alias("seq"), uint(f, l4 + 8, 4).alias("ack"), uint(f, l4 + 13, 1).cast("int").alias("flags"), uint(f, l4 + 14, 2).cast("int").alias("window"),
-        tcp_options(f, l4 + 20, F.col("__end")).alias("options"),
-    )
-    arp_at = t["at"]
+    f, h = F.col(column), F.col("__h")
+    out = frames.withColumn("__h", header_fields(f))
+    is_ip, first = h["version"].isNotNull(), F.coalesce(h["fragment"] == 0, F.lit(False))
+    is_tcp, is_icmp = first & (h["proto"] == TCP), first & h["proto"].isin(ICMP, ICMPV6)
+    at, l4, end = h["at"], h["l4"], h["l4"] + h["head"]
     arp = F.struct(
-        uint(f, arp_at + 6, 2).cast("int").alias("oper"), mac(f, arp_at + 8).alias("sender_mac"), ipv4(f, arp_at + 14).alias("sender_ip"), mac(f, arp_at + 18).alias("target_mac"), ipv4(f, arp_at + 24).alias("target_ip"),
+        uint(f, at + 6, 2).cast("int").alias("oper"), mac(f, at + 8).alias("sender_mac"), ipv4(f, at + 14).alias("sender_ip"), mac(f, at + 18).alias("target_mac"), ipv4(f, at + 24).alias("target_ip"),
+    )
+    has_arp = (h["type"] == ARP) & (F.length(f) >= at + 28) & (uint(f, at, 4) == 0x00010800)
+    names = F.when(h["proto"] == TCP, "tcp").when(h["proto"] == UDP, "udp").when(h["proto"] == ICMP, "icmp").when(h["proto"] == ICMPV6, "icmp6").when(is_ip, "other")
+    wide = h["version"] == 6
+    src, dst, size = F.when(wide, at + 8).otherwise(at + 12), F.when(wide, at + 24).otherwise(at + 16), F.when(wide, 16).otherwise(4)
+    ip = F.struct(
+        h["version"].alias("version"), h["src"].alias("src"), h["dst"].alias("dst"), cut(f, src, size).alias("src_bytes"), cut(f, dst, size).alias("dst_bytes"),
+        *[h[c].alias(c) for c in ("proto", "ttl", "dscp", "ecn", "id", "df", "mf", "fragment", "label")], l4.alias("at"), h["end"].alias("end"),
     )
-    has_arp = (t["type"] == ARP) & (F.length(f) >= arp_at + 28) & (uint(f, arp_at, 4) == 0x00010800)
-    ported = is_tcp | is_udp
-    names = F.when(ip["proto"] == TCP, "tcp").when(ip["proto"] == UDP, "udp").when(ip["proto"] == ICMP, "icmp").when(ip["proto"] == ICMPV6, "icmp6").when(ip.isNotNull(), "other")
+    tcp = F.struct(*[h[c].alias(c) for c in ("seq", "ack", "flags", "window", "options")])
     return out.select(
         *frames.columns,
         F.struct(mac(f, 0).alias("dst"), mac(f, 6).alias("src"), uint(f, 12, 2).cast("int").alias("type")).alias("eth"),
-        t["vlans"].alias("vlans"),
-        t["mpls"].alias("mpls"),
-        "ip",
+        h["vlans"].alias("vlans"),
+        h["mpls"].alias("mpls"),
+        F.when(is_ip, ip).alias("ip"),
         names.alias("proto"),
-        ip["src"].alias("src_ip"),
-        ip["dst"].alias("dst_ip"),
-        F.when(ported, uint(f, l4, 2)).cast("int").alias("src_port"),
-        F.when(ported, uint(f, l4 + 2, 2)).cast("int").alias("dst_port"),
-        F.when(is_tcp & (F.length(f) >= l4 + 20), tcp).alias("tcp"),
+        h["src"].alias("src_ip"),
+        h["dst"].alias("dst_ip"),
+        h["src_port"].alias("src_port"),
+        h["dst_port"].alias("dst_port"),
+        F.when(is_tcp & h["seq"].isNotNull(), tcp).alias("tcp"),
         F.when(is_icmp & (F.length(f) >= l4 + 4), F.struct(uint(f, l4, 1).cast("int").alias("type"), uint(f, l4 + 1, 1).cast("int").alias("code"), rest(f, l4).alias("message"))).alias("icmp"),
         F.when(has_arp, arp).alias("arp"),
-        F.when(ip.isNotNull(), cut(f, F.col("__end"), F.greatest(ip["end"] - F.col("__end"), F.lit(0)))).alias("payload"),
-        F.coalesce(F.length(f) < F.coalesce(F.col("__end"), F.lit(14)), F.lit(False)).alias("truncated"),
+        F.when(is_ip, cut(f, end, F.greatest(h["end"] - end, F.lit(0)))).alias("payload"),
+        F.coalesce(F.length(f) < F.coalesce(end, F.lit(14)), F.lit(False)).alias("truncated"),
     )
 
 
@@ -173,23 +99,42 @@ def option_value(f: Column, options: Column, kind: int, size: int) -> Column:
 
 def strip_tags(frames: DataFrame, column: str = "frame") -> DataFrame:
     """`frames` without VLAN tags and MPLS labels."""
-    f, t = F.col(column), F.col("__t")
-    out = F.concat(cut(f, 0, 12), F.unhex(wire.hexed(t["type"], 2)), rest(f, t["at"]))
-    return frames.withColumn("__t", tags(f)).withColumn(column, F.when(t["at"] > 14, out).otherwise(f)).drop("__t")
+    f, h = F.col(column), F.col("__h")
+    out = F.concat(cut(f, 0, 12), F.unhex(wire.hexed(h["type"], 2)), rest(f, h["at"]))
+    return frames.withColumn("__h", header_fields(f)).withColumn(column, F.when(h["at"] > 14, out).otherwise(f)).drop("__h")
 
 
 def with_ethernet(packet: Column) -> Column:
-    """An IP packet behind an Ethernet header with zero addresses."""
-    type_ = F.when(bits(uint(packet, 0, 1), 4, 4) == 6, "86DD").otherwise("0800")
+    """An IP packet behind an Ethernet header with zero addresses; null for what is neither IPv4 nor IPv6."""
+    version = bits(uint(packet, 0, 1), 4, 4)
+    type_ = F.when(version == 6, "86DD").when(version == 4, "0800")
     return F.concat(F.unhex(F.concat(F.lit(BLANK_ETHERNET), type_)), packet)
 
 
-def inner_frame(f: Column, ip: Column, dst_port: Column, payload: Column) -> dict[str, Column]:
+def gtp_head(payload: Column) -> Column:
+    """Bytes before the packet in a GTP-U message: with any of the flags 4 more, then extension headers until type 0.
+
+    An extension header gives its own length in units of 4 bytes, and the next type in its last byte; null where one has no
+    length or doesn't fit.
+    """
+    size = F.length(payload)
+    start = F.struct(F.lit(12).alias("at"), F.when(bit(uint(payload, 0, 1), 4), uint(payload, 11, 1)).otherwise(0).cast("bigint").alias("next"))
+
+    def step(s: Column, _: Column) -> Column:
+        n = (uint(payload, s["at"], 1) * 4).cast("int")
+        fits = F.coalesce((n > 0) & (s["at"] + n <= size), F.lit(False))
+        return F.when(s["next"] == 0, s).when(fits, F.struct((s["at"] + n).alias("at"), uint(payload, s["at"] + n - 1, 1).alias("next"))).otherwise(F.struct(F.lit(None).cast("int").alias("at"), F.lit(0).cast("bigint").alias("next")))
+
+    # no more steps than headers of 4 bytes fit in
+    walked = F.aggregate(F.sequence(F.lit(0), F.greatest(F.floor(size / 4) - 3, F.lit(0)).cast("int")), start, step, lambda s: F.when(s["next"] == 0, s["at"]))
+    return F.when(uint(payload, 0, 1).bitwiseAND(F.lit(7)) == 0, 8).when(bit(uint(payload, 0, 1), 4), walked).otherwise(12)
+
+
+def inner_frame(f: Column, ip: Column, src_port: Column, dst_port: Column, payload: Column) -> dict[str, Column]:
     """kind of tunnel -> (its number, frame inside), null where there is none; arguments are columns of `decode`."""
     vxlan = (dst_port == VXLAN_PORT) & (F.length(payload) > 8) & bit(uint(payload, 0, 1), 8)
-    flags = uint(payload, 0, 1)
-    gtp = (dst_port == GTPU_PORT) & (bits(flags, 4, 4) == 3) & (uint(payload, 1, 1) == 255)
-    gtp_head = F.when(flags.bitwiseAND(F.lit(7)) > 0, 12).otherwise(8)
+    gtp = ((dst_port == GTPU_PORT) | (src_port == GTPU_PORT)) & (bits(uint(payload, 0, 1), 4, 4) == 3) & (uint(payload, 1, 1) == 255)
+    carried = with_ethernet(rest(payload, gtp_head(payload)))
     g = uint(f, ip["at"], 2)
     more = lambda mask: F.when(bit(g, mask), 4).otherwise(0)
     gre_head = 4 + more(0x8000) + more(0x2000) + more(0x1000)
@@ -200,7 +145,7 @@ def inner_frame(f: Column, ip: Column, dst_port: Column, payload: Column) -> dic
     one = lambda number, frame: F.struct(number.alias("number"), frame.alias("frame"))
     return {
         "vxlan": F.when(vxlan, one(uint(payload, 4, 3), rest(payload, 8))),
-        "gtpu": F.when(gtp, one(uint(payload, 4, 4), with_ethernet(rest(payload, gtp_head)))),
+        "gtpu": F.when(gtp & carried.isNotNull(), one(uint(payload, 4, 4), carried)),
         "gre": F.when(gre & inside.isNotNull(), one(F.when(bit(g, 0x2000), uint(f, ip["at"] + 4 + more(0x8000), 4)), inside)),
     }
 
@@ -211,7 +156,7 @@ def decapsulate(frames: DataFrame, kinds: tuple[str, ...] = ("vxlan", "gtpu", "g
     The first kind that fits is taken; frames without a tunnel stay. Apply it again for tunnels in tunnels.
     """
     told = decode(frames.select(*frames.columns), column)
-    inside = inner_frame(F.col(column), F.col("ip"), F.col("dst_port"), F.col("payload"))
+    inside = inner_frame(F.col(column), F.col("ip"), F.col("src_port"), F.col("dst_port"), F.col("payload"))
     told = told.select(*frames.columns, *[once(inside[k]).alias(f"__{k}") for k in kinds])
     kind = F.coalesce(*[F.when(F.col(f"__{k}").isNotNull(), k) for k in kinds])
     at = F.coalesce(*[F.col(f"__{k}") for k in kinds])
