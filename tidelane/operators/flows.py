@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.operators.folds import ordered_fold
+from tidelane.operators.folds import annotated
 
 
 def in_order(*keys: str) -> Window:
@@ -23,8 +23,8 @@ def side(name: str, column: Column) -> Column:
     return F.sum(F.when(F.col("side") == name, column).otherwise(0))
 
 
-def summaries(tracked: DataFrame, key: str) -> DataFrame:
-    """One row for each flow: times, packets and bytes of either side, flag bits."""
+def summaries(tracked: DataFrame, key: str, *more: Column) -> DataFrame:
+    """One row for each flow: times, packets and bytes of either side, flag bits, and `more`."""
     one = F.lit(1)
     return tracked.groupBy(key, "flow_no").agg(
         F.min("us").alias("start_us"),
@@ -34,6 +34,7 @@ def summaries(tracked: DataFrame, key: str) -> DataFrame:
         side("initiator", F.col("bytes")).alias("bytes_initiator"),
         side("responder", F.col("bytes")).alias("bytes_responder"),
         F.bit_or("flags").cast("int").alias("flags"),
+        *more,
     )
 
 
@@ -106,17 +107,18 @@ def next_state(state: str, flags: int, initiator: bool, other_fin: bool) -> str:
     return state
 
 
-def lifecycle(packets: DataFrame, key: str, idle_s: dict[str, int] | None = None, infer_initiator: bool = False, timeout: str | None = None) -> DataFrame:
-    """us, seq, flow_no, side, state, established, reason of each packet (l4, forward, flags) of a key.
+def with_lifecycle(packets: DataFrame, key: str, idle_s: dict[str, int] | None = None, infer_initiator: bool = False, timeout: str | None = None) -> DataFrame:
+    """`packets` (us, seq, l4, forward, flags) with flow_no, side, state, established, reason in a key's order.
 
-    A flow ends at its RST, or when both sides have sent a FIN and an ACK follows (reason rst or fin on that packet), or
-    when the next packet is as late as the transport's idle time or later. The first packet's sender is the initiator;
-    with infer_initiator the other side is, if that packet is a SYN with an ACK. timeout: a column with an idle time of
-    its own, in seconds (null for that of the transport). established: whether this packet completed the handshake.
+    The order is by us, path (of a capture, if there is one) and seq. A flow ends at its RST, or when both sides have sent a FIN
+    and an ACK follows (reason rst or fin on that packet), or when the next packet is as late as the transport's idle time or
+    later. The first packet's sender is the initiator; with infer_initiator the other side is, if that packet is a SYN with an
+    ACK. timeout: a column with an idle time of its own, in seconds (null for that of the transport). established: whether this
+    packet completed the handshake.
     """
     limits = IDLE_S | (idle_s or {})
 
-    def step(s, us, seq, l4, forward, flags, *own):
+    def step(s, us, l4, forward, flags, *own):
         number, last, first_forward, state, fins, ended = s
         limit = own[0] if own and own[0] is not None else limits.get(l4, limits["other"])
         if number < 0 or ended or us - last >= limit * 1_000_000:
@@ -129,22 +131,22 @@ def lifecycle(packets: DataFrame, key: str, idle_s: dict[str, int] | None = None
             fins |= mine if flags & FIN else 0
             reason = {"reset": "rst", "closed": "fin"}.get(state)
         s[:] = [number, us, first_forward, state, fins, reason is not None]
-        return [(us, seq, number, "initiator" if initiator else "responder", state, before != "established" and state == "established", reason)]
+        return number, "initiator" if initiator else "responder", state, before != "established" and state == "established", reason
 
-    schema = "us long, seq long, flow_no long, side string, state string, established boolean, reason string"
-    columns = ["l4", "forward", "flags", *([timeout] if timeout else [])]
-    return ordered_fold(packets, key, columns, lambda: [-1, 0, True, "active", 0, False], step, schema)
+    order = ("us", "path", "seq") if "path" in packets.columns else ("us", "seq")
+    columns = ["us", "l4", "forward", "flags", *([timeout] if timeout else [])]
+    return annotated(packets, key, columns, lambda: [-1, 0, True, "active", 0, False], step, "flow_no long, side string, state string, established boolean, reason string", order)
 
 
-def with_lifecycle(packets: DataFrame, key: str, **options) -> DataFrame:
-    """`packets` with the columns of `lifecycle`."""
-    told = lifecycle(packets, key, **options)
-    return packets.drop("side", "flow_no").join(told.drop("us", key), "seq")
+def lifecycle(packets: DataFrame, key: str, **options) -> DataFrame:
+    """us, seq, flow_no, side, state, established, reason of each packet, as `with_lifecycle` tells them."""
+    return with_lifecycle(packets, key, **options).select(key, "us", "seq", "flow_no", "side", "state", "established", "reason")
 
 
 def flow_ends(tracked: DataFrame, key: str) -> DataFrame:
     """One row for each flow of packets with their lifecycle: statistics, the reason of its end (idle without one), last state."""
-    return summaries(tracked, key).join(tracked.groupBy(key, "flow_no").agg(F.coalesce(F.max("reason"), F.lit("idle_timeout")).alias("reason"), F.max_by("state", F.struct("us", "seq")).alias("state"), F.bool_or("established").alias("established")), [key, "flow_no"])
+    more = [F.coalesce(F.max("reason"), F.lit("idle_timeout")).alias("reason"), F.max_by("state", F.struct("us", "seq")).alias("state"), F.bool_or("established").alias("established")]
+    return summaries(tracked, key, *more)
 
 
 def ticks(tracked: DataFrame, key: str, interval_us: int) -> DataFrame:

@@ -47,6 +47,39 @@ def ordered_fold(rows: DataFrame, key: str | list[str], columns: list[str], star
     return rows.select(*needed).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
 
 
+def annotated(rows: DataFrame, key: str | list[str], columns: list[str], start: Callable[[], list], step: Callable[..., tuple], schema: str, order: tuple[str, ...] = ("us", "seq")) -> DataFrame:
+    """`rows` with the columns of `schema`: what step(state, column values) gives for each row of a key, in order.
+
+    Other columns go through as they are, so a row needs no number of its own to be found again.
+    """
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    keys, more = [key] if isinstance(key, str) else list(key), _parse_datatype_string(schema)
+    kept = [f for f in rows.schema.fields if f.name not in more.names]
+    needed = list(dict.fromkeys([*keys, *columns]))
+    spare = {c: f"__in_{c}" for c in needed if c in more.names}
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        form, nothing = to_arrow_schema(more), object()
+        now, state = nothing, []
+        for batch in batches:
+            values = {c: batch.column(spare.get(c, c)).to_pylist() for c in needed}
+            made = []
+            for k, row in zip(zip(*[values[c] for c in keys], strict=True), zip(*[values[c] for c in columns], strict=True), strict=True):
+                if k != now:
+                    now, state = k, start()
+                made.append(step(state, *row))
+            told = [pa.array([m[i] for m in made], f.type) for i, f in enumerate(form)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *told], names=[*[f.name for f in kept], *form.names])
+
+    chosen = rows.select(*[f.name for f in kept], *[F.col(c).alias(n) for c, n in spare.items()])
+    put = lambda c: spare.get(c, c)
+    return chosen.repartition(*[put(k) for k in keys]).sortWithinPartitions(*[put(c) for c in (*keys, *order)]).mapInArrow(run, StructType(kept + more.fields))
+
+
 def ewma(packets: DataFrame, key: str, value: str, alpha: float) -> DataFrame:
     """key, n, ewma: the first value seeds; then alpha * x + (1 - alpha) * mean."""
 

@@ -96,9 +96,11 @@ def decode_fragment_fields(spark, sf_dir):
 def tunnelled(spark, sf_dir, kind: str) -> DataFrame:
     inner = ipv4(17, udp(said()))
     number = F.col("user_id") % 65536
+    # a sequence number alone, or one of 4 bytes and one of 8 in front of the packet
+    extended = F.when(F.col("event_id") % 4 == 0, "").when(F.col("event_id") % 4 == 1, "00070000").when(F.col("event_id") % 4 == 2, "00000085" + "01001E00").otherwise("00000085" + "01001EC0" + "02AAAAAAAAAAAA00")
     body = {
         "vxlan": lambda: ipv4(17, F.concat(F.lit("C00012B5"), F.lit("0000" * 2), F.lit("0800000000"), hexed(number, 2), F.lit("00"), F.lit(ETHERNET + "0800"), inner), src=F.lit("AC100001")),
-        "gtpu": lambda: ipv4(17, F.concat(F.lit("08680868" + "00000000" + "30FF0000"), hexed(number, 4), inner), src=F.lit("AC100001")),
+        "gtpu": lambda: ipv4(17, F.concat(F.when(F.col("event_id") % 2 == 0, "08689C40").otherwise("9C400868"), F.lit("00000000"), F.when(F.col("event_id") % 4 == 0, "30").when(F.col("event_id") % 4 == 1, "32").otherwise("34"), F.lit("FF0000"), hexed(number, 4), extended, inner), src=F.lit("AC100001")),
         "gre": lambda: ipv4(47, F.concat(F.lit("20000800"), hexed(number, 4), inner), src=F.lit("AC100001")),
     }[kind]()
     f = events(spark, sf_dir).withColumn("frame", frame_of(ETHERNET, "0800", body))
