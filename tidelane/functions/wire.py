@@ -58,21 +58,22 @@ def mac(data: Column, at: At) -> Column:
 
 
 def ipv6(data: Column, at: At) -> Column:
-    """RFC 5952 form: groups without leading zeros, the first longest run of two or more zero groups as "::"."""
+    """RFC 5952 form: groups without leading zeros, the first longest run of two or more zero groups as "::"; mapped IPv4 dotted."""
     groups = F.array(*[F.lower(F.hex(uint(data, place(at) + 2 * i, 2))) for i in range(8)])
     whole = F.array_join(groups, ":")
     out = whole
     for n in range(2, 9):  # longer runs are tried later and so win
         runs = "(^|:)0" + ":0" * (n - 1) + "(:|$)"
         out = F.when(whole.rlike(runs), F.regexp_replace(F.regexp_replace(whole, f"^(.*?){runs}", "$1::"), ":{3,}", "::")).otherwise(out)
-    return out
+    mapped = F.hex(cut(data, at, 12)) == "0" * 20 + "FFFF"
+    return F.when(mapped, F.concat(F.lit("::ffff:"), ipv4(data, place(at) + 12))).otherwise(out)
 
 
-def records(data: Column, start: At, end: At, head: int, size, most: int = 64, kind=None) -> Column:
+def records(data: Column, start: At, end: At, head: int, size, most: int | None = None, kind=None) -> Column:
     """array<struct<kind, at, size>> of records that follow each other from `start` to `end`.
 
     head: bytes before a record's content; size(at): bytes of the content; kind(at): its type (the first byte if None).
-    A record that doesn't end by `end` ends the walk, as do `most` records.
+    A record that doesn't end by `end` ends the walk, as do `most` records; without it, there are as many steps as heads fit in.
     """
     kind = kind or (lambda at: uint(data, at, 1))
     none = F.array().cast("array<struct<kind:bigint,at:int,size:int>>")
@@ -85,7 +86,8 @@ def records(data: Column, start: At, end: At, head: int, size, most: int = 64, k
         one = F.struct(kind(at).cast("bigint").alias("kind"), (at + head).cast("int").alias("at"), n.alias("size"))
         return F.when(F.coalesce(ok, F.lit(False)), F.struct((at + head + n).cast("int").alias("at"), F.concat(s["found"], F.array(one)).alias("found"))).otherwise(F.struct(F.lit(-1).alias("at"), s["found"].alias("found")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), state, step, lambda s: s["found"])
+    room = F.lit(most) if most else F.coalesce(F.greatest(F.floor((place(end) - place(start)) / head), F.lit(1)), F.lit(1)).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), room), state, step, lambda s: s["found"])
 
 
 def found(walk: Column, kind: int) -> Column:
@@ -122,13 +124,31 @@ def text_hex(value: Column | str) -> Column:
     return F.hex((F.lit(value) if isinstance(value, str) else value).cast("binary"))
 
 
-def ber_elements(data: bytes | None, most: int = 256) -> list[dict]:
-    """Elements of ASN.1's basic encoding with the tags on the way to each, in hexadecimal with slashes, in order."""
+def by_row(schema: str, read, data: Column) -> Column:
+    """`read(bytes)` of each value in Arrow batches, as `schema`; null for null."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = to_arrow_type(_parse_datatype_string(schema))
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else read(v) for v in values.to_pylist()], kind)
+
+    run.__annotations__ = {"values": pa.Array, "return": pa.Array}  # by name they would be looked up among globals
+    return F.arrow_udf(run, schema)(data)
+
+
+def ber_elements(data: bytes | None, deepest: int = 64) -> list[dict]:
+    """Elements of ASN.1's basic encoding with the tags on the way to each, in hexadecimal with slashes, in order.
+
+    What lies deeper than `deepest` levels stays inside of the value of its level.
+    """
     out: list[dict] = []
 
-    def walk(start: int, end: int, way: str) -> None:
+    def walk(start: int, end: int, way: str, level: int) -> None:
         at = start
-        while at + 2 <= end and len(out) < most:
+        while at + 2 <= end:
             tag, size, at = data[at], data[at + 1], at + 2
             if size >= 128:
                 n = size & 127
@@ -137,12 +157,12 @@ def ber_elements(data: bytes | None, most: int = 256) -> list[dict]:
                 return
             path = f"{way}/{tag:02x}" if way else f"{tag:02x}"
             out.append({"path": path, "value": data[at : at + size]})
-            if tag & 0x20:
-                walk(at, at + size, path)
+            if tag & 0x20 and level < deepest:
+                walk(at, at + size, path, level + 1)
             at += size
 
     if data:
-        walk(0, len(data), "")
+        walk(0, len(data), "", 1)
     return out
 
 

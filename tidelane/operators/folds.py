@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ordered_fold(rows: DataFrame, key: str | list[str], columns: list[str], start: Callable[[], list], step: Callable[..., Iterable[tuple]], schema: str, finish: Callable[[list], Iterable[tuple]] = lambda _: (), order: tuple[str, ...] = ("us", "seq")) -> DataFrame:
+def ordered_fold(rows: DataFrame, key: str | list[str], columns: list[str], start: Callable[[], list], step: Callable[..., Iterable[tuple]], schema: str, finish: Callable[[list], Iterable[tuple]] = lambda _: (), order: tuple[str, ...] = ("us", "seq"), placed: bool = False) -> DataFrame:
     """key columns and `schema`: what step(state, order and column values) and, after a key's last row, finish(state) give.
 
-    The state is a list that step changes in place. Rows with a null key are one key.
+    The state is a list that step changes in place. Rows with a null key are one key. placed: rows of a key are in one partition
+    already, as after another fold by some of its columns, so they are only sorted.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -44,7 +45,8 @@ def ordered_fold(rows: DataFrame, key: str | list[str], columns: list[str], star
             made = [(*now, *r) for r in finish(state)]
             yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], f.type) for i, f in enumerate(form)], schema=form)
 
-    return rows.select(*needed).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
+    chosen = rows.select(*needed)
+    return (chosen if placed else chosen.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
 
 
 def annotated(rows: DataFrame, key: str | list[str], columns: list[str], start: Callable[[], list], step: Callable[..., tuple], schema: str, order: tuple[str, ...] = ("us", "seq")) -> DataFrame:

@@ -53,7 +53,7 @@ def ndp(message: Column) -> Column:
     """
     kind = uint(message, 0, 1)
     flags = uint(message, 4, 1)
-    options = records(message, 24, F.length(message), 2, lambda at: uint(message, at + 1, 1) * 8 - 2, most=8)
+    options = records(message, 24, F.length(message), 2, lambda at: uint(message, at + 1, 1) * 8 - 2)
     lladdr = F.when(kind == 135, value_of(message, options, 1)).otherwise(value_of(message, options, 2))
     advert = kind == 136
     return F.when(
@@ -186,7 +186,7 @@ def tftp(payload: Column) -> Column:
 def stun(payload: Column) -> Column:
     """struct<class, method, transaction_id, mapped, username, software>; null without the magic cookie."""
     kind = uint(payload, 0, 2)
-    attributes = records(payload, 20, F.length(payload), 4, lambda at: F.ceil(uint(payload, at + 2, 2) / 4) * 4, most=16, kind=lambda at: uint(payload, at, 2))
+    attributes = records(payload, 20, F.length(payload), 4, lambda at: F.ceil(uint(payload, at + 2, 2) / 4) * 4, kind=lambda at: uint(payload, at, 2))
 
     def message(a: Column) -> Column:
         plain, hidden = value_of(payload, a, 1), value_of(payload, a, 0x20)

@@ -2,100 +2,121 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.functions import wire
-from tidelane.functions.wire import bit, bits, cut, ipv4, ipv6, named, text, uint
+from tidelane.functions.wire import bit, bits, cut, ipv4, named, text, uint
+from tidelane.sources.headers import colons
 
 #: Record types and response codes.
 TYPES = {1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 12: "PTR", 15: "MX", 16: "TXT", 28: "AAAA", 33: "SRV", 41: "OPT", 65: "HTTPS"}
 CODES = {0: "NOERROR", 1: "FORMERR", 2: "SERVFAIL", 3: "NXDOMAIN", 4: "NOTIMP", 5: "REFUSED"}
 #: Services that devices announce over multicast DNS.
 DEVICE_SERVICES = ("_airplay._tcp.local", "_googlecast._tcp.local", "_hap._tcp.local", "_ipp._tcp.local", "_printer._tcp.local", "_raop._tcp.local", "_ssh._tcp.local", "_workstation._tcp.local")
-LABELS, RECORDS = 40, 64
-
-
-def name_at(data: Column, at) -> Column:
-    """struct<name, end>: a domain name with its pointers followed, LABELS labels or jumps at most; end: after it in place."""
-    start = F.struct(wire.place(at).cast("int").alias("at"), F.lit(-1).alias("end"), F.array().cast("array<string>").alias("labels"))
-
-    def step(s: Column, _: Column) -> Column:
-        here = s["at"]
-        n = F.when(here >= 0, uint(data, F.greatest(here, F.lit(0)), 1))
-        ended = F.when(s["end"] >= 0, s["end"])
-        stop = F.struct(F.lit(-1).alias("at"), F.coalesce(ended, here + 1).alias("end"), s["labels"].alias("labels"))
-        jump = F.struct(uint(data, here, 2).bitwiseAND(F.lit(0x3FFF)).cast("int").alias("at"), F.coalesce(ended, here + 2).alias("end"), s["labels"].alias("labels"))
-        label = F.struct((here + 1 + n).cast("int").alias("at"), s["end"].alias("end"), F.concat(s["labels"], F.array(text(cut(data, here + 1, n)))).alias("labels"))
-        return F.when(n.isNull(), s).when(n == 0, stop).when(n >= 192, jump).otherwise(label)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(LABELS)), start, step, lambda s: F.struct(F.lower(F.array_join(s["labels"], ".")).alias("name"), s["end"].alias("end")))
-
-
-def value_of(data: Column, type_: Column, at: Column, size: Column) -> Column:
+#: Bytes of a domain name on the wire, and pointers that may be followed in one.
+NAME, JUMPS = 255, 64
+MESSAGE = (
+    "struct<id:bigint,is_response:boolean,opcode:bigint,authoritative:boolean,truncated:boolean,recursion_desired:boolean,recursion_available:boolean,rcode:string,"
+    "questions:array<struct<name:string,type:string>>,records:array<struct<section:int,name:string,type:string,ttl:bigint,value:string>>>"
+)
+
+
+def name_at(data: bytes, at: int) -> tuple[str, int] | None:
+    """(name, place after it) with pointers followed; null for one that runs off the data, is too long or goes in circles."""
+    labels, end, size, jumps = [], -1, 0, 0
+    while True:
+        if at >= len(data):
+            return None
+        n = data[at]
+        if n >= 192:
+            jumps += 1
+            if at + 2 > len(data) or jumps > JUMPS:
+                return None
+            end = end if end >= 0 else at + 2
+            at = (n & 63) << 8 | data[at + 1]
+        elif n == 0:
+            return ".".join(labels).lower(), end if end >= 0 else at + 1
+        else:
+            size += n + 1
+            if at + 1 + n > len(data) or size > NAME:
+                return None
+            labels.append(data[at + 1 : at + 1 + n].decode("latin-1"))
+            at += 1 + n
+
+
+def value_of(data: bytes, kind: int, at: int, size: int) -> str | None:
     """A record's data as text: addresses, names, text; hexadecimal for other types."""
-    return (
-        F.when(type_ == 1, ipv4(data, at))
-        .when(type_ == 28, ipv6(data, at))
-        .when(type_.isin(2, 5, 12), name_at(data, at)["name"])
-        .when(type_ == 15, name_at(data, at + 2)["name"])
-        .when(type_ == 16, text(cut(data, at + 1, size - 1)))
-        .otherwise(F.lower(F.hex(cut(data, at, size))))
-    )
+    if kind == 1 and size == 4:
+        return ".".join(map(str, data[at : at + 4]))
+    if kind == 28 and size == 16:
+        return colons(data[at : at + 16])
+    if kind in (2, 5, 12, 15):
+        found = name_at(data, at + (2 if kind == 15 else 0))
+        return found and found[0]
+    if kind == 16:
+        out, end = [], at + size
+        while at < end:
+            out.append(data[at + 1 : min(at + 1 + data[at], end)])
+            at += 1 + data[at]
+        return b"".join(out).decode("latin-1")
+    return data[at : at + size].hex()
+
+
+def message_of(data: bytes) -> dict | None:
+    """Fields of MESSAGE; sections end at the first entry that isn't whole."""
+    if len(data) < 12:
+        return None
+    number, flags, *counts = struct.unpack_from(">6H", data)
+    questions, records, at = [], [], 12
+    for _ in range(counts[0]):
+        found = name_at(data, at)
+        if found is None or found[1] + 4 > len(data):
+            at = -1
+            break
+        (kind,) = struct.unpack_from(">H", data, found[1])
+        questions.append({"name": found[0], "type": TYPES.get(kind) or f"TYPE{kind}"})
+        at = found[1] + 4
+    for section, count in enumerate(counts[1:]):
+        for _ in range(count if at >= 0 else 0):
+            found = name_at(data, at)
+            if found is None or found[1] + 10 > len(data):
+                at = -1
+                break
+            kind, _, ttl, size = struct.unpack_from(">HHIH", data, found[1])
+            at = found[1] + 10
+            if at + size > len(data):
+                at = -1
+                break
+            records.append({"section": section, "name": found[0], "type": TYPES.get(kind) or f"TYPE{kind}", "ttl": ttl, "value": value_of(data, kind, at, size)})
+            at += size
+    bits_ = {n: bool(flags & m) for n, m in (("is_response", 0x8000), ("authoritative", 0x400), ("truncated", 0x200), ("recursion_desired", 0x100), ("recursion_available", 0x80))}
+    return {"id": number, "opcode": flags >> 11 & 15, "rcode": CODES.get(flags & 15, "other"), "questions": questions, "records": records, **bits_}
 
 
 def dns(payload: Column) -> Column:
     """struct<id, is_response, opcode, authoritative, truncated, recursion_desired, recursion_available, rcode, questions, records>.
 
     questions: array<struct<name, type>>; records: array<struct<section, name, type, ttl, value>>, section 0 to 2 for
-    answers, authorities and additionals. Sections end at the first entry that isn't whole, and at RECORDS entries.
+    answers, authorities and additionals. Sections end at the first entry that isn't whole. Null for fewer than 12 bytes.
     """
-    flags = uint(payload, 2, 2)
-    counts = [uint(payload, 4 + 2 * i, 2) for i in range(4)]
-    asked, upto = counts[0], [counts[0], counts[0] + counts[1], counts[0] + counts[1] + counts[2], counts[0] + counts[1] + counts[2] + counts[3]]
-    start = F.struct(F.lit(12).alias("at"), F.array().cast("array<struct<name:string,type:string>>").alias("questions"), F.array().cast("array<struct<section:int,name:string,type:string,ttl:bigint,value:string>>").alias("records"))
-
-    def step(s: Column, i: Column) -> Column:
-        def entry(n: Column) -> Column:
-            at = n["end"]
-            type_ = uint(payload, at, 2)
-            kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in TYPES.items() for x in p]), type_.cast("int")), F.concat(F.lit("TYPE"), type_.cast("string")))
-            question = F.struct((at + 4).cast("int").alias("at"), F.concat(s["questions"], F.array(F.struct(n["name"].alias("name"), kind.alias("type")))).alias("questions"), s["records"].alias("records"))
-            size = uint(payload, at + 8, 2)
-            section = F.when(i < upto[1], 0).when(i < upto[2], 1).otherwise(2)
-            one = F.struct(section.alias("section"), n["name"].alias("name"), kind.alias("type"), uint(payload, at + 4, 4).alias("ttl"), value_of(payload, type_, at + 10, size).alias("value"))
-            record = F.struct((at + 10 + size).cast("int").alias("at"), s["questions"].alias("questions"), F.concat(s["records"], F.array(one)).alias("records"))
-            stop = F.struct(F.lit(-1).alias("at"), s["questions"].alias("questions"), s["records"].alias("records"))
-            whole = (at >= 0) & F.when(i < asked, F.length(payload) >= at + 4).otherwise(F.length(payload) >= at + 10 + size)
-            return F.when(~F.coalesce(whole, F.lit(False)), stop).when(i < asked, question).otherwise(record)
-
-        return F.when((s["at"] < 0) | (i >= upto[3]), s).otherwise(wire.let(name_at(payload, s["at"]), entry))
-
-    body = F.aggregate(F.sequence(F.lit(0), F.greatest(F.least(upto[3], F.lit(RECORDS)).cast("int"), F.lit(1)) - 1), start, step)
-    return F.when(
-        F.length(payload) >= 12,
-        wire.let(
-            body,
-            lambda b: F.struct(
-                uint(payload, 0, 2).alias("id"),
-                bit(flags, 0x8000).alias("is_response"),
-                bits(flags, 11, 4).alias("opcode"),
-                bit(flags, 0x400).alias("authoritative"),
-                bit(flags, 0x200).alias("truncated"),
-                bit(flags, 0x100).alias("recursion_desired"),
-                bit(flags, 0x80).alias("recursion_available"),
-                named(bits(flags, 0, 4), CODES).alias("rcode"),
-                b["questions"].alias("questions"),
-                b["records"].alias("records"),
-            ),
-        ),
-    )
+    return wire.by_row(MESSAGE, message_of, payload)
+
+
+def split_messages(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at + 2 <= len(data) and at + 2 + int.from_bytes(data[at : at + 2]) <= len(data):
+        size = int.from_bytes(data[at : at + 2])
+        out.append(data[at + 2 : at + 2 + size])
+        at += 2 + size
+    return out
 
 
 def dns_stream(chunk: Column) -> Column:
-    """array<binary>: the messages of a DNS stream over TCP, each behind its length."""
-    frames = wire.records(chunk, 0, F.length(chunk), 2, lambda at: uint(chunk, at, 2), kind=lambda at: F.lit(0))
-    return F.transform(frames, lambda r: cut(chunk, r["at"], r["size"]))
+    """array<binary>: the whole messages of a DNS stream over TCP, each behind its length."""
+    return wire.by_row("array<binary>", split_messages, chunk)
 
 
 def services(message: Column) -> Column:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.functions import wire
 from tidelane.functions.scalars import grease
-from tidelane.functions.wire import bits, cut, found, named, numbers, records, text, uint, value_of
+from tidelane.functions.wire import bits, cut, named, records, text, uint
+from tidelane.operators.folds import ordered_fold
 
 METHODS = "GET|HEAD|POST|PUT|DELETE|CONNECT|OPTIONS|TRACE|PATCH"
-#: Messages of one side's stream that are looked for, and chunks of one body.
-MESSAGES, CHUNKS = 64, 64
+#: Bytes of one message's head, and of one message that isn't whole; a side with more is given up.
+HEAD, WAITING = 1 << 16, 1 << 24
 
 
 def locate(what: str, where: Column, start: Column) -> Column:
@@ -19,12 +23,6 @@ def locate(what: str, where: Column, start: Column) -> Column:
     return F.call_function("locate", F.lit(what), where, (start + 1).cast("int")) - 1
 
 
-def headers_of(head: Column) -> Column:
-    """array<struct<name, value>> of a message's head, in order, repeats kept."""
-    lines = F.slice(F.split(head, "\r\n"), 2, 1000)
-    return F.transform(F.filter(lines, lambda x: x.contains(":")), lambda x: F.struct(F.substring_index(x, ":", 1).alias("name"), F.trim(F.substring(x, F.length(F.substring_index(x, ":", 1)) + 2, F.length(x))).alias("value")))
-
-
 def header(headers: Column, name: str) -> Column:
     """Value of the first header of a name, whatever its case."""
     return F.get(headers_all(headers, name), F.lit(0))
@@ -34,18 +32,121 @@ def headers_all(headers: Column, name: str) -> Column:
     return F.transform(F.filter(headers, lambda h: F.lower(h["name"]) == name), lambda h: h["value"])
 
 
-def dechunked(said: Column, start: Column) -> Column:
-    """struct<body, end> of a chunked body; end is -1 if it isn't whole."""
-    state = F.struct(start.cast("int").alias("at"), F.lit("").alias("body"), F.lit(-1).alias("end"))
-
-    def step(s: Column, _: Column) -> Column:
-        eol = locate("\r\n", said, s["at"])
-        size = F.conv(F.regexp_extract(F.substring(said, s["at"] + 1, eol - s["at"]), "^([0-9A-Fa-f]{1,7})", 1), 16, 10).cast("int")
-        last = F.struct(s["at"].alias("at"), s["body"].alias("body"), (eol + 4).alias("end"))
-        more = F.struct((eol + 4 + size).cast("int").alias("at"), F.concat(s["body"], F.substring(said, eol + 3, size)).alias("body"), F.lit(-1).alias("end"))
-        return F.when((s["end"] >= 0) | (eol < 0) | size.isNull() | (eol + 4 + size > F.length(said)), s).when(size == 0, last).otherwise(more)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(CHUNKS)), state, step, lambda s: F.struct(s["body"].alias("body"), s["end"].alias("end")))
+HTTP = "struct<is_request:boolean,method:string,path:string,version:string,status:int,headers:array<struct<name:string,value:string>>,body:string,poison:string>"
+FIRST_LINE = re.compile(rb"((?:%s) [^\r\n]* HTTP/1\.[01]|HTTP/1\.[01] \d{3}[^\r\n]*)\r\n" % METHODS.encode())
+CHUNK_SIZE = re.compile(rb"[0-9A-Fa-f]{1,7}")
+FOLDED, BARE = re.compile(rb"\r\n[ \t]"), re.compile(rb"\r(?!\n)")
+
+
+class HttpSide:
+    """Messages of one side's bytes as they become whole. What waits is scanned once: heads and chunks are remembered."""
+
+    def __init__(self):
+        self.held, self.at, self.seen, self.open, self.failed = bytearray(), 0, 0, None, False
+
+    def read(self, data: bytes):
+        if self.failed:
+            return
+        self.held += data
+        while not self.failed:
+            if self.open is None and not self.head():
+                break
+            one = self.body()
+            if one is None:
+                break
+            yield one
+        del self.held[: self.at]
+        self.seen = max(0, self.seen - self.at)
+        if self.open:
+            self.open["from"] -= self.at
+            self.open["next"] -= self.at
+        self.at = 0
+        if len(self.held) > WAITING:
+            self.fail()
+
+    def fail(self) -> None:
+        self.failed, self.open = True, None
+        self.held.clear()
+        self.at = self.seen = 0
+
+    def head(self) -> bool:
+        """Whether the next head is there; bytes that can't begin one fail the side."""
+        end = self.held.find(b"\r\n\r\n", max(self.at, self.seen - 3))
+        if end < 0:
+            self.seen = len(self.held)
+            if len(self.held) - self.at > HEAD:
+                self.fail()
+            return False
+        head = bytes(self.held[self.at : end + 2])
+        top = FIRST_LINE.match(head)
+        if not top or len(head) > HEAD:
+            self.fail()
+            return False
+        first = top[1].decode("latin-1")
+        headers = [(n, v.strip(" ")) for n, colon, v in (line.partition(":") for line in head[top.end() :].decode("latin-1").split("\r\n")) if colon]
+        of = lambda name: [v for n, v in headers if n.lower() == name]
+        lengths, hosts = list(dict.fromkeys(of("content-length"))), {v.lower() for v in of("host")}
+        chunked = "chunked" in (of("transfer-encoding") or [""])[0].lower()
+        status = int(first[9:12]) if first.startswith("HTTP/") else None
+        bodiless = status is not None and (status < 200 or status in (204, 304))
+        poison = "both_framings" if chunked and lengths else "content_lengths_differ" if len(lengths) > 1 else "hosts_differ" if len(hosts) > 1 else "folded_line" if FOLDED.search(head) else "bare_carriage_return" if BARE.search(head) else None
+        size = 0
+        if not bodiless and lengths:
+            if not re.fullmatch(r"\d{1,12}", lengths[0], re.ASCII):
+                self.fail()
+                return False
+            size = int(lengths[0])
+        elif not bodiless and status is not None:
+            size = None  # up to the end
+        words = first.split(" ")
+        told = {"is_request": status is None, "method": words[0] if status is None else None, "path": words[1] if status is None else None, "version": re.search(r"HTTP/(1\.[01])", first)[1], "status": status, "headers": [{"name": n, "value": v} for n, v in headers], "poison": poison}
+        self.open = {"told": told, "chunked": chunked, "size": size, "from": end + 4, "next": end + 4, "parts": []}
+        self.at = end + 4
+        return True
+
+    def body(self) -> dict | None:
+        """The open message if its body is whole."""
+        o = self.open
+        if o["chunked"]:
+            return self.chunks(o)
+        if o["size"] is None or o["from"] + o["size"] > len(self.held):
+            return None
+        return self.done(bytes(self.held[o["from"] : o["from"] + o["size"]]), o["from"] + o["size"])
+
+    def chunks(self, o: dict) -> dict | None:
+        while True:
+            eol = self.held.find(b"\r\n", o["next"])
+            if eol < 0:
+                return None
+            size = CHUNK_SIZE.match(self.held, o["next"], eol)
+            if not size:
+                self.fail()
+                return None
+            n = int(size[0], 16)
+            if n == 0:  # trailers up to an empty line
+                end = eol + 4 if self.held.startswith(b"\r\n", eol + 2) else self.held.find(b"\r\n\r\n", eol) + 4
+                return self.done(b"".join(o["parts"]), end) if end >= eol + 4 and end <= len(self.held) else None
+            if eol + 4 + n > len(self.held):
+                return None
+            o["parts"].append(bytes(self.held[eol + 2 : eol + 2 + n]))
+            o["next"] = eol + 4 + n
+
+    def done(self, body: bytes, end: int) -> dict:
+        told, self.open, self.at, self.seen = self.open["told"], None, end, end
+        return {**told, "body": body.decode("latin-1")}
+
+    def finish(self) -> dict | None:
+        """A response without a length, at the end of its side."""
+        if self.open and not self.open["chunked"] and self.open["size"] is None:
+            return self.done(bytes(self.held[self.open["from"] :]), len(self.held))
+        return None
+
+
+def messages_of(data: bytes) -> list[dict]:
+    side = HttpSide()
+    out = list(side.read(data))
+    last = side.finish()
+    return out + [last] if last else out
 
 
 def http(stream: Column) -> Column:
@@ -53,51 +154,33 @@ def http(stream: Column) -> Column:
 
     Bodies are framed by Transfer-Encoding, else by Content-Length; a response with neither and a status that has a body
     goes on to the end. poison names what makes the framing doubtful: both framings, lengths or hosts that differ, folded
-    lines, a bare carriage return. Messages that aren't whole end the walk.
+    lines, a bare carriage return. Messages that aren't whole end the walk, as do a head over HEAD bytes and bytes that are no
+    message.
+    """
+    return wire.by_row(f"array<{HTTP}>", messages_of, stream)
+
+
+def http_messages(chunks: DataFrame, keys: list[str], placed: bool = False) -> DataFrame:
+    """keys, us, seq, n, message: the HTTP messages of streams, when their last byte comes.
+
+    chunks: keys (the last one the side), us, seq, offset, chunk, gap, as reassembly gives them. A gap ends a side's walk. A side is read by one
+    task with one unfinished message in memory, WAITING bytes at most.
     """
-    said = text(stream)
-    first = rf"^((?:{METHODS}) [^\r\n]* HTTP/1\.[01]|HTTP/1\.[01] \d{{3}}[^\r\n]*)\r\n"
-    kind = "array<struct<is_request:boolean,method:string,path:string,version:string,status:int,headers:array<struct<name:string,value:string>>,body:string,poison:string>>"
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
-
-    def step(s: Column, _: Column) -> Column:
-        end = locate("\r\n\r\n", said, s["at"])
-        head = F.substring(said, s["at"] + 1, end - s["at"] + 2)
-
-        def message(h: Column) -> Column:
-            hs, top = h["headers"], h["top"]
-            lengths = F.array_distinct(headers_all(hs, "content-length"))
-            chunked = F.lower(F.coalesce(header(hs, "transfer-encoding"), F.lit(""))).contains("chunked")
-            status = F.nullif(F.regexp_extract(top, r"^HTTP/1\.[01] (\d{3})", 1), F.lit("")).cast("int")
-            bodiless = status.isNotNull() & ((status < 200) | status.isin(204, 304))
-            open_ended = status.isNotNull() & ~bodiless & (F.size(lengths) == 0)
-            size = F.when(bodiless, 0).when(F.size(lengths) > 0, F.get(lengths, F.lit(0)).try_cast("int")).when(open_ended, F.length(said) - end - 4).otherwise(0)
-            body = F.when(chunked, dechunked(said, end + 4)).otherwise(F.struct(F.substring(said, end + 5, size).alias("body"), F.when(end + 4 + size <= F.length(said), end + 4 + size).otherwise(-1).cast("int").alias("end")))
-            hosts = F.array_distinct(F.transform(headers_all(hs, "host"), F.lower))
-            poison = (
-                F.when(chunked & (F.size(lengths) > 0), "both_framings")
-                .when(F.size(lengths) > 1, "content_lengths_differ")
-                .when(F.size(hosts) > 1, "hosts_differ")
-                .when(h["head"].rlike("\r\n[ \t]"), "folded_line")
-                .when(h["head"].rlike("\r(?!\n)"), "bare_carriage_return")
-            )
-
-            def put(b: Column) -> Column:
-                words = F.split(top, " ")
-                one = F.struct(
-                    status.isNull().alias("is_request"), F.when(status.isNull(), F.get(words, F.lit(0))).alias("method"), F.when(status.isNull(), F.get(words, F.lit(1))).alias("path"),
-                    F.regexp_extract(top, r"HTTP/(1\.[01])", 1).alias("version"), status.alias("status"), hs.alias("headers"), b["body"].alias("body"), poison.alias("poison"),
-                )
-                return F.when(b["end"] >= 0, F.struct(b["end"].alias("at"), F.concat(s["found"], F.array(one)).alias("found"))).otherwise(F.struct(F.lit(-1).alias("at"), s["found"].alias("found")))
-
-            return wire.let(body, put)
-
-        parts = F.struct(head.alias("head"), F.regexp_extract(head, first, 1).alias("top"), headers_of(head).alias("headers"))
-        whole = (s["at"] >= 0) & (end >= 0)
-        stop = F.struct(F.lit(-1).alias("at"), s["found"].alias("found"))
-        return F.when(whole & head.rlike(first), wire.let(parts, message)).otherwise(stop)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MESSAGES)), state, step, lambda s: s["found"])
+
+    def rows(us, seq, made):
+        return [(us, seq, i, m) for i, m in enumerate(made)]
+
+    def step(state, us, seq, offset, chunk, gap):
+        if gap:
+            state[0].fail()
+        state[1:] = [us, seq]
+        return rows(us, seq, state[0].read(bytes(chunk or b"")))
+
+    def finish(state):
+        last = state[0].finish()
+        return [(*state[1:], 1 << 16, last)] if last else []
+
+    return ordered_fold(chunks, keys, ["chunk", "gap"], lambda: [HttpSide(), 0, 0], step, f"us long, seq long, n int, message {HTTP}", finish, ("us", "seq", "offset"), placed)
 
 
 def status_class(status: Column) -> Column:
@@ -129,63 +212,100 @@ SNI, GROUPS, ALPN, SUPPORTED, KEY_SHARE, ECH = 0, 10, 16, 43, 51, 0xFE0D
 PQ_GROUPS = {0x11EB: "SecP256r1MLKEM768", 0x11EC: "X25519MLKEM768", 0x11ED: "SecP384r1MLKEM1024", 0x6399: "X25519Kyber768Draft00"}
 
 
+def tls_records(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(kind, content) of the whole TLS records."""
+    at = 0
+    while at + 5 <= len(data) and at + 5 + int.from_bytes(data[at + 3 : at + 5]) <= len(data):
+        size = int.from_bytes(data[at + 3 : at + 5])
+        yield data[at], data[at + 5 : at + 5 + size]
+        at += 5 + size
+
+
 def handshakes(stream: Column) -> Column:
     """Handshake bytes of one side's TLS records, put together."""
-    each = records(stream, 0, F.length(stream), 5, lambda at: uint(stream, at + 3, 2))
-    return F.aggregate(F.filter(each, lambda r: r["kind"] == 22), F.lit(b""), lambda out, r: F.concat(out, cut(stream, r["at"], r["size"])))
+    return wire.by_row("binary", lambda data: b"".join(body for kind, body in tls_records(data) if kind == 22), stream)
+
+
+LEVELS = {1: "warning", 2: "fatal"}
 
 
 def alerts(stream: Column) -> Column:
     """array<struct<level, code>> of one side's plain alerts."""
-    each = records(stream, 0, F.length(stream), 5, lambda at: uint(stream, at + 3, 2))
-    return F.transform(F.filter(each, lambda r: (r["kind"] == 21) & (r["size"] == 2)), lambda r: F.struct(named(uint(stream, r["at"], 1), {1: "warning", 2: "fatal"}).alias("level"), uint(stream, r["at"] + 1, 1).alias("code")))
+    return wire.by_row("array<struct<level:string,code:bigint>>", lambda data: [{"level": LEVELS.get(body[0], "other"), "code": body[1]} for kind, body in tls_records(data) if kind == 21 and len(body) == 2], stream)
 
 
-def extensions_of(data: Column, at: Column) -> Column:
-    end = lambda a: F.when(F.length(data) >= a + 2, a + 2 + uint(data, a, 2)).otherwise(a)
-    return wire.let(at, lambda a: wire.let(end(a), lambda e: records(data, a + 2, e, 4, lambda i: uint(data, i + 2, 2), kind=lambda i: uint(data, i, 2))))
+CLIENT_HELLO = "struct<version:bigint,ciphers:array<bigint>,extensions:array<bigint>,groups:array<bigint>,supported:array<bigint>,sni:string,alpn:array<string>,ech:boolean,key_shares:array<bigint>>"
+SERVER_HELLO = "struct<version:bigint,cipher:bigint,extensions:array<bigint>,alpn:string>"
 
 
-def client_hello(message: Column) -> Column:
-    """struct<version, ciphers, extensions, groups, supported, sni, alpn, ech, key_shares> of a ClientHello message; else null."""
-    none = F.array().cast("array<bigint>")
+def number(data: bytes, at: int, size: int) -> int | None:
+    return int.from_bytes(data[at : at + size]) if 0 <= at and at + size <= len(data) else None
 
-    def hello(data: Column, sid: Column, x: Column) -> Column:
-        value = lambda kind, body: wire.let(value_of(data, x, kind), body)
-        shared = lambda v: F.transform(records(v, 2, F.length(v), 4, lambda i: uint(v, i + 2, 2), kind=lambda i: uint(v, i, 2)), lambda e: e["kind"])
-        named_ = lambda v: F.transform(records(v, 2, F.length(v), 1, lambda i: uint(v, i, 1)), lambda e: text(cut(v, e["at"], e["size"])))
-        return F.struct(
-            uint(data, 4, 2).alias("version"),
-            numbers(data, sid + 2, uint(data, sid, 2) / 2).alias("ciphers"),
-            F.transform(x, lambda e: e["kind"]).alias("extensions"),
-            F.coalesce(value(GROUPS, lambda v: numbers(v, 2, uint(v, 0, 2) / 2)), none).alias("groups"),
-            F.coalesce(value(SUPPORTED, lambda v: numbers(v, 1, uint(v, 0, 1) / 2)), none).alias("supported"),
-            F.lower(value(SNI, lambda v: text(cut(v, 5, uint(v, 3, 2))))).alias("sni"),
-            F.coalesce(value(ALPN, named_), F.array().cast("array<string>")).alias("alpn"),
-            found(x, ECH).isNotNull().alias("ech"),
-            F.coalesce(value(KEY_SHARE, shared), none).alias("key_shares"),
-        )
 
-    def whole(data: Column) -> Column:
-        after = lambda sid: wire.let(sid + 2 + uint(data, sid, 2), lambda c: extensions_of(data, (c + 1 + uint(data, c, 1)).cast("int")))
-        body = wire.let(39 + uint(data, 38, 1), lambda sid: wire.let(after(sid), lambda x: hello(data, sid, x)))
-        return F.when((uint(data, 0, 1) == 1) & (F.length(data) >= 42), body)
+def pairs(data: bytes, at: int, size: int | None) -> list[int]:
+    """Numbers of two bytes from `at` on, `size` bytes of them, as far as they go."""
+    return [int.from_bytes(data[i : i + 2]) for i in range(at, min(at + (size or 0), len(data)) - 1, 2)]
 
-    return wire.let(message, whole)
 
+def typed(data: bytes, at: int, head: int = 2) -> Iterator[tuple[int, bytes]]:
+    """(kind, content) of the whole extensions behind a length of two bytes."""
+    end = at + 2 + (number(data, at, 2) or 0)
+    at += 2
+    while at + head + 2 <= min(end, len(data)):
+        size = int.from_bytes(data[at + head : at + head + 2])
+        if at + head + 2 + size > min(end, len(data)):
+            return
+        yield int.from_bytes(data[at : at + head]), data[at + head + 2 : at + head + 2 + size]
+        at += head + 2 + size
+
+
+def names_in(data: bytes) -> list[str]:
+    """Names with a length of one byte each, behind a length of two."""
+    out, at = [], 2
+    while at < len(data) and at + 1 + data[at] <= len(data):
+        out.append(data[at + 1 : at + 1 + data[at]].decode("latin-1"))
+        at += 1 + data[at]
+    return out
 
-def server_hello(message: Column) -> Column:
-    """struct<version, cipher, extensions, alpn> of a ServerHello message; else null. version is the one agreed on."""
 
-    def whole(data: Column) -> Column:
-        def hello(sid: Column, x: Column) -> Column:
-            alpn = wire.let(value_of(data, x, ALPN), lambda v: text(cut(v, 3, uint(v, 2, 1))))
-            return F.struct(F.coalesce(uint(value_of(data, x, SUPPORTED), 0, 2), uint(data, 4, 2)).alias("version"), uint(data, sid, 2).alias("cipher"), F.transform(x, lambda e: e["kind"]).alias("extensions"), alpn.alias("alpn"))
+def client_hello_of(data: bytes) -> dict | None:
+    if len(data) < 42 or data[0] != 1:
+        return None
+    sid = 39 + data[38]
+    ciphers = number(data, sid, 2)
+    after = sid + 2 + (ciphers or 0)
+    found = list(typed(data, after + 1 + (number(data, after, 1) or 0))) if ciphers is not None else []
+    first: dict[int, bytes] = {}
+    for kind, value in found:
+        first.setdefault(kind, value)
+    sni = first.get(SNI)
+    return {
+        "version": number(data, 4, 2), "ciphers": pairs(data, sid + 2, ciphers), "extensions": [k for k, _ in found],
+        "groups": pairs(first.get(GROUPS, b""), 2, number(first.get(GROUPS, b""), 0, 2)), "supported": pairs(first.get(SUPPORTED, b""), 1, number(first.get(SUPPORTED, b""), 0, 1)),
+        "sni": None if sni is None or len(sni) < 5 else sni[5 : 5 + int.from_bytes(sni[3:5])].decode("latin-1").lower(), "alpn": names_in(first.get(ALPN, b"")), "ech": ECH in first,
+        "key_shares": [k for k, _ in typed(first.get(KEY_SHARE, b""), 0)],
+    }
 
-        body = wire.let(39 + uint(data, 38, 1), lambda sid: wire.let(extensions_of(data, (sid + 3).cast("int")), lambda x: hello(sid, x)))
-        return F.when((uint(data, 0, 1) == 2) & (F.length(data) >= 42), body)
 
-    return wire.let(message, whole)
+def client_hello(message: Column) -> Column:
+    """struct<version, ciphers, extensions, groups, supported, sni, alpn, ech, key_shares> of a ClientHello message; else null."""
+    return wire.by_row(CLIENT_HELLO, client_hello_of, message)
+
+
+def server_hello_of(data: bytes) -> dict | None:
+    if len(data) < 42 or data[0] != 2:
+        return None
+    sid = 39 + data[38]
+    found = list(typed(data, sid + 3))
+    first = dict(reversed(found))
+    alpn = names_in(first.get(ALPN, b""))
+    agreed = number(first.get(SUPPORTED, b""), 0, 2)
+    return {"version": number(data, 4, 2) if agreed is None else agreed, "cipher": number(data, sid, 2), "extensions": [k for k, _ in found], "alpn": alpn[0] if alpn else None}
+
+
+def server_hello(message: Column) -> Column:
+    """struct<version, cipher, extensions, alpn> of a ServerHello message; else null. version is the one agreed on."""
+    return wire.by_row(SERVER_HELLO, server_hello_of, message)
 
 
 def plain(values: Column) -> Column:
@@ -274,7 +394,7 @@ PREFACE = b"PRI * HTTP/2.0\r\n\r\nSM\r\n\r\n"
 def http2_frames(stream: Column) -> Column:
     """array<struct<kind, flags, stream, size, end_stream, error>> of one side's HTTP/2 frames, the preface passed over."""
     start = F.when(stream.startswith(F.lit(PREFACE)), len(PREFACE)).otherwise(0)
-    each = records(stream, start, F.length(stream), 9, lambda at: uint(stream, at, 3), kind=lambda at: uint(stream, at + 3, 1), most=256)
+    each = records(stream, start, F.length(stream), 9, lambda at: uint(stream, at, 3), kind=lambda at: uint(stream, at + 3, 1))
 
     def frame(r: Column) -> Column:
         flags = uint(stream, r["at"] - 5, 1)
