@@ -108,7 +108,7 @@ def next_state(state: str, flags: int, initiator: bool, other_fin: bool) -> str:
 
 
 def with_lifecycle(packets: DataFrame, key: str, idle_s: dict[str, int] | None = None, infer_initiator: bool = False, timeout: str | None = None) -> DataFrame:
-    """`packets` (us, seq, l4, forward, flags) with flow_no, side, state, established, reason in a key's order.
+    """`packets` (us, seq, l4, forward, flags) with flow_no, side, state, established, reason and nth (the packet's place) in a key's order.
 
     The order is by us, path (of a capture, if there is one) and seq. A flow ends at its RST, or when both sides have sent a FIN
     and an ACK follows (reason rst or fin on that packet), or when the next packet is as late as the transport's idle time or
@@ -119,7 +119,7 @@ def with_lifecycle(packets: DataFrame, key: str, idle_s: dict[str, int] | None =
     limits = IDLE_S | (idle_s or {})
 
     def step(s, us, l4, forward, flags, *own):
-        number, last, first_forward, state, fins, ended = s
+        number, last, first_forward, state, fins, ended, nth = s
         limit = own[0] if own and own[0] is not None else limits.get(l4, limits["other"])
         if number < 0 or ended or us - last >= limit * 1_000_000:
             flipped = infer_initiator and l4 == "tcp" and flags & SYN and flags & ACK
@@ -130,12 +130,12 @@ def with_lifecycle(packets: DataFrame, key: str, idle_s: dict[str, int] | None =
             state = next_state(state, flags, initiator, bool(fins & others))
             fins |= mine if flags & FIN else 0
             reason = {"reset": "rst", "closed": "fin"}.get(state)
-        s[:] = [number, us, first_forward, state, fins, reason is not None]
-        return number, "initiator" if initiator else "responder", state, before != "established" and state == "established", reason
+        s[:] = [number, us, first_forward, state, fins, reason is not None, nth + 1]
+        return number, "initiator" if initiator else "responder", state, before != "established" and state == "established", reason, nth
 
     order = ("us", "path", "seq") if "path" in packets.columns else ("us", "seq")
     columns = ["us", "l4", "forward", "flags", *([timeout] if timeout else [])]
-    return annotated(packets, key, columns, lambda: [-1, 0, True, "active", 0, False], step, "flow_no long, side string, state string, established boolean, reason string", order)
+    return annotated(packets, key, columns, lambda: [-1, 0, True, "active", 0, False, 0], step, "flow_no long, side string, state string, established boolean, reason string, nth long", order)
 
 
 def lifecycle(packets: DataFrame, key: str, **options) -> DataFrame:

@@ -425,7 +425,7 @@ def checked(rules: Rules) -> Rules:
     return rules
 
 
-def chunks(segments: DataFrame, keys: list[str], rules: Rules = Rules()) -> DataFrame:  # noqa: B008 - frozen
+def chunks(segments: DataFrame, keys: list[str], rules: Rules = Rules(), placed: bool = False) -> DataFrame:  # noqa: B008 - frozen
     """keys, us, seq, n, offset, chunk, gap, cause, inconsistent: what each side has sent, in order, as it becomes known.
 
     segments: keys (the last one the side), us, seq, tcp_seq, payload, syn, and, where known, fin, ack (rows of `both_ways`) and
@@ -452,7 +452,7 @@ def chunks(segments: DataFrame, keys: list[str], rules: Rules = Rules()) -> Data
         return [(u, q, n + (1 << 16), *r) for u, q, n, *r in rows(state[0], state[2], state[3], state[1])]
 
     schema = "us long, seq long, n int, offset long, chunk binary, gap long, cause string, inconsistent long"
-    return ordered_fold(complete(segments), keys, COLUMNS, lambda: [SideStream(rules), [0], 0, 0], step, schema, finish)
+    return ordered_fold(complete(segments), keys, COLUMNS, lambda: [SideStream(rules), [0], 0, 0], step, schema, finish, placed=placed)
 
 
 #: What a counter's growth is called.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelane.functions import wire
 from tidelane.functions.wire import bit, bits, cut, ipv4, named, text, uint
+from tidelane.operators.folds import ordered_fold
 from tidelane.sources.headers import colons
 
 #: Record types and response codes.
@@ -119,6 +120,22 @@ def dns_stream(chunk: Column) -> Column:
     return wire.by_row("array<binary>", split_messages, chunk)
 
 
+def framed(chunks: DataFrame, keys: list[str], placed: bool = False) -> DataFrame:
+    """keys, us, seq, n, payload: the messages of DNS streams, when their last byte comes. A gap ends a side's stream."""
+
+    def step(state, us, seq, offset, chunk, gap):
+        if gap:
+            state[:] = [b"", True]
+        if state[1]:
+            return []
+        data = state[0] + bytes(chunk or b"")
+        found = split_messages(data)
+        state[0] = data[sum(2 + len(m) for m in found) :]
+        return [(us, seq, i, m) for i, m in enumerate(found)]
+
+    return ordered_fold(chunks, keys, ["chunk", "gap"], lambda: [b"", False], step, "us long, seq long, n int, payload binary", order=("us", "seq", "offset"), placed=placed)
+
+
 def services(message: Column) -> Column:
     """array<struct<service, instance>> that a multicast DNS message announces by PTR records."""
     pointers = F.filter(message["records"], lambda r: r["type"] == "PTR")

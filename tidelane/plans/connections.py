@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tidelane.functions import wire
 from tidelane.functions.wire import frame_of, text_hex
+from tidelane.operators import sessions
 from tidelane.parsers import http2, quic, web
-from tidelane.plans.messages import client_hello_hex, h, n
-from tidelane.plans.packets import events
+from tidelane.plans.messages import HOST, client_hello_hex, h, host_hex, n
+from tidelane.plans.packets import ETHERNET, SRC, events, ipv4, low_address, source_port
 from tidelane.plans.registry import query
 
 
@@ -110,3 +111,73 @@ def quic_hellos(spark, sf_dir):
     """Names and fingerprints of encrypted hellos that two packets share."""
     got = quic.quic_hellos(quic_packets(spark, sf_dir), ["event_id"])
     return got.select("event_id", F.lower(F.hex("dcid")).alias("dcid"), "version", "packets", "sni", F.array_join("alpn", ",").alias("alpn"), "ja4")
+
+
+def tcp_hex(forward: bool, port: Column, seq: Column, ack: Column, flags: str, body: Column | str = "") -> Column:
+    ports = F.concat(h(port, 2), F.lit("0050")) if forward else F.concat(F.lit("0050"), h(port, 2))
+    body = F.lit(body) if isinstance(body, str) else body
+    return F.concat(ports, h(seq % (1 << 32), 4), h(ack % (1 << 32), 4), F.lit("50" + flags + "FFFF" + "00000000"), body)
+
+
+def captured(spark, sf_dir) -> DataFrame:
+    """Frames of a flow for each event: an HTTP exchange of even ones, a DNS exchange of odd ones, as one capture file.
+
+    The request comes in two segments, the second first; both sides close. Sequence numbers wrap within the request of some events.
+    """
+    ev = events(spark, sf_dir).withColumn("port", source_port())
+    server = F.concat(F.lit("C0A8"), h(F.floor(F.col("event_id") / 60000), 2))
+    ip = lambda proto, forward, body: F.concat(F.lit(ETHERNET + "0800"), ipv4(proto, body, **({"dst": server} if forward else {"src": server, "dst": low_address()})))
+    port, c, s = F.col("port"), F.col("event_id") * 977 + (1 << 32) - 40, F.col("event_id") * 31
+    one, two = F.concat(text_hex(F.concat(F.lit("GET /"), F.col("event_type"))), F.lit("")), F.lit(b" HTTP/1.1\r\nHost: shop.example\r\n\r\n".hex().upper())
+    body = text_hex(F.concat(F.lit("for "), F.col("event_type")))
+    answer = F.concat(F.hex(F.concat(F.lit("HTTP/1.1 "), (200 + F.col("user_id") % 300).cast("string"), F.lit(" ok\r\nContent-Length: "), n(body).cast("string"), F.lit("\r\n\r\n")).cast("binary")), body)
+    asked, said = n(one) + n(two), n(answer)
+    t = lambda *a: ip(6, a[0], tcp_hex(a[0], port, *a[1:]))
+    web_ = F.array(
+        t(True, c, s * 0, "02"), t(False, s, c + 1, "12"), t(True, c + 1, s + 1, "10"), t(True, c + 1 + n(one), s + 1, "18", two), t(True, c + 1, s + 1, "18", one), t(False, s + 1, c + 1 + asked, "18", answer),
+        t(True, c + 1 + asked, s + 1 + said, "11"), t(False, s + 1 + said, c + 2 + asked, "11"), t(True, c + 2 + asked, s + 2 + said, "10"),
+    )
+    name = F.concat(h(n(host_hex()), 1), host_hex(), F.lit("03636F6D00" + "0001" + "0001"))
+    udp_ = lambda ports, body: F.concat(ports, h(8 + n(body), 2), F.lit("0000"), body)
+    question = F.concat(h(F.col("event_id") % 65536, 2), F.lit("0100" + "0001" + "0000" * 3), name)
+    reply = F.concat(h(F.col("event_id") % 65536, 2), F.lit("8180" + "0001" + "0001" + "0000" * 2), name, F.lit("C00C" + "0001" + "0001" + "0000003C" + "0004"), low_address())
+    dns_ = F.array(ip(17, True, udp_(F.concat(h(port, 2), F.lit("0035")), question)), ip(17, False, udp_(F.concat(F.lit("0035"), h(port, 2)), reply)))
+    each = ev.select("event_id", F.posexplode(F.when(F.col("event_id") % 2 == 0, web_).otherwise(dns_)).alias("i", "f"))
+    return each.select(F.lit("events").alias("path"), (F.col("event_id") * 16 + F.col("i")).alias("seq"), F.col("i").cast("long").alias("us"), F.unhex("f").alias("frame"))
+
+
+#: The event of a flow, out of its key: the client's port, and how often 60,000 events came before.
+FLOW_EVENT = "cast(60000 * cast(split_part(k.server, '.', 4) as long) + (k.port - 1024) as long)"
+
+
+def by_event(rows: DataFrame) -> DataFrame:
+    """`rows` of flows with event_id in place of their key."""
+    k = sessions.key_fields(F.col("key"))
+    first = k["a_ip"].startswith("10.")
+    named = rows.withColumn("k", F.struct(F.when(first, k["b_ip"]).otherwise(k["a_ip"]).alias("server"), F.when(first, k["a_port"]).otherwise(k["b_port"]).alias("port")))
+    return named.withColumn("event_id", F.expr(FLOW_EVENT))
+
+
+@query("SELECT event_id, unnest([TRUE, FALSE]) AS is_request, unnest(['initiator', 'responder']) AS side, unnest(['/' || event_type, NULL]) AS path, unnest([NULL, CAST(200 + user_id % 300 AS INTEGER)]) AS status, unnest(['', CASE WHEN user_id % 300 IN (4, 104) THEN '' ELSE 'for ' || event_type END]) AS body, unnest([CAST(4 AS BIGINT), 5]) AS us FROM events WHERE event_id % 2 = 0")
+def capture_http(spark, sf_dir):
+    """HTTP messages of a capture's flows, from frames on; answers with 204 and 304 have no body."""
+    m = by_event(sessions.http_messages(sessions.tracked(captured(spark, sf_dir))))
+    return m.select("event_id", F.col("message.is_request").alias("is_request"), "side", F.col("message.path").alias("path"), F.col("message.status").alias("status"), F.col("message.body").alias("body"), "us")
+
+
+@query(f"SELECT event_id, unnest([FALSE, TRUE]) AS is_response, {HOST} || '.com' AS qname, unnest([NULL, {SRC}]) AS address, CAST(event_id % 65536 AS BIGINT) AS id FROM events WHERE event_id % 2 = 1")
+def capture_dns(spark, sf_dir):
+    """DNS messages of a capture's flows, from frames on."""
+    m = by_event(sessions.dns_messages(sessions.tracked(captured(spark, sf_dir))))
+    return m.select("event_id", F.col("message.is_response").alias("is_response"), F.get(F.col("message.questions"), F.lit(0))["name"].alias("qname"), F.get(F.col("message.records"), F.lit(0))["value"].alias("address"), F.col("message.id").alias("id"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'started,established,GET /' || event_type || ',' || (200 + user_id % 300) || ',ended fin' ELSE 'started,asks,answers,ended idle_timeout' END AS pulses FROM events""")
+def capture_pulses(spark, sf_dir):
+    """Lifecycle and messages of each flow in the order in which they happened on the wire."""
+    p = by_event(sessions.pulses(sessions.tracked(captured(spark, sf_dir))))
+    http, dns = F.col("http"), F.col("dns")
+    said = F.when(F.col("pulse") == "ended", F.concat_ws(" ", "pulse", "reason")).when(F.col("protocol") == "http", F.coalesce(F.concat_ws(" ", http["method"], http["path"]), F.lit(""))).when(F.col("protocol") == "dns", F.when(dns["is_response"], "answers").otherwise("asks")).otherwise(F.col("pulse"))
+    said = F.when(http["status"].isNotNull(), http["status"].cast("string")).otherwise(said)
+    rows = p.select("event_id", F.struct("us", "seq", "n", said.alias("t")).alias("r")).groupBy("event_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    return rows.select("event_id", F.array_join(F.transform("rs", lambda r: r["t"]), ",").alias("pulses"))
