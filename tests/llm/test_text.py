@@ -88,20 +88,38 @@ def test_quality_statistics(docs, empty, labels):
 
 def test_binomial_bound():
     assert abs(quality_rules.below(1, 10, 0.1) - (0.9**10 + 10 * 0.1 * 0.9**9)) < 1e-12
-    assert quality_rules.select_rules({0: (5000, [0, 0, 5] + [400] * 9), 1: (100, [0] * 12)}, 0.02, 0.05) == {0: 2}
+    none, some = [0] * 12, [0, 0, 5] + [400] * 9
+    counts = {0: (5000, {"a": some, "b": [400] * 12, "c": none}), 1: (100, {"a": none, "b": none, "c": none})}
+    assert quality_rules.select_rules(counts, 0.02, 0.05) == {0: {"a": 2, "c": 11}}  # b loses at once, and doesn't stop c
 
 
 def test_rules_keep_their_promise_on_rows_that_chose_nothing():
-    """Over many holdouts, the chosen rule of any stratum rejects more than the risk in at most `error` of them."""
+    """Over many holdouts, what the chosen cutoffs of any stratum reject together is over the risk in at most `error` of them."""
     rng, risk, error = np.random.default_rng(7), 0.02, 0.05
-    true = {layer: np.linspace(0.001, top, quality_rules.RULES) for layer, top in ((0, 0.08), (1, 0.05), (2, 0.2))}
+    tops = {0: (0.08, 0.03, 0.001), 1: (0.05, 0.01, 0.2), 2: (0.2, 0.02, 0.02)}
+    true = {layer: {f: np.linspace(0.0005, top, quality_rules.RULES) for f, top in zip("abc", each, strict=True)} for layer, each in tops.items()}
     broken = chosen = 0
     for _ in range(800):
-        counts = {layer: (600, [int((draw < p).sum()) for p in rates]) for layer, rates in true.items() for draw in [rng.random(600)]}
+        counts = {layer: (2000, {f: [int((draw < p).sum()) for p in rates] for f, rates in each.items() for draw in [rng.random(2000)]}) for layer, each in true.items()}
         rules = quality_rules.select_rules(counts, risk, error)
-        chosen += len(rules)
-        broken += any(true[layer][rule] > risk for layer, rule in rules.items())
-    assert chosen > 1600 and broken / 800 <= error
+        chosen += sum(map(len, rules.values()))
+        broken += any(sum(true[layer][f][i] for f, i in each.items()) > risk for layer, each in rules.items())
+    assert chosen > 3000 and broken / 800 <= error
+
+
+def test_repeats_are_no_trials(spark):
+    """Rows of one document, and documents with one text, count once towards the bound."""
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(i, words(i)) for i in range(60)] * 40 + [(1000 + i, words(0)) for i in range(900)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1) for i in [*range(60), *range(1000, 1900)]] * 2, "doc_id long, quality int")
+    stats = quality_rules.document_stats(docs)
+    assert {layer: n for layer, (n, _) in quality_rules.good_counts(stats, labels).items()} == {0: 60}
+    unlike = docs.unionByName(spark.createDataFrame([(i, words(i) + " # # # #") for i in range(5000, 5900)], docs.schema))
+    more = labels.unionByName(spark.createDataFrame([(i, 1) for i in range(5000, 5900)], labels.schema))
+    n, lost = quality_rules.good_counts(quality_rules.document_stats(unlike), more)[0]
+    assert n == 960 and lost["symbol_rate"][-1] == 0 and lost["dup_line_rate"] == [0] * 12
+    assert quality_rules.select_rules({0: (n, lost)}, 0.02, 0.05)[0] == dict.fromkeys(quality_rules.FEATURES, 11)
+    assert quality_rules.select_rules({0: (60, lost)}, 0.02, 0.05) == {}
 
 
 def test_decontamination(spark, docs, empty):
