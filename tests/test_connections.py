@@ -185,3 +185,20 @@ def test_frames_of_opened_packets():
         data = bytes(rng.randrange(256) for _ in range(rng.randrange(40)))
         quic.crypto_of(data)
         quic.header_of(b"\xc3\0\0\0\x01" + data)
+
+
+def test_certificates_of_a_chain(spark):
+    """Chains over several messages, cut off at any byte; bytes that are no certificate give null."""
+    from tidelane.parsers import certificates
+
+    a, b = b"\x30\x82\x01\x00FAKE_LEAF", b"\x30\x82\x02\x00FAKE_INTERMEDIATE"
+    listed = lambda *ders: (lambda body: b"\x0b" + (len(body) + 3).to_bytes(3) + len(body).to_bytes(3) + body)(b"".join(len(d).to_bytes(3) + d for d in ders))
+    both = b"\x02\0\0\x02hi" + listed(a, b) + listed() + b"\x0e\0\0\0"
+    assert certificates.chain_of(both) == [a, b] and certificates.chain_of(both[:-9]) == [a, b] and certificates.chain_of(b"\x02\0\0\x02hi") == []
+    for n in range(len(both)):
+        certificates.chain_of(both[:n])
+    assert certificates.certificate_of(a) is None and certificates.certificate_of(b"") is None
+    assert certificates.time_of(0x17, b"500101000000Z") == -631152000000000 and certificates.time_of(0x18, b"20380119031408Z") == 2147483648000000
+    rng = random.Random(8)
+    for _ in range(3000):
+        certificates.certificate_of(bytes(rng.choice([0x30, 0x02, 0x31, 0xA0, 3, 1, 0x84, 0]) for _ in range(rng.randrange(60))))

@@ -91,3 +91,42 @@ def test_scalars_of_bytes(spark):
     one = spark.createDataFrame([(bytes.fromhex("056405C001000004E921"), bytes.fromhex("20010db8000000000001000000000001"), bytes(16))], "d binary, a binary, z binary")
     got = one.select(link.dnp3(F.col("d")).alias("m"), wire.ipv6(F.col("a"), 0).alias("a"), wire.ipv6(F.col("z"), 0).alias("z"), scalars.grease(F.lit(0x7A7A)).alias("g"), scalars.grease(F.lit(0x1A2A)).alias("n")).head()
     assert got.m.crc_ok and got.a == "2001:db8::1:0:0:1" and got.z == "::" and got.g and not got.n
+
+
+def test_frequent_values_of_shards(spark):
+    """Merged summaries of few places are within their bound of the truth, and find every frequent value."""
+    rng = random.Random(6)
+    rows = [("k", int(rng.paretovariate(0.7)) if rng.random() < 0.5 else rng.randrange(10_000)) for _ in range(30_000)]
+    frame, tracked = spark.createDataFrame(rows, "k string, v long"), 256
+    shards = [sketches.frequent_state(frame.filter(F.pmod(F.xxhash64("v", F.lit(i)), F.lit(1)) == 0).filter(F.col("v") % 4 == i), "k", "v", tracked) for i in range(4)]
+    got = {r.v: r.n for r in sketches.frequent(sketches.merge_frequent(*shards, tracked=tracked), "v", 50).collect()}
+    serial = {r.v: r.n for r in sketches.frequent(sketches.frequent_state(frame, "k", "v", tracked), "v", 50).collect()}
+    true: dict = {}
+    for _, v in rows:
+        true[v] = true.get(v, 0) + 1
+    bound = 3.5 / tracked * len(rows)
+    for found in (got, serial):
+        assert all(abs(n - true[v]) <= bound for v, n in found.items())
+        assert {v for v, n in true.items() if n > 2 * bound} <= set(found)
+
+
+def test_merged_digests_have_exact_tails(spark):
+    """Ranks of quantiles of merged digests against the sorted values; null keys and values that aren't finite."""
+    rng = random.Random(7)
+    rows = [(k, rng.lognormvariate(0, 2)) for k in ("a", "b", None) for _ in range(12_000)] + [("a", float("nan")), ("a", float("inf")), ("c", None), ("d", 5.0)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    shards = [sketches.digest(frame.filter(F.pmod(F.xxhash64("v"), F.lit(3)) == i), "k", "v") for i in range(3)]
+    both = sketches.merge_digests(*shards, key="k")
+    sizes = {r.k: (r.rows, r.n) for r in both.groupBy("k").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()}
+    assert set(sizes) == {"a", "b", None, "d"} and all(n == (1 if k == "d" else 12_000) and size <= 101 for k, (size, n) in sizes.items())
+    for q, error in ((0.001, 0.0005), (0.5, 0.01), (0.99, 0.001), (0.999, 0.0005)):
+        for r in sketches.digest_quantile(both, "k", q).filter("k <> 'd' or k is null").collect():
+            values = sorted(v for k, v in rows if k == r.k and v is not None and v == v and v < float("inf"))
+            assert abs(sum(v < r.quantile for v in values) / len(values) - q) <= error, (q, r)
+
+
+def test_distinct_counts_merge(spark):
+    frame = spark.createDataFrame([("k", i % 5000) for i in range(20_000)], "k string, v long")
+    parts = sketches.distinct_counts(frame.filter("v % 2 = 0"), "k", "v").unionByName(sketches.distinct_counts(frame.filter("v % 2 = 1 or v < 100"), "k", "v"))
+    got = parts.groupBy("k").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n")).head().n
+    assert abs(got - 5000) < 250

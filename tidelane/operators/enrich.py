@@ -101,6 +101,11 @@ def risk_of_tls(version: Column, cipher: Column) -> Column:
     return risk_bits(tls_obsolete_version=version < 0x0303, tls_weak_cipher=cipher.isin(*WEAK_CIPHERS))
 
 
+def risk_of_certificate(certificate: Column, us: Column) -> Column:
+    """Of a server's own certificate (parsers.certificates) at a time."""
+    return risk_bits(tls_self_signed=F.coalesce(certificate["self_signed"], F.lit(False)), tls_expired_cert=F.coalesce(certificate["not_after_us"] < us, F.lit(False)))
+
+
 def risk_of_name(name: Column, generated: Column) -> Column:
     """generated: whether the second-level label looks generated."""
     return risk_bits(punycode_idn=F.lower(name).rlike(r"(^|\.)xn--"), dga_domain=generated)

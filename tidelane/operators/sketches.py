@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane.operators.folds import ordered_fold
+
 
 def places(value: Column, depth: int, width: int) -> Column:
     """array<struct<row, cell>>: a cell in each of `depth` rows, by two hashes."""
@@ -82,6 +85,117 @@ def top_k(frame: DataFrame, key: str, value: str, k: int) -> DataFrame:
     return counts.withColumn("__r", rank).filter(F.col("__r") <= k).drop("__r")
 
 
+def frequent_state(frame: DataFrame, key: str, value: str, tracked: int = 1024) -> DataFrame:
+    """key, state: a bounded summary of a key's frequent values, `tracked` of them at most, built in parts and merged by Spark."""
+    return frame.groupBy(key).agg(F.expr(f"approx_top_k_accumulate({value}, {tracked})").alias("state"))
+
+
+def merge_frequent(*states: DataFrame, tracked: int = 1024) -> DataFrame:
+    """The summary of all shards."""
+    out = states[0]
+    for s in states[1:]:
+        out = out.unionByName(s)
+    return out.groupBy(*[c for c in out.columns if c != "state"]).agg(F.expr(f"approx_top_k_combine(state, {tracked})").alias("state"))
+
+
+def frequent(states: DataFrame, value: str, k: int) -> DataFrame:
+    """key, value, n: the `k` most frequent values of each summary, the most frequent first.
+
+    n is never over 3.5 / tracked of all rows away from the true count, and exact while no key has more than three quarters of
+    `tracked` different values.
+    """
+    got = states.select(*[c for c in states.columns if c != "state"], F.inline(F.expr(f"approx_top_k_estimate(state, {k})")))
+    return got.withColumnsRenamed({"item": value, "count": "n"})
+
+
+#: Keys that a task holds digests of before it gives them out, and values of a key that wait to be merged.
+DIGESTS, UNMERGED = 4096, 2000
+
+
+def compressed(means: np.ndarray, weights: np.ndarray, compression: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of centroids: by rank, those of one step of the scale become one; steps are small near both ends."""
+    order = np.argsort(means, kind="stable")
+    means, weights = means[order], weights[order]
+    middle = (np.cumsum(weights) - weights / 2) / weights.sum()
+    step = np.floor(compression / 2 * (np.arcsin(2 * middle - 1) / math.pi + 0.5))
+    first = np.flatnonzero(np.diff(step, prepend=-1))
+    total = np.add.reduceat(weights, first)
+    return np.add.reduceat(means * weights, first) / total, total
+
+
+def digest(frame: DataFrame, key: str, value: str, compression: int = 200) -> DataFrame:
+    """key, centroid, mean, n: a t-digest of each key, built in each partition and merged by key.
+
+    A partition holds compression / 2 centroids of DIGESTS keys and UNMERGED values of each at most; only centroids are shuffled.
+    Null values and those that aren't finite are left out.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    finite = frame.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(value) < float("inf")))
+    chosen = finite.select(key, F.col(value).cast("double").alias("mean"), F.lit(1).cast("long").alias("n"))
+    kind = StructType([chosen.schema[key], *_parse_datatype_string("centroid int, mean double, n long").fields])
+
+    def rows(name, means, weights):
+        n = len(means)
+        return pa.RecordBatch.from_arrays([pa.array([name] * n, form.field(0).type), pa.array(np.arange(n, dtype=np.int32)), pa.array(means), pa.array(weights.astype(np.int64))], schema=form)
+
+    form = to_arrow_schema(kind)
+
+    def run(batches):
+        held: dict = {}
+        for batch in batches:
+            codes = batch.column(0).dictionary_encode()
+            names, which = codes.dictionary.to_pylist(), codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
+            names.append(None)
+            means, weights = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(float)
+            for i in np.unique(which).tolist():
+                mine = held.setdefault(names[i], [[], [], 0])
+                at = which == i
+                mine[0].append(means[at])
+                mine[1].append(weights[at])
+                mine[2] += int(at.sum())
+                if mine[2] > UNMERGED:
+                    m, w = compressed(np.concatenate(mine[0]), np.concatenate(mine[1]), compression)
+                    mine[:] = [[m], [w], 0]
+            if len(held) > DIGESTS:
+                for name, (m, w, _) in held.items():
+                    yield rows(name, *compressed(np.concatenate(m), np.concatenate(w), compression))
+                held.clear()
+        for name, (m, w, _) in held.items():
+            yield rows(name, *compressed(np.concatenate(m), np.concatenate(w), compression))
+
+    parts = chosen.mapInArrow(run, kind)
+    return merge_digests(parts, key=key, compression=compression)
+
+
+def merge_digests(*digests: DataFrame, key: str, compression: int = 200) -> DataFrame:
+    """The digest of all rows that went into some digests."""
+    out = digests[0]
+    for d in digests[1:]:
+        out = out.unionByName(d)
+
+    def merged(state: list) -> list[tuple]:
+        m, w = compressed(np.asarray(state[0]), np.asarray(state[1], dtype=float), compression)
+        return [(i, x, int(n)) for i, (x, n) in enumerate(zip(m.tolist(), w.tolist(), strict=True))]
+
+    def step(state, _, mean, n):
+        state[0].append(mean)
+        state[1].append(n)
+        if len(state[0]) > UNMERGED:  # so that the shards of a key aren't held together
+            m, w = compressed(np.asarray(state[0]), np.asarray(state[1], dtype=float), compression)
+            state[:] = [m.tolist(), w.tolist()]
+        return ()
+
+    return ordered_fold(out, key, ["mean", "n"], lambda: [[], []], step, "centroid int, mean double, n long", merged, ("centroid",))
+
+
+def distinct_counts(frame: DataFrame, key: str, value: str, precision: int = 12) -> DataFrame:
+    """key, sketch: distinct values of each key in 2 ** precision registers; hll_union_agg merges, hll_sketch_estimate counts."""
+    return frame.groupBy(key).agg(F.hll_sketch_agg(value, precision).alias("sketch"))
+
+
 def centroids(frame: DataFrame, key: str, value: str, compression: int = 100) -> DataFrame:
     """key, centroid, mean, n: a t-digest in one pass over ranks; centroids are small near both ends.
 

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.functions import wire
+from tidelane.functions.scalars import let
 from tidelane.functions.wire import frame_of, text_hex
-from tidelane.operators import sessions
-from tidelane.parsers import http2, quic, web
-from tidelane.plans.messages import HOST, client_hello_hex, h, host_hex, n
+from tidelane.operators import enrich, sessions
+from tidelane.parsers import certificates, http2, quic, web
+from tidelane.plans.messages import HOST, client_hello_hex, h, host, host_hex, n
 from tidelane.plans.packets import ETHERNET, SRC, events, ipv4, low_address, source_port
 from tidelane.plans.registry import query
 
@@ -181,3 +182,38 @@ def capture_pulses(spark, sf_dir):
     said = F.when(http["status"].isNotNull(), http["status"].cast("string")).otherwise(said)
     rows = p.select("event_id", F.struct("us", "seq", "n", said.alias("t")).alias("r")).groupBy("event_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
     return rows.select("event_id", F.array_join(F.transform("rs", lambda r: r["t"]), ",").alias("pulses"))
+
+
+def der(tag: str, body: Column) -> Column:
+    """An element around `body`, which is named once, as elements hold elements."""
+
+    def around(b: Column) -> Column:
+        size = n(b)
+        return F.concat(F.lit(tag), F.when(size < 128, h(size, 1)).when(size < 256, F.concat(F.lit("81"), h(size, 1))).otherwise(F.concat(F.lit("82"), h(size, 2))), b)
+
+    return let(body, around)
+
+
+def named_hex(common: Column) -> Column:
+    """A name of one organization and a common name, in hexadecimal."""
+    attribute = lambda kind, value: der("31", der("30", F.concat(F.lit("0603" + kind), der("0C", text_hex(value)))))
+    return der("30", F.concat(attribute("55040A", "Shop"), attribute("550403", common)))
+
+
+@query(f"""SELECT event_id, CAST(2 AS BIGINT) AS n, 'O=Shop,CN=' || {HOST} AS subject, 'O=Shop,CN=' || CASE WHEN event_id % 3 = 0 THEN {HOST} ELSE 'authority' END AS issuer, printf('%08x', event_id) AS serial, CASE WHEN user_id % 2 = 0 THEN '2010-03-04 05:06:07' ELSE '2060-03-04 05:06:07' END AS not_after, {HOST} || '.example,10.0.0.1' AS names,
+concat_ws(',', CASE WHEN event_id % 3 = 0 THEN 'tls_self_signed' END, CASE WHEN user_id % 2 = 0 THEN 'tls_expired_cert' END) AS risks FROM events""")
+def tls_certificates(spark, sf_dir):
+    """A server's own certificate out of a chain of two: names, validity, and the risks in them."""
+    subject = named_hex(host())
+    issuer = F.when(F.col("event_id") % 3 == 0, subject).otherwise(named_hex(F.lit("authority")))
+    ends = F.when(F.col("user_id") % 2 == 0, der("17", text_hex("100304050607Z"))).otherwise(der("18", text_hex("20600304050607Z")))
+    further = der("30", F.concat(der("82", text_hex(F.concat(host(), F.lit(".example")))), F.lit("87040A000001")))
+    extensions = der("A3", der("30", F.concat(der("30", F.lit("0603551D13" + "04023000")), der("30", F.concat(F.lit("0603551D11"), der("04", further))))))
+    fields_ = F.concat(F.lit("A003020102" + "0204"), h(F.col("event_id"), 4), F.lit("300D06092A864886F70D01010B0500"), issuer, der("30", F.concat(der("17", text_hex("991231235959Z")), ends)), subject, F.lit("3003030100"), extensions)
+    one = der("30", F.concat(der("30", fields_), F.lit("300D06092A864886F70D01010B0500" + "03020000")))
+    body = let(one, lambda c: F.concat(h(n(c), 3), c, F.lit("000003" + "300100")))
+    message = let(body, lambda b: F.concat(F.lit("0B"), h(n(b) + 3, 3), h(n(b), 3), b))
+    p = events(spark, sf_dir).withColumn("payload", F.unhex(let(message, lambda m: F.concat(F.lit("160303"), h(n(m), 2), m)))).withColumn("chain", certificates.chain(web.handshakes(F.col("payload"))))
+    p = p.withColumn("c", certificates.certificate(F.get("chain", F.lit(0))))
+    risks = enrich.risk_summary(enrich.risk_of_certificate(F.col("c"), F.lit(1_700_000_000_000_000)))["names"]
+    return p.select("event_id", F.size("chain").cast("long").alias("n"), "c.subject", "c.issuer", "c.serial", F.date_format(F.timestamp_micros("c.not_after_us"), "yyyy-MM-dd HH:mm:ss").alias("not_after"), F.array_join("c.names", ",").alias("names"), F.array_join(risks, ",").alias("risks"))

@@ -258,15 +258,39 @@ def sketch_membership(spark, sf_dir):
     return asked.join(est, ["svc", "src"]).join(member, ["svc", "src"]).select("svc", "src", "n", (F.col("estimate") >= F.col("n")).alias("enough"), F.col("maybe").alias("member"), (F.col("even") > F.col("n") - F.col("even")).alias("kept"))
 
 
-@query(f"WITH {EV}, c AS (SELECT svc, src, count(*) FILTER (seq % 3 > 0) - count(*) FILTER (seq % 3 = 0) AS d FROM ev GROUP BY ALL) SELECT svc, count(*) AS asked, count(*) AS found FROM c WHERE d >= 1 GROUP BY svc")
+@query(f"WITH {EV}, c AS (SELECT svc, src, count(*) AS n, count(*) FILTER (seq % 3 = 0) AS again FROM ev GROUP BY ALL) SELECT svc, count(*) FILTER (src % 2 = 1) AS kept, count(*) FILTER (src % 2 = 1) AS kept_found, count(*) FILTER (src % 2 = 0) AS removed, CAST(0 AS BIGINT) AS removed_found FROM c GROUP BY svc")
 def counting_filter(spark, sf_dir):
-    """What has been put in more often than taken out is found: values that were never put in aren't taken out here."""
+    """All users are put in once; those with even numbers are taken out again, and aren't found any more."""
+    users = packets(spark, sf_dir).select("svc", "src").distinct()
+    steps = users.withColumn("sign", F.lit(1)).unionByName(users.filter("src % 2 = 0").withColumn("sign", F.lit(-1)))
+    cells = sketches.counting_bloom(steps, "svc", "src", F.col("sign"), width=1 << 17, most=255)
+    got = sketches.maybe_in(cells.select("svc", "cell"), users, "svc", "src", width=1 << 17)
+    odd = F.col("src") % 2 == 1
+    return got.groupBy("svc").agg(F.count_if(odd).alias("kept"), F.count_if(odd & F.col("maybe")).alias("kept_found"), F.count_if(~odd).alias("removed"), F.count_if(~odd & F.col("maybe")).alias("removed_found"))
+
+
+@query(f"WITH {EV}, c AS (SELECT svc, src, count(*) AS n FROM ev GROUP BY ALL) SELECT svc, src, n FROM c WHERE 100 * n >= (SELECT sum(n) FROM c AS d WHERE d.svc = c.svc)")
+def heavy_talkers(spark, sf_dir):
+    """Users with a hundredth or more of a service's events, out of bounded summaries of four shards that are merged."""
     ev = packets(spark, sf_dir)
-    net = ev.groupBy("svc", "src").agg(F.sum(F.when(F.col("seq") % 3 > 0, 1).otherwise(-1)).alias("d")).filter("d >= 1")
-    put = net.select("svc", "src", F.explode(F.array_repeat(F.lit(1), F.col("d").cast("int"))).alias("one"))
-    cells = sketches.counting_bloom(put, "svc", "src", F.col("one"))
-    got = sketches.maybe_in(cells.select("svc", "cell"), net, "svc", "src")
-    return got.groupBy("svc").agg(F.count("*").alias("asked"), F.count_if("maybe").alias("found"))
+    shards = [sketches.frequent_state(ev.filter(F.col("seq") % 4 == i), "svc", "src", 4096) for i in range(4)]
+    got = sketches.frequent(sketches.merge_frequent(*shards, tracked=4096), "src", 100)
+    return got.join(ev.groupBy("svc").agg(F.count("*").alias("of")), "svc").filter("100 * n >= of").select("svc", "src", "n")
+
+
+@query(f"WITH {EV} SELECT svc, count(*) AS n, TRUE AS p50_close, TRUE AS p99_close, TRUE AS p999_close FROM ev GROUP BY svc")
+def merged_digests(spark, sf_dir):
+    """Quantiles of digests of three shards, merged: their ranks are within 1 %, 0.2 % and 0.1 % of those asked for (or a row)."""
+    ev = packets(spark, sf_dir)
+    shards = [sketches.digest(ev.filter(F.col("seq") % 3 == i), "svc", "value") for i in range(3)]
+    got = sketches.merge_digests(*shards, key="svc")
+    asked = {"p50": (0.5, 0.01), "p99": (0.99, 0.002), "p999": (0.999, 0.001)}
+    out = got.groupBy("svc").agg(F.sum("n").alias("n"))
+    for name, (q, _) in asked.items():
+        out = out.join(sketches.digest_quantile(got, "svc", q).withColumnRenamed("quantile", name), "svc")
+    ranks = ev.join(out.drop("n"), "svc").groupBy("svc").agg(*[F.count_if(F.col("value") < F.col(name)).alias(f"{name}_below") for name in asked], *[F.count_if(F.col("value") <= F.col(name)).alias(f"{name}_upto") for name in asked])
+    near = lambda name, q, e: (F.col(f"{name}_below") <= (q + e) * F.col("n") + 1) & (F.col(f"{name}_upto") >= (q - e) * F.col("n") - 1)
+    return out.join(ranks, "svc").select("svc", "n", *[near(name, q, e).alias(f"{name}_close") for name, (q, e) in asked.items()])
 
 
 @query(f"WITH {EV}, c AS (SELECT svc, src, count(*) AS n FROM ev GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY svc ORDER BY n DESC, src) AS k FROM c) SELECT svc, src, n FROM r WHERE k <= 32")
@@ -448,9 +472,16 @@ def lookups(spark, sf_dir) -> DataFrame:
     return ev.withColumn("page_id", F.col("seq") * 7 % F.col("n")).join(hosts, "page_id").select("seq", "us", "src", "host", "dom")
 
 
-@query(f"WITH {LOOKUPS}, g AS (SELECT *, us - lag(us) OVER (PARTITION BY host ORDER BY us, seq) AS d, min(us) OVER () AS b FROM q) SELECT seq, host FROM g WHERE (d IS NULL OR d > {20 * DAY}) AND us - b >= {DAY}")
+#: Sightings of a domain of its own for each ten users and kind of event, which are far enough apart to be news again.
+SEEN = f"{EV}, n AS (SELECT seq, us, svc || (src // 10) || '.example' AS dom FROM ev)"
+
+
+@query(f"WITH {SEEN}, g AS (SELECT *, us - lag(us) OVER (PARTITION BY dom ORDER BY us, seq) AS d, min(us) OVER () AS b FROM n) SELECT seq, dom FROM g WHERE (d IS NULL OR d > {2 * DAY}) AND us - b >= {DAY}")
 def new_domains(spark, sf_dir):
-    return detect.new_domains(lookups(spark, sf_dir), "host", 20 * DAY, DAY).select("seq", "host")
+    """Sightings of registered domains that are new or weren't seen for two days, after a day of warming up."""
+    host = F.concat(F.lit("www."), F.col("svc"), F.floor(F.col("src") / 10).cast("string"), F.lit(".example"))
+    seen = packets(spark, sf_dir).withColumn("dom", scalars.registered_domain(host))
+    return detect.new_domains(seen, "dom", 2 * DAY, DAY).select("seq", "dom")
 
 
 @query(f"""WITH {LOOKUPS}, x AS (SELECT a.src AS usr, a.dom, a.us, a.seq, count(DISTINCT b.host) AS live FROM q a JOIN q b ON a.dom = b.dom AND (b.us, b.seq) <= (a.us, a.seq) AND (b.us // {HOUR}) * {HOUR} >= a.us - 6 * {HOUR} WHERE length(a.host) >= 14 AND length(b.host) >= 14 GROUP BY ALL),
@@ -487,13 +518,16 @@ def bandwidth_by_app(spark, sf_dir):
     return live.groupBy("svc").agg(F.round(F.max("live") / (6 * 3600), 6).alias("peak"))
 
 
-@query(f"SELECT event_id, CASE WHEN event_id % 2 = 0 THEN {SRC} ELSE '10.0.0.100' END AS sender, (event_id % 2 = 0) AS by_initiator, CAST(event_id % 2 + 1 AS BIGINT) AS leg FROM events")
+@query(f"WITH {EV}, o AS (SELECT *, first(side) OVER (PARTITION BY src ORDER BY us, seq) AS began, CAST(CASE WHEN src % 4 = 0 THEN seq % 2 + 1 WHEN (side = 'initiator') = (src % 2 = 0) THEN 1 ELSE 2 END AS BIGINT) AS leg FROM ev), l AS (SELECT *, first(leg) OVER (PARTITION BY src, side ORDER BY us, seq) AS usual FROM o) SELECT seq, side = began AS by_initiator, leg, usual, leg <> usual AS strayed FROM l")
 def tap_merge_orientation(spark, sf_dir):
-    """Three axes of direction: who sends, whether that side began, and which leg of a tap saw it."""
-    from tidelane.plans.packets import both_ways
-
-    d = frames.decode(both_ways(spark, sf_dir))
-    return d.select("event_id", F.col("src_ip").alias("sender"), (F.col("dst_port") == 53).alias("by_initiator"), (F.col("event_id") % 2 + 1).alias("leg"))
+    """Axes of direction of packets from two legs of a tap: whether the side that began sends, the leg that saw it, and the leg
+    on which that side was seen first; on connections of every fourth user, legs are mixed up."""
+    leg = F.when(F.col("src") % 4 == 0, F.col("seq") % 2 + 1).when((F.col("side") == "initiator") == (F.col("src") % 2 == 0), 1).otherwise(2).cast("long")
+    p = packets(spark, sf_dir).withColumn("leg", leg).withColumn("forward", F.col("side") == "initiator").withColumn("l4", F.lit("other"))
+    told = flows.with_lifecycle(p, "src", idle_s={"other": 10**9})
+    legs = flows.capture_legs(p, "src", "leg")
+    usual = F.when(F.col("forward"), F.col("forward_leg")).otherwise(F.col("backward_leg"))
+    return told.join(legs, "src").select("seq", (F.col("side") == "initiator").alias("by_initiator"), "leg", usual.alias("usual"), (F.col("leg") != usual).alias("strayed"))
 
 
 @query(f"""WITH {HOSTS} SELECT DISTINCT kind, value FROM (SELECT 'domain' AS kind, host AS value FROM h UNION ALL SELECT 'ip', {SRC} FROM events UNION ALL SELECT 'ja3', md5('771,4865-' || (49152 + user_id % 256) || ',0-10-11-16-43-51,29-23,') FROM events)""")
