@@ -82,9 +82,9 @@ def initiator_inference(spark, sf_dir):
     return told.groupBy("src").agg(F.min_by("side", F.struct("us", "seq")).alias("side"))
 
 
-@query(f"WITH {EV}, x AS (SELECT *, seq % 4 AS leg, side = 'initiator' AS fw FROM ev WHERE src % 2 = 0 OR seq % 4 IN (0, 2)), g AS (SELECT src, arg_min(leg, (us, seq)) FILTER (fw AND leg <> 0) AS a, arg_min(leg, (us, seq)) FILTER (NOT fw AND leg <> 0) AS b, count(DISTINCT leg) FILTER (fw AND leg <> 0) AS na, count(DISTINCT leg) FILTER (NOT fw AND leg <> 0) AS nb FROM x GROUP BY src) SELECT src, a AS forward_leg, b AS backward_leg, na > 1 OR nb > 1 AS inconsistent FROM g")
+@query(f"WITH {EV}, x AS (SELECT *, CASE WHEN src % 2 = 0 THEN seq % 4 ELSE seq % 2 * 2 END AS leg, side = 'initiator' AS fw FROM ev), g AS (SELECT src, arg_min(leg, (us, seq)) FILTER (fw AND leg <> 0) AS a, arg_min(leg, (us, seq)) FILTER (NOT fw AND leg <> 0) AS b, count(DISTINCT leg) FILTER (fw AND leg <> 0) AS na, count(DISTINCT leg) FILTER (NOT fw AND leg <> 0) AS nb FROM x GROUP BY src) SELECT src, a AS forward_leg, b AS backward_leg, na > 1 OR nb > 1 AS inconsistent FROM g")
 def capture_legs(spark, sf_dir):
-    p = tcp_packets(spark, sf_dir).withColumn("leg", F.col("seq") % 4).filter("src % 2 = 0 or seq % 4 in (0, 2)")
+    p = tcp_packets(spark, sf_dir).withColumn("leg", F.when(F.col("src") % 2 == 0, F.col("seq") % 4).otherwise(F.col("seq") % 2 * 2))
     return flows.capture_legs(p, "src", "leg")
 
 
@@ -246,12 +246,12 @@ def ip_fragment_reassembly(spark, sf_dir):
     return streams.defragment(f).select((F.split_part("src_ip", F.lit("."), F.lit(4)).cast("long") * 65536 + F.col("id")).alias("id"), F.col("payload").cast("string").alias("payload"))
 
 
-@query(f"WITH {EV} SELECT svc, src, count(*) AS n, TRUE AS enough, TRUE AS member, count(*) FILTER (seq % 2 = 0) > count(*) FILTER (seq % 2 = 1) OR FALSE AS kept FROM ev WHERE src % 50 = 0 GROUP BY ALL")
+@query(f"WITH {EV} SELECT svc, src, count(*) AS n, TRUE AS enough, TRUE AS member, count(*) FILTER (seq % 2 = 0) > count(*) FILTER (seq % 2 = 1) OR FALSE AS kept FROM ev GROUP BY ALL")
 def sketch_membership(spark, sf_dir):
     """Count-min estimates never fall short and Bloom filters never forget, also after two shards are merged; removals of a counting filter."""
     ev = packets(spark, sf_dir)
     a, b = (sketches.count_min(ev.filter(F.col("seq") % 2 == i), "svc", "src") for i in (0, 1))
-    asked = ev.filter("src % 50 = 0").groupBy("svc", "src").agg(F.count("*").alias("n"), F.count_if(F.col("seq") % 2 == 0).alias("even"))
+    asked = ev.groupBy("svc", "src").agg(F.count("*").alias("n"), F.count_if(F.col("seq") % 2 == 0).alias("even"))
     est = sketches.estimates(sketches.merge_cells(a, b), asked, "svc", "src")
     bits = sketches.bloom(ev.filter("seq % 2 = 0"), "svc", "src").unionByName(sketches.bloom(ev.filter("seq % 2 = 1"), "svc", "src")).distinct()
     member = sketches.maybe_in(bits, asked, "svc", "src")
@@ -423,10 +423,14 @@ def tls_indicators(spark, sf_dir):
     return enrich.equal_indicators(ev, all_, domain="sni", ja3="ja3", ip="ip").select("event_id", "indicator_kind")
 
 
-@query("SELECT CAST(2 AS BIGINT) AS n, 90 AS reputation, 'list' AS source")
+@query("SELECT 'e' || event_id || '.example' AS value, CAST(CASE WHEN event_id % 5 > 0 THEN user_id % 100 END AS INTEGER) AS reputation, CASE WHEN event_id % 5 > 0 THEN event_type END AS source FROM events WHERE event_id % 4 = 0")
 def feed_loader(spark, sf_dir):
-    lines = spark.range(6).select(F.element_at(F.array(*[F.lit(x) for x in ("# feed", "Bad.Example,90,list", "bad line", "other.example", "third.example,high", "")]), (F.col("id") + 1).cast("int")).alias("value"))
-    return enrich.feed_lines(lines, "domain").agg(F.count("*").alias("n"), F.max("reputation").alias("reputation"), F.max("source").alias("source"))
+    """A feed with a line for each event: a name with a reputation and a source or alone, a remark, a bad number, or no name at all."""
+    name = F.concat(F.lit(" E"), F.col("event_id"), F.lit(".Example"))
+    whole = F.concat(name, F.lit(","), F.col("user_id") % 100, F.lit(" , "), F.col("event_type"))
+    line = F.when(F.col("event_id") % 4 == 0, F.when(F.col("event_id") % 5 > 0, whole).otherwise(name)).when(F.col("event_id") % 4 == 1, F.concat(F.lit("# "), name)).when(F.col("event_id") % 4 == 2, F.concat(name, F.lit(",high"))).otherwise("no name")
+    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select(line.alias("value"))
+    return enrich.feed_lines(lines, "domain").select("value", "reputation", "source")
 
 
 @query(f"""WITH {REC}, e AS (SELECT event_id AS seq, user_id AS src, epoch_us(ts) AS us FROM events WHERE event_type = 'error') SELECT e.seq, e.us, rc.flow_no FROM e JOIN rc ON rc.src = e.src AND e.us BETWEEN start_us AND end_us""")
@@ -641,11 +645,13 @@ def ipfix_messages(spark, sf_dir):
     return m.agg(F.sum("records").alias("records"), F.every(size == F.length("message")).alias("right_size"), (F.max(F.conv(F.hex(F.substring("message", 1, 2)), 16, 10).cast("int")) - 9).alias("version"))
 
 
-@query("SELECT i AS id, n AS name FROM (VALUES (1, 'octetDeltaCount'), (8, 'sourceIPv4Address'), (136, 'flowEndReason')) v(i, n)")
+@query("""WITH n(i, name) AS (VALUES (1, 'octetDeltaCount'), (2, 'packetDeltaCount'), (4, 'protocolIdentifier'), (6, 'tcpControlBits'), (7, 'sourceTransportPort'), (8, 'sourceIPv4Address'), (11, 'destinationTransportPort'), (12, 'destinationIPv4Address'), (27, 'sourceIPv6Address'), (28, 'destinationIPv6Address'), (85, 'octetTotalCount'), (86, 'packetTotalCount'), (136, 'flowEndReason'), (152, 'flowStartMilliseconds'), (153, 'flowEndMilliseconds'))
+SELECT event_id, CAST(event_id % 160 AS INTEGER) AS id, name, i AS number FROM events LEFT JOIN n ON i = event_id % 160""")
 def ipfix_elements(spark, sf_dir):
-    """Elements by number and by name."""
-    table = spark.createDataFrame(list(sinks.ELEMENTS.items()), "id int, name string")
-    return table.filter("id in (1, 8) or name = 'flowEndReason'")
+    """Names of elements by numbers that events give, and numbers by those names."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") % 160).cast("int").alias("id"))
+    named = ev.withColumn("name", sinks.element_name(F.col("id")))
+    return named.withColumn("number", sinks.element_number(F.col("name")))
 
 
 @query(f"WITH {REC} SELECT src, flow_no, reason IN ('fin') AS graceful, TRUE AS transport, FALSE AS parser, CASE reason WHEN 'fin' THEN 'SF' WHEN 'rst' THEN 'RSTO' ELSE 'OTH' END AS zeek FROM rc")

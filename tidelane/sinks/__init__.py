@@ -87,6 +87,15 @@ TEMPLATES = {
 ELEMENTS = {1: "octetDeltaCount", 2: "packetDeltaCount", 4: "protocolIdentifier", 6: "tcpControlBits", 7: "sourceTransportPort", 8: "sourceIPv4Address", 11: "destinationTransportPort", 12: "destinationIPv4Address", 27: "sourceIPv6Address", 28: "destinationIPv6Address", 85: "octetTotalCount", 86: "packetTotalCount", 136: "flowEndReason", 152: "flowStartMilliseconds", 153: "flowEndMilliseconds"}
 
 
+def element_name(number: Column) -> Column:
+    """Name of an element of flow records; null for other numbers."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for p in ELEMENTS.items() for x in p]), number.cast("int"))
+
+
+def element_number(name: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for n, e in ELEMENTS.items() for x in (e, n)]), name)
+
+
 def template_set(template: int) -> str:
     """The set that announces a template, in hexadecimal."""
     fields = "".join(f"{i:04X}{n:04X}" for i, n in TEMPLATES[template])
@@ -103,8 +112,9 @@ def ipfix_record(template: int = 256) -> Column:
 def ipfix_messages(flows: DataFrame, export_s: int, domain: int, template: int = 256, most: int = 20) -> DataFrame:
     """number, message: binary messages of RFC 7011 with the template and up to `most` records each.
 
-    Records are numbered within partitions, so that building messages needs no order over all flows. The sequence number
-    counts the records before a message in its partition, which stands in the upper half of `number`.
+    Records are numbered within partitions, so that building messages needs no order over all flows. A partition is an
+    observation domain of its own (`domain` and the partition's number), and stands in the upper half of `number`; the sequence
+    number counts the records before a message in its domain, so collectors see no loss.
     """
     size = sum(n for _, n in TEMPLATES[template])
     each = flows.select(F.monotonically_increasing_id().alias("n"), ipfix_record(template).alias("r"))
@@ -114,5 +124,5 @@ def ipfix_messages(flows: DataFrame, export_s: int, domain: int, template: int =
     head = template_set(template)
     h = lambda c, n: F.lpad(F.hex(c.cast("long")), 2 * n, "0")
     total = 16 + len(head) // 2 + 4 + F.col("records") * size
-    message = F.concat(F.lit("000A"), h(total, 2), F.lit(f"{export_s:08X}"), h(F.col("m") * most, 4), F.lit(f"{domain:08X}{head}{template:04X}"), h(4 + F.col("records") * size, 2), F.col("data"))
+    message = F.concat(F.lit("000A"), h(total, 2), F.lit(f"{export_s:08X}"), h(F.col("m") * most, 4), h(F.lit(domain) + F.col("p"), 4), F.lit(f"{head}{template:04X}"), h(4 + F.col("records") * size, 2), F.col("data"))
     return packed.select((F.shiftleft("p", 32) + F.col("m")).alias("number"), F.col("records"), F.unhex(message).alias("message"))
