@@ -318,6 +318,23 @@ def test_wrapped_licenses_under_a_line_without_full_stop():
     assert found("// SPDX-License-Identifier: (GPL-3.0-or-later OR MIT) AND Foo-1.0") == ["GPL-3.0-or-later", "MIT", "foo-1-0"]
 
 
+def test_long_expressions_holders_and_titles():
+    found = lambda t: sorted({c for _, _, c in licenses.recognise(licenses.sentences(t))})
+    names = sorted(set(licenses.SPDX.values()))
+    for times in (1, 20):
+        assert found("words\n// SPDX-License-Identifier: " + " OR ".join(names * times) + "\nmore words") == names
+    head = "\n".join(licenses.SENTENCES[n] + "." for n in ("bsd-head", "bsd-source", "bsd-binary"))
+    rest = "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    for n in (1, 2, 5, 40, 100, 5000):
+        for gap in (" ", "\n"):
+            holder = gap.join(f"word{i}" for i in range(n))
+            assert found(f"{head}\n3. Neither the name of {holder}{gap}{rest}") == ["BSD-3-Clause"]
+    assert found("Boost Software License - Version 1.0 - August 17th, 2003\n\nmore") == found("Boost Software License - Version 1.0") == ["BSL-1.0"]
+    assert found("package: foo\nLicense: MIT\nmore") == ["MIT"] and found("License: Apache-2.0") == ["Apache-2.0"]
+    assert found("        GNU GENERAL PUBLIC LICENSE\n           Version 3, 29 June 2007\n\n Copyright (C) 2007") == ["GPL-3.0-only"]
+    assert found("     Apache License\n   Version 2.0, January 2004\n  http://www.apache.org/licenses/\n\n  TERMS AND CONDITIONS") == ["Apache-2.0"]
+
+
 def test_every_known_sentence_is_found_by_brute_force():
     """Each table entry alone in a text gives its own identifier, and every license's first rule gives the license."""
     for text, name in licenses.TABLE.items():

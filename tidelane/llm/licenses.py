@@ -61,7 +61,26 @@ def version_of(text: str) -> str:
 
 
 #: Titles that stand for a license by themselves.
-TITLES = {"mit license": "title-MIT", "mit license mit": "title-MIT"}
+TITLES = {
+    "mit license": "title-MIT",
+    "mit license mit": "title-MIT",
+    "isc license": "title-ISC",
+    "apache license version 2 0 january 2004": "title-Apache-2.0",
+    "apache license version 2 0 january 2004 http www apache org licenses": "title-Apache-2.0",
+    "apache license version 2 0 january 2004 https www apache org licenses": "title-Apache-2.0",
+    "boost software license version 1 0": "title-BSL-1.0",
+    "boost software license version 1 0 august 17th 2003": "title-BSL-1.0",
+    "mozilla public license version 2 0": "title-MPL-2.0",
+    "eclipse public license v 2 0": "title-EPL-2.0",
+    "bsd 2 clause license": "title-BSD-2-Clause",
+    "bsd 3 clause license": "title-BSD-3-Clause",
+    "zlib license": "title-Zlib",
+    "gnu general public license version 2 june 1991": "title-GPL-2.0-only",
+    "gnu general public license version 3 29 june 2007": "title-GPL-3.0-only",
+    "gnu lesser general public license version 2 1 february 1999": "title-LGPL-2.1-only",
+    "gnu lesser general public license version 3 29 june 2007": "title-LGPL-3.0-only",
+    "gnu affero general public license version 3 19 november 2007": "title-AGPL-3.0-only",
+}
 #: Every known sentence in normal form -> its identifier. An identifier name-X names license X by itself.
 TABLE = {text: name.removesuffix("-at").removesuffix("-and").removesuffix("-s") for name, text in SENTENCES.items()} | TITLES
 for _license, _names in NAMES.items():
@@ -80,6 +99,8 @@ for _family, (_title, _versions) in FAMILIES.items():
             TABLE[_text] = f"free-{_later}"
         _plain = f"{_family.lower()} {' '.join(version_of(_v).split('.'))}"
         SPDX |= {f"{_plain} only": _only, _plain: _only, f"{_plain} or later": _later}
+#: A field of a package's description, such as "License: MIT".
+TABLE |= {f"license {n}": f"name-{license_}" for n, license_ in SPDX.items()}
 #: License -> the lists of identifiers any of which, in that order and with other known sentences between, shows it.
 #: An earlier rule takes its sentences before a later one.
 RULES = {
@@ -87,13 +108,15 @@ RULES = {
     "MIT": [("title-MIT", "permit-all", "permit-notice", "permit-asis"), ("permit-all", "permit-notice", "permit-asis"), ("name-MIT",), ("title-MIT",)],
     "BSD-3-Clause": [("bsd-head", "bsd-source", "bsd-binary", "bsd-endorse"), ("name-BSD-3-Clause",)],
     "BSD-2-Clause": [("bsd-head", "bsd-source", "bsd-binary"), ("name-BSD-2-Clause",)],
-    "ISC": [("isc-permit",)],
+    "ISC": [("isc-permit",), ("name-ISC",)],
     "MPL-2.0": [("mpl2-subject", "mpl2-copy"), ("mpl2-subject",), ("name-MPL-2.0",)],
     "EPL-2.0": [("epl2-terms",), ("name-EPL-2.0",)],
     "Unlicense": [("unlicense-free", "unlicense-anyone"), ("unlicense-free",), ("name-Unlicense",)],
     "Zlib": [("zlib-asis", "zlib-permit"), ("name-Zlib",)],
     "BSL-1.0": [("bsl1-permit",), ("name-BSL-1.0",)],
     "PSF-2.0": [("psf-grant",), ("name-PSF-2.0",)],
+    "Python-2.0": [("name-Python-2.0",)],
+    "0BSD": [("name-0BSD",)],
 }
 for _family, (_title, _versions) in FAMILIES.items():
     for _v in _versions:
@@ -101,6 +124,8 @@ for _family, (_title, _versions) in FAMILIES.items():
             _name = f"{_family}-{version_of(_v)}-{_end}"
             RULES[_name] = [(f"free-{_name}", "gpl-hope"), (f"free-{_name}",), (f"name-{_name}",)]
 RULES |= {n: [(f"name-{n}",)] for n in ("CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC-BY-4.0", "CC0-1.0")} | {"unnamed-bsd": [("bsd-head",)]}
+for _name in sorted({n.removeprefix("title-") for n in TITLES.values()} - {"MIT"}):
+    RULES[_name].append((f"title-{_name}",))
 #: What differs between notices of one kind, and how it is written in normal form.
 ONE_FORM = (
     (re.compile(r"^[1-9] (?=redistributions|neither)"), ""),
@@ -108,7 +133,7 @@ ONE_FORM = (
     (re.compile(r"^(released|distributed|available|provided)(?= under)"), "licensed"),
     (re.compile(r"\b(?:the )?terms of (?:the )?(?=gnu|mit|bsd|apache)|(?<=under )(?:the |a )(?!license)|(?<=to )the (?=public domain)"), ""),
     (re.compile(r"^the (?=mit license)"), ""),
-    (re.compile(r"(?<=^neither the name of ).{1,200}(?= nor the names of its contributors)"), "holder"),
+    (re.compile(r"(?<=^neither the name of ).+(?= nor the names of its contributors)"), "holder"),
     (re.compile(r"(?<=modify it )under (?=gnu)"), "under terms of "),
 )
 
@@ -120,9 +145,12 @@ def one_form(sentence: str) -> str:
 
 
 TABLE = {one_form(text): name for text, name in TABLE.items()}
-#: Words that known sentences begin with, and the most words that one has (a holder's name has up to 40).
+#: Words that known sentences begin with, and the most words that one has beside a holder's name.
 FIRST = frozenset(t.split()[0] for t in TABLE) | frozenset("this you it released distributed available provided dedicated the spdx 1 2 3 4".split())
-MOST = max(len(t.split()) for t in TABLE) + 44
+MOST = max(len(t.split()) for t in TABLE) + 14
+#: How an SPDX line begins, and what stands before and after a holder's name in its sentence.
+SPDX_START = "spdx license identifier".split()
+BEFORE, AFTER = "neither the name of".split(), "nor the names of its contributors".split()
 #: Every known sentence has one of these words; fragments without one are unknown without being looked up.
 CUES = re.compile(r"licen|permi|warrant|redistribut|copyright|public domain|\bcc0\b|merchantab|compliance with|\bmpl\b|anyone is free")
 END = re.compile(r"[.!?;](?=\s|$)|:$")
@@ -164,11 +192,26 @@ def identify(sentence: str) -> str | None:
     if not CUES.search(sentence):
         return None
     if sentence.startswith("spdx license identifier "):
-        names = spdx_names(sentence.split()[3:]) if len(sentence) < 300 else []
+        names = spdx_names(sentence.split()[3:])
         return f"spdx={'+'.join(names)}" if names else None
     return TABLE.get(one_form(sentence))
 
 
+def without_holder(words: list[str]) -> list[str]:
+    """The beginning of a sentence, with a holder's name of any length cut to one word.
+
+    Until what follows the name has come in full, the last words are kept as they may be its beginning.
+    """
+    at = next((i for i in (0, 1) if words[i : i + len(BEFORE)] == BEFORE), None)
+    if at is None:
+        return words
+    at += len(BEFORE)
+    end = next((i for i in range(at + 1, len(words)) if words[i] == AFTER[0] and words[i : i + len(AFTER)] == AFTER), None)
+    if end is None:
+        end = max(at + 1, len(words) - len(AFTER) + 1)
+    return words[:at] + ["holder"] + words[end:] if end > at + 1 else words
+
+
 def fragments(text: str):
     """(start, end) of what lies between ends of sentences and of lines, and whether a sentence ends there."""
     start = 0
@@ -186,6 +229,8 @@ def known_parts(run: list[tuple[int, int]], text: str) -> list[tuple[int, int, s
     """(start, end, identifier) of the known sentences in a run of fragments, each one or more whole fragments.
 
     From the left, the longest known sentence that begins with a fragment is taken; an SPDX line ends with its fragment.
+    Nothing is looked for beyond the longest known sentence, but an SPDX line and a holder's name may have any length; a
+    name ends at the next "neither the name of", which keeps the work in proportion to the run.
     """
     if not CUES.search(normal(text[run[0][0] : run[-1][1]])):
         return []
@@ -196,13 +241,17 @@ def known_parts(run: list[tuple[int, int]], text: str) -> list[tuple[int, int, s
         if words[i] and words[i][0] in FIRST:
             so_far = []
             for j in range(i, len(run)):
-                so_far += words[j]
-                if len(so_far) > MOST:
+                if j > i and any(words[j][k : k + len(BEFORE)] == BEFORE for k in (0, 1)):
+                    break
+                so_far = without_holder(so_far + words[j])
+                if len(so_far) > MOST and so_far[: len(SPDX_START)] != SPDX_START:
                     break
                 if words[j] and (name := identify(" ".join(so_far))):
                     last = j, name
                     if name.startswith("spdx="):
                         break
+                if len(so_far) > MOST:  # an SPDX line without a name
+                    break
         if last:
             found.append((run[i][0], run[last[0]][1], last[1]))
             i = last[0]
