@@ -109,6 +109,26 @@ def test_paragraph_links_against_all_pairs(spark):
     assert got <= want and len(got) >= 0.95 * len(want) > 20
 
 
+def test_own_secret_rules_against_plain_search():
+    """Rules with what trigrams can't tell find what a plain search finds, and every row keeps its place."""
+    own = {
+        "kelvin": (r"(?i)token\d+", 0, ("match", 0)),
+        "around": (r"(?<=key=)[a-z]{4}(?!x)", re.A, ("match", 0)),
+        "accent": (r"clé-[0-9]+|pass-[0-9]+", re.A, ("match", 7)),
+        "twice": (r"(ab)?(\w+)=\2", re.A, ("value", 2)),
+        "wide": (r"漢字鍵[0-9]{2}", 0, ("match", 0)),
+        "dotted": (r"abİ[0-9]", re.I, ("match", 0)),
+    }
+    draw = random.Random(4)
+    parts = ["to\u212aen12", "TOKEN7", "token", "key=abcd", "key=abcdx", "clé-1234", "pass-12", "pass-1", "qq=qq", "abz=z", "漢字鍵42", "abİ3", "ABi̇3", " ", "\n"]
+    texts = ["", None] + ["".join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(400)]
+    place = list(own)
+    for text, spans in zip(texts, secrets.scan(texts, own), strict=True):
+        want = [(*m.span(), k) for k, (p, f, (what, least)) in own.items() for m in re.finditer(p, text or "", f) if len(m[2] if what == "value" else m[0]) >= least]
+        assert spans == sorted(want, key=lambda s: (s[0], place.index(s[2])))
+    assert secrets.trigram_query("(?i)mask") == secrets.ALL and secrets.trigram_query("mark", re.A) != secrets.ALL
+
+
 def test_added_secret_rules_against_plain_search():
     for kind, (pattern, flags, _) in list(secrets.RULES.items())[3:]:
         made = {"pem": "-----BEGIN RSA PRIVATE KEY-----", "github": "ghp_" + "a1B2" * 10, "slack": "xoxb-" + "1a-" * 6, "google": "AIza" + "x" * 35, "stripe": "sk_live_" + "9z" * 12, "jwt": "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12}[kind]

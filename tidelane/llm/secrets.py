@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 
 from tidelane.llm.common import pieces, rows_to_arrow, small_batches
 
-#: kind -> (pattern, flags, shortest match or shortest group 2). The first three, in this order, are the base kinds.
+#: kind -> (pattern, flags, ("match", fewest characters of the match) or ("value", fewest of group 2)), the rules that are
+#: looked for unless others are given. The first three, in this order, are the base kinds.
 RULES = {
     "assign": (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, ("value", 6)),
     "access": (r"AKIA[A-Z0-9]+", re.A, ("match", 20)),
@@ -38,22 +39,26 @@ def both(parts: list) -> tuple:
     return ALL if not parts else parts[0] if len(parts) == 1 else ("and", *parts)
 
 
-def trigrams(text: str) -> tuple:
-    return both([("tri", text[i : i + 3]) for i in range(len(text) - 2)])
+def trigrams(text: str, unsure: str = "") -> tuple:
+    """The trigrams of ASCII characters without any of `unsure`; the others demand nothing, as the index has bytes."""
+    three = [text[i : i + 3] for i in range(len(text) - 2)]
+    return both([("tri", t) for t in three if t.isascii() and not set(t) & set(unsure)])
 
 
 def trigram_query(pattern: str, flags: int = 0, most: int = 16) -> tuple:
     """What every match of `pattern` contains, in lower case: ("tri", abc), ("and", ...), ("or", ...) or ALL.
 
     Runs of literals, small classes and alternatives are multiplied out to at most `most` exact strings; where that
-    ends, the strings so far give their trigrams and a new run begins. Parts that may be absent demand nothing.
+    ends, the strings so far give their trigrams and a new run begins. Parts that may be absent demand nothing, nor do
+    i, k and s where letters of other alphabets match them in either case.
     """
+    unsure = "" if flags & re.A or "(?a" in pattern else "iks"
 
     def walk(items) -> tuple:
         done, exact = [], {""}
 
         def close():
-            done.append(either([trigrams(x) for x in exact]))
+            done.append(either([trigrams(x, unsure) for x in exact]))
 
         for op, arg in items:
             options = alternatives(op, arg)
@@ -71,12 +76,15 @@ def trigram_query(pattern: str, flags: int = 0, most: int = 16) -> tuple:
         close()
         return both(done)
 
+    def lower(c: int) -> str:
+        return chr(c).lower() if c < 128 else chr(c)
+
     def alternatives(op, arg) -> set[str] | None:
         """The strings that this part stands for, if they are few."""
         if op is sre.LITERAL:
-            return {chr(arg).lower()}
+            return {lower(arg)}
         if op is sre.IN and all(k is sre.LITERAL for k, _ in arg) and len(arg) <= 8:
-            return {chr(c).lower() for _, c in arg}
+            return {lower(c) for _, c in arg}
         if op is sre.SUBPATTERN:
             return product(arg[3])
         if op is sre.BRANCH:
@@ -103,34 +111,48 @@ def mandatory(query: tuple) -> set[str]:
     return {query[1]} if query[0] == "tri" else set().union(*(mandatory(q) for q in query[1:])) if query != ALL else set()
 
 
-QUERIES = {kind: trigram_query(pattern, flags) for kind, (pattern, flags, _) in RULES.items()}
-COMPILED = {kind: re.compile(pattern, flags) for kind, (pattern, flags, _) in RULES.items()}
-#: A run of at least so many characters is what is left of the rule after its length test, and is faster to look for.
-COMPILED["hex"] = re.compile(r"[0-9a-f]{24,}", re.A)
+#: The rule for hex with its length test in the pattern: a run of at least so many characters is faster to look for.
+LONG_HEX = re.compile(r"[0-9a-f]{24,}", re.A)
 
 
 def code(tri: str) -> int:
-    a, b, c = tri.encode("latin-1")
+    a, b, c = tri.encode("ascii")
     return a << 16 | b << 8 | c
 
 
-WANTED = sorted({code(t) for q in QUERIES.values() for t in mandatory(q)})
+class Rules:
+    """Rules ready to be looked for: compiled, with their trigram queries and the codes of the trigrams those name."""
+
+    def __init__(self, rules: dict):
+        self.kinds = {kind: i for i, kind in enumerate(rules)}
+        self.least = {kind: least for kind, (_, _, least) in rules.items()}
+        self.queries = {kind: trigram_query(pattern, flags) for kind, (pattern, flags, _) in rules.items()}
+        self.compiled = {kind: LONG_HEX if rule == RULES["hex"] else re.compile(rule[0], rule[1]) for kind, rule in rules.items()}
+        self.wanted = sorted({code(t) for q in self.queries.values() for t in mandatory(q)})
+        self.listed = np.zeros(1 << 24, dtype=np.uint8)
+        self.listed[self.wanted] = 1
+
+    def matches(self, kind: str, text: str) -> list[tuple[int, int]]:
+        what, least = self.least[kind]
+        return [m.span() for m in self.compiled[kind].finditer(text) if (len(m[2] or "") if what == "value" else m.end() - m.start()) >= least]
+
 
+@functools.lru_cache(maxsize=4)
+def _prepared(rules: tuple) -> Rules:
+    return Rules(dict(rules))
 
-@functools.cache
-def listed() -> np.ndarray:
-    """1 at the codes of the trigrams that some query names."""
-    place = np.zeros(1 << 24, dtype=np.uint8)
-    place[WANTED] = 1
-    return place
+
+def prepared(rules: dict | None) -> Rules:
+    """Made once a worker process for each set of rules."""
+    return _prepared(tuple((RULES if rules is None else rules).items()))
 
 
 class Index:
     """Postings of the trigrams that some query names, over one block of texts; letters count in lower case."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], rules: Rules):
         self.n = len(texts)
-        wanted, place = WANTED, listed()
+        wanted, place = rules.wanted, rules.listed
         data = [t.encode("utf-8", "replace").lower() for t in texts]
         ends = np.cumsum([len(d) + 3 for d in data])
         b = np.frombuffer(b"\0\0\0".join(data) + b"\0\0\0", dtype=np.uint8).astype(np.uint32)
@@ -154,27 +176,21 @@ class Index:
         return out
 
 
-def matches(kind: str, text: str) -> list[tuple[int, int]]:
-    what, least = RULES[kind][2]
-    return [m.span() for m in COMPILED[kind].finditer(text) if (len(m[2]) if what == "value" else m.end() - m.start()) >= least]
-
-
-def scan(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
+def scan(texts: list[str | None], rules: dict | None = None) -> list[list[tuple[int, int, str]]]:
     """(start, end, kind) of each text's secrets, by start and then kind as listed; a null text has none."""
-    texts = [t or "" for t in texts]
+    texts, look = [t or "" for t in texts], prepared(rules)
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     if texts:
-        index = Index(texts)
-        for kind, query in QUERIES.items():
+        index = Index(texts, look)
+        for kind, query in look.queries.items():
             for i in index.rows(query):
-                found[i] += [(a, b, kind) for a, b in matches(kind, texts[i])]
-    place = list(RULES).index
-    return [sorted(f, key=lambda s: (s[0], place(s[2]))) for f in found]
+                found[i] += [(a, b, kind) for a, b in look.matches(kind, texts[i])]
+    return [sorted(f, key=lambda s: (s[0], look.kinds[s[2]])) for f in found]
 
 
-def digest(texts: list[str | None]) -> dict:
+def digest(texts: list[str | None], rules: dict | None = None) -> dict:
     out: dict = {f"n_{k}": [] for k in BASE} | {"base_sha256": [], "spans": []}
-    for spans in scan(texts):
+    for spans in scan(texts, rules):
         for k in BASE:
             out[f"n_{k}"].append(sum(s[2] == k for s in spans))
         text = lambda kept: ",".join(f"{k}:{a}:{b}" for a, b, k in kept)
@@ -183,14 +199,18 @@ def digest(texts: list[str | None]) -> dict:
     return out
 
 
-def secret_scan(docs: DataFrame) -> DataFrame:
+def secret_scan(docs: DataFrame, rules: dict | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row of `docs`.
 
+    `rules` has the form of RULES and takes its place; base kinds that it lacks are counted as 0. A rule may use any
+    pattern of `re`; what its trigram query cannot tell (look-around, back references, letters beyond ASCII) makes it
+    read more texts, never fewer.
+
     Each block of rows gets an index of its own, so postings never leave the task. Rules whose query is ALL read every
     text of the block; the others read the rows that their postings leave. Null and empty texts have no spans; repeated
     rows and null ids give a row each. Columns of `docs` other than doc_id and text are ignored.
     """
-    return rows_to_arrow(docs, digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows_to_arrow(docs, functools.partial(digest, rules=rules), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def mask(text: str, spans: list[tuple[int, int, str]], by: str = "[secret]") -> str:
@@ -207,8 +227,8 @@ def mask(text: str, spans: list[tuple[int, int, str]], by: str = "[secret]") ->
     return "".join([*out, text[at:]])
 
 
-def mask_secrets(docs: DataFrame) -> DataFrame:
-    """`docs` with the secrets in `text` masked; n_chars follows the text where there is such a column and a secret.
+def mask_secrets(docs: DataFrame, rules: dict | None = None) -> DataFrame:
+    """`docs` with the secrets in `text` masked (those of `rules`, as in `secret_scan`); n_chars follows the text where there is such a column and a secret.
 
     Null and empty texts and all other columns stay as they are; repeated rows are masked alike; an empty table stays empty.
     """
@@ -219,7 +239,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in pieces(batch):
                 texts = part.column("text").to_pylist()
-                new = [mask(t, s) if s else t for t, s in zip(texts, scan(texts), strict=True)]
+                new = [mask(t, s) if s else t for t, s in zip(texts, scan(texts, rules), strict=True)]
                 cols = {f.name: part.column(f.name) for f in part.schema}
                 if "n_chars" in cols:
                     kind = part.schema.field("n_chars").type
