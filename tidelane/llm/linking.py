@@ -175,6 +175,48 @@ def exploded(sets: DataFrame, least: tuple[int, int] | None = None) -> DataFrame
     return sets.mapInArrow(run, "id long, element long")
 
 
+def part_keys(elements: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of a set's parts, of which two sets with Jaccard >= num / den have one in common; in proportion to its size.
+
+    Sizes fall into bands so wide that linked sets are in one band or in two that follow each other. For its own band and
+    for the next, where a larger partner may be, a set is dealt by its elements' values to more parts than there can be
+    different elements; every difference spoils one part at most, so one stays equal. Empty parts say little: they have
+    keys only where so many are empty that the equal ones might all be.
+    """
+    low = 1
+    while (top := low * den // num + 1) <= len(elements):
+        low = top
+    out = []
+    for _ in range(2):
+        apart = 2 * (top - 1) * (den - num) // (den + num)
+        parts = apart + 1 + apart // 6
+        part = (elements % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        there, first = np.unique(part[order], return_index=True)
+        keys = np.zeros(parts, dtype=np.uint64)
+        keys[there] = np.add.reduceat(mixed(elements)[order], first)
+        keys = mixed(keys + mixed(np.arange(parts, dtype=np.uint64) + np.uint64(top << 32)))
+        out.append(keys[there] if len(there) > apart else keys)
+        top = top * den // num + 1
+    return np.concatenate(out).view(np.int64)
+
+
+def parted(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, token): the keys of the parts of every set."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in pieces(batch, 1_000_000, "elements"):
+                packed = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in part.column("elements")]
+                keys = [part_keys(x, num, den) if len(x) else x.astype(np.int64) for x in packed]
+                ids = part.column("id").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in keys])), pa.array(np.concatenate([*keys, np.empty(0, np.int64)]))], ["id", "token"])
+
+    return sets.mapInArrow(run, "id long, token long")
+
+
 def able(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(id, met): how many elements of a set are in any other of the sets. Sets that meet too few to be linked are left out."""
     each = exploded(sets)
@@ -235,9 +277,11 @@ def linked(entries: DataFrame, sets_of, num: int, den: int, occurrences: int = 1
     compare are members of one list in different components; no link between components is lost.
 
     There each document looks for smaller ones (ids decide on ties), so only members whose tokens before this one leave
-    room for a link with a larger set stand in a list's blocks. Lists of over HOT members are divided first: of two
-    linked sets either a token of a shorter list is shared, which then suffices, or two tokens of such lists, which make
-    a list of their own (without an order: the token and one of the smallest elements, of which linked sets share one).
+    room for a link with a larger set stand in a list's blocks. Lists of over HOT members are divided first. Without an
+    order, the token and one of the smallest elements, of which linked sets share one, make a list of their own. With an
+    order, linked sets share either a token of a shorter list, which then suffices, or `occurrences` tokens of such lists;
+    sets with so many of them are put into lists by the keys of their parts instead (`part_keys`), whose number grows with
+    a set's size and not with the square of its tokens in such lists.
 
     thin: leave out members that have too few elements in common with all the others, for entries without an order, whose
     lists also join sets that are far from similar. bound: takes pairs (a, b) and leaves out some that can't be linked,
@@ -272,11 +316,12 @@ def linked(entries: DataFrame, sets_of, num: int, den: int, occurrences: int = 1
         cool = told.join(few(hot.select("token")), "token", "left_anti")
         if thin:
             again = exploded(sets.join(few(warm.select("id").distinct()), "id", "left_semi"), (num, den)).select("id", F.col("element").alias("other"), F.lit(0).alias("place"))
-            pairs_of = warm.join(again, "id")
+            divided = warm.join(again, "id").select(F.xxhash64("token", "other").alias("token"), "id", "n", F.col("place").alias("pos"), "component", "met")
         else:
-            again = warm.select("id", F.col("token").alias("other"), F.col("pos").alias("place"))
-            pairs_of = warm.join(again, "id").filter("place > pos")
-        divided = pairs_of.select(F.xxhash64("token", "other").alias("token"), "id", "n", F.col("place").alias("pos"), "component", "met", F.lit(occurrences).alias("weight"), F.lit(1).alias("least")).distinct()
+            several = durable(warm.groupBy("id").agg(F.count_distinct("token").alias("hot")).filter(F.col("hot") >= occurrences).select("id"))
+            again = parted(sets_of(few(several)), num, den)
+            divided = again.join(few(warm.select("id", "n", "component", "met").distinct(), MOST_IDS // 4), "id").select("token", "id", "n", F.lit(0).alias("pos"), "component", "met")
+        divided = divided.select("*", F.lit(occurrences).alias("weight"), F.lit(1).alias("least")).distinct()
         # A document with tokens of such lists may share one of them with what it meets only once elsewhere.
         cool = cool.join(few(warm.select("id", F.lit(True).alias("some")).distinct()), "id", "left").withColumn("least", F.when(F.col("some"), 1).otherwise(F.col("least"))).drop("some")
         divided = durable(of_several(divided))
