@@ -79,26 +79,6 @@ def test_hot_lists_lose_no_link(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs).collect()} == dict(enumerate(group))
 
 
-def test_parts_of_linked_sets_meet():
-    """Any two sets that are similar enough have the key of a part in common, at the edge of the threshold as well."""
-    draw = np.random.default_rng(12)
-    far = 0
-    for num, den in ((80, 100), (90, 100), (1, 2)):
-        for n in [*range(1, 40), *draw.integers(40, 900, 60).tolist()]:
-            whole = draw.integers(0, 1 << 63, 2 * n + 2, dtype=np.uint64)
-            most = n * (den - num) // den  # elements that the smaller set lacks
-            lacks = int(draw.integers(0, most + 1)) if n % 2 else most
-            for mine, other in ((whole[:n], whole[lacks:n]), (whole[: n - most // 2], whole[most // 2 : n])):
-                a, b = (linking.part_keys(np.unique(x), num, den) for x in (mine, other))
-                both = len(np.intersect1d(mine, other))
-                if den * both >= num * (len(mine) + len(other) - both):
-                    assert len(np.intersect1d(a, b)), (num, den, n, lacks)
-                assert len(a) <= 6 * n + 8
-            if n >= 40 and num > 1:
-                far += len(np.intersect1d(linking.part_keys(np.unique(whole[:n]), num, den), linking.part_keys(np.unique(whole[n : 2 * n]), num, den)))
-    assert far == 0
-
-
 def held_out_accuracy(frame, labels, label):
     rows = frame.filter("held_out").join(labels, "doc_id").select("predicted", label).filter(f"{label} is not null").collect()
     return sum(r.predicted == r[label] for r in rows) / len(rows)
