@@ -1,9 +1,12 @@
+import base64
+import hashlib
+import ipaddress
 import struct
 
 from pyspark.sql import functions as F
 
 from tidelane.functions import scalars
-from tidelane.operators import folds, rates
+from tidelane.operators import folds, keys, rates
 from tidelane.sources.pcap import Pcap, captures
 from tidelane.streaming import windows
 
@@ -14,6 +17,21 @@ def test_community_id_vectors(spark):
     assert got == ["1:LQU9qZlK+B5F3KDmev6m5PMibrg=", "1:d/FP5EW3wiY1vCndhwleRRKHowQ="]
 
 
+def test_addresses_of_both_kinds(spark):
+    """Every form that Python's own parser takes, in order and as octets; other text is no address."""
+    texts = ["::", "::1", "1::", "2001:DB8::a:0:1", "fe80:0:0:0:1:2:3:4", "::ffff:10.2.3.4", "64:ff9b::192.0.2.33", "1:2:3:4:5:6:7:8", "10.0.0.9", "255.1.0.254"]
+    frame = spark.createDataFrame([(t,) for t in [*texts, "", "host", "1:2:3", "12345::1"]], "t string")
+    got = {r.t: r.h for r in frame.select("t", scalars.address_hex(F.col("t")).alias("h")).collect()}
+    assert got == {t: ipaddress.ip_address(t).packed.hex().upper() for t in texts} | dict.fromkeys(["", "host", "1:2:3", "12345::1"])
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    out = pairs.select("a", "b", keys.canonical(F.lit("udp"), F.col("a"), F.lit(1), F.col("b"), F.lit(2)).alias("k"), scalars.community_id(F.lit(17), F.col("a"), F.lit(1), F.col("b"), F.lit(2)).alias("x"), scalars.community_id(F.lit(17), F.col("b"), F.lit(2), F.col("a"), F.lit(1)).alias("y"))
+    for r in out.collect():
+        ends = sorted([(ipaddress.ip_address(r.a).version, ipaddress.ip_address(r.a).packed, 1, r.a), (ipaddress.ip_address(r.b).version, ipaddress.ip_address(r.b).packed, 2, r.b)])
+        assert [(r.k.a_port, r.k.a_ip), (r.k.b_port, r.k.b_ip)] == [e[2:] for e in ends]
+        data = b"\0\0" + ends[0][1] + ends[1][1] + b"\x11\0" + struct.pack(">HH", ends[0][2], ends[1][2])
+        assert r.x == r.y == "1:" + base64.b64encode(hashlib.sha1(data).digest()).decode()
+
+
 def test_ewma_variance_vector(spark):
     two = spark.createDataFrame([("k", 0, 0, 1.0), ("k", 1, 1, 2.0)], "k string, us long, seq long, x double")
     row = folds.ewma_variance(two, "k", "x", 0.1).head()

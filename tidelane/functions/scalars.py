@@ -22,12 +22,36 @@ def ipv4_hex(address: Column) -> Column:
     return F.concat(*[F.lpad(F.hex(parts[i].cast("int")), 2, "0") for i in range(4)])
 
 
+def address_hex(address: Column) -> Column:
+    """8 or 32 hexadecimal digits of an IPv4 or IPv6 address in any usual form, a dotted end included; null for other text."""
+    tail = F.regexp_extract(address, r"([0-9]+(?:\.[0-9]+){3})$", 1)
+    whole = F.when(address.contains("."), let(ipv4_hex(tail), lambda h: F.concat(F.regexp_replace(address, r"[0-9.]+$", ""), F.substring(h, 1, 4), F.lit(":"), F.substring(h, 5, 4)))).otherwise(address)
+    groups = lambda x: F.array_join(F.transform(F.filter(F.split(x, ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0")), "")
+
+    def filled(halves: Column) -> Column:
+        left, right = groups(halves[0]), F.coalesce(groups(F.get(halves, F.lit(1))), F.lit(""))
+        zeros = F.when(F.size(halves) > 1, F.repeat(F.lit("0"), F.lit(32) - F.length(left) - F.length(right))).otherwise("")
+        return F.upper(F.concat(left, zeros, right))
+
+    six = let(F.split(whole, "::", 2), filled)
+    four = address.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+    return F.when(four, ipv4_hex(address)).when(address.contains(":") & ~address.rlike("[0-9A-Fa-f]{5}"), let(six, lambda h: F.when(h.rlike("^[0-9A-F]{32}$"), h)))
+
+
 def community_id(proto: Column, src: Column, sport: Column, dst: Column, dport: Column, seed: int = 0) -> Column:
-    """Community ID, version 1, of IPv4 endpoints: Base64 of SHA-1 over the seed and the ordered endpoints."""
-    a, b = F.concat(ipv4_hex(src), F.lpad(F.hex(sport), 4, "0")), F.concat(ipv4_hex(dst), F.lpad(F.hex(dport), 4, "0"))
-    low, high = F.least(a, b), F.greatest(a, b)
-    data = F.concat(F.lit(f"{seed:04X}"), F.substring(low, 1, 8), F.substring(high, 1, 8), F.lpad(F.hex(proto), 2, "0"), F.lit("00"), F.substring(low, 9, 4), F.substring(high, 9, 4))
-    return F.concat(F.lit("1:"), F.base64(F.unhex(F.sha1(F.unhex(data)))))
+    """Community ID, version 1: Base64 of SHA-1 over the seed and the ordered endpoints, both of IPv4 or both of IPv6.
+
+    The smaller (address, port) comes first, by octets; IPv4 before IPv6. Null where an address is none. Types and codes
+    of ICMP are taken as ports like any others.
+    """
+    end = lambda ip, port: F.struct(F.length(ip).alias("size"), ip.alias("ip"), F.lpad(F.hex(port), 4, "0").alias("port"))
+
+    def digest(ends: Column) -> Column:
+        low, high = ends[0], ends[1]
+        data = F.concat(F.lit(f"{seed:04X}"), low["ip"], high["ip"], F.lpad(F.hex(proto), 2, "0"), F.lit("00"), low["port"], high["port"])
+        return F.concat(F.lit("1:"), F.base64(F.unhex(F.sha1(F.unhex(data)))))
+
+    return let(F.array_sort(F.array(end(address_hex(src), sport), end(address_hex(dst), dport))), digest)
 
 
 def characters(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.functions.scalars import let, once
+from tidelane.functions.scalars import address_hex, let, once
 from tidelane.functions.wire import hexed
 
 
@@ -51,11 +51,10 @@ def with_flow_label(keyed: DataFrame) -> DataFrame:
 
 
 def canonical(proto: Column, a_ip: Column, a_port: Column, b_ip: Column, b_port: Column) -> Column:
-    """A key of dotted addresses with its smaller endpoint first."""
-    order = lambda ip: F.transform(F.split(ip, r"\."), lambda x: x.cast("int"))
-    swap = F.struct(order(a_ip), a_port) > F.struct(order(b_ip), b_port)
-    pick = lambda x, y: F.when(swap, y).otherwise(x)
-    return F.struct(proto.alias("proto"), pick(a_ip, b_ip).alias("a_ip"), pick(a_port, b_port).alias("a_port"), pick(b_ip, a_ip).alias("b_ip"), pick(b_port, a_port).alias("b_port"))
+    """A key of addresses as text with its smaller endpoint first: by octets, IPv4 before IPv6, then by port."""
+    order = lambda ip, port: let(address_hex(ip), lambda h: F.struct(F.length(h).alias("size"), h.alias("ip"), port.alias("port")))
+    pick = lambda swap, x, y: F.when(swap, y).otherwise(x)
+    return let(order(a_ip, a_port) > order(b_ip, b_port), lambda s: F.struct(proto.alias("proto"), pick(s, a_ip, b_ip).alias("a_ip"), pick(s, a_port, b_port).alias("a_port"), pick(s, b_ip, a_ip).alias("b_ip"), pick(s, b_port, a_port).alias("b_port")))
 
 
 def directed(key: Column, forward: Column) -> Column:
@@ -85,10 +84,9 @@ def fnv1a(data: Column) -> Column:
 
 
 def stable_hash(key: Column) -> Column:
-    """FNV-1a over the protocol's name and both endpoints of a canonical IPv4 key, as 16 hexadecimal digits."""
-    address = lambda ip: F.concat(*[hexed(F.split(ip, r"\.")[i].cast("int"), 1) for i in range(4)])
-    data = F.unhex(F.concat(F.hex(key["proto"].cast("binary")), address(key["a_ip"]), hexed(key["a_port"], 2), address(key["b_ip"]), hexed(key["b_port"], 2)))
-    return fnv1a(data)
+    """FNV-1a over the protocol's name and both endpoints of a canonical key, IPv4 or IPv6, as 16 hexadecimal digits."""
+    data = F.unhex(F.concat(F.hex(key["proto"].cast("binary")), address_hex(key["a_ip"]), hexed(key["a_port"], 2), address_hex(key["b_ip"]), hexed(key["b_port"], 2)))
+    return let(data, fnv1a)
 
 
 def shard_index(hash_: Column, n: int) -> Column:

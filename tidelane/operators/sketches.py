@@ -11,7 +11,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane.functions.wire import hexed
 from tidelane.operators.folds import ordered_fold
+from tidelane.operators.keys import fnv1a
 
 
 def places(value: Column, depth: int, width: int) -> Column:
@@ -242,3 +244,24 @@ def flow_fingerprint(tracked: DataFrame, key: str, first: int = 32) -> DataFrame
     lens, gaps = F.transform("e", lambda x: x["len"]), F.transform("e", lambda x: x["gap"])
     text = F.concat_ws("|", F.array_join(F.transform(lens, lambda x: x.cast("string")), ","), F.array_join(F.transform(gaps, lambda x: x.cast("string")), ","))
     return out.select(key, "flow_no", lens.alias("lengths"), gaps.alias("gaps"), "packets", "bytes", text.alias("shape"))
+
+
+def flow_features(tracked: DataFrame, key: str, first: int = 32) -> DataFrame:
+    """key, flow_no, hash and eight features of a flow's fingerprint.
+
+    hash: FNV-1a over the lengths (2 bytes each, 65,535 at most), then the gaps (4 bytes each, at most 2^32 - 1 us, the
+    first one 0) of the first `first` packets. Features: samples, mean_len and mean_gap of these packets; bytes and
+    packets of either side and the skew of bytes to the initiator (-1 to 1, 0 without bytes) of all packets.
+    """
+    w = Window.partitionBy(key, "flow_no").orderBy("us", "seq")
+    gap = F.least(F.coalesce(F.col("us") - F.lag("us").over(w), F.lit(0)), F.lit((1 << 32) - 1))
+    each = tracked.withColumn("__n", F.row_number().over(w)).withColumn("__gap", gap)
+    early = F.when(F.col("__n") <= first, F.struct(F.col("__n").alias("n"), F.least("bytes", F.lit(65535)).alias("len"), F.col("__gap").alias("gap")))
+    of = lambda side, c: F.sum(F.when(F.col("side") == side, c).otherwise(0))
+    sides = [of(s, c).alias(f"{n}_{s}") for s in ("initiator", "responder") for n, c in (("bytes", F.col("bytes")), ("packets", F.lit(1)))]
+    out = each.groupBy(key, "flow_no").agg(F.array_sort(F.collect_list(early)).alias("e"), *sides)
+    joined = lambda c, size: F.array_join(F.transform("e", lambda x: hexed(x[c], size)), "")
+    mean = lambda c: F.aggregate("e", F.lit(0).cast("long"), lambda s, x: s + x[c]) / F.size("e")
+    total = F.col("bytes_initiator") + F.col("bytes_responder")
+    skew = F.when(total > 0, (F.col("bytes_initiator") - F.col("bytes_responder")) / total).otherwise(0.0)
+    return out.select(key, "flow_no", fnv1a(F.unhex(F.concat(joined("len", 2), joined("gap", 4)))).alias("hash"), F.size("e").alias("samples"), mean("len").alias("mean_len"), mean("gap").alias("mean_gap"), "bytes_initiator", "bytes_responder", "packets_initiator", "packets_responder", skew.alias("skew"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.functions import wire
+from tidelane.functions import scalars, wire
 from tidelane.functions.wire import frame_of, hexed
 from tidelane.operators import keys
 from tidelane.plans.registry import query
@@ -198,6 +198,30 @@ def stable_hashes(spark, sf_dir):
     return out.withColumn("shard", keys.shard_index(F.col("hash"), 16))
 
 
+#: Endpoints of IPv6 in SQL: in hexadecimal, with the port behind the address.
+SIX = "s AS (SELECT event_id, '20010DB8' || repeat('0', 20) || printf('%04X', user_id % 65535 + 1) AS a, printf('%04X', 1024 + event_id % 60000) AS p, CASE WHEN event_id % 2 = 0 THEN '20010DB8' || repeat('0', 20) || '0064' ELSE repeat('0', 20) || 'FFFF0A000001' END AS b FROM events), o AS (SELECT *, a || p <= b || '0035' AS f FROM s)"
+
+
+def six_key() -> Column:
+    """The key of a user's IPv6 address and a server's, which is mapped IPv4 in odd events."""
+    user = F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.col("user_id") % 65535 + 1)))
+    server = F.when(F.col("event_id") % 2 == 0, "2001:DB8:0:0::64").otherwise("::ffff:10.0.0.1")
+    return keys.canonical(F.lit("udp"), server, F.lit(53).cast("long"), user, source_port())
+
+
+@query(f"WITH {SIX} SELECT event_id, CASE WHEN f THEN p ELSE '0035' END AS a_port, '1:' || to_base64(unhex(sha1(unhex('0000' || least(a, b) || greatest(a, b) || '1100' || CASE WHEN f THEN p || '0035' ELSE '0035' || p END)))) AS community_id FROM o")
+def community_ids_six(spark, sf_dir):
+    """Keys and Community IDs of IPv6, shortened and mapped addresses included."""
+    k = events(spark, sf_dir).select("event_id", six_key().alias("k"))
+    return k.select("event_id", hexed(F.col("k.a_port"), 2).alias("a_port"), scalars.community_id(F.lit(17), F.col("k.a_ip"), F.col("k.a_port"), F.col("k.b_ip"), F.col("k.b_port")).alias("community_id"))
+
+
+@query(f"""WITH {SIX}, t AS (SELECT event_id, '756470' || CASE WHEN f THEN a || p || b || '0035' ELSE b || '0035' || a || p END AS h FROM o), y AS (SELECT event_id, list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substring(h, i, 2) AS HUGEINT)) AS bytes FROM t)
+SELECT event_id, printf('%016X', list_reduce(list_prepend(14695981039346656037::HUGEINT, bytes), lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT) AS hash FROM y""")
+def stable_hashes_six(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", keys.stable_hash(six_key()).alias("hash"))
+
+
 #: Values of events as ports, in SQL and as columns.
 def ports(ev: DataFrame) -> DataFrame:
     known = F.array(*[F.lit(p) for p in (53, 80, 123, 443, 8080, 20000, 40001, 50001)])

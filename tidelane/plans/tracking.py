@@ -310,6 +310,15 @@ def flow_fingerprints(spark, sf_dir):
     return sketches.flow_fingerprint(catalog.tracked(spark, sf_dir), "src").select("src", "flow_no", "packets", "shape")
 
 
+@query(f"""WITH {TR}, n AS (SELECT *, row_number() OVER w AS k, least(coalesce(us - lag(us) OVER w, 0), 4294967295) AS gap FROM tr WINDOW w AS (PARTITION BY src, flow_no ORDER BY us, seq)),
+g AS (SELECT src, CAST(flow_no AS BIGINT) AS flow_no, list(least(bytes, 65535) ORDER BY k) FILTER (k <= 32) AS ls, list(gap ORDER BY k) FILTER (k <= 32) AS gs, CAST(coalesce(sum(bytes) FILTER (side = 'initiator'), 0) AS BIGINT) AS bi, CAST(sum(bytes) AS BIGINT) AS b, count(*) FILTER (side = 'initiator') AS pi FROM n GROUP BY ALL),
+y AS (SELECT *, list_transform(flatten(list_concat(list_transform(ls, lambda x: [x // 256, x % 256]), list_transform(gs, lambda x: [x // 16777216, x // 65536 % 256, x // 256 % 256, x % 256]))), lambda x: x::HUGEINT) AS bytes FROM g)
+SELECT src, flow_no, printf('%016X', list_reduce(list_prepend(14695981039346656037::HUGEINT, bytes), lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT) AS hash, len(ls) AS samples, round(list_avg(ls), 4) AS mean_len, round(list_avg(gs), 2) AS mean_gap, bi AS bytes_initiator, pi AS packets_initiator, round(CASE WHEN b > 0 THEN (2 * bi - b) / b ELSE 0 END, 6) AS skew FROM y""")
+def flow_fingerprint_hashes(spark, sf_dir):
+    out = sketches.flow_features(catalog.tracked(spark, sf_dir), "src")
+    return out.select("src", "flow_no", "hash", "samples", F.round("mean_len", 4).alias("mean_len"), F.round("mean_gap", 2).alias("mean_gap"), "bytes_initiator", "packets_initiator", *r6("skew"))
+
+
 @query(f"WITH {EV}, b AS (SELECT svc, us // {DAY} AS bucket, CASE WHEN value > 0 THEN ceil(ln(value) / ln(1.02 / 0.98)) END AS bin FROM ev), m AS (SELECT x.svc, x.bucket, b.bin, count(*) AS n FROM (SELECT DISTINCT svc, bucket FROM b) x JOIN b ON b.svc = x.svc AND b.bucket BETWEEN x.bucket - 2 AND x.bucket GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY svc, bucket ORDER BY bin NULLS FIRST) AS upto, round(0.5 * (sum(n) OVER (PARTITION BY svc, bucket) - 1)) AS rank FROM m) SELECT svc, bucket, round(CASE WHEN bin IS NULL THEN 0 ELSE 2 * pow(1.02 / 0.98, bin) / (1.02 / 0.98 + 1) END, 6) AS quantile FROM c WHERE upto > rank AND upto - n <= rank")
 def windowed_quantiles(spark, sf_dir):
     return rates.live_quantiles(packets(spark, sf_dir), "svc", "value", 0.5, 0.02, DAY, 3).select("svc", "bucket", *r6("quantile"))
