@@ -200,8 +200,9 @@ def name_claims(responses: DataFrame, default_ttl_s: int = 300, grace_s: int = 6
     answers = F.when(m["is_response"] & (F.size(m["questions"]) > 0), m["records"])  # null, and so no rows, for the others
     records = responses.select("us", "seq", "client", F.get(m["questions"], F.lit(0))["name"].alias("name"), alias.alias("alias_ttl"), F.explode(answers).alias("r"))
     claims = records.filter(F.col("r.type").isin("A", "AAAA") & (F.col("r.section") == 0)).select("us", "seq", "client", F.col("r.value").alias("ip"), "name", (F.col("us") + (F.coalesce(F.least(F.col("r.ttl"), F.coalesce("alias_ttl", F.col("r.ttl"))), F.lit(default_ttl_s)) + grace_s) * 1_000_000).alias("expires_us"))
-    until = F.lag("expires_us").over(Window.partitionBy("client", "ip", "name").orderBy("us", "seq"))
-    claims = claims.withColumn("new", F.coalesce(until < F.col("us"), F.lit(True)))
-    last = claims.groupBy("client", "ip", "name").agg(F.max("us").alias("last"))
-    rank = F.row_number().over(Window.partitionBy("client", "ip").orderBy(F.desc("last"), "name"))
-    return claims.join(last.withColumn("__r", rank).filter(F.col("__r") <= most).drop("__r", "last"), ["client", "ip", "name"])
+    of = Window.partitionBy("client", "ip", "name")
+    until = F.lag("expires_us").over(of.orderBy("us", "seq"))
+    rank = F.dense_rank().over(Window.partitionBy("client", "ip").orderBy(F.desc("__last"), "name"))
+    placed = claims.repartition("client", "ip")  # all windows keep to this one shuffle, and nothing is joined or broadcast
+    told = placed.withColumn("new", F.coalesce(until < F.col("us"), F.lit(True))).withColumn("__last", F.max("us").over(of)).withColumn("__r", rank)
+    return told.filter(F.col("__r") <= most).select("client", "ip", "name", "us", "seq", "expires_us", "new")
