@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from tidelane.operators import sketches
 from tidelane.parsers import names
+from tidelane.plans import catalog, tracking
 
 
 def plan_of(frame):
@@ -16,3 +18,17 @@ def test_newest_names_without_a_join(spark):
     got = names.name_claims(rows, most=3)
     assert sorted((r.client, r.name, r.us, r.new) for r in got.collect()) == [(7, "n03", 3, True), (7, "n03", 11, False), (7, "n10", 10, True), (7, "n11", 11, True), (8, "n00", 5, True)]
     assert "Join" not in plan_of(got) and "Broadcast" not in plan_of(got)
+
+
+def events_in(spark, path, rows):
+    """A folder with a table of events (event_id, user_id, event_type, value), one a second."""
+    table = rows.select(F.col("event_id").cast("long").alias("event_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id)").alias("ts"), F.col("user_id").cast("long").alias("user_id"), F.col("event_type").alias("event_type"), F.col("value").cast("double").alias("value"), F.lit("{}").alias("props"))
+    table.write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_filter_finds_none_of_many_removed(spark, tmp_path):
+    many = spark.range(30_000).select(F.col("id").alias("event_id"), F.col("id").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1).alias("value"))
+    (row,) = tracking.counting_filter(spark, events_in(spark, tmp_path, many)).collect()
+    assert (row.kept, row.kept_found, row.removed, row.removed_found) == (15_000, 15_000, 15_000, 0)
+    assert sketches.bloom_width(spark.range(0).select("id", "id"), "id") > 0

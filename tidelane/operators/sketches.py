@@ -55,6 +55,15 @@ def maybe_in(bits: DataFrame, asked: DataFrame, key: str, value: str, hashes: in
     return got.groupBy(key, value).agg(F.every(F.coalesce("set", F.lit(False))).alias("maybe"))
 
 
+def bloom_width(frame: DataFrame, key: str, hashes: int = 4, error: float = 1e-12) -> int:
+    """Cells for a filter of each key's rows (different values): another value's bits are all set with a chance of `error`.
+
+    It grows with the most values that a key has, which are counted first. Cells that aren't set take no room.
+    """
+    most = frame.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 1
+    return math.ceil(hashes * most / error ** (1 / hashes)) | 1  # odd, so that halves of the width are no steps
+
+
 def counting_bloom(frame: DataFrame, key: str, value: str, sign: Column, hashes: int = 4, width: int = 8192, most: int = 15) -> DataFrame:
     """key, cell, n: insertions (sign 1) less removals (sign -1) of each cell, between 0 and `most`."""
     each = frame.select(key, F.explode(places(F.col(value), hashes, width)).alias("p"), sign.alias("d"))

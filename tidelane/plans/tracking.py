@@ -263,8 +263,9 @@ def counting_filter(spark, sf_dir):
     """All users are put in once; those with even numbers are taken out again, and aren't found any more."""
     users = packets(spark, sf_dir).select("svc", "src").distinct()
     steps = users.withColumn("sign", F.lit(1)).unionByName(users.filter("src % 2 = 0").withColumn("sign", F.lit(-1)))
-    cells = sketches.counting_bloom(steps, "svc", "src", F.col("sign"), width=1 << 17, most=255)
-    got = sketches.maybe_in(cells.select("svc", "cell"), users, "svc", "src", width=1 << 17)
+    width = sketches.bloom_width(users, "svc")
+    cells = sketches.counting_bloom(steps, "svc", "src", F.col("sign"), width=width, most=255)
+    got = sketches.maybe_in(cells.select("svc", "cell"), users, "svc", "src", width=width)
     odd = F.col("src") % 2 == 1
     return got.groupBy("svc").agg(F.count_if(odd).alias("kept"), F.count_if(odd & F.col("maybe")).alias("kept_found"), F.count_if(~odd).alias("removed"), F.count_if(~odd & F.col("maybe")).alias("removed_found"))
 
