@@ -32,3 +32,10 @@ def test_filter_finds_none_of_many_removed(spark, tmp_path):
     (row,) = tracking.counting_filter(spark, events_in(spark, tmp_path, many)).collect()
     assert (row.kept, row.kept_found, row.removed, row.removed_found) == (15_000, 15_000, 15_000, 0)
     assert sketches.bloom_width(spark.range(0).select("id", "id"), "id") > 0
+
+
+def test_errors_explain_flows_of_one_user_only(spark, tmp_path):
+    users = F.element_at(F.array(*[F.lit(u) for u in (5, 65_541, 131_077, 16_777_221)]), (F.col("id") % 4 + 1).cast("int"))
+    path = events_in(spark, tmp_path, spark.range(40).select(F.col("id").alias("event_id"), users.alias("user_id"), F.when(F.col("id") >= 36, "error").otherwise("view").alias("event_type"), F.lit(1).alias("value")))
+    got = sorted((r.seq, r.us, r.flow_no) for r in tracking.icmp_explained_drops(spark, path).collect())
+    assert [s for s, _, _ in got] == [36, 37, 38, 39]

@@ -445,9 +445,9 @@ def feed_loader(spark, sf_dir):
 
 @query(f"""WITH {REC}, e AS (SELECT event_id AS seq, user_id AS src, epoch_us(ts) AS us FROM events WHERE event_type = 'error') SELECT e.seq, e.us, rc.flow_no FROM e JOIN rc ON rc.src = e.src AND e.us BETWEEN start_us AND end_us""")
 def icmp_explained_drops(spark, sf_dir):
-    """ICMP errors with the live flow whose packet they quote; the key is that of the quoted five-tuple."""
-    key = keys.canonical(F.lit("udp"), F.concat(F.lit("10.0."), F.floor(F.col("src") / 256) % 256, F.lit("."), F.col("src") % 256), F.lit(40000), F.lit("192.168.0.1"), F.lit(53))
-    quoted = F.concat(F.lit("03030000" + "00000000" + "4500001C" + "00000000" + "4011" + "0000" + "0A00"), hexed(F.floor(F.col("src") / 256) % 256, 1), hexed(F.col("src") % 256, 1), F.lit("C0A80001" + "9C40" + "0035" + "00080000"))
+    """ICMP errors with the live flow whose packet they quote; the key is that of the quoted five-tuple, with a user's number as address."""
+    key = keys.canonical(F.lit("udp"), F.concat_ws(".", *[(F.shiftright("src", s) % 256).cast("string") for s in (24, 16, 8, 0)]), F.lit(40000), F.lit("192.168.0.1"), F.lit(53))
+    quoted = F.concat(F.lit("03030000" + "00000000" + "4500001C" + "00000000" + "4011" + "0000"), hexed(F.col("src"), 4), F.lit("C0A80001" + "9C40" + "0035" + "00080000"))
     from tidelane.parsers.link import icmp
 
     errors = packets(spark, sf_dir).filter("svc = 'error'").select("seq", "us", icmp(frame_of(quoted))["inner"].alias("i"))
