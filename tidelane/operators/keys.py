@@ -70,22 +70,22 @@ def fnv1a(data: Column) -> Column:
     """
     low = (1 << 32) - 1
     start = F.struct(F.lit(0xCBF29CE4).cast("bigint").alias("hi"), F.lit(0x84222325).cast("bigint").alias("lo"))
-    digits = F.hex(data)
-    places = F.when(F.length(data) > 0, F.sequence(F.lit(0), F.greatest(F.length(data), F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+    # each byte is a character, and its code the number
+    bytes_ = F.filter(F.split(F.decode(F.coalesce(data, F.lit(b"")), "ISO-8859-1"), ""), lambda c: c != "")
 
-    def step(s: Column, i: Column) -> Column:
-        byte = F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("bigint")
-        x = s["lo"].bitwiseXOR(byte)
+    def step(s: Column, c: Column) -> Column:
+        x = s["lo"].bitwiseXOR(F.ascii(c).cast("bigint"))
         product = x * 0x1B3
         hi = (s["hi"] * 0x1B3 + F.shiftright(product, 32) + x.bitwiseAND(F.lit((1 << 24) - 1)) * 256).bitwiseAND(F.lit(low))
         return F.struct(hi.alias("hi"), product.bitwiseAND(F.lit(low)).alias("lo"))
 
-    return F.aggregate(places, start, step, lambda s: F.concat(F.lpad(F.hex(s["hi"]), 8, "0"), F.lpad(F.hex(s["lo"]), 8, "0")))
+    return F.aggregate(bytes_, start, step, lambda s: F.concat(F.lpad(F.hex(s["hi"]), 8, "0"), F.lpad(F.hex(s["lo"]), 8, "0")))
 
 
 def stable_hash(key: Column) -> Column:
     """FNV-1a over the protocol's name and both endpoints of a canonical key, IPv4 or IPv6, as 16 hexadecimal digits."""
-    data = F.unhex(F.concat(F.hex(key["proto"].cast("binary")), address_hex(key["a_ip"]), hexed(key["a_port"], 2), address_hex(key["b_ip"]), hexed(key["b_port"], 2)))
+    # the key is named once, or it would be made again for each of its fields
+    data = let(key, lambda k: F.unhex(F.concat(F.hex(k["proto"].cast("binary")), address_hex(k["a_ip"]), hexed(k["a_port"], 2), address_hex(k["b_ip"]), hexed(k["b_port"], 2))))
     return let(data, fnv1a)
 
 
