@@ -111,30 +111,35 @@ def with_ethernet(packet: Column) -> Column:
     return F.concat(F.unhex(F.concat(F.lit(BLANK_ETHERNET), type_)), packet)
 
 
-def gtp_head(payload: Column) -> Column:
+def gtp_head_of(data: bytes) -> int | None:
     """Bytes before the packet in a GTP-U message: with any of the flags 4 more, then extension headers until type 0.
 
     An extension header gives its own length in units of 4 bytes, and the next type in its last byte; null where one has no
     length or doesn't fit.
     """
-    size = F.length(payload)
-    start = F.struct(F.lit(12).alias("at"), F.when(bit(uint(payload, 0, 1), 4), uint(payload, 11, 1)).otherwise(0).cast("bigint").alias("next"))
-
-    def step(s: Column, _: Column) -> Column:
-        n = (uint(payload, s["at"], 1) * 4).cast("int")
-        fits = F.coalesce((n > 0) & (s["at"] + n <= size), F.lit(False))
-        return F.when(s["next"] == 0, s).when(fits, F.struct((s["at"] + n).alias("at"), uint(payload, s["at"] + n - 1, 1).alias("next"))).otherwise(F.struct(F.lit(None).cast("int").alias("at"), F.lit(0).cast("bigint").alias("next")))
-
-    # no more steps than headers of 4 bytes fit in
-    walked = F.aggregate(F.sequence(F.lit(0), F.greatest(F.floor(size / 4) - 3, F.lit(0)).cast("int")), start, step, lambda s: F.when(s["next"] == 0, s["at"]))
-    return F.when(uint(payload, 0, 1).bitwiseAND(F.lit(7)) == 0, 8).when(bit(uint(payload, 0, 1), 4), walked).otherwise(12)
+    flags = data[0] if data else 0
+    if not flags & 7:
+        return 8
+    if not flags & 4:
+        return 12
+    if len(data) < 12:
+        return None
+    at, kind = 12, data[11]
+    while kind:
+        n = 4 * data[at] if at < len(data) else 0
+        if not n or at + n > len(data):
+            return None
+        at += n
+        kind = data[at - 1]
+    return at
 
 
 def inner_frame(f: Column, ip: Column, src_port: Column, dst_port: Column, payload: Column) -> dict[str, Column]:
     """kind of tunnel -> (its number, frame inside), null where there is none; arguments are columns of `decode`."""
     vxlan = (dst_port == VXLAN_PORT) & (F.length(payload) > 8) & bit(uint(payload, 0, 1), 8)
     gtp = ((dst_port == GTPU_PORT) | (src_port == GTPU_PORT)) & (bits(uint(payload, 0, 1), 4, 4) == 3) & (uint(payload, 1, 1) == 255)
-    carried = with_ethernet(rest(payload, gtp_head(payload)))
+    # messages alone go through the walk, which is taken once for a row
+    carried = once(with_ethernet(once(rest(payload, wire.by_row("int", gtp_head_of, F.when(gtp, payload))))))
     g = uint(f, ip["at"], 2)
     more = lambda mask: F.when(bit(g, mask), 4).otherwise(0)
     gre_head = 4 + more(0x8000) + more(0x2000) + more(0x1000)
