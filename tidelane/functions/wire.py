@@ -6,7 +6,6 @@ Places count from 0 and may be columns themselves.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,8 +123,12 @@ def text_hex(value: Column | str) -> Column:
     return F.hex((F.lit(value) if isinstance(value, str) else value).cast("binary"))
 
 
+#: Rows of a batch that are Python objects at a time.
+AT_ONCE = 500
+
+
 def by_row(schema: str, read, data: Column) -> Column:
-    """`read(bytes)` of each value in Arrow batches, as `schema`; null for null."""
+    """`read(bytes)` of each value in Arrow batches, as `schema`; null for null. AT_ONCE values are Python objects at a time."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
@@ -133,7 +136,8 @@ def by_row(schema: str, read, data: Column) -> Column:
     kind = to_arrow_type(_parse_datatype_string(schema))
 
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else read(v) for v in values.to_pylist()], kind)
+        parts = [pa.array([None if v is None else read(v) for v in values.slice(i, AT_ONCE).to_pylist()], kind) for i in range(0, len(values), AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     run.__annotations__ = {"values": pa.Array, "return": pa.Array}  # by name they would be looked up among globals
     return F.arrow_udf(run, schema)(data)
@@ -167,13 +171,8 @@ def ber_elements(data: bytes | None, deepest: int = 64) -> list[dict]:
 
 
 def ber_tree(data: Column) -> Column:
-    """array<struct<path, value>> of `ber_elements`, in Arrow batches."""
-
-    @F.pandas_udf("array<struct<path:string,value:binary>>")
-    def tree(values: pd.Series) -> pd.Series:
-        return values.map(ber_elements)
-
-    return tree(data)
+    """array<struct<path, value>> of `ber_elements`, in Arrow batches; empty for null."""
+    return by_row("array<struct<path:string,value:binary>>", ber_elements, F.coalesce(data, F.lit(b"")))
 
 
 def at_path(tree: Column, *paths: str) -> Column:

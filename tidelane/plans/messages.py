@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.functions import scalars
+from tidelane.functions.scalars import once
 from tidelane.functions.wire import ber_tree, frame_of, hexed, text_hex
 from tidelane.parsers import enterprise, link, names, web
 from tidelane.plans.packets import SRC, events, low_address
@@ -399,9 +400,14 @@ def little(value: Column, size: int) -> Column:
 
 @query(r"SELECT event_id, 'tree_connect' AS command, CAST(event_id AS BIGINT) AS message_id, '\\srv' || user_id || '\' || CASE WHEN user_id % 2 = 0 THEN 'ADMIN$' ELSE 'data' END AS tree, user_id % 2 = 0 AS admin_share FROM events")
 def smb_messages(spark, sf_dir):
+    return fields(smb_payloads(spark, sf_dir), enterprise.smb(F.col("payload")), command="m.command", message_id="m.message_id", tree="m.tree", admin_share="m.admin_share")
+
+
+def smb_payloads(spark, sf_dir) -> DataFrame:
+    """Events as connections to shares."""
     path = F.concat(F.lit("\\\\srv"), F.col("user_id").cast("string"), F.lit("\\"), F.when(F.col("user_id") % 2 == 0, "ADMIN$").otherwise("data"))
-    p = made(spark, sf_dir, "00000000" + "FE534D42" + "4000" + "0000" + "00000000" + "0300" + "0000" + "00000000" + "00000000", little(F.col("event_id"), 8), "00" * 8 + "00" * 8 + "00" * 16, "0900" + "0000" + "4800", little(F.length(path) * 2, 2), utf16_hex(path))
-    return fields(p, enterprise.smb(F.col("payload")), command="m.command", message_id="m.message_id", tree="m.tree", admin_share="m.admin_share")
+    made_ = made(spark, sf_dir, "00000000" + "FE534D42" + "4000" + "0000" + "00000000" + "0300" + "0000" + "00000000" + "00000000", little(F.col("event_id"), 8), "00" * 8 + "00" * 8 + "00" * 16, "0900" + "0000" + "4800", little(F.length(path) * 2, 2), utf16_hex(path))
+    return made_.withColumn("payload", once(F.col("payload")))
 
 
 Part = tuple[Column, int]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelane import sinks
 from tidelane.functions import scalars
+from tidelane.functions.scalars import once
 from tidelane.functions.wire import frame_of, hexed
 from tidelane.operators import correlate, detect, enrich, flows, folds, keys, rates, reassembly, sketches, streams
 from tidelane.parsers import web
@@ -26,6 +27,11 @@ def tcp_packets(spark, sf_dir) -> DataFrame:
     return packets(spark, sf_dir).withColumn("l4", F.when(F.col("src") % 5 == 0, "udp").otherwise("tcp")).withColumn("forward", F.col("side") == "initiator")
 
 
+def only(frame: DataFrame, fits: Column, *columns: str) -> DataFrame:
+    """Columns of the rows that fit. Not a filter, as that is pushed below what decodes and decodes everything again for itself."""
+    return frame.select(F.inline(F.when(fits, F.array(F.struct(*columns)))))
+
+
 def lived(spark, sf_dir) -> DataFrame:
     return flows.with_lifecycle(tcp_packets(spark, sf_dir), "src", idle_s=IDLE)
 
@@ -582,22 +588,24 @@ def client_fingerprint_catalog(spark, sf_dir):
 def kerberoast_hunter(spark, sf_dir):
     from tidelane.plans.messages import kerberos_messages
 
-    return kerberos_messages(spark, sf_dir).filter("kerberoast").select("event_id", "service")
+    return only(kerberos_messages(spark, sf_dir), F.col("kerberoast"), "event_id", "service")
 
 
 @query("SELECT event_id, 'dc=' || rpad(event_type, 8, '_') AS base FROM events WHERE user_id % 2 = 0")
 def ldap_recon_hunter(spark, sf_dir):
     from tidelane.plans.messages import ldap_messages
 
-    return ldap_messages(spark, sf_dir).filter("spn_query and scope = 'subtree'").select("event_id", "base")
+    return only(ldap_messages(spark, sf_dir), F.col("spn_query") & (F.col("scope") == "subtree"), "event_id", "base")
 
 
 @query("SELECT user_id, count(*) AS n FROM events WHERE user_id % 2 = 0 GROUP BY 1")
 def smb_lateral_movement(spark, sf_dir):
     """Connections to shares for administrators, by user."""
-    from tidelane.plans.messages import events, smb_messages
+    from tidelane.parsers import enterprise
+    from tidelane.plans.messages import smb_payloads
 
-    return smb_messages(spark, sf_dir).filter("admin_share").join(events(spark, sf_dir).select("event_id", "user_id"), "event_id").groupBy("user_id").agg(F.count("*").alias("n"))
+    said = smb_payloads(spark, sf_dir).select("user_id", once(enterprise.smb(F.col("payload"))["admin_share"]).alias("admin_share"))
+    return only(said, F.col("admin_share"), "user_id").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 def exported(spark, sf_dir) -> DataFrame:
