@@ -1,10 +1,12 @@
 """Results and plans that have to hold for tables of any size."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidelane.operators import sketches
+from tidelane.operators import folds, keys, sketches
 from tidelane.parsers import names
-from tidelane.plans import catalog, tracking
+from tidelane.plans import catalog, connections, tracking
+from tidelane.sources import frames
 
 
 def plan_of(frame):
@@ -47,3 +49,41 @@ def test_flows_without_bytes_are_skewed_as_in_sql(spark, tmp_path):
     path = events_in(spark, tmp_path, spark.range(30).select(F.col("id").alias("event_id"), (F.col("id") % 3).alias("user_id"), F.when(F.col("id") % 2 == 0, "view").otherwise("error").alias("event_type"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") + 100).alias("value")))
     want = duckdb.sql(catalog.ORACLES["direction_skew_anomaly"].replace("FROM events", f"FROM '{path}/events.parquet/*.parquet'")).fetchall()
     assert sorted(tuple(r) for r in catalog.direction_skew_anomaly(spark, path).collect()) == sorted(want) == [(0, 0)]
+
+
+def test_hashes_of_batches(spark):
+    def fnv(data):
+        h = 0xCBF29CE484222325
+        for x in data:
+            h = (h ^ x) * 0x100000001B3 % (1 << 64)
+        return f"{h:016X}"
+
+    values = [b"", b"a", bytes(range(256)), None, b"foobar"]
+    got = [r.h for r in spark.createDataFrame([(v,) for v in values], "v binary").coalesce(1).select(keys.fnv1a(F.col("v")).alias("h")).collect()]
+    assert got == [fnv(v or b"") for v in values] and got[-1] == "85944171F73967E8"
+    address = F.concat(F.lit("10.0.0."), F.col("id").cast("string"))
+    hashed = keys.stable_hash(keys.canonical(F.lit("udp"), address, F.lit(53), F.lit("10.0.0.9"), F.lit(80)))
+    assert plan_of(spark.range(1).select(hashed)).count("10.0.0.9") < 30  # the key is made once, not for each field
+
+
+def test_gtp_heads():
+    opened = bytes([0x34]) + bytes(10) + b"\x85" + b"\x01aa\x00" + b"E"
+    assert [frames.gtp_head_of(d) for d in (b"", b"\x30aaaaaaa", b"\x32", b"\x34", opened, opened[:15], opened[:12] + b"\x00aaa")] == [8, 8, 12, None, 16, None, None]
+
+
+def test_few_rows_are_objects_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"a": list(range(2500))})
+    assert [b.num_rows for b in folds.sliced([batch, batch.slice(0, 0)])] == [1000, 1000, 500]
+
+
+def test_hunters_decode_once(spark, tmp_path):
+    path = events_in(spark, tmp_path, spark.range(6).select(F.col("id").alias("event_id"), F.col("id").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1).alias("value")))
+    for hunter in (tracking.ldap_recon_hunter, tracking.kerberoast_hunter):
+        assert plan_of(hunter(spark, path)).count("ArrowEvalPython") == 1
+    assert "Join" not in plan_of(tracking.smb_lateral_movement(spark, path))
+
+
+def test_flows_of_late_events(spark):
+    at = 60_000 * 300 + 77
+    key = f'{{"proto":"tcp","a_ip":"10.0.0.1","a_port":{1024 + at % 60_000},"b_ip":"192.168.{at // 60_000 // 256}.{at // 60_000 % 256}","b_port":80}}'
+    assert connections.by_event(spark.createDataFrame([(key,)], "key string")).head().event_id == at

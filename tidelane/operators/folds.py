@@ -7,12 +7,19 @@ current key is held, so a key may have any number of rows. Null values are passe
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def sliced(batches: Iterable, rows: int = 1000) -> Iterator:
+    """Batches of at most so many rows, as all of a batch's rows become Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def ordered_fold(rows: DataFrame, key: str | list[str], columns: list[str], start: Callable[[], list], step: Callable[..., Iterable[tuple]], schema: str, finish: Callable[[list], Iterable[tuple]] = lambda _: (), order: tuple[str, ...] = ("us", "seq"), placed: bool = False) -> DataFrame:
     """key columns and `schema`: what step(state, order and column values) and, after a key's last row, finish(state) give.
 
@@ -31,7 +38,7 @@ def ordered_fold(rows: DataFrame, key: str | list[str], columns: list[str], star
 
         form, nothing = to_arrow_schema(out), object()
         now, state = nothing, []
-        for batch in batches:
+        for batch in sliced(batches):
             made = []
             values = {c: batch.column(c).to_pylist() for c in needed}
             for k, row in zip(zip(*[values[c] for c in keys], strict=True), zip(*[values[c] for c in (*order, *columns)], strict=True), strict=True):
@@ -67,7 +74,7 @@ def annotated(rows: DataFrame, key: str | list[str], columns: list[str], start:
 
         form, nothing = to_arrow_schema(more), object()
         now, state = nothing, []
-        for batch in batches:
+        for batch in sliced(batches):
             values = {c: batch.column(spare.get(c, c)).to_pylist() for c in needed}
             made = []
             for k, row in zip(zip(*[values[c] for c in keys], strict=True), zip(*[values[c] for c in columns], strict=True), strict=True):

@@ -148,7 +148,7 @@ def captured(spark, sf_dir) -> DataFrame:
 
 
 #: The event of a flow, out of its key: the client's port, and how often 60,000 events came before.
-FLOW_EVENT = "cast(60000 * cast(split_part(k.server, '.', 4) as long) + (k.port - 1024) as long)"
+FLOW_EVENT = "cast(60000 * (256 * cast(split_part(k.server, '.', 3) as long) + cast(split_part(k.server, '.', 4) as long)) + (k.port - 1024) as long)"
 
 
 def by_event(rows: DataFrame) -> DataFrame:
