@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidelane.operators import folds, keys, sketches
-from tidelane.parsers import names
+from tidelane.parsers import names, quic
 from tidelane.plans import catalog, connections, tracking
 from tidelane.sources import frames
 
@@ -87,3 +87,13 @@ def test_flows_of_late_events(spark):
     at = 60_000 * 300 + 77
     key = f'{{"proto":"tcp","a_ip":"10.0.0.1","a_port":{1024 + at % 60_000},"b_ip":"192.168.{at // 60_000 // 256}.{at // 60_000 % 256}","b_port":80}}'
     assert connections.by_event(spark.createDataFrame([(key,)], "key string")).head().event_id == at
+
+
+def test_quic_packets_are_opened_once(spark, tmp_path):
+    path = events_in(spark, tmp_path, spark.range(6).select(F.col("id").alias("event_id"), F.col("id").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1).alias("value")))
+    plan = plan_of(connections.quic_hellos(spark, path))
+    assert plan.count("ArrowEvalPython") == 4 and plan.count("aesDecrypt") == 1  # keys, headers, frames, hello
+    assert plan.count("aesEncrypt") < 10
+    frame = b"\x06\x05\x02ab"
+    assert quic.crypto_of(bytes(3) + b"\x01\x40\x00" + frame + bytes(2)) == quic.crypto_of(frame) == [{"at": 5, "data": b"ab"}]
+    assert quic.crypto_of(bytes(1200)) == [] and quic.crypto_of(bytes(2) + b"\x40") is None

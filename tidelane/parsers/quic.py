@@ -5,7 +5,7 @@ Headers, keys and frame borders are read in Arrow batches; all AES work is Spark
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import hmac
 
 import pandas as pd
@@ -30,10 +30,15 @@ HEADER = "struct<version:string,dcid:binary,scid:binary,token:boolean,pn_at:int,
 CRYPTO = "array<struct<at:long,data:binary>>"
 
 
+@functools.cache
+def label_of(label: str, size: int) -> bytes:
+    name = b"tls13 " + label.encode()
+    return size.to_bytes(2) + bytes([len(name)]) + name + b"\0\x01"
+
+
 def expanded(secret: bytes, label: str, size: int) -> bytes:
     """HKDF-Expand-Label with an empty context, for one block of output."""
-    name = b"tls13 " + label.encode()
-    return hmac.new(secret, size.to_bytes(2) + bytes([len(name)]) + name + b"\0\x01", hashlib.sha256).digest()[:size]
+    return hmac.digest(secret, label_of(label, size), "sha256")[:size]
 
 
 def client_keys(dcid: bytes, version: int) -> dict | None:
@@ -41,7 +46,7 @@ def client_keys(dcid: bytes, version: int) -> dict | None:
     if version not in VERSIONS:
         return None
     _, salt, prefix, _ = VERSIONS[version]
-    secret = hmac.new(bytes.fromhex(salt), dcid, hashlib.sha256).digest()
+    secret = hmac.digest(bytes.fromhex(salt), dcid, "sha256")
     client = expanded(secret, "client in", 32)
     return {"key": expanded(client, prefix + "key", 16), "iv": expanded(client, prefix + "iv", 12), "hp": expanded(client, prefix + "hp", 16)}
 
@@ -82,8 +87,11 @@ def crypto_of(plain: bytes | None) -> list[dict] | None:
     out, at = [], 0
     try:
         while at < len(plain):
+            at = len(plain) - len(plain[at:].lstrip(b"\0\x01"))  # padding and pings, all at once
+            if at == len(plain):
+                break
             kind, at = varint(plain, at)
-            if kind in (0, 1):  # padding, ping
+            if kind in (0, 1):  # written longer
                 continue
             if kind in (2, 3):  # acknowledgements
                 _, at = varint(plain, at)
@@ -113,7 +121,7 @@ def headers(payload: Column) -> Column:
         rows = [header_of(p) or dict.fromkeys(names) for p in payloads]
         return pd.DataFrame(rows, columns=names).astype({"pn_at": "Int32", "end": "Int32", "token": "boolean"})
 
-    return read(payload)
+    return read.asNondeterministic()(payload)
 
 
 def keys_of(dcid: Column, version: Column) -> Column:
@@ -123,7 +131,7 @@ def keys_of(dcid: Column, version: Column) -> Column:
     def derived(dcids: pd.Series, versions: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([client_keys(d, int(v)) or dict.fromkeys(("key", "iv", "hp")) for d, v in zip(dcids, versions, strict=True)], columns=["key", "iv", "hp"])
 
-    return derived(dcid, version)
+    return derived.asNondeterministic()(dcid, version)
 
 
 def crypto_frames(plain: Column) -> Column:
@@ -131,7 +139,7 @@ def crypto_frames(plain: Column) -> Column:
     def read(values: pd.Series) -> pd.Series:
         return values.map(crypto_of, na_action="ignore")
 
-    return read(plain)
+    return read.asNondeterministic()(plain)
 
 
 def mask_of(sample: Column, hp: Column) -> Column:

@@ -81,29 +81,28 @@ def grpc_streams(spark, sf_dir):
     return got.select("user_id", "stream", "service", F.col("grpc_method").alias("method"), F.col("grpc_status").alias("code"), F.col("grpc_status_name").alias("status"), F.col("grpc_message").alias("message"))
 
 
-def sealed(frame: DataFrame, plain: Column, pn: int) -> Column:
-    """An Initial packet of `frame`'s dcid, version and keys, with a number of two bytes."""
+def sealed(plain: Column, pn: Column) -> Column:
+    """An Initial packet of a row's dcid, version (v2) and keys (k), with a number of two bytes; each part is made once."""
     first, keys = F.when(F.col("v2"), 0xD1).otherwise(0xC1), F.col("k")
     version = F.when(F.col("v2"), F.lit("6B3343CF")).otherwise("00000001")
-    number = F.lit(pn)
-    head = lambda b, p: F.unhex(F.concat(h(b, 1), version, F.lit("08"), F.hex("dcid"), F.lit("00" + "00"), h(F.length(plain) + 18 + 0x4000, 2), h(p, 2)))
-    boxed = F.substring(F.aes_encrypt(plain, keys["key"], F.lit("GCM"), F.lit("DEFAULT"), quic.nonce_of(keys["iv"], number), head(first, number)), 13, 1 << 20)
-    mask = quic.mask_of(F.substring(boxed, 3, 16), keys["hp"])
-    return F.concat(head(first.bitwiseXOR(wire.uint(mask, 0, 1).bitwiseAND(F.lit(15))), number.bitwiseXOR(wire.uint(mask, 1, 2))), boxed)
+    head = lambda b, p, size: F.unhex(F.concat(h(b, 1), version, F.lit("08"), F.hex("dcid"), F.lit("00" + "00"), h(size + 18 + 0x4000, 2), h(p, 2)))
+    boxed = lambda x: F.substring(F.aes_encrypt(x, keys["key"], F.lit("GCM"), F.lit("DEFAULT"), quic.nonce_of(keys["iv"], pn), head(first, pn, F.length(x))), 13, 1 << 20)
+    masked = lambda b: let(quic.mask_of(F.substring(b, 3, 16), keys["hp"]), lambda m: F.concat(head(first.bitwiseXOR(wire.uint(m, 0, 1).bitwiseAND(F.lit(15))), pn.bitwiseXOR(wire.uint(m, 1, 2)), F.length(b) - 16), b))
+    return let(plain, lambda x: let(boxed(x), masked))
 
 
 def quic_packets(spark, sf_dir) -> DataFrame:
     """Two Initial packets for each event that share its ClientHello, the second half first; every fifth event lacks one half."""
     message = F.substring(client_hello_hex(), 11, 1 << 20)
-    ev = events(spark, sf_dir).withColumn("hello", F.unhex(message)).withColumn("v2", F.col("event_id") % 2 == 1).withColumn("dcid", F.unhex(h(F.col("event_id"), 8)))
+    ev = events(spark, sf_dir).select("event_id", F.unhex(message).alias("hello"), (F.col("event_id") % 2 == 1).alias("v2"), F.unhex(h(F.col("event_id"), 8)).alias("dcid"))
     ev = ev.withColumn("k", quic.keys_of(F.col("dcid"), F.when(F.col("v2"), 0x6B3343CF).otherwise(1)))
     half = (30 + F.col("event_id") % 50).cast("int")
     crypto = lambda at, data: F.concat(F.unhex(F.concat(F.lit("06"), h(at + 0x4000, 2), h(F.length(data) + 0x4000, 2))), data)
     front = F.concat(crypto(F.lit(0), wire.cut(F.col("hello"), 0, half)), F.unhex(F.lit("00" * 40)))
     back = F.concat(F.unhex(F.lit("01" + "0200000000")), crypto(half, wire.rest(F.col("hello"), half)))
-    each = F.array(F.struct(F.lit(1).alias("pn"), sealed(ev, back, 1).alias("payload")), F.struct(F.lit(0).alias("pn"), sealed(ev, front, 0).alias("payload")))
-    sent = ev.select("event_id", F.posexplode(each).alias("i", "p")).filter("event_id % 5 <> 0 or i = 0")
-    return sent.select("event_id", F.col("i").cast("long").alias("us"), F.col("i").cast("long").alias("seq"), F.col("p.payload").alias("payload"))
+    sent = ev.withColumn("i", F.explode(F.when(F.col("event_id") % 5 == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    payload = sealed(F.when(F.col("i") == 0, back).otherwise(front), 1 - F.col("i"))
+    return sent.select("event_id", F.col("i").cast("long").alias("us"), F.col("i").cast("long").alias("seq"), payload.alias("payload"))
 
 
 @query("""SELECT event_id, printf('%016x', event_id) AS dcid, CASE WHEN event_id % 2 = 1 THEN 'v2' ELSE 'v1' END AS version, CAST(CASE WHEN event_id % 5 = 0 THEN 1 ELSE 2 END AS BIGINT) AS packets, CASE WHEN event_id % 5 > 0 THEN event_type || '.example.org' END AS sni, CASE WHEN event_id % 5 > 0 THEN 'h2,http/1.1' END AS alpn,
