@@ -97,3 +97,14 @@ def test_quic_packets_are_opened_once(spark, tmp_path):
     frame = b"\x06\x05\x02ab"
     assert quic.crypto_of(bytes(3) + b"\x01\x40\x00" + frame + bytes(2)) == quic.crypto_of(frame) == [{"at": 5, "data": b"ab"}]
     assert quic.crypto_of(bytes(1200)) == [] and quic.crypto_of(bytes(2) + b"\x40") is None
+
+
+def test_more_streams_make_more_partitions(spark, tmp_path, monkeypatch):
+    path = events_in(spark, tmp_path, spark.range(60).select(F.col("id").alias("event_id"), (F.col("id") % 20).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1).alias("value")))
+    monkeypatch.setattr(folds, "ROWS", 20)
+    for query in (connections.grpc_streams,):
+        got = query(spark, path)
+        plan = plan_of(got)
+        assert plan.count(", 12), REPARTITION_BY_NUM") == 2 and plan.count("Exchange hashpartitioning") == 3
+        assert plan.index("SortAggregate") < plan.rindex("REPARTITION_BY_NUM", 0, plan.index("MapInArrow")) and "SortAggregate" not in plan[plan.index("MapInArrow") :]
+        assert got.count() == 60

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,11 +20,20 @@ def sliced(batches: Iterable, rows: int = 1000) -> Iterator:
             yield batch.slice(i, rows)
 
 
-def ordered_fold(rows: DataFrame, key: str | list[str], columns: list[str], start: Callable[[], list], step: Callable[..., Iterable[tuple]], schema: str, finish: Callable[[list], Iterable[tuple]] = lambda _: (), order: tuple[str, ...] = ("us", "seq"), placed: bool = False) -> DataFrame:
+#: Rows of a partition where the number of rows is known.
+ROWS = 200_000
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows: enough that a task's memory stays the same however many there are."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS))
+
+
+def ordered_fold(rows: DataFrame, key: str | list[str], columns: list[str], start: Callable[[], list], step: Callable[..., Iterable[tuple]], schema: str, finish: Callable[[list], Iterable[tuple]] = lambda _: (), order: tuple[str, ...] = ("us", "seq"), placed: bool = False, parts: int | None = None) -> DataFrame:
     """key columns and `schema`: what step(state, order and column values) and, after a key's last row, finish(state) give.
 
     The state is a list that step changes in place. Rows with a null key are one key. placed: rows of a key are in one partition
-    already, as after another fold by some of its columns, so they are only sorted.
+    already, as after another fold by some of its columns, so they are only sorted. parts: how many partitions (None: the session's).
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -53,7 +62,7 @@ def ordered_fold(rows: DataFrame, key: str | list[str], columns: list[str], star
             yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], f.type) for i, f in enumerate(form)], schema=form)
 
     chosen = rows.select(*needed)
-    return (chosen if placed else chosen.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
+    return (chosen if placed else chosen.repartition(*([parts] if parts else []), *keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
 
 
 def annotated(rows: DataFrame, key: str | list[str], columns: list[str], start: Callable[[], list], step: Callable[..., tuple], schema: str, order: tuple[str, ...] = ("us", "seq")) -> DataFrame:

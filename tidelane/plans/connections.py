@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelane.functions import wire
 from tidelane.functions.scalars import let
 from tidelane.functions.wire import frame_of, text_hex
-from tidelane.operators import enrich, sessions
+from tidelane.operators import enrich, folds, sessions
 from tidelane.parsers import certificates, http2, quic, web
 from tidelane.plans.messages import HOST, client_hello_hex, h, host, host_hex, n
 from tidelane.plans.packets import ETHERNET, SRC, events, ipv4, low_address, source_port
@@ -55,6 +55,11 @@ def h2_chunks(spark, sf_dir) -> DataFrame:
     return each.select("user_id", "us", "side", F.explode(halves).alias("p")).select("user_id", "us", (F.col("p.seq") + F.when(F.col("side") == "initiator", 0).otherwise(2)).cast("long").alias("seq"), "side", "p.payload")
 
 
+def h2_parts(spark, sf_dir) -> int:
+    """Partitions for the chunks, of which there are four for each event."""
+    return folds.parts_for(spark, 4 * events(spark, sf_dir).count())
+
+
 H2 = "e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
 
 
@@ -70,14 +75,15 @@ def http2_streams(spark, sf_dir):
 SELECT CAST(user_id AS BIGINT) AS user_id, side, event, count(*) AS events FROM k GROUP BY ALL""")
 def http2_event_counts(spark, sf_dir):
     """How often each thing happens on a connection; none of them fails."""
-    return http2.h2_events(h2_chunks(spark, sf_dir), ["user_id"]).groupBy("user_id", "side", "event").agg(F.count("*").alias("events"))
+    return http2.h2_events(h2_chunks(spark, sf_dir), ["user_id"], parts=h2_parts(spark, sf_dir)).groupBy("user_id", "side", "event").agg(F.count("*").alias("events"))
 
 
 @query(f"""WITH {H2} SELECT CAST(user_id AS BIGINT) AS user_id, CAST(2 * i - 1 AS BIGINT) AS stream, 'shop.Cart' AS service, event_type AS method, CASE WHEN event_id % 7 > 0 THEN CAST(user_id % 17 AS INTEGER) END AS code,
 CASE WHEN event_id % 7 > 0 THEN ['ok', 'cancelled', 'unknown', 'invalid_argument', 'deadline_exceeded', 'not_found', 'already_exists', 'permission_denied', 'resource_exhausted', 'failed_precondition', 'aborted', 'out_of_range', 'unimplemented', 'internal', 'unavailable', 'data_loss', 'unauthenticated'][user_id % 17 + 1] END AS status, CASE WHEN event_id % 7 > 0 AND event_id % 5 = 0 THEN 'none' END AS message FROM e""")
 def grpc_streams(spark, sf_dir):
     """Calls with the status of their trailers, or of the only block of an answer."""
-    got = http2.grpc_calls(http2.h2_exchanges(http2.h2_events(h2_chunks(spark, sf_dir), ["user_id"]), ["user_id"]))
+    parts = h2_parts(spark, sf_dir)
+    got = http2.grpc_calls(http2.h2_exchanges(http2.h2_events(h2_chunks(spark, sf_dir), ["user_id"], parts=parts), ["user_id"], parts))
     return got.select("user_id", "stream", "service", F.col("grpc_method").alias("method"), F.col("grpc_status").alias("code"), F.col("grpc_status_name").alias("status"), F.col("grpc_message").alias("message"))
 
 
