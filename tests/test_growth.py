@@ -102,7 +102,7 @@ def test_quic_packets_are_opened_once(spark, tmp_path):
 def test_more_streams_make_more_partitions(spark, tmp_path, monkeypatch):
     path = events_in(spark, tmp_path, spark.range(60).select(F.col("id").alias("event_id"), (F.col("id") % 20).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1).alias("value")))
     monkeypatch.setattr(folds, "ROWS", 20)
-    for query in (connections.grpc_streams,):
+    for query in (connections.http2_streams, connections.grpc_streams):
         got = query(spark, path)
         plan = plan_of(got)
         assert plan.count(", 12), REPARTITION_BY_NUM") == 2 and plan.count("Exchange hashpartitioning") == 3

@@ -67,7 +67,8 @@ H2 = "e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event
 CASE WHEN event_id % 7 > 0 THEN 200 END AS status, CAST(length(event_type) AS BIGINT) AS request_bytes, CAST(CASE WHEN event_id % 7 = 0 OR event_id % 5 = 0 THEN 0 ELSE 2 * length(event_type) END AS BIGINT) AS response_bytes, CASE WHEN event_id % 7 = 0 THEN 'reset' ELSE 'completed' END AS outcome FROM e""")
 def http2_streams(spark, sf_dir):
     """Requests and answers of all streams of each connection."""
-    got = http2.h2_exchanges(http2.h2_events(h2_chunks(spark, sf_dir), ["user_id"]), ["user_id"])
+    parts = h2_parts(spark, sf_dir)
+    got = http2.h2_exchanges(http2.h2_events(h2_chunks(spark, sf_dir), ["user_id"], parts=parts), ["user_id"], parts)
     return got.select("user_id", "stream", "method", "scheme", "authority", "path", http2.value(F.col("request"), "x-user").alias("name"), "status", "request_bytes", "response_bytes", "outcome")
 
 
