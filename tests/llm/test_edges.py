@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidelane.llm import bpe, compression_quality, decontamination, linking, ngram_join, paragraphs, secrets, suffix_dedup, toxicity
@@ -149,3 +150,24 @@ def test_pipeline(spark, tables):
     assert all(a >= b > 0 for _, a, b in seen) and seen[0][1] > seen[0][2] and seen[1][1] > seen[1][2]
     assert seen[3][1] == seen[3][2] == seen[4][2]
     assert corpus_pipeline.run(spark, str(DATA.parent / "sf0.001")).count() > 0
+
+
+def test_far_copies_meet_once_for_all_in_divided_lists(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    docs = []
+    for i in range(24):  # a tenth of the words replaced, so that about a third of the shingles differ
+        words = list(base)
+        for at in rng.sample(range(20, 400), 40):
+            words[at] = f"x{i}y{at}"
+        docs.append((i, " ".join(words)))
+    docs.append((24, docs[7][1] + " more"))
+    seen, whole = [], linking.merged
+    monkeypatch.setattr(linking, "HOT", 4)
+    monkeypatch.setattr(linking, "merged", lambda lists: seen.append(lists.filter("weight > 1").count()) or whole(lists))
+    got = ngram_join.ngram_join(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90, 100)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [*((i, i) for i in range(24)), (24, 7)]
+    assert seen == [0]
+    a, b = ([1, 2, 3, 4, 5, 6, 7, 8] * 2, [1] * 32)
+    words = spark.createDataFrame([(a,), (b,)], "signs array<long>").select(ngram_join.folded(F.col("signs"))).collect()
+    assert [r[0] for r in words] == [[0] * 8, [0] * 8]

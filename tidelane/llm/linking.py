@@ -15,6 +15,8 @@ from tidelane.llm.common import discard, durable, pieces
 MOST_IDS = 500_000
 #: Members of a list beyond which it is divided before its members are paired, and members in a block of postings.
 HOT = 128
+#: Words of the parities that members of divided lists carry.
+WORDS = 8
 
 TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Factors of the words of a shingle, which has at most so many.
@@ -225,7 +227,7 @@ def of_several(lists: DataFrame) -> DataFrame:
     return lists.join(mixed_, "token", "left_semi")
 
 
-def linked(entries: DataFrame, sets_of, num: int, den: int, occurrences: int = 1, thin: bool = False, bound=lambda pairs: pairs) -> DataFrame:
+def linked(entries: DataFrame, sets_of, num: int, den: int, occurrences: int = 1, thin: bool = False, bound=lambda pairs: pairs, signs: DataFrame | None = None) -> DataFrame:
     """(id, component) of ids linked by sets with Jaccard >= num / den, found by inverted lists.
 
     entries: token, id, n (size of the set), pos (place of the token in the set's order, from 0; 0 throughout if there is
@@ -241,7 +243,8 @@ def linked(entries: DataFrame, sets_of, num: int, den: int, occurrences: int = 1
 
     thin: leave out members that have too few elements in common with all the others, for entries without an order, whose
     lists also join sets that are far from similar. bound: takes pairs (a, b) and leaves out some that can't be linked,
-    before their sets are fetched.
+    before their sets are fetched. signs: id, signs (WORDS words of parities of a set); members of lists of two tokens, which
+    near copies share by the hundred, meet there only if their parities allow a link.
     """
     lists = entries.groupBy("token").agg(F.max("id").alias("last"), F.min(F.struct("id", "n")).alias("first"), F.min(F.struct("n", "id")).alias("small")).filter("first.id < last").drop("last")
     lists = durable(lists)  # so that the join has plain exchanges on both sides and Spark can split large partitions
@@ -280,19 +283,29 @@ def linked(entries: DataFrame, sets_of, num: int, den: int, occurrences: int = 1
         # A document with tokens of such lists may share one of them with what it meets only once elsewhere.
         cool = cool.join(few(warm.select("id", F.lit(True).alias("some")).distinct()), "id", "left").withColumn("least", F.when(F.col("some"), 1).otherwise(F.col("least"))).drop("some")
         divided = durable(of_several(divided))
-        told = durable(cool.unionByName(divided))
+        if signs is not None:
+            of_warm = durable(signs.join(few(divided.select("id").distinct()), "id", "left_semi").distinct())
+            told = durable(cool.unionByName(divided.join(few(of_warm, MOST_IDS // 10), "id"), allowMissingColumns=True))
+            discard(of_warm)
+        else:
+            told = durable(cool.unionByName(divided))
         discard(warm, divided)
         hot = durable(told.groupBy("token").agg(F.count("*").alias("members")).filter(F.col("members") > HOT))
     spare = occurrences - 1  # of the shared tokens, those before the last one that is looked at
     parts = told.join(few(hot), "token", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("members", F.lit(1)) / HOT)))
-    member = F.struct("id", "n", "pos", "met", "component")
+    signed = "signs" in told.columns
+    member = F.struct("id", "n", "pos", "met", "component", *["signs"] * signed)
     postings = parts.filter((num + den) * (F.least(F.col("n") - F.col("pos"), F.col("met")) + spare) >= 2 * num * F.col("n"))
     postings = postings.groupBy("token", "part").agg(F.array_sort(F.collect_list(member)).alias("block")).drop("part")
 
     def partner(x: Column) -> Column:
         room = F.least(x["n"] - x["pos"], F.col("n") - F.col("pos"), x["met"], F.col("met")) + spare
         smaller = (x["n"] < F.col("n")) | ((x["n"] == F.col("n")) & (x["id"] < F.col("id")))
-        return smaller & (x["component"] != F.col("component")) & (den * x["n"] >= num * F.col("n")) & ((num + den) * room >= num * (x["n"] + F.col("n")))
+        near = smaller & (x["component"] != F.col("component")) & (den * x["n"] >= num * F.col("n")) & ((num + den) * room >= num * (x["n"] + F.col("n")))
+        if not signed:
+            return near
+        apart = sum((F.bit_count(x["signs"][i].bitwiseXOR(F.col("signs")[i])) for i in range(WORDS)), F.lit(0))
+        return near & F.coalesce((num + den) * apart <= (den - num) * (x["n"] + F.col("n")), F.lit(True))
 
     met_there = told.join(postings, "token").withColumn("found", F.transform(F.filter("block", partner), lambda x: x["id"])).filter(F.size("found") > 0)
     if occurrences > 1:

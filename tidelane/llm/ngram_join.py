@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.llm.common import durable, pieces, small_batches, text_key, unused
-from tidelane.llm.linking import components, few, linked, shingle_sets
+from tidelane.llm.linking import WORDS, components, few, linked, shingle_sets
 
 #: Cells of the table of list lengths. It has this size whatever the input.
 CELLS = 1 << 18
@@ -108,6 +108,11 @@ def parities(elements: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def folded(signs):
+    """Parities as WORDS words: places that far apart are one. What two sets' bits differ in doesn't grow by that."""
+    return F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.aggregate(F.filter(signs, lambda _, j: j % WORDS == i), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)))
+
+
 def parity_bound(told: DataFrame, num: int, den: int):
     """A function that leaves out pairs whose parities differ in more places than linked sets have different elements.
 
@@ -167,7 +172,7 @@ def ngram_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) ->
     mine = told.withColumnRenamed("doc_id", "id").join(heads, ["id", "h1", "h2"], "left_semi")
     entries = mine.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     repeated = not told.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    found = linked(entries, sets_of(docs, size, repeated), num, den, OCCURRENCES, bound=parity_bound(told.filter("n > 0"), num, den))
+    found = linked(entries, sets_of(docs, size, repeated), num, den, OCCURRENCES, bound=parity_bound(told.filter("n > 0"), num, den), signs=told.filter("n > 0").select(F.col("doc_id").alias("id"), folded(F.col("signs")).alias("signs")))
 
     # Ids of one class, and texts of one id, belong together: a row's component is the smallest of its class's.
     several = told.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.countDistinct("h1", "h2").alias("texts")).filter("texts > 1").select("doc_id")
