@@ -171,3 +171,52 @@ def test_far_copies_meet_once_for_all_in_divided_lists(spark, monkeypatch):
     a, b = ([1, 2, 3, 4, 5, 6, 7, 8] * 2, [1] * 32)
     words = spark.createDataFrame([(a,), (b,)], "signs array<long>").select(ngram_join.folded(F.col("signs"))).collect()
     assert [r[0] for r in words] == [[0] * 8, [0] * 8]
+
+
+def test_near_copies_stand_in_no_list_for_every_two_tokens(spark, monkeypatch):
+    """Copies with five words replaced share dozens of tokens of long lists, but are too far apart to link."""
+    rng = random.Random(8)
+    docs = []
+    for i in range(24):
+        words = [f"w{k}" for k in range(400)]
+        for at in rng.sample(range(20, 400), 5):
+            words[at] = f"x{i}y{at}"
+        docs.append((i, " ".join(words)))
+    docs.append((24, docs[7][1] + " more"))
+    seen, whole = [], linking.of_several
+
+    def counted(lists):
+        found = whole(lists)
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(linking, "HOT", 4)
+    monkeypatch.setattr(linking, "of_several", counted)
+    got = ngram_join.ngram_join(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [*((i, i) for i in range(24)), (24, 7)]
+    assert len(seen) == 2 and seen[0] > 24 * 20 and seen[1] <= seen[0]
+
+
+def test_documents_with_many_and_with_few_long_lists_meet(spark, monkeypatch):
+    """Links between documents on either side of TOKENS, and on each of its sides, against all pairs."""
+    draw = random.Random(9)
+    said = [" ".join(draw.choice("abcdefghijklmnopqrstuvw") * 3 for _ in range(8)) for _ in range(14)]
+    texts = [" ".join(draw.sample(said, draw.randint(9, 12))) for _ in range(60)]
+    for t in texts[:50]:
+        words = t.split()
+        texts.append(" ".join([*words[:-2], "zz", *words[-1:]] if draw.random() < 0.5 else [*words, f"n{len(texts)}", "zz"]))
+    sets = linking.shingle_sets(ngram_join.lowered(texts), 3)
+    group = list(range(len(texts)))
+    for _ in range(8):
+        for i in range(len(texts)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+                    group[i] = group[j] = min(group[i], group[j])
+    seen, whole = [], linking.in_whole_lists
+    monkeypatch.setattr(linking, "HOT", 3)
+    monkeypatch.setattr(linking, "TOKENS", 7)
+    monkeypatch.setattr(linking, "in_whole_lists", lambda warm, n: seen.append({r.many for r in warm.select("many").distinct().collect()}) or whole(warm, n))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs).collect()} == dict(enumerate(group))
+    assert seen == [{True, False}]

@@ -15,6 +15,8 @@ from tidelane.llm.common import discard, durable, pieces
 MOST_IDS = 500_000
 #: Members of a list beyond which it is divided before its members are paired, and members in a block of postings.
 HOT = 128
+#: Tokens of such lists up to which a document stands in a list for every two of them.
+TOKENS = 8
 #: Words of the parities that members of divided lists carry.
 WORDS = 8
 
@@ -227,6 +229,19 @@ def of_several(lists: DataFrame) -> DataFrame:
     return lists.join(mixed_, "token", "left_semi")
 
 
+def in_whole_lists(warm: DataFrame, occurrences: int) -> DataFrame:
+    """Rows of lists in which documents with many tokens (`many`) meet each other and the rest, but not the rest itself.
+
+    Of each token with such documents there are two lists: one has their blocks, and all members look there for smaller
+    ones; the other has the blocks of the rest, and only such documents look there.
+    """
+    whole = warm.join(few(durable(warm.filter("many").select("token").distinct())), "token", "left_semi")
+    many, other = F.col("many"), F.xxhash64("token", F.lit("rest"))
+    lists = F.array(F.struct(F.col("token"), many.alias("posts"), F.lit(True).alias("asks")), F.struct(other.alias("token"), (~many).alias("posts"), many.alias("asks")))
+    rows = whole.withColumn("least", F.when(many, occurrences).otherwise(1)).withColumn("list", F.explode(lists))
+    return rows.select("list.token", "id", "n", "pos", "component", "met", "weight", "least", "list.posts", "list.asks").filter("posts or asks")
+
+
 def linked(entries: DataFrame, sets_of, num: int, den: int, occurrences: int = 1, thin: bool = False, bound=lambda pairs: pairs, signs: DataFrame | None = None) -> DataFrame:
     """(id, component) of ids linked by sets with Jaccard >= num / den, found by inverted lists.
 
@@ -240,11 +255,13 @@ def linked(entries: DataFrame, sets_of, num: int, den: int, occurrences: int = 1
     room for a link with a larger set stand in a list's blocks. Lists of over HOT members are divided first: of two
     linked sets either a token of a shorter list is shared, which then suffices, or two tokens of such lists, which make
     a list of their own (without an order: the token and one of the smallest elements, of which linked sets share one).
+    With an order, a document with over TOKENS tokens of long lists has none of two: near copies share them all, so these
+    would be as long and far more. It meets all members of the lists themselves, in which the rest don't meet each other.
 
     thin: leave out members that have too few elements in common with all the others, for entries without an order, whose
     lists also join sets that are far from similar. bound: takes pairs (a, b) and leaves out some that can't be linked,
-    before their sets are fetched. signs: id, signs (WORDS words of parities of a set); members of lists of two tokens, which
-    near copies share by the hundred, meet there only if their parities allow a link.
+    before their sets are fetched. signs: id, signs (WORDS words of parities of a set); members of lists that were divided, or
+    were too long, meet there only if their parities allow a link.
     """
     lists = entries.groupBy("token").agg(F.max("id").alias("last"), F.min(F.struct("id", "n")).alias("first"), F.min(F.struct("n", "id")).alias("small")).filter("first.id < last").drop("last")
     lists = durable(lists)  # so that the join has plain exchanges on both sides and Spark can split large partitions
@@ -277,12 +294,18 @@ def linked(entries: DataFrame, sets_of, num: int, den: int, occurrences: int = 1
             again = exploded(sets.join(few(warm.select("id").distinct()), "id", "left_semi"), (num, den)).select("id", F.col("element").alias("other"), F.lit(0).alias("place"))
             pairs_of = warm.join(again, "id")
         else:
-            again = warm.select("id", F.col("token").alias("other"), F.col("pos").alias("place"))
-            pairs_of = warm.join(again, "id").filter("place > pos")
+            many = durable(warm.groupBy("id").agg(F.count("*").alias("tokens")).filter(F.col("tokens") > TOKENS).select("id", F.lit(True).alias("many")))
+            single, warm = warm, durable(warm.join(few(many), "id", "left").withColumn("many", F.coalesce("many", F.lit(False))))
+            discard(single, many)
+            again = warm.filter("not many").select("id", F.col("token").alias("other"), F.col("pos").alias("place"))
+            pairs_of = warm.filter("not many").join(again, "id").filter("place > pos")
         divided = pairs_of.select(F.xxhash64("token", "other").alias("token"), "id", "n", F.col("place").alias("pos"), "component", "met", F.lit(occurrences).alias("weight"), F.lit(1).alias("least")).distinct()
         # A document with tokens of such lists may share one of them with what it meets only once elsewhere.
-        cool = cool.join(few(warm.select("id", F.lit(True).alias("some")).distinct()), "id", "left").withColumn("least", F.when(F.col("some"), 1).otherwise(F.col("least"))).drop("some")
-        divided = durable(of_several(divided))
+        # One that meets all members of its lists still meets it in as many as any.
+        once = warm.filter(F.lit(True) if thin else ~F.col("many")).select("id", F.lit(True).alias("some")).distinct()
+        cool = cool.join(few(once), "id", "left").withColumn("least", F.when(F.col("some"), 1).otherwise(F.col("least"))).drop("some")
+        divided = of_several(divided)
+        divided = durable(divided if thin else divided.unionByName(in_whole_lists(warm, occurrences), allowMissingColumns=True))
         if signs is not None:
             of_warm = durable(signs.join(few(divided.select("id").distinct()), "id", "left_semi").distinct())
             told = durable(cool.unionByName(divided.join(few(of_warm, MOST_IDS // 10), "id"), allowMissingColumns=True))
@@ -290,9 +313,13 @@ def linked(entries: DataFrame, sets_of, num: int, den: int, occurrences: int = 1
         else:
             told = durable(cool.unionByName(divided))
         discard(warm, divided)
-        hot = durable(told.groupBy("token").agg(F.count("*").alias("members")).filter(F.col("members") > HOT))
+    if "posts" not in told.columns:
+        told = told.withColumns({"posts": F.lit(None).cast("boolean"), "asks": F.lit(None).cast("boolean")})
+    posts, asks = F.coalesce("posts", F.lit(True)), F.coalesce("asks", F.lit(True))
+    if not hot.isEmpty():
+        hot = durable(told.filter(posts).groupBy("token").agg(F.count("*").alias("members")).filter(F.col("members") > HOT))
     spare = occurrences - 1  # of the shared tokens, those before the last one that is looked at
-    parts = told.join(few(hot), "token", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("members", F.lit(1)) / HOT)))
+    parts = told.filter(posts).join(few(hot), "token", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("members", F.lit(1)) / HOT)))
     signed = "signs" in told.columns
     member = F.struct("id", "n", "pos", "met", "component", *["signs"] * signed)
     postings = parts.filter((num + den) * (F.least(F.col("n") - F.col("pos"), F.col("met")) + spare) >= 2 * num * F.col("n"))
@@ -307,7 +334,7 @@ def linked(entries: DataFrame, sets_of, num: int, den: int, occurrences: int = 1
         apart = sum((F.bit_count(x["signs"][i].bitwiseXOR(F.col("signs")[i])) for i in range(WORDS)), F.lit(0))
         return near & F.coalesce((num + den) * apart <= (den - num) * (x["n"] + F.col("n")), F.lit(True))
 
-    met_there = told.join(postings, "token").withColumn("found", F.transform(F.filter("block", partner), lambda x: x["id"])).filter(F.size("found") > 0)
+    met_there = told.filter(asks).join(postings, "token").withColumn("found", F.transform(F.filter("block", partner), lambda x: x["id"])).filter(F.size("found") > 0)
     if occurrences > 1:
         rest = merged(met_there)
     else:
