@@ -220,3 +220,12 @@ def test_documents_with_many_and_with_few_long_lists_meet(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs).collect()} == dict(enumerate(group))
     assert seen == [{True, False}]
+
+
+def test_in_whole_lists_all_meet_but_the_rest_itself(spark):
+    rows = [(t, i, 9, 0, i, 9, 1, 2, i < 3) for t, ids in ((7, (1, 2, 3, 4)), (8, (2, 5)), (9, (4, 5))) for i in ids]
+    warm = spark.createDataFrame(rows, "token long, id long, n int, pos int, component long, met int, weight int, least int, many boolean")
+    lists = linking.in_whole_lists(warm, 2).collect()
+    met = {(x.id, y.id) for x in lists for y in lists if x.token == y.token and x.asks and y.posts and x.id != y.id}
+    assert met == {(a, b) for ids in ((1, 2, 3, 4), (2, 5)) for a in ids for b in ids if a != b and min(a, b) < 3}
+    assert {(x.id, x.least) for x in lists if x.asks} == {(1, 2), (2, 2), (3, 1), (4, 1), (5, 1)}
