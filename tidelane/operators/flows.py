@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +91,11 @@ IDLE_S = {"tcp": 300, "udp": 60, "other": 30}
 FIN, SYN, RST, ACK = 1, 2, 4, 16
 
 
+#: States in which a flow has ended, and what its end is called.
+ENDS = {"reset": "rst", "closed": "fin"}
+
+
+@cache
 def next_state(state: str, flags: int, initiator: bool, other_fin: bool) -> str:
     """The TCP state of a flow after a segment with these flags from one side."""
     if flags & RST:
@@ -107,14 +115,10 @@ def next_state(state: str, flags: int, initiator: bool, other_fin: bool) -> str:
     return state
 
 
-def with_lifecycle(packets: DataFrame, key: str, idle_s: dict[str, int] | None = None, infer_initiator: bool = False, timeout: str | None = None) -> DataFrame:
-    """`packets` (us, seq, l4, forward, flags) with flow_no, side, state, established, reason and nth (the packet's place) in a key's order.
+def lifecycle_steps(idle_s: dict[str, int] | None = None, infer_initiator: bool = False) -> tuple[Callable[[], list], Callable[..., tuple]]:
+    """A key's state at its start, and the step that takes us, l4, forward, flags and perhaps an idle time of each packet in order.
 
-    The order is by us, path (of a capture, if there is one) and seq. A flow ends at its RST, or when both sides have sent a FIN
-    and an ACK follows (reason rst or fin on that packet), or when the next packet is as late as the transport's idle time or
-    later. The first packet's sender is the initiator; with infer_initiator the other side is, if that packet is a SYN with an
-    ACK. timeout: a column with an idle time of its own, in seconds (null for that of the transport). established: whether this
-    packet completed the handshake.
+    It gives flow_no, side, state, established, reason and nth, as `with_lifecycle` tells them.
     """
     limits = IDLE_S | (idle_s or {})
 
@@ -129,13 +133,26 @@ def with_lifecycle(packets: DataFrame, key: str, idle_s: dict[str, int] | None =
             mine, others = (1, 2) if initiator else (2, 1)
             state = next_state(state, flags, initiator, bool(fins & others))
             fins |= mine if flags & FIN else 0
-            reason = {"reset": "rst", "closed": "fin"}.get(state)
+            reason = ENDS.get(state)
         s[:] = [number, us, first_forward, state, fins, reason is not None, nth + 1]
         return number, "initiator" if initiator else "responder", state, before != "established" and state == "established", reason, nth
 
+    return lambda: [-1, 0, True, "active", 0, False, 0], step
+
+
+def with_lifecycle(packets: DataFrame, key: str, idle_s: dict[str, int] | None = None, infer_initiator: bool = False, timeout: str | None = None) -> DataFrame:
+    """`packets` (us, seq, l4, forward, flags) with flow_no, side, state, established, reason and nth (the packet's place) in a key's order.
+
+    The order is by us, path (of a capture, if there is one) and seq. A flow ends at its RST, or when both sides have sent a FIN
+    and an ACK follows (reason rst or fin on that packet), or when the next packet is as late as the transport's idle time or
+    later. The first packet's sender is the initiator; with infer_initiator the other side is, if that packet is a SYN with an
+    ACK. timeout: a column with an idle time of its own, in seconds (null for that of the transport). established: whether this
+    packet completed the handshake.
+    """
+    start, step = lifecycle_steps(idle_s, infer_initiator)
     order = ("us", "path", "seq") if "path" in packets.columns else ("us", "seq")
     columns = ["us", "l4", "forward", "flags", *([timeout] if timeout else [])]
-    return annotated(packets, key, columns, lambda: [-1, 0, True, "active", 0, False, 0], step, "flow_no long, side string, state string, established boolean, reason string, nth long", order)
+    return annotated(packets, key, columns, start, step, "flow_no long, side string, state string, established boolean, reason string, nth long", order)
 
 
 def lifecycle(packets: DataFrame, key: str, **options) -> DataFrame:

@@ -20,6 +20,39 @@ def sliced(batches: Iterable, rows: int = 1000) -> Iterator:
             yield batch.slice(i, rows)
 
 
+def joined(batches: Iterable, rows: int = 10_000, size: int = 1 << 22) -> Iterator:
+    """Batches put together while they have fewer rows and bytes, for work that costs much a batch and little a row."""
+    import pyarrow as pa
+
+    def whole(parts: list):
+        return pa.concat_batches(parts) if len(parts) > 1 else parts[0]
+
+    held: list = []
+    for batch in batches:
+        if held and (sum(b.num_rows for b in held) + batch.num_rows > rows or sum(b.nbytes for b in held) + batch.nbytes > size):
+            yield whole(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield whole(held)
+
+
+def objects(column) -> list:
+    """Python values of an Arrow column. Numbers, texts and bytes go through numpy, which takes a fraction of to_pylist's time."""
+    import pyarrow as pa
+
+    t, kinds = column.type, pa.types
+    if kinds.is_string(t) or kinds.is_binary(t):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if not (kinds.is_integer(t) or kinds.is_boolean(t) or kinds.is_float64(t)):
+        return column.to_pylist()
+    if not column.null_count:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    values = column.fill_null(False if kinds.is_boolean(t) else 0).to_numpy(zero_copy_only=False).astype(object)
+    values[column.is_null().to_numpy(zero_copy_only=False)] = None
+    return values.tolist()
+
+
 #: Rows of a partition where the number of rows is known.
 ROWS = 200_000
 
@@ -47,19 +80,24 @@ def ordered_fold(rows: DataFrame, key: str | list[str], columns: list[str], star
 
         form, nothing = to_arrow_schema(out), object()
         now, state = nothing, []
+
+        def turned(made: list[tuple]):
+            columns = zip(*made, strict=True) if made else [()] * len(form)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, form, strict=True)], schema=form)
+
         for batch in sliced(batches):
             made = []
-            values = {c: batch.column(c).to_pylist() for c in needed}
+            values = {c: objects(batch.column(c)) for c in needed}
             for k, row in zip(zip(*[values[c] for c in keys], strict=True), zip(*[values[c] for c in (*order, *columns)], strict=True), strict=True):
                 if k != now:
                     if now is not nothing:
                         made += [(*now, *r) for r in finish(state)]
                     now, state = k, start()
-                made += [(*k, *r) for r in step(state, *row)]
-            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], f.type) for i, f in enumerate(form)], schema=form)
+                if got := step(state, *row):
+                    made += [(*k, *r) for r in got]
+            yield turned(made)
         if now is not nothing:
-            made = [(*now, *r) for r in finish(state)]
-            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], f.type) for i, f in enumerate(form)], schema=form)
+            yield turned([(*now, *r) for r in finish(state)])
 
     chosen = rows.select(*needed)
     return (chosen if placed else chosen.repartition(*([parts] if parts else []), *keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
@@ -84,7 +122,7 @@ def annotated(rows: DataFrame, key: str | list[str], columns: list[str], start:
         form, nothing = to_arrow_schema(more), object()
         now, state = nothing, []
         for batch in sliced(batches):
-            values = {c: batch.column(spare.get(c, c)).to_pylist() for c in needed}
+            values = {c: objects(batch.column(spare.get(c, c))) for c in needed}
             made = []
             for k, row in zip(zip(*[values[c] for c in keys], strict=True), zip(*[values[c] for c in columns], strict=True), strict=True):
                 if k != now:

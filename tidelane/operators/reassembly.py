@@ -104,6 +104,11 @@ class Pieces:
         if i and self.at[self.starts[i - 1]].end >= start:
             i -= 1
         hit = [self.at[s] for s in self.starts[i : bisect_right(self.starts, end)]]
+        if not hit:
+            self.starts.insert(i, start)
+            self.at[start] = Piece(start, data, start if self.by_origin else None)
+            self.size += len(data)
+            return 0, False
         for piece in hit:
             a, b = max(start, piece.start), min(end, piece.end)
             if a >= b:
@@ -166,6 +171,7 @@ class SideStream:
     """One side. `out` gathers (offset, bytes, bytes missing before them, cause); counters only grow."""
 
     COUNTERS = ("retransmits", "out_of_window", "dropped", "gaps", "gap_bytes", "different", "inconsistent", "oversize", "filled", "resets")
+    retransmits = out_of_window = dropped = gaps = gap_bytes = different = inconsistent = oversize = filled = resets = 0
 
     def __init__(self, rules: Rules):
         self.rules, self.pieces, self.arrivals = rules, Pieces(rules.policy), 0
@@ -174,8 +180,6 @@ class SideStream:
         self.given_up: deque[tuple[int, int]] = deque(maxlen=REMEMBERED)
         self.out: list[tuple] = []
         self.missing, self.cause, self.stopped = 0, None, False
-        for name in self.COUNTERS:
-            setattr(self, name, 0)
 
     def counters(self) -> tuple[int, ...]:
         return tuple(getattr(self, n) for n in self.COUNTERS)
@@ -285,7 +289,8 @@ class SideStream:
         if not self.pieces.starts and start == self.next:  # in order
             self.advance(end, us)
             self.release(start, data)
-            self.timers(us)
+            if self.since is not None or self.stray:
+                self.timers(us)
             return
         blocked = bool(self.pieces.starts)
         if not blocked:
@@ -320,7 +325,8 @@ class SideStream:
     def acknowledged(self, ack: int, us: int) -> None:
         if not self.stopped:
             self.vouched((ack - 1) % WRAP, us)
-            self.timers(us)
+            if self.since is not None or self.pieces.starts or self.stray:
+                self.timers(us)
 
     def fin(self, number: int, us: int) -> None:
         if not self.stopped and self.anchored and self.offset(number) >= self.next:
@@ -357,9 +363,12 @@ class SideStream:
         if self.missing:
             out.append((self.next, b"", self.missing, self.cause))
             self.missing, self.cause = 0, None
-        cap, total = self.rules.cap, sum(len(o[1]) for o in out)
-        if cap is None or total <= cap or self.stopped:
+        cap = self.rules.cap
+        if cap is None or self.stopped:
             return [] if self.stopped else out
+        total = sum(len(o[1]) for o in out)
+        if total <= cap:
+            return out
         if self.rules.overflow == "drop_flow":
             self.oversize += total
             self.stopped, self.pieces = True, Pieces(self.rules.policy)
@@ -404,13 +413,15 @@ def fed(s: SideStream, us: int, number, payload, syn, fin, ack, missing) -> None
         s.acknowledged(ack, us)
     if number is None:
         return
-    size, first = len(payload or b"") + (missing or 0), number + bool(syn)
+    data, missing, first = bytes(payload or b""), missing or 0, number + bool(syn)
     if syn:
         s.anchor(first, us)
-    s.segment(first % WRAP, bytes(payload or b""), us)
-    s.cut((first + len(payload or b"")) % WRAP, missing or 0, us)
+    if data:
+        s.segment(first % WRAP, data, us)
+    if missing > 0:
+        s.cut((first + len(data)) % WRAP, missing, us)
     if fin:
-        s.fin((first + size) % WRAP, us)
+        s.fin((first + len(data) + missing) % WRAP, us)
 
 
 def complete(segments: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,35 +67,43 @@ def value_of(data: bytes, kind: int, at: int, size: int) -> str | None:
     return data[at : at + size].hex()
 
 
+HEAD, KIND, RECORD = struct.Struct(">6H"), struct.Struct(">H"), struct.Struct(">HHIH")
+
+
+@lru_cache(1024)
+def flag_fields(flags: int) -> dict:
+    bits_ = {n: bool(flags & m) for n, m in (("is_response", 0x8000), ("authoritative", 0x400), ("truncated", 0x200), ("recursion_desired", 0x100), ("recursion_available", 0x80))}
+    return {"opcode": flags >> 11 & 15, "rcode": CODES.get(flags & 15, "other"), **bits_}
+
+
 def message_of(data: bytes) -> dict | None:
     """Fields of MESSAGE; sections end at the first entry that isn't whole."""
     if len(data) < 12:
         return None
-    number, flags, *counts = struct.unpack_from(">6H", data)
+    number, flags, asked, *counts = HEAD.unpack_from(data)
     questions, records, at = [], [], 12
-    for _ in range(counts[0]):
+    for _ in range(asked):
         found = name_at(data, at)
         if found is None or found[1] + 4 > len(data):
             at = -1
             break
-        (kind,) = struct.unpack_from(">H", data, found[1])
+        (kind,) = KIND.unpack_from(data, found[1])
         questions.append({"name": found[0], "type": TYPES.get(kind) or f"TYPE{kind}"})
         at = found[1] + 4
-    for section, count in enumerate(counts[1:]):
+    for section, count in enumerate(counts):
         for _ in range(count if at >= 0 else 0):
             found = name_at(data, at)
             if found is None or found[1] + 10 > len(data):
                 at = -1
                 break
-            kind, _, ttl, size = struct.unpack_from(">HHIH", data, found[1])
+            kind, _, ttl, size = RECORD.unpack_from(data, found[1])
             at = found[1] + 10
             if at + size > len(data):
                 at = -1
                 break
             records.append({"section": section, "name": found[0], "type": TYPES.get(kind) or f"TYPE{kind}", "ttl": ttl, "value": value_of(data, kind, at, size)})
             at += size
-    bits_ = {n: bool(flags & m) for n, m in (("is_response", 0x8000), ("authoritative", 0x400), ("truncated", 0x200), ("recursion_desired", 0x100), ("recursion_available", 0x80))}
-    return {"id": number, "opcode": flags >> 11 & 15, "rcode": CODES.get(flags & 15, "other"), "questions": questions, "records": records, **bits_}
+    return {"id": number, "questions": questions, "records": records, **flag_fields(flags)}
 
 
 def dns(payload: Column) -> Column:
@@ -120,18 +129,23 @@ def dns_stream(chunk: Column) -> Column:
     return wire.by_row("array<binary>", split_messages, chunk)
 
 
+def framed_step(state: list, chunk: bytes | None, gap: int | None) -> list[bytes]:
+    """The messages that a chunk of a stream completes. state: the bytes that wait ([b"", False] at first), and whether a gap has ended it."""
+    if gap:
+        state[:] = [b"", True]
+    if state[1]:
+        return []
+    data = state[0] + bytes(chunk or b"")
+    found = split_messages(data)
+    state[0] = data[sum(2 + len(m) for m in found) :]
+    return found
+
+
 def framed(chunks: DataFrame, keys: list[str], placed: bool = False) -> DataFrame:
     """keys, us, seq, n, payload: the messages of DNS streams, when their last byte comes. A gap ends a side's stream."""
 
     def step(state, us, seq, offset, chunk, gap):
-        if gap:
-            state[:] = [b"", True]
-        if state[1]:
-            return []
-        data = state[0] + bytes(chunk or b"")
-        found = split_messages(data)
-        state[0] = data[sum(2 + len(m) for m in found) :]
-        return [(us, seq, i, m) for i, m in enumerate(found)]
+        return [(us, seq, i, m) for i, m in enumerate(framed_step(state, chunk, gap))]
 
     return ordered_fold(chunks, keys, ["chunk", "gap"], lambda: [b"", False], step, "us long, seq long, n int, payload binary", order=("us", "seq", "offset"), placed=placed)
 

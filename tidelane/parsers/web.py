@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,39 @@ CHUNK_SIZE = re.compile(rb"[0-9A-Fa-f]{1,7}")
 FOLDED, BARE = re.compile(rb"\r\n[ \t]"), re.compile(rb"\r(?!\n)")
 
 
+def head_of(head: bytes) -> tuple[dict, bool, int | None] | None:
+    """(fields, whether the body is in chunks, its size or None if it goes on to the end) of a head; null for bytes that can't be one."""
+    top = FIRST_LINE.match(head)
+    if not top or len(head) > HEAD:
+        return None
+    first = top[1].decode("latin-1")
+    headers = [(n, v.strip(" ")) for n, colon, v in (line.partition(":") for line in head[top.end() :].decode("latin-1").split("\r\n")) if colon]
+    of: dict[str, list[str]] = {"content-length": [], "host": [], "transfer-encoding": []}
+    for n, v in headers:
+        if (lower := n.lower()) in of:
+            of[lower].append(v)
+    lengths, hosts = list(dict.fromkeys(of["content-length"])), {v.lower() for v in of["host"]}
+    chunked = "chunked" in (of["transfer-encoding"] or [""])[0].lower()
+    status = int(first[9:12]) if first.startswith("HTTP/") else None
+    bodiless = status is not None and (status < 200 or status in (204, 304))
+    poison = "both_framings" if chunked and lengths else "content_lengths_differ" if len(lengths) > 1 else "hosts_differ" if len(hosts) > 1 else "folded_line" if FOLDED.search(head) else "bare_carriage_return" if BARE.search(head) else None
+    size = 0
+    if not bodiless and lengths:
+        if not re.fullmatch(r"\d{1,12}", lengths[0], re.ASCII):
+            return None
+        size = int(lengths[0])
+    elif not bodiless and status is not None:
+        size = None  # up to the end
+    words = first.split(" ")
+    told = {"is_request": status is None, "method": words[0] if status is None else None, "path": words[1] if status is None else None, "version": re.search(r"HTTP/(1\.[01])", first)[1], "status": status, "headers": [{"name": n, "value": v} for n, v in headers], "poison": poison}
+    return told, chunked, size
+
+
+#: Heads of at most SMALL bytes are remembered, as many messages of a capture have equal ones.
+SMALL = 1 << 10
+small_head_of = lru_cache(4096)(head_of)
+
+
 class HttpSide:
     """Messages of one side's bytes as they become whole. What waits is scanned once: heads and chunks are remembered."""
 
@@ -64,6 +98,12 @@ class HttpSide:
         if len(self.held) > WAITING:
             self.fail()
 
+    def take(self, chunk: bytes | None, gap: int | None) -> list[dict]:
+        """The messages that a chunk of a stream completes; a gap ends the walk."""
+        if gap:
+            self.fail()
+        return list(self.read(bytes(chunk or b"")))
+
     def fail(self) -> None:
         self.failed, self.open = True, None
         self.held.clear()
@@ -77,29 +117,12 @@ class HttpSide:
             if len(self.held) - self.at > HEAD:
                 self.fail()
             return False
-        head = bytes(self.held[self.at : end + 2])
-        top = FIRST_LINE.match(head)
-        if not top or len(head) > HEAD:
+        head = bytes(memoryview(self.held)[self.at : end + 2])
+        found = (head_of if len(head) > SMALL else small_head_of)(head)
+        if found is None:
             self.fail()
             return False
-        first = top[1].decode("latin-1")
-        headers = [(n, v.strip(" ")) for n, colon, v in (line.partition(":") for line in head[top.end() :].decode("latin-1").split("\r\n")) if colon]
-        of = lambda name: [v for n, v in headers if n.lower() == name]
-        lengths, hosts = list(dict.fromkeys(of("content-length"))), {v.lower() for v in of("host")}
-        chunked = "chunked" in (of("transfer-encoding") or [""])[0].lower()
-        status = int(first[9:12]) if first.startswith("HTTP/") else None
-        bodiless = status is not None and (status < 200 or status in (204, 304))
-        poison = "both_framings" if chunked and lengths else "content_lengths_differ" if len(lengths) > 1 else "hosts_differ" if len(hosts) > 1 else "folded_line" if FOLDED.search(head) else "bare_carriage_return" if BARE.search(head) else None
-        size = 0
-        if not bodiless and lengths:
-            if not re.fullmatch(r"\d{1,12}", lengths[0], re.ASCII):
-                self.fail()
-                return False
-            size = int(lengths[0])
-        elif not bodiless and status is not None:
-            size = None  # up to the end
-        words = first.split(" ")
-        told = {"is_request": status is None, "method": words[0] if status is None else None, "path": words[1] if status is None else None, "version": re.search(r"HTTP/(1\.[01])", first)[1], "status": status, "headers": [{"name": n, "value": v} for n, v in headers], "poison": poison}
+        told, chunked, size = found
         self.open = {"told": told, "chunked": chunked, "size": size, "from": end + 4, "next": end + 4, "parts": []}
         self.at = end + 4
         return True
@@ -171,10 +194,8 @@ def http_messages(chunks: DataFrame, keys: list[str], placed: bool = False) -> D
         return [(us, seq, i, m) for i, m in enumerate(made)]
 
     def step(state, us, seq, offset, chunk, gap):
-        if gap:
-            state[0].fail()
         state[1:] = [us, seq]
-        return rows(us, seq, state[0].read(bytes(chunk or b"")))
+        return rows(us, seq, state[0].take(chunk, gap))
 
     def finish(state):
         last = state[0].finish()

@@ -120,37 +120,41 @@ def quic_hellos(spark, sf_dir):
     return got.select("event_id", F.lower(F.hex("dcid")).alias("dcid"), "version", "packets", "sni", F.array_join("alpn", ",").alias("alpn"), "ja4")
 
 
-def tcp_hex(forward: bool, port: Column, seq: Column, ack: Column, flags: str, body: Column | str = "") -> Column:
-    ports = F.concat(h(port, 2), F.lit("0050")) if forward else F.concat(F.lit("0050"), h(port, 2))
-    body = F.lit(body) if isinstance(body, str) else body
-    return F.concat(ports, h(seq % (1 << 32), 4), h(ack % (1 << 32), 4), F.lit("50" + flags + "FFFF" + "00000000"), body)
-
-
 def captured(spark, sf_dir) -> DataFrame:
     """Frames of a flow for each event: an HTTP exchange of even ones, a DNS exchange of odd ones, as one capture file.
 
     The request comes in two segments, the second first; both sides close. Sequence numbers wrap within the request of some events.
+    What frames share is made once for each event, and a frame's headers after its bytes, which they count.
     """
-    ev = events(spark, sf_dir).withColumn("port", source_port())
-    server = F.concat(F.lit("C0A8"), h(F.floor(F.col("event_id") / 60000), 2))
-    ip = lambda proto, forward, body: F.concat(F.lit(ETHERNET + "0800"), ipv4(proto, body, **({"dst": server} if forward else {"src": server, "dst": low_address()})))
-    port, c, s = F.col("port"), F.col("event_id") * 977 + (1 << 32) - 40, F.col("event_id") * 31
-    one, two = F.concat(text_hex(F.concat(F.lit("GET /"), F.col("event_type"))), F.lit("")), F.lit(b" HTTP/1.1\r\nHost: shop.example\r\n\r\n".hex().upper())
-    body = text_hex(F.concat(F.lit("for "), F.col("event_type")))
-    answer = F.concat(F.hex(F.concat(F.lit("HTTP/1.1 "), (200 + F.col("user_id") % 300).cast("string"), F.lit(" ok\r\nContent-Length: "), n(body).cast("string"), F.lit("\r\n\r\n")).cast("binary")), body)
-    asked, said = n(one) + n(two), n(answer)
-    t = lambda *a: ip(6, a[0], tcp_hex(a[0], port, *a[1:]))
-    web_ = F.array(
-        t(True, c, s * 0, "02"), t(False, s, c + 1, "12"), t(True, c + 1, s + 1, "10"), t(True, c + 1 + n(one), s + 1, "18", two), t(True, c + 1, s + 1, "18", one), t(False, s + 1, c + 1 + asked, "18", answer),
-        t(True, c + 1 + asked, s + 1 + said, "11"), t(False, s + 1 + said, c + 2 + asked, "11"), t(True, c + 2 + asked, s + 2 + said, "10"),
-    )
+    id_, kind, text = F.col("event_id"), F.col("event_type"), lambda *parts: F.hex(F.concat(*parts).cast("binary"))
+    web_ = id_ % 2 == 0
     name = F.concat(h(n(host_hex()), 1), host_hex(), F.lit("03636F6D00" + "0001" + "0001"))
-    udp_ = lambda ports, body: F.concat(ports, h(8 + n(body), 2), F.lit("0000"), body)
-    question = F.concat(h(F.col("event_id") % 65536, 2), F.lit("0100" + "0001" + "0000" * 3), name)
-    reply = F.concat(h(F.col("event_id") % 65536, 2), F.lit("8180" + "0001" + "0001" + "0000" * 2), name, F.lit("C00C" + "0001" + "0001" + "0000003C" + "0004"), low_address())
-    dns_ = F.array(ip(17, True, udp_(F.concat(h(port, 2), F.lit("0035")), question)), ip(17, False, udp_(F.concat(F.lit("0035"), h(port, 2)), reply)))
-    each = ev.select("event_id", F.posexplode(F.when(F.col("event_id") % 2 == 0, web_).otherwise(dns_)).alias("i", "f"))
-    return each.select(F.lit("events").alias("path"), (F.col("event_id") * 16 + F.col("i")).alias("seq"), F.col("i").cast("long").alias("us"), F.unhex("f").alias("frame"))
+    ev = events(spark, sf_dir).select(
+        "event_id", h(source_port(), 2).alias("port"), F.concat(F.lit("C0A8"), h(F.floor(id_ / 60000), 2)).alias("server"), low_address().alias("client"), (id_ * 977 + (1 << 32) - 40).alias("c"), (id_ * 31).alias("s"),
+        F.when(web_, text(F.lit("GET /"), kind)).alias("one"), F.when(web_, text_hex(F.concat(F.lit("for "), kind))).alias("body"), F.concat(F.lit("HTTP/1.1 "), (200 + F.col("user_id") % 300).cast("string"), F.lit(" ok\r\nContent-Length: ")).alias("top"),
+        h(id_ % 65536, 2).alias("id"), F.when(~web_, name).alias("name"),
+    )
+    ev = ev.withColumn("answer", F.when(web_, F.concat(text(F.col("top"), n(F.col("body")).cast("string"), F.lit("\r\n\r\n")), F.col("body"))))
+    two, said = F.lit(b" HTTP/1.1\r\nHost: shop.example\r\n\r\n".hex().upper()), n(F.col("answer"))
+    ev = ev.withColumn("first", F.col("c") + 1 + n(F.col("one"))).withColumn("asked", F.col("first") + n(two)).withColumn("said", F.col("s") + 1 + said)
+    c, s, first, asked, told = (F.col(x) for x in ("c", "s", "first", "asked", "said"))
+    sent = lambda forward, seq, ack, flags, data="": F.struct(F.lit(forward).alias("forward"), seq.alias("seq"), ack.alias("ack"), F.lit(flags).alias("flags"), (F.lit(data) if isinstance(data, str) else data).alias("data"))
+    tcp = F.array(
+        sent(True, c, s * 0, "02"), sent(False, s, c + 1, "12"), sent(True, c + 1, s + 1, "10"), sent(True, first, s + 1, "18", two), sent(True, c + 1, s + 1, "18", F.col("one")), sent(False, s + 1, asked, "18", F.col("answer")),
+        sent(True, asked, told, "11"), sent(False, told, asked + 1, "11"), sent(True, asked + 1, told + 1, "10"),
+    )
+    none = F.lit(None).cast("long")
+    question = F.concat(F.col("id"), F.lit("0100" + "0001" + "0000" * 3), F.col("name"))
+    reply = F.concat(F.col("id"), F.lit("8180" + "0001" + "0001" + "0000" * 2), F.col("name"), F.lit("C00C" + "0001" + "0001" + "0000003C" + "0004"), F.col("client"))
+    udp_ = F.array(sent(True, none, none, "", question), sent(False, none, none, "", reply))
+    each = ev.select("event_id", "port", "server", "client", F.posexplode(F.when(web_, tcp).otherwise(udp_)).alias("i", "p"))
+    forward, data = F.col("p.forward"), F.col("p.data")
+    ports = lambda of: F.when(forward, F.concat(F.col("port"), F.lit(of))).otherwise(F.concat(F.lit(of), F.col("port")))
+    number = lambda x: h(F.col(x) % (1 << 32), 4)
+    segment = F.concat(ports("0050"), number("p.seq"), number("p.ack"), F.lit("50"), F.col("p.flags"), F.lit("FFFF" + "00000000"), data)
+    carried = each.select("event_id", "i", F.when(web_, segment).otherwise(F.concat(ports("0035"), h(8 + n(data), 2), F.lit("0000"), data)).alias("body"), F.when(web_, "06").otherwise("11").alias("proto"), F.when(forward, F.concat("client", "server")).otherwise(F.concat("server", "client")).alias("ends"))
+    frame = F.concat(F.lit(ETHERNET + "0800" + "4500"), h(20 + n(F.col("body")), 2), F.lit("00000000" + "40"), F.col("proto"), F.lit("0000"), F.col("ends"), F.col("body"))
+    return carried.select(F.lit("events").alias("path"), (id_ * 16 + F.col("i")).alias("seq"), F.col("i").cast("long").alias("us"), F.unhex(frame).alias("frame"))
 
 
 #: The event of a flow, out of its key: the client's port, and how often 60,000 events came before.
@@ -159,7 +163,7 @@ FLOW_EVENT = "cast(60000 * (256 * cast(split_part(k.server, '.', 3) as long) + c
 
 def by_event(rows: DataFrame) -> DataFrame:
     """`rows` of flows with event_id in place of their key."""
-    k = sessions.key_fields(F.col("key"))
+    rows, k = rows.withColumn("k", sessions.key_fields(F.col("key"))), F.col("k")
     first = k["a_ip"].startswith("10.")
     named = rows.withColumn("k", F.struct(F.when(first, k["b_ip"]).otherwise(k["a_ip"]).alias("server"), F.when(first, k["a_port"]).otherwise(k["b_port"]).alias("port")))
     return named.withColumn("event_id", F.expr(FLOW_EVENT))
@@ -182,12 +186,13 @@ def capture_dns(spark, sf_dir):
 @query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'started,established,GET /' || event_type || ',' || (200 + user_id % 300) || ',ended fin' ELSE 'started,asks,answers,ended idle_timeout' END AS pulses FROM events""")
 def capture_pulses(spark, sf_dir):
     """Lifecycle and messages of each flow in the order in which they happened on the wire."""
-    p = by_event(sessions.pulses(sessions.tracked(captured(spark, sf_dir))))
+    parts = folds.parts_for(spark, 9 * events(spark, sf_dir).count())
+    p = sessions.captured_pulses(captured(spark, sf_dir), http="struct<method:string,path:string,status:int>", dns="struct<is_response:boolean>", parts=parts)
     http, dns = F.col("http"), F.col("dns")
     said = F.when(F.col("pulse") == "ended", F.concat_ws(" ", "pulse", "reason")).when(F.col("protocol") == "http", F.coalesce(F.concat_ws(" ", http["method"], http["path"]), F.lit(""))).when(F.col("protocol") == "dns", F.when(dns["is_response"], "answers").otherwise("asks")).otherwise(F.col("pulse"))
     said = F.when(http["status"].isNotNull(), http["status"].cast("string")).otherwise(said)
-    rows = p.select("event_id", F.struct("us", "seq", "n", said.alias("t")).alias("r")).groupBy("event_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    return rows.select("event_id", F.array_join(F.transform("rs", lambda r: r["t"]), ",").alias("pulses"))
+    rows = p.select("key", F.struct("us", "seq", "n", said.alias("t")).alias("r")).groupBy("key").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    return by_event(rows).select("event_id", F.array_join(F.transform("rs", lambda r: r["t"]), ",").alias("pulses"))
 
 
 def der(tag: str, body: Column) -> Column:
