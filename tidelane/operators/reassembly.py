@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidelane.operators.folds import ordered_fold
 
 POLICIES = ("first", "last", "lower_seq", "higher_seq")
-WRAP = 1 << 32
+WRAP, HALF = 1 << 32, 1 << 31
 
 
 @dataclass(frozen=True)
@@ -189,7 +189,7 @@ class SideStream:
             self.anchored, self.number, self.progress = True, number % WRAP, us
 
     def offset(self, number: int) -> int:
-        return self.next + (number - self.number + (1 << 31)) % WRAP - (1 << 31)
+        return self.next + (number - self.number + HALF) % WRAP - HALF
 
     def advance(self, to: int, us: int) -> None:
         self.number = (self.number + to - self.next) % WRAP
@@ -324,7 +324,8 @@ class SideStream:
 
     def acknowledged(self, ack: int, us: int) -> None:
         if not self.stopped:
-            self.vouched((ack - 1) % WRAP, us)
+            if (ack - 1 - self.number + HALF) % WRAP > HALF:  # beyond what has come
+                self.vouched((ack - 1) % WRAP, us)
             if self.since is not None or self.pieces.starts or self.stray:
                 self.timers(us)
 
@@ -413,6 +414,8 @@ def fed(s: SideStream, us: int, number, payload, syn, fin, ack, missing) -> None
         s.acknowledged(ack, us)
     if number is None:
         return
+    if not (payload or missing or syn or fin):
+        return
     data, missing, first = bytes(payload or b""), missing or 0, number + bool(syn)
     if syn:
         s.anchor(first, us)

@@ -142,7 +142,8 @@ class Side:
         return out
 
     def finish(self) -> list[tuple]:
-        out = self.told(self.stream.finish(), self.packet) if self.packet else []
+        left = self.stream.finish() if self.packet else []
+        out = self.told(left, self.packet) if left else []
         last = self.http.finish()
         return [*out, (self.number, *self.chunk, 1 << 16, "message", None, self.name, "http", last, None)] if last else out
 
@@ -229,8 +230,9 @@ def captured_pulses(captured: DataFrame, column: str = "frame", port: int = DNS_
     rules, (start, life_step) = reassembly.Rules(), flows.lifecycle_steps(**options)
 
     def step(state, us, path, seq, forward, l4, flags, *carried):
-        number, side, _, established, reason, nth = life_step(state[0], us, l4, forward, flags)
-        return flow_step(state[1], rules, number, side, established, reason, us, nth, l4, flags, *carried)
+        life, flow = state
+        number, side, _, established, reason, nth = life_step(life, us, l4, forward, flags)
+        return flow_step(flow, rules, number, side, established, reason, us, nth, l4, flags, *carried)
 
     columns = ["forward", *CARRIED, "asks"]
     return ordered_fold(asking(flow_packets(captured, column), port), "key", columns, lambda: [start(), []], step, pulse_schema(http, dns), lambda state: state[1][0].finish(), ("us", "path", "seq"), parts=parts)

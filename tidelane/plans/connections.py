@@ -192,7 +192,7 @@ def capture_pulses(spark, sf_dir):
     said = F.when(F.col("pulse") == "ended", F.concat_ws(" ", "pulse", "reason")).when(F.col("protocol") == "http", F.coalesce(F.concat_ws(" ", http["method"], http["path"]), F.lit(""))).when(F.col("protocol") == "dns", F.when(dns["is_response"], "answers").otherwise("asks")).otherwise(F.col("pulse"))
     said = F.when(http["status"].isNotNull(), http["status"].cast("string")).otherwise(said)
     rows = p.select("key", F.struct("us", "seq", "n", said.alias("t")).alias("r")).groupBy("key").agg(F.sort_array(F.collect_list("r")).alias("rs"))
-    return by_event(rows).select("event_id", F.array_join(F.transform("rs", lambda r: r["t"]), ",").alias("pulses"))
+    return by_event(rows).select("event_id", F.array_join("rs.t", ",").alias("pulses"))
 
 
 def der(tag: str, body: Column) -> Column:
